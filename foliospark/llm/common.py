@@ -113,3 +113,52 @@ def spans_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     s, e = starts[order], np.maximum.accumulate(ends[order])
     first = np.r_[True, s[1:] > e[:-1]]
     return s[first], e[np.r_[np.flatnonzero(first)[1:] - 1, len(s) - 1]]
+
+
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_ODD = 0xD6E8FEB86659FD93
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, at least n of each."""
+    if not _POWERS or len(_POWERS["up"]) < n:
+        size = max(n, PIECE_BYTES + (PIECE_BYTES >> 2))
+        for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.multiply.accumulate(steps)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def byte_values(lower: bool = False) -> np.ndarray:
+    """A fixed 64-bit value for each byte; with ``lower``, A-Z have those of a-z."""
+    with np.errstate(over="ignore"):
+        values = mix((np.arange(1, 257, dtype=np.uint64)) * GOLD)
+    if lower:
+        values[65:91] = values[97:123]
+    return values
+
+
+def word_spans(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start, end and 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, in order; no word crosses a row."""
+    n = len(buf)
+    if n == 0:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint64)
+    inside = ~_SPACES[buf]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    cut = offsets[(offsets > 0) & (offsets < n)]
+    first[cut] |= inside[cut]
+    last[cut - 1] |= inside[cut - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(byte_values(lower)[buf] * up[:n], out=sums[1:])
+    h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * GOLD)
+    row = np.searchsorted(offsets, start, "right") - 1
+    return row, start, end, h

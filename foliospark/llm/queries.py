@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, sp_codec, tiff
+from . import quality, sharding, sp_codec, tiff
 from .common import table
 
 SHARDS = 40
@@ -37,6 +37,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.store_texts(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op6_sentencepiece": op6_sentencepiece,
+    "op8_quality": op8_quality,
     "op10_media_tiff": op10_media_tiff,
 }
 ORACLES: dict[str, str] = {}
