@@ -162,3 +162,93 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tup
     h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * GOLD)
     row = np.searchsorted(offsets, start, "right") - 1
     return row, start, end, h
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and the text as a compressed binary ``z``: a text on its way through a shuffle."""
+
+    def work(batches):
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            buf, at = buffers(batch.column(0))
+            raw = buf.tobytes()
+            z = pa.array([squeeze(raw[at[i] : at[i + 1]]) for i in range(len(batch))], pa.binary())
+            yield pa.record_batch([batch.column(1), batch.column(2), z], ["doc_id", "text_hash", "z"])
+
+    return docs.select("text", "doc_id", "text_hash").mapInArrow(work, "doc_id long, text_hash long, z binary")
+
+
+def unpacked(col: pa.Array) -> Iterator[bytes]:
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    for z in col:
+        yield expand(z.as_py())
+
+
+def bucket_count(docs: DataFrame, text_col: str = "text", bytes_each: int = 16 << 20) -> int:
+    """Buckets for packed exchanges: they grow with the text, so that one bucket stays small."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    return max(4 * shuffle_parts(docs.sparkSession), -(-total // bytes_each))
+
+
+def pack_rows(keys: np.ndarray, rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Structured ``rows`` dealt to buckets by the 64-bit ``keys``: one (bucket, payload) row for each bucket met."""
+    if not len(rows):
+        return
+    bucket = (keys >> np.uint64(16)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order].astype(np.int32), rows[order]
+    edge = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+    yield pa.record_batch([pa.array(bucket[edge[:-1]]), pa.array([rows[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["bucket", "payload"])
+
+
+def unpack_rows(payload: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
+    return np.concatenate([np.frombuffer(p.as_py(), dtype) for p in payload] or [np.zeros(0, dtype)])
+
+
+def runs(*cols: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start in sorted columns."""
+    n = len(cols[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def cut_spans(docs: DataFrame, marks: DataFrame, keep_text: bool = False) -> DataFrame:
+    """Remove marked byte ranges from whole texts.
+
+    ``docs``: doc_id, text, text_hash (from ``with_text_hash``); ``marks``: doc_id,
+    text_hash, start, end (any number of rows, overlaps allowed). Columns of the result:
+    doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and kept
+    (binary) if asked for. One row for each row of ``docs``.
+    """
+    of_doc = marks.groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    packed = packed_texts(docs)
+    joined = packed.join(of_doc, same_document(packed, of_doc), "left").select(packed["doc_id"], "z", "starts", "ends")
+
+    def work(batches):
+        from hashlib import sha256
+
+        for batch in batches:
+            out = []
+            starts, ends = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for text, s, e in zip(unpacked(batch.column(1)), starts, ends, strict=True):
+                kept, removed, runs_cut = text, 0, 0
+                if s:
+                    a, b = spans_of(np.array(s, np.int64), np.array(e, np.int64))
+                    keep_from, keep_to = np.r_[0, b], np.r_[a, len(text)]
+                    kept = b"".join(text[i:j] for i, j in zip(keep_from.tolist(), keep_to.tolist(), strict=True))
+                    removed, runs_cut = len(text) - len(kept), len(a)
+                out.append((len(text), removed, runs_cut, sha256(kept).hexdigest(), kept))
+            cols = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
+            yield pa.record_batch([batch.column(0), *cols], names)
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * keep_text
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    return joined.mapInArrow(work, schema)

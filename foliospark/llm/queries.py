@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, sp_codec, tiff
+from . import quality, sharding, sp_codec, substring_dedup, tiff
 from .common import table
 
 SHARDS = 40
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards; the texts travel with their rows and are digested where they arrive."""
     sharded = sharding.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS, SEED)
@@ -46,6 +50,7 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_quality": op8_quality,
