@@ -53,10 +53,12 @@ def same_document(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
 
-def with_text_hash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns doc_id, text (null: empty) and text_hash. Rows that agree in both are one document."""
+def with_text_hash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:
+    """Columns doc_id, text (null: empty) and text_hash; rows that agree in all of them are one
+    document. With ``rest``, a struct ``rest`` of all columns of ``docs`` but the text, whatever their names."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    more = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("rest")] if rest else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), *more)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -165,7 +167,8 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tup
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and the text as a compressed binary ``z``: a text on its way through a shuffle."""
+    """doc_id, text_hash, the text as a compressed binary ``z``, and ``rest`` if there: texts on their way through a shuffle."""
+    more = ["rest"] if "rest" in docs.columns else []
 
     def work(batches):
         import zstandard
@@ -175,9 +178,10 @@ def packed_texts(docs: DataFrame) -> DataFrame:
             buf, at = buffers(batch.column(0))
             raw = buf.tobytes()
             z = pa.array([squeeze(raw[at[i] : at[i + 1]]) for i in range(len(batch))], pa.binary())
-            yield pa.record_batch([batch.column(1), batch.column(2), z], ["doc_id", "text_hash", "z"])
+            yield pa.record_batch([batch.column(1), batch.column(2), z, *batch.columns[3:]], ["doc_id", "text_hash", "z", *more])
 
-    return docs.select("text", "doc_id", "text_hash").mapInArrow(work, "doc_id long, text_hash long, z binary")
+    kinds = "".join(f", rest {docs.schema['rest'].dataType.simpleString()}" for _ in more)
+    return docs.select("text", "doc_id", "text_hash", *more).mapInArrow(work, "doc_id long, text_hash long, z binary" + kinds)
 
 
 def unpacked(col: pa.Array) -> Iterator[bytes]:
@@ -229,7 +233,8 @@ def cut_spans(docs: DataFrame, marks: DataFrame, keep_text: bool = False) -> Dat
     """
     of_doc = marks.groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     packed = packed_texts(docs)
-    joined = packed.join(of_doc, same_document(packed, of_doc), "left").select(packed["doc_id"], "z", "starts", "ends")
+    more = ["rest"] if "rest" in docs.columns else []
+    joined = packed.join(of_doc, same_document(packed, of_doc), "left").select(packed["doc_id"], "z", "starts", "ends", *more)
 
     def work(batches):
         from hashlib import sha256
@@ -240,15 +245,16 @@ def cut_spans(docs: DataFrame, marks: DataFrame, keep_text: bool = False) -> Dat
             for text, s, e in zip(unpacked(batch.column(1)), starts, ends, strict=True):
                 kept, removed, runs_cut = text, 0, 0
                 if s:
-                    a, b = spans_of(np.array(s, np.int64), np.array(e, np.int64))
+                    a, b = spans_of(np.array(s, np.int64), np.minimum(np.array(e, np.int64), len(text)))
                     keep_from, keep_to = np.r_[0, b], np.r_[a, len(text)]
                     kept = b"".join(text[i:j] for i, j in zip(keep_from.tolist(), keep_to.tolist(), strict=True))
                     removed, runs_cut = len(text) - len(kept), len(a)
                 out.append((len(text), removed, runs_cut, sha256(kept).hexdigest(), kept))
             cols = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-            yield pa.record_batch([batch.column(0), *cols], names)
+            yield pa.record_batch([batch.column(0), *cols, *batch.columns[4:]], names)
 
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * keep_text
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text + more
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    schema += "".join(f", rest {docs.schema['rest'].dataType.simpleString()}" for _ in more)
     return joined.mapInArrow(work, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, sp_codec, substring_dedup, tiff
+from . import line_dedup, quality, sharding, sp_codec, substring_dedup, tiff
 from .common import table
 
 SHARDS = 40
@@ -37,6 +37,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -52,6 +56,7 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
+    "op3_line_dedup": op3_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_quality": op8_quality,
     "op10_media_tiff": op10_media_tiff,
