@@ -2,35 +2,48 @@
 
 A text starts as single characters. An agenda holds the adjacent symbol pairs that form
 a piece, ordered by score and then from the left; the best pair is merged and its new
-neighbours enter the agenda. Symbols that are no piece become byte pieces.
+neighbours enter the agenda. Symbols that are no piece become byte pieces. Short words
+are merged many at a time: each has a row of pair ranks for its agenda, and a round
+takes the best pair of every row.
 
-No piece holds the space mark after another character (``Vocabulary`` checks that), so
-no merge crosses from a word into the next one: a text falls apart into words, each led
-by its space marks, that are encoded alone and remembered within the task.
+No piece holds a space mark after another character (``Vocabulary`` checks that), so no
+merge crosses from a word into the next one: a text falls apart into words, each led by
+its space marks, that are encoded alone and remembered by the Python worker.
 
-Each Arrow batch is checked against the sentencepiece library: its ids must be ours, and
-its ``decode(ids)`` must be ours too; a difference fails the job.
+Every Arrow batch is checked against the sentencepiece library: the words that are new
+to the worker are encoded by the library too, in one call, and so are, as a whole, the
+texts with unusual spacing; the ids of every text are decoded by the library, and our
+decoding must be the same. A difference fails the job.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-# Piece types of the model format.
-NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: A word with its space marks.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
-#: Words remembered in a task, and the longest word that is.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
-#: Leads a remembered word that has no space mark; no text of Spark's holds a lone surrogate.
-NO_MARK = "\ud800"
+#: Words that a worker remembers before it starts anew.
+CACHE_WORDS = 700_000
+#: Longest word that is merged together with others.
+SHORT = 48
+PLACE = (1 << 40) - 1
+NO_RANK = 1 << 30
+
+
+def slots(key: np.ndarray) -> np.ndarray:
+    """Places of pair keys in a table of 2**20."""
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
 class Vocabulary:
@@ -45,97 +58,186 @@ class Vocabulary:
         if any(sp.is_unused(i) for i in range(n)):
             raise ValueError("vocabularies with unused pieces are not handled")
         self.ids = {p: i for i, p in enumerate(pieces) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
-        self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
+        order = {x: k for k, x in enumerate(sorted({sp.get_score(i) for i in self.ids.values()}, reverse=True))}
+        self.rank = {p: order[sp.get_score(i)] for p, i in self.ids.items()}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.eos = sp.eos_id()
         self.by_word = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
-        self.surface = {i: p.replace(SPACE, " ") for p, i in self.ids.items()}
-        self.lines_apart = all("\n" not in p for p in self.ids)
-        self.known: dict[str, str] = {}
+        self.surface = {i: p.replace(SPACE, " ") for p, i in self.ids.items()} | {i: "" for i in range(n) if sp.is_control(i)}
+        self.table = self.pair_table()
+        self.digits = [str(i) for i in range(n)]
+        #: Ids, as 4-byte numbers, of words met before.
+        self.known: dict[str, bytes] = {}
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one word by the agenda of adjacent pairs."""
-        score = self.score
+        """Ids of a string by the agenda of adjacent pairs."""
+        rank = self.rank
         symbols: list[str] = list(word)
         n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda = []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if pair in score:
-                agenda.append((-score[pair], i, i + 1, pair))
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        # an entry is the score's rank and the left place in one number
+        agenda = [r << 40 | i for i in range(n - 1) if (r := rank.get(symbols[i] + symbols[i + 1])) is not None]
         heapify(agenda)
         while agenda:
-            _, left, right, pair = heappop(agenda)
-            # a pair is stale once either symbol has been merged away or has grown
-            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != len(pair):
-                continue
+            entry = heappop(agenda)
+            left = entry & PLACE
+            right = after[left]
+            if not symbols[left] or right >= n or rank.get(pair := symbols[left] + symbols[right]) != entry >> 40:
+                continue  # one of the symbols has been merged away or has grown
             symbols[left], symbols[right] = pair, ""
-            after[left] = nxt = after[right]
-            if nxt >= 0:
-                before[nxt] = left
-                longer = pair + symbols[nxt]
-                if longer in score:
-                    heappush(agenda, (-score[longer], left, nxt, longer))
-            prev = before[left]
-            if prev >= 0:
-                longer = symbols[prev] + pair
-                if longer in score:
-                    heappush(agenda, (-score[longer], prev, left, longer))
+            after[left] = far = after[right]
+            if far < n:
+                before[far] = left
+                if (r := rank.get(pair + symbols[far])) is not None:
+                    heappush(agenda, r << 40 | left)
+            near = before[left]
+            if near >= 0 and (r := rank.get(symbols[near] + pair)) is not None:
+                heappush(agenda, r << 40 | near)
+        ids = self.ids
         out: list[int] = []
-        for s in symbols:
-            if s:
-                i = self.ids.get(s)
-                out += [i] if i is not None else [self.bytes[b] for b in s.encode()]
+        for s in filter(None, symbols):
+            i = ids.get(s)
+            if i is None:
+                out += [self.bytes[b] for b in s.encode()]
+            else:
+                out.append(i)
+        return out
+
+    def pair_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Open-addressed table of symbol pairs: keys, ranks and merged ids. Built once a worker."""
+        ids, n = self.ids, 1 << 20
+        keys, ranks, merged = np.full(n, -1, np.int64), np.full(n, NO_RANK, np.int32), np.zeros(n, np.int32)
+        entries = {}
+        for piece, i in ids.items():
+            for k in range(1, len(piece)):
+                left, right = ids.get(piece[:k]), ids.get(piece[k:])
+                if left is not None and right is not None:
+                    entries[left << 20 | right] = (self.rank[piece], i)
+        if len(entries) > n // 2:
+            raise ValueError("the vocabulary has too many pairs for its table")
+        key = np.fromiter(entries, np.int64, len(entries))
+        value = np.array(list(entries.values()), np.int32).reshape(-1, 2)
+        at = slots(key)
+        while len(key):
+            _, first = np.unique(at, return_index=True)  # of keys that meet, one takes the slot
+            taken = np.zeros(len(key), bool)
+            taken[first] = keys[at[first]] < 0
+            keys[at[taken]], ranks[at[taken]], merged[at[taken]] = key[taken], value[taken, 0], value[taken, 1]
+            key, value, at = key[~taken], value[~taken], (at[~taken] + 1) % n
+        return keys, ranks, merged
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged id of each pair; no rank where the pair is no piece."""
+        keys, ranks, merged = self.table
+        key = left.astype(np.int64) << 20 | right
+        key[(left < 0) | (right < 0)] = -2
+        at = slots(key)
+        todo = np.flatnonzero((keys[at] != key) & (keys[at] >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) % len(keys)
+            todo = todo[(keys[at[todo]] != key[todo]) & (keys[at[todo]] >= 0)]
+        hit = keys[at] == key
+        return np.where(hit, ranks[at], NO_RANK), merged[at]
+
+    def merge_many(self, words: list[str]) -> list[list[int]]:
+        """``merge`` of words of one length, a round of merges at a time."""
+        length, count = len(words[0]), len(words)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        chars, inverse = np.unique(codes, return_inverse=True)
+        single = np.array([self.ids.get(chr(c), -2 - int(c)) for c in chars], np.int32)  # -2 - code: no piece
+        symbols = single[inverse].reshape(count, length)
+        done = np.empty((count, length), np.int32)
+        width = np.full(count, length)
+        rows = np.arange(count)  # words that still have pairs to merge
+        ranks, merged = (x.reshape(count, length - 1) for x in self.look_up(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()))
+        while length > 1 and len(rows):
+            best = ranks.argmin(1)
+            here = np.arange(len(rows))
+            open_ = ranks[here, best] < NO_RANK
+            stop = ~open_
+            done[rows[stop], :length], width[rows[stop]] = symbols[stop], length
+            rows, symbols, ranks, merged, best = rows[open_], symbols[open_], ranks[open_], merged[open_], best[open_]
+            here, length = np.arange(len(rows)), length - 1
+            symbols[here, best] = merged[here, best]
+            col = np.arange(length)
+            symbols = np.take_along_axis(symbols, col + (col > best[:, None]), 1)
+            if length == 1:
+                break
+            col = col[:-1]
+            move = col + (col >= best[:, None])
+            ranks, merged = np.take_along_axis(ranks, move, 1), np.take_along_axis(merged, move, 1)
+            for side in (best - 1, best):  # the pairs that the new symbol is in
+                ok = (side >= 0) & (side < length - 1)
+                r, c = here[ok], side[ok]
+                ranks[r, c], merged[r, c] = self.look_up(symbols[r, c], symbols[r, c + 1])
+        done[rows, :length], width[rows] = symbols, length
+        out = [row[:w] for row, w in zip(done.tolist(), width.tolist(), strict=True)]
+        if (single < 0).any():
+            for k in np.flatnonzero((done < -1).any(1)):
+                out[k] = [i for s in out[k] for i in ([s] if s >= 0 else [self.bytes[b] for b in chr(-2 - s).encode()])]
         return out
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text, each with its space marks; a single leading mark is left out."""
-        plain = text.split(" ")
-        if self.by_word and "" not in plain and SPACE not in text:
-            return plain
-        if not text:
-            return []
+    def word_ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of words with their marks: short ones many at a time, long ones by the agenda alone."""
+        out: list[list[int]] = [[]] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            if 2 <= len(w) <= SHORT:
+                by_length.setdefault(len(w), []).append(k)
+            else:
+                out[k] = self.merge(w)
+        for places in by_length.values():
+            for k, ids in zip(places, self.merge_many([words[k] for k in places]), strict=True):
+                out[k] = ids
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Remember words without marks, after the library has given the same ids for all of them in a row."""
+        if len(self.known) + len(words) > CACHE_WORDS:
+            self.known.clear()
+        found = self.word_ids([SPACE + w for w in words])
+        if [*chain.from_iterable(found)] != self.library.encode(" ".join(words)):
+            bad = [w for w, ids in zip(words, found, strict=True) if ids != self.library.encode(w)]
+            raise ValueError(f"our ids differ from the library's for the words {bad[:3]!r}")
+        self.known.update(zip(words, (array("I", ids).tobytes() for ids in found), strict=True))
+
+    def encoded_odd(self, text: str) -> list[int]:
+        """Ids of a text with runs of spaces or marks of its own; the library must give the same."""
         marked = (SPACE + text).replace(" ", SPACE)
-        found = WORD.findall(marked) if self.by_word else [marked]
-        # a word with one mark goes by its short name; one without any keeps an escape
-        return [w[1:] if len(w) > 1 and w[0] == SPACE and w[1] != SPACE else w if w[0] == SPACE else NO_MARK + w for w in found]
-
-    def piece_ids(self, word: str) -> str:
-        """Decimal ids of a word. Characters of no piece stand alone, so the parts around line ends are looked up alone."""
-        full = word if word[:1] == SPACE else word[1:] if word[:1] == NO_MARK else SPACE + word
-        if "\n" not in full or not self.lines_apart:
-            return " ".join(map(str, self.merge(full)))
-        parts = []
-        for k, part in enumerate(full.split("\n")):
-            if k:
-                parts.append(str(self.bytes[10]))
-            if part:
-                parts.append(self.remembered(part[1:] if len(part) > 1 and part[0] == SPACE and part[1] != SPACE else part if part[0] == SPACE else NO_MARK + part))
-        return " ".join(parts)
-
-    def remembered(self, word: str) -> str:
-        got = self.known.get(word)
-        if got is None:
-            got = self.piece_ids(word)
-            if len(word) <= CACHE_CHARS:
-                if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                self.known[word] = got
-        return got
-
-    def encoded(self, text: str) -> tuple[str, int]:
-        """Decimal ids joined by one space, with the end id, and how many they are."""
-        words = self.words(text)
-        parts = [*map(self.known.get, words)]
-        if None in parts:
-            parts = [p if p is not None else self.remembered(w) for p, w in zip(parts, words, strict=True)]
-        parts.append(str(self.eos))
-        joined = " ".join(parts)
-        return joined, joined.count(" ") + 1
+        ids = [i for found in self.word_ids(WORD.findall(marked) if self.by_word else [marked]) for i in found]
+        if ids != self.library.encode(text):
+            raise ValueError(f"our ids differ from the library's for a text that starts {text[:60]!r}")
+        return ids
+
+    def encoded(self, texts: list[str]) -> list[tuple[str, list[int]]]:
+        """For each text its decimal ids joined by one space, with the end id, and the ids."""
+        split = [t.split(" ") if self.by_word and SPACE not in t else [""] for t in texts]
+        split = [None if "" in words else words for words in split]
+        found = [[*map(self.known.get, words)] if words else [] for words in split]
+        fresh = {w for words, raw in zip(split, found, strict=True) if None in raw for w, r in zip(words, raw, strict=True) if r is None}
+        if fresh:
+            self.learn([*fresh])
+        digits, out = self.digits, []
+        for text, words, raw in zip(texts, split, found, strict=True):
+            if words:
+                if None in raw:
+                    raw = [r if r is not None else self.known[w] for w, r in zip(words, raw, strict=True)]
+                ids = array("I", b"".join(raw)).tolist()
+            else:
+                ids = self.encoded_odd(text) if text else []
+            ids.append(self.eos)
+            out.append((" ".join(map(digits.__getitem__, ids)), ids))
+        return out
 
     def decoded(self, ids: list[int]) -> str:
         """Text of ids: marks become spaces, the first one goes, runs of byte pieces are UTF-8."""
+        try:
+            text = "".join(map(self.surface.__getitem__, ids))
+        except KeyError:  # byte pieces have no surface of their own
+            text = self.decoded_bytes(ids)
+        return text[1:] if text.startswith(" ") else text
+
+    def decoded_bytes(self, ids: list[int]) -> str:
         low, high = self.bytes[0], self.bytes[255]
         surface, out, raw = self.surface, [], bytearray()
         for i in ids:
@@ -147,12 +249,21 @@ class Vocabulary:
                 raw.clear()
             out.append(surface.get(i, ""))
         out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
-        return text[1:] if text.startswith(" ") else text
+        return "".join(out)
+
+
+#: Vocabularies by model file; a worker serves many tasks.
+VOCABULARIES: dict[str, Vocabulary] = {}
+
+
+def vocabulary_of(model: str) -> Vocabulary:
+    if model not in VOCABULARIES:
+        VOCABULARIES[model] = Vocabulary(model)
+    return VOCABULARIES[model]
 
 
 def encode_texts(
-    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, piece_bytes: int = 1 << 20
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, piece_chars: int = 1 << 20
 ) -> DataFrame:
     """Encode each whole text with an end id, and decode the ids again.
 
@@ -162,30 +273,27 @@ def encode_texts(
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model)
+        vocabulary = vocabulary_of(model)
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             lo = 0
             while lo < len(texts):
                 hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= piece_bytes):
+                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= piece_chars):
                     size += len(texts[hi])
                     hi += 1
                 yield checked(vocabulary, ids[lo:hi], texts[lo:hi])
                 lo = hi
 
     def checked(vocabulary: Vocabulary, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        library = vocabulary.library.encode(texts, add_eos=True, num_threads=1)
-        theirs = vocabulary.library.decode(library)
+        found = vocabulary.encoded(texts)
+        theirs = vocabulary.library.decode([i for _, i in found])
         rows = []
-        for text, their_ids, their_text in zip(texts, library, theirs, strict=True):
-            joined, count = vocabulary.encoded(text)
-            if joined != " ".join(map(str, their_ids)):
-                raise ValueError(f"our ids differ from the library's for a text that starts {text[:60]!r}")
-            ours = vocabulary.decoded(their_ids)
+        for text, (joined, own_ids), their_text in zip(texts, found, theirs, strict=True):
+            ours = vocabulary.decoded(own_ids)
             if ours != their_text:
                 raise ValueError(f"our decoding differs from the library's for a text that starts {text[:60]!r}")
-            rows.append((count, sha256(joined.encode()).hexdigest(), sha256(ours.encode()).hexdigest(), their_ids, ours))
+            rows.append((len(own_ids), sha256(joined.encode()).hexdigest(), sha256(ours.encode()).hexdigest(), own_ids, ours))
         kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32()), pa.string()] * keep_ids
         cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
         return pa.record_batch([ids, *cols], names)
