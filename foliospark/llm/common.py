@@ -36,11 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+def materialise(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    ``few``: a table that is small beside the corpus goes to a sixteenth of the files, so
+    that many rounds do not leave thousands of tiny ones.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = df.repartition(max(1, shuffle_parts(spark) // 16)) if few else df
+    out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
