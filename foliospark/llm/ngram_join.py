@@ -6,8 +6,9 @@ class and are linked as such. For different sets:
 1. Prune. Two sets with a Jaccard similarity of 0.8 share a known least number of the
    first 30 % of their shingles. All those prefixes meet, packed, in buckets by shingle;
    a class that shares too few of its own with any other class can have no partner.
-2. Group. Two linked sets share a shingle of their first 20 %. For the classes left, the
-   least class of each such shingle leads a group, and a class joins the group of each
+2. Group. Two linked sets share a shingle of their first 20 % in any order that is the
+   same for all; here the most frequent shingles (a bounded number of them) come last,
+   so that a passage in many documents brings no group about. For the classes left, the least class of each such shingle leads a group, and a class joins the group of each
    of its shingles' leaders: any two linked classes are together in at least one group.
    Large groups are split in blocks, and each pair of blocks is a task of its own.
 3. Join. A task stores its sets in a radix tree, most common shingle first, and sends
@@ -34,6 +35,8 @@ PREFIX = np.dtype([("token", "<u4"), ("cls", "<u8")])
 MEMBER = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("null", "<i4"), ("n", "<i4"), ("cls", "<u8")])
 #: Prefix shingles that a task holds before it deals them out.
 HELD = 1 << 21
+#: Most shingles that the common order puts last, as a list that every task gets.
+MOST_FREQUENT = 50_000
 #: Least and most sets of a block.
 LEAST_BLOCK, MOST_BLOCK = 128, 4096
 
@@ -150,13 +153,31 @@ def sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame
     return joined.mapInArrow(work, "cls long, set binary").dropDuplicates(["cls"])
 
 
+def frequent(sets: DataFrame) -> np.ndarray:
+    """Sorted shingles that at least one in MOST_FREQUENT of all occurrences is, so at most MOST_FREQUENT."""
+
+    def tokens(batches):
+        for batch in batches:
+            buf, _ = buffers(batch.column(0))
+            yield pa.record_batch([pa.array(np.frombuffer(buf.tobytes(), np.int64))], ["token"])
+
+    total = sets.agg(F.sum(F.octet_length("set"))).first()[0] or 0
+    least = max(16, total // 8 // MOST_FREQUENT)
+    many = sets.select("set").mapInArrow(tokens, "token long").groupBy("token").count().where(F.col("count") >= least)
+    return np.sort(np.array([r[0] for r in many.select("token").collect()], np.int64))
+
+
 def groups(sets: DataFrame) -> DataFrame:
     """cls, leader: the groups that each class belongs to."""
+    last = frequent(sets)
 
     def tokens(batches):
         for batch in batches:
             for cls, raw in zip(batch.column(0), batch.column(1), strict=True):
                 s = np.frombuffer(raw.as_py(), np.int64)
+                if len(last):
+                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
+                    s = s[np.argsort(last[at] == s, kind="stable")]
                 s = s[: prefix_length(len(s), 1)]
                 yield pa.record_batch([pa.array(s), pa.array(np.full(len(s), cls.as_py()))], ["token", "cls"])
 
