@@ -36,15 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str, few: int = 0) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    ``few``: a table that is small beside the corpus goes to a sixteenth of the files, so
-    that many rounds do not leave thousands of tiny ones.
+    ``few``: a table that is small beside the corpus goes to that fraction of the shuffle
+    partitions, so that many rounds do not leave thousands of tiny files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
-    out = df.repartition(max(1, shuffle_parts(spark) // 16)) if few else df
+    out = df.repartition(max(1, shuffle_parts(spark) // few)) if few else df
     out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -262,4 +262,6 @@ def cut_spans(docs: DataFrame, marks: DataFrame, keep_text: bool = False) -> Dat
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text + more
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     schema += "".join(f", rest {docs.schema['rest'].dataType.simpleString()}" for _ in more)
-    return joined.mapInArrow(work, schema)
+    cut = joined.mapInArrow(work, schema)
+    # digests are small beside the texts they come from: fewer tasks write them
+    return cut if keep_text else cut.coalesce(max(1, shuffle_parts(docs.sparkSession) // 4))

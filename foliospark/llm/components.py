@@ -21,7 +21,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialise(e, "edges", few=True)
+    e = materialise(e, "edges", few=64)
     mark = marked(e)
     for _ in range(max_rounds):
         if not mark[0]:
@@ -31,7 +31,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        e = materialise(small.distinct(), "edges", few=True)
+        e = materialise(small.distinct(), "edges", few=64)
         before, mark = mark, marked(e)
         if mark == before:
             break

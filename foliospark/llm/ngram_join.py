@@ -313,8 +313,8 @@ def class_links(docs: DataFrame, members: DataFrame, shares: DataFrame) -> DataF
     shared = shares.groupBy("cls").agg(F.sum("n").alias("shared"))
     # a share of ceil(n / 10) on both sides: of the smaller set's, 8 % of this one's size at least
     left = shared.join(size, "cls").where("100 * shared >= 8 * size").select("cls")
-    sets = materialise(sets_of(docs.select("doc_id", "text", "text_hash"), members, left), "sets", few=True)
-    found = materialise(groups(sets), "groups", few=True)
+    sets = materialise(sets_of(docs.select("doc_id", "text", "text_hash"), members, left), "sets", few=16)
+    found = materialise(groups(sets), "groups", few=16)
     spark = docs.sparkSession
     total = found.count()
     block = min(MOST_BLOCK, max(LEAST_BLOCK, total // (4 * shuffle_parts(spark))))
@@ -345,7 +345,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table gives an empty result. Other columns of ``docs`` play no part.
     """
     docs = with_text_hash(docs, id_col, text_col)
-    both = materialise(prefixes(docs), "prefixes", few=True)
+    both = materialise(prefixes(docs), "prefixes", few=16)
     members = both.where("member").drop("member")
     root = components(class_links(docs, members, both.where("not member").select("cls", "n")))
     group = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("g", F.coalesce("root", "cls"))

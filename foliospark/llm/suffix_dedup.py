@@ -364,7 +364,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * keep_text
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)
 
-    first = materialise(dictionary(phrases(docs, buckets), buckets), "phrases", few=True)
+    first = materialise(dictionary(phrases(docs, buckets), buckets), "phrases", few=16)
     texts = docs.select("text", "ord", "tag", "doc_id").mapInArrow(pack, "bucket int, ord long, tag long, doc_id long, z binary")
     open_ = first.where(F.col("kind") != REMOVED)
     later = sorted_runs(suffixes(texts, open_, buckets), buckets)
