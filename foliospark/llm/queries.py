@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, quality, sharding, sp_codec, substring_dedup, suffix_dedup, tiff
+from . import ann, line_dedup, mixing, ngram_join, quality, sharding, sp_codec, substring_dedup, suffix_dedup, tiff
 from .common import table
 
 SHARDS = 40
@@ -53,10 +53,18 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.store_texts(table(spark, sf_dir, "documents"))
 
@@ -68,7 +76,9 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_ann": op7_ann,
     "op8_quality": op8_quality,
+    "op9_mixing": op9_mixing,
     "op10_media_tiff": op10_media_tiff,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.oracle()}
