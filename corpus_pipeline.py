@@ -1,14 +1,44 @@
-"""The corpus pipeline: documents through quality, dedup, mixing and tokenizing stages."""
+"""The corpus pipeline: documents through quality, dedup, mixing and tokenizing stages.
 
-from __future__ import annotations
+Each stage works on all that the one before it kept. The first four return the columns of
+``documents``, the last one the digests of each document's ids and decoded text.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliospark.llm import line_dedup, mixing, ngram_join, quality, sp_codec
 from foliospark.llm.common import materialise, table
+from foliospark.llm.queries import tokenizer_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal or similar lines the first stays; documents without a byte left go."""
+    return line_dedup.without_repeated_lines(docs)
+
+
+def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return ngram_join.one_of_each_group(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Eighty of a hundred tokens, by the target weights; no document twice."""
+    return mixing.mixed(docs, percent=80, max_epochs=1, as_documents=True)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encoded and decoded texts, as digests."""
+    return sp_codec.encode_texts(docs, tokenizer_path())
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("ngram_join", join_stage), ("mixing", mixing_stage), ("sentencepiece", token_stage)]
 
 #: The stages learn, hash with numpy and call a tokenizer: SQL cannot express them.
 ORACLE_SQL = None
@@ -17,7 +47,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what one stage keeps is written and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"stage{k}")

@@ -25,6 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import GOLD, bucket_count, buffers, materialise, mix, pack_rows, packed_texts, pieces, runs, same_document, shuffle_parts, unpack_rows, unpacked, with_text_hash, word_spans
@@ -335,7 +336,15 @@ def class_links(docs: DataFrame, members: DataFrame, shares: DataFrame) -> DataF
     return placed.join(sets, "cls").groupBy("leader", "i", "j").applyInArrow(join, "a long, b long")
 
 
-def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:
+def linked_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n and the group ``g`` of each row of ``with_text_hash``."""
+    both = materialise(prefixes(docs), "prefixes", few=16)
+    members = both.where("member").drop("member")
+    root = components(class_links(docs, members, both.where("not member").select("cls", "n")))
+    return members.join(root.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "cls").alias("g"))
+
+
+def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id of each row.
 
     Links are pairs with 100 * intersection >= 80 * union. A null or empty text, or one
@@ -345,10 +354,24 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table gives an empty result. Other columns of ``docs`` play no part.
     """
     docs = with_text_hash(docs, id_col, text_col)
-    both = materialise(prefixes(docs), "prefixes", few=16)
-    members = both.where("member").drop("member")
-    root = components(class_links(docs, members, both.where("not member").select("cls", "n")))
-    group = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("g", F.coalesce("root", "cls"))
+    group = linked_groups(docs)
     least = group.where("n > 0").groupBy("g").agg(F.min("doc_id").alias("least"))
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return group.join(least, "g", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all its columns) with the least doc_id of their group of linked ones.
+
+    A null doc_id comes last; of rows equal in doc_id and text one stays. Rows with an empty
+    set are linked with nothing and all stay.
+    """
+    rows = with_text_hash(docs, rest=True)
+    group = materialise(linked_groups(rows.select("doc_id", "text", "text_hash")), "linked", few=16)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    keep = group.where("n > 0").groupBy("g").agg(F.min(first).alias("f")).select(F.col("f.doc_id").alias("doc_id"), F.col("f.text_hash").alias("text_hash"), F.lit(True).alias("once"))
+    keep = keep.union(group.where("n = 0").select("doc_id", "text_hash", F.lit(False)).distinct())
+    found = rows.join(keep, same_document(rows, keep)).select(rows["doc_id"], rows["text_hash"], "text", "rest", "once")
+    turn = F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy(F.lit(0)))
+    kept = found.withColumn("turn", turn).where("turn = 1 or not once")
+    return kept.select(*((F.col("text") if c == "text" else F.col("rest")[c]).alias(c) for c in docs.columns))

@@ -161,3 +161,16 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
     with_x = stats.select("doc_id", *(carry or []), *(c.alias(x) for c, x in zip(model.features(), xs, strict=True)))
     scored = with_x.withColumn("score", model.score(xs))
     return scored.select("doc_id", *(carry or []), held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` (all its columns) that are not rejected.
+
+    The model is fitted on stored counts; texts are counted again where they are filtered,
+    so that they go through no shuffle.
+    """
+    model = fit(materialise(statistics(docs), "quality"), labels)
+    xs = [f"__x{i}" for i in range(len(FEATURES))]
+    rows = docs.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+    scored = statistics(rows, carry=["__row"]).select("__row", *(c.alias(x) for c, x in zip(model.features(), xs, strict=True)))
+    return scored.where(model.score(xs) >= threshold).select("__row.*")
