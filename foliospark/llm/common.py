@@ -264,4 +264,4 @@ def cut_spans(docs: DataFrame, marks: DataFrame, keep_text: bool = False) -> Dat
     schema += "".join(f", rest {docs.schema['rest'].dataType.simpleString()}" for _ in more)
     cut = joined.mapInArrow(work, schema)
     # digests are small beside the texts they come from: fewer tasks write them
-    return cut if keep_text else cut.coalesce(max(1, shuffle_parts(docs.sparkSession) // 4))
+    return cut if keep_text else cut.coalesce(max(1, shuffle_parts(docs.sparkSession) // 6))

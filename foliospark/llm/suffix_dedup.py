@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, bucket_count, buffers, materialise, mix, pieces, runs, spans_of, unpacked, with_text_hash, words8
+from .common import GOLD, bucket_count, buffers, materialise, mix, pieces, runs, shuffle_parts, spans_of, unpacked, with_text_hash, words8
 
 LENGTH = 50
 GRAM = 16
@@ -370,4 +370,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     later = sorted_runs(suffixes(texts, open_, buckets), buckets)
     gone = first.where(F.col("kind") == REMOVED).union(later)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return texts.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(cut, schema)
+    result = texts.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(cut, schema)
+    # digests are small beside the texts they come from: fewer tasks write them
+    return result if keep_text else result.coalesce(max(1, shuffle_parts(docs.sparkSession) // 6))
