@@ -6,11 +6,14 @@ class and are linked as such. For different sets:
 1. Prune. Two sets with a Jaccard similarity of 0.8 share a known least number of the
    first 30 % of their shingles. All those prefixes meet, packed, in buckets by shingle;
    a class that shares too few of its own with any other class can have no partner.
-2. Group. Two linked sets share a shingle of their first 20 % in any order that is the
-   same for all; here the most frequent shingles (a bounded number of them) come last,
-   so that a passage in many documents brings no group about. For the classes left, the least class of each such shingle leads a group, and a class joins the group of each
-   of its shingles' leaders: any two linked classes are together in at least one group.
-   Large groups are split in blocks, and each pair of blocks is a task of its own.
+2. Group. The order changes so that the most frequent shingles (a bounded number of
+   them) come last and a passage in many documents brings no group about. For the
+   classes left, the least class of each shingle of a 30 % prefix leads a group, and a
+   class joins the groups of its shingles' leaders. Linked sets share a tenth of the
+   smaller one's size at least in these prefixes, so a class leaves the groups that only a
+   few of its shingles (4 % of its size together) are for: any two linked classes are
+   still together in at least one group. Large groups are split in blocks, and each
+   pair of blocks is a task of its own.
 3. Join. A task stores its sets in a radix tree, most common shingle first, and sends
    sets down it level by level; sets with a common path share the partial overlap, and a
    subtree goes once the lengths that remain cannot give the overlap that is needed. A
@@ -176,15 +179,19 @@ def groups(sets: DataFrame) -> DataFrame:
         for batch in batches:
             for cls, raw in zip(batch.column(0), batch.column(1), strict=True):
                 s = np.frombuffer(raw.as_py(), np.int64)
+                n = len(s)
                 if len(last):
                     at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                     s = s[np.argsort(last[at] == s, kind="stable")]
-                s = s[: prefix_length(len(s), 1)]
-                yield pa.record_batch([pa.array(s), pa.array(np.full(len(s), cls.as_py()))], ["token", "cls"])
+                s = s[: prefix_length(n, -(-n // 10))]
+                yield pa.record_batch([pa.array(s), pa.array(np.full(len(s), cls.as_py())), pa.array(np.full(len(s), n, np.int32))], ["token", "cls", "n"])
 
-    found = sets.select("cls", "set").mapInArrow(tokens, "token long, cls long")
+    found = sets.select("cls", "set").mapInArrow(tokens, "token long, cls long, n int")
     leader = found.groupBy("token").agg(F.min("cls").alias("leader"), F.max("cls").alias("most")).where("leader < most").select("token", "leader")
-    return found.join(leader, "token").select("cls", "leader").distinct()
+    shared = found.join(leader, "token").groupBy("cls", "n", "leader").agg(F.count("*").alias("c"))
+    mine = W.partitionBy("cls")
+    shared = shared.withColumn("upto", F.sum("c").over(mine.orderBy("c", "leader"))).withColumn("all", F.sum("c").over(mine))
+    return shared.where("upto > 4 * n div 100 and 100 * all >= 8 * n").select("cls", "leader")
 
 
 class Tree:
@@ -314,12 +321,12 @@ def class_links(docs: DataFrame, members: DataFrame, shares: DataFrame) -> DataF
     shared = shares.groupBy("cls").agg(F.sum("n").alias("shared"))
     # a share of ceil(n / 10) on both sides: of the smaller set's, 8 % of this one's size at least
     left = shared.join(size, "cls").where("100 * shared >= 8 * size").select("cls")
-    sets = materialise(sets_of(docs.select("doc_id", "text", "text_hash"), members, left), "sets", few=16)
+    sets = materialise(sets_of(docs.select("doc_id", "text", "text_hash"), members, left), "sets")
     found = materialise(groups(sets), "groups", few=16)
     spark = docs.sparkSession
     total = found.count()
     block = min(MOST_BLOCK, max(LEAST_BLOCK, total // (4 * shuffle_parts(spark))))
-    count = found.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    count = found.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1").select("leader", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     placed = (
         found.join(count, "leader")
