@@ -1,4 +1,403 @@
-"""All queries over the reference's operators, by name."""
+"""All queries over the reference's operators, by name, each with its SQL for DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import agent, catalog, consolidate, ingest, pages, search, sections
+from ..sources import adapters as A
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+QUERY = "elle. ouai the"
+PATTERN = r"\bth[ae]n?d\b"
+TODAY = "2024-01-31"
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')"
+LOWER = "list_filter(string_split_regex(lower({0}), '\\s+'), lambda t: t <> '')"
+NOTES = f"""notes AS (SELECT doc_id, CASE lang WHEN 'fr' THEN 'entities' WHEN 'de' THEN 'procedures' WHEN 'es' THEN 'synthesis' ELSE 'concepts' END || '/doc-' || doc_id || '.md' AS path,
+  array_to_string({WORDS}[1:6], ' ') AS title,
+  CASE lang WHEN 'fr' THEN 'entity' WHEN 'de' THEN 'procedure' WHEN 'es' THEN 'synthesis' ELSE 'concept' END AS type,
+  substring(text, 1, 200) AS summary, kw AS keywords, [source] AS sources, text AS content
+  FROM (SELECT *, list_transform(list_filter(list_transform(w, lambda t, i: CASE WHEN list_position(w, t) = i THEN t END), lambda t: t IS NOT NULL)[1:5], lambda t: t) AS kw
+        FROM (SELECT *, list_filter({WORDS}, lambda t: length(t) >= 5) AS w FROM documents)))"""
+TOKENS = f"""toks AS (SELECT *, {LOWER.format("title || ' ' || summary || ' ' || array_to_string(keywords, ' ')")} AS tokens FROM notes)"""
+
+
+def bm25_sql(table: str, terms: list[str]) -> str:
+    """CTEs ``st`` and ``scored``; the terms are added from the left, as the engine does."""
+    df = ", ".join(f"count(*) FILTER (list_contains(tokens, '{t}')) AS d{i}" for i, t in enumerate(terms))
+    tf = "CAST(len(list_filter(tokens, lambda t: t = '{0}')) AS DOUBLE)"
+    part = [f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * {tf.format(t)} * 2.5 / ({tf.format(t)} + 1.5 * (0.25 + 0.75 * len(tokens) / mean))" for i, t in enumerate(terms)]
+    return f"""st AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(len(tokens)) / CAST(count(*) AS DOUBLE) AS mean, {df} FROM {table}),
+scored AS (SELECT {table}.*, 0.0::DOUBLE + {" + ".join(part)} AS score FROM {table}, st)"""
+
+
+TERMS = search.query_terms(QUERY)
+MICRO = "CAST(floor(score * 1e6) AS BIGINT)"
+CATALOG = f"WITH {NOTES}, {TOKENS}, {bm25_sql('toks', TERMS)}"
+HITS = f"hits AS (SELECT * FROM toks WHERE regexp_matches(content, '(?i){PATTERN}') ORDER BY path LIMIT 20)"
+
+
+@query(f"WITH {NOTES} SELECT type, count(*) AS n FROM notes GROUP BY type")
+def q_catalog_stats(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.type_counts(A.notes(spark, d))
+
+
+@query(f"SELECT doc_id, len({LOWER.format('text')}) AS n_tokens, length(text) AS chars FROM documents")
+def q_tokenize_counts(spark, d):
+    return A.read(spark, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.length("text").cast("long").alias("chars"))
+
+
+@query(f"WITH {NOTES}, {TOKENS} SELECT count(*) AS n_docs, CAST(sum(len(tokens)) AS BIGINT) AS total, CAST(floor(1e6 * sum(len(tokens)) / count(*)) AS BIGINT) AS mean_micro FROM toks")
+def q_corpus_stats(spark, d):
+    size = F.size("tokens")
+    return A.search_text(A.notes(spark, d)).agg(F.count("*").alias("n_docs"), F.sum(size).alias("total"), F.floor(F.sum(size) * 1e6 / F.count("*")).cast("long").alias("mean_micro"))
+
+
+@query(f"WITH {NOTES}, {TOKENS} SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(tokens) AS term FROM toks) GROUP BY term")
+def q_doc_freq(spark, d):
+    rows = A.search_text(A.notes(spark, d)).select(F.explode(F.array_distinct("tokens")).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query(f"{CATALOG} SELECT path, title, {MICRO} AS score_micro FROM scored WHERE score > 0 ORDER BY score_micro DESC, path LIMIT 10")
+def q_bm25_catalog(spark, d):
+    return search.catalog_search(A.search_text(A.notes(spark, d)), QUERY).select("path", "title", "score_micro")
+
+
+@query(f"WITH {NOTES} SELECT path FROM notes WHERE regexp_matches(content, '(?i){PATTERN}')")
+def q_content_regex(spark, d):
+    return search.content_matches(A.notes(spark, d), PATTERN).select("path")
+
+
+@query(f"WITH {NOTES}, {TOKENS}, {HITS}, {bm25_sql('hits', search.query_terms(PATTERN))} SELECT path, {MICRO} AS score_micro FROM scored ORDER BY score_micro DESC, path LIMIT 10")
+def q_content_search(spark, d):
+    return search.content_search(A.search_text(A.notes(spark, d)), PATTERN).select("path", "score_micro")
+
+
+HYBRID = "th[ae]nd"
+
+
+@query(
+    f"""WITH {NOTES}, {TOKENS}, hits AS (SELECT * FROM toks WHERE regexp_matches(content, '(?i){HYBRID}') ORDER BY path LIMIT 20), {bm25_sql('toks', [HYBRID])},
+cat AS (SELECT path, title, type, {MICRO} AS score_micro, 0 AS origin FROM scored WHERE score > 0 ORDER BY score_micro DESC, path LIMIT 10),
+con AS (SELECT path, title, type, CAST(0 AS BIGINT) AS score_micro, 1 AS origin FROM hits ORDER BY path LIMIT 10)
+SELECT path, title, type, score_micro FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY origin) AS turn FROM (SELECT * FROM cat UNION ALL SELECT * FROM con)) WHERE turn = 1 ORDER BY score_micro DESC, path LIMIT 10"""
+)
+def q_hybrid_search(spark, d):
+    return search.hybrid_search(A.search_text(A.notes(spark, d)), HYBRID).select("path", "title", "type", "score_micro")
+
+
+SLUG = "regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\-]', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(f"WITH {NOTES} SELECT doc_id, {SLUG.format('title')} AS slug FROM notes")
+def q_slug(spark, d):
+    return A.notes(spark, d).select("doc_id", T.slug(F.col("title")).alias("slug"))
+
+
+PAGES = """pg AS (SELECT page_id, regexp_replace(lower(split_part(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), ' ', 1)), '[.,]+$', '') AS name,
+  list_sort(list_distinct(list_transform(regexp_extract_all(html, 'href="/([^"/]+)"', 1), lambda x: lower(x)))) AS links FROM pages),
+ed AS (SELECT page_id AS src, unnest(links) AS dst FROM pg)"""
+
+
+@query(f"WITH {PAGES} SELECT src, dst FROM ed")
+def q_link_extract(spark, d):
+    return catalog.edges(A.page_links(spark, d))
+
+
+@query(f"WITH {PAGES} SELECT page_id, array_to_string(list_sort(list(DISTINCT src)), ',') AS backlinks FROM pg JOIN ed ON name = dst AND src <> page_id WHERE name <> '' GROUP BY page_id")
+def q_backlinks_strict(spark, d):
+    return catalog.backlinks(A.page_links(spark, d)).select("page_id", F.array_join(F.transform("backlinks", lambda x: x.cast("string")), ",").alias("backlinks"))
+
+
+@query(
+    f"""WITH {PAGES} SELECT page_id, array_to_string(list_sort(list(DISTINCT src)), ',') AS backlinks FROM pg JOIN ed ON src <> page_id AND
+CASE WHEN length(name) >= 3 THEN contains(dst, name) ELSE name = dst END WHERE name <> '' GROUP BY page_id"""
+)
+def q_backlinks_compat(spark, d):
+    return catalog.backlinks_within(A.page_links(spark, d)).select("page_id", F.array_join(F.transform("backlinks", lambda x: x.cast("string")), ",").alias("backlinks"))
+
+
+@query(
+    f"""WITH {PAGES}, bk AS (SELECT page_id, list_sort(list(DISTINCT src)) AS b FROM pg JOIN ed ON name = dst AND src <> page_id WHERE name <> '' GROUP BY page_id)
+SELECT page_id, array_to_string((links || list_filter(coalesce(list_transform(b, lambda x: CAST(x AS VARCHAR)), []), lambda x: NOT list_contains(links, x)))[1:8], '|') AS related
+FROM pg LEFT JOIN bk USING (page_id) WHERE len(links) > 0 OR b IS NOT NULL"""
+)
+def q_related(spark, d):
+    return catalog.related(A.page_links(spark, d)).select("page_id", F.array_join("related", "|").alias("related"))
+
+
+@query(
+    f"""WITH {NOTES} SELECT CASE type WHEN 'concept' THEN 1 WHEN 'entity' THEN 2 WHEN 'procedure' THEN 3 ELSE 4 END AS category, title, path,
+'| [' || title || '](' || regexp_replace(path, '\\.md$', '') || ') | ' || replace(summary, chr(10), ' ') || ' | ' || array_to_string(list_transform(keywords, lambda k: '`' || k || '`'), ', ') || ' |' AS line FROM notes"""
+)
+def q_index_rows(spark, d):
+    return catalog.index_rows(A.notes(spark, d))
+
+
+REFS = "see GEN  {n}.1, ENR {n}-2 and AD 2.{n}; again GEN {n}.1"
+
+
+@query(
+    """SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(t, '\\b(?:GEN|ENR|AD)\\s+\\d+(?:[.\\-]\\d+)*'), lambda r: regexp_replace(r, '\\s+', ' ', 'g'))[1:3], '|') AS refs
+FROM (SELECT p_partkey, 'see GEN  ' || p_size || '.1, ENR ' || p_size || '-2 and AD 2.' || p_size || '; again GEN ' || p_size || '.1' AS t FROM part)"""
+)
+def q_section_refs(spark, d):
+    n = F.col("p_size").cast("string")
+    t = F.concat(F.lit("see GEN  "), n, F.lit(".1, ENR "), n, F.lit("-2 and AD 2."), n, F.lit("; again GEN "), n, F.lit(".1"))
+    return A.read(spark, d, "part").select("p_partkey", F.array_join(T.section_refs(t), "|").alias("refs"))
+
+
+RAW = """raw AS (SELECT source AS source_id, doc_id AS k, doc_id, text FROM documents),
+lines AS (SELECT source_id, k * 1000000 AS k, k || ' Section ' || doc_id AS line FROM raw UNION ALL
+  SELECT source_id, k * 1000000 + i AS k, l AS line FROM (SELECT source_id, k, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM raw)),
+hd AS (SELECT * FROM lines WHERE length(trim(line)) >= 4 AND (regexp_matches(trim(line), '^[#]{0,3}\\s*(?:Chapter\\s+)?(\\d+(?:\\.\\d+)*)\\s+[A-Z].+$') OR regexp_matches(trim(line), '^([A-Z][A-Z\\s\\-]{10,})$')
+  OR regexp_matches(trim(line), '^[MDCLXVI]+\\.\\s+[A-Z].+$'))),
+hs AS (SELECT * FROM hd WHERE source_id IN (SELECT source_id FROM hd GROUP BY source_id HAVING count(*) >= 3))"""
+
+
+def heading_lines(spark, d) -> DataFrame:
+    raw = A.raw_sources(spark, d)
+    heads = raw.select("source_id", (F.col("k") * 1_000_000).cast("long").alias("k"), F.col("heading").alias("line"))
+    body = raw.select("source_id", "k", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("source_id", (F.col("k") * 1_000_000 + F.col("i") + 1).cast("long").alias("k"), "line")
+    return sections.headings(heads.union(body))
+
+
+@query(f"WITH {RAW} SELECT source_id, k, trim(line) AS title FROM hs")
+def q_headings(spark, d):
+    return heading_lines(spark, d).select("source_id", "k", F.trim("line").alias("title"))
+
+
+@query(
+    f"""WITH {RAW} SELECT source_id, k, trim(line) AS title, CASE WHEN s = '' THEN 'section-' || o ELSE s END AS section_id, coalesce(e, 'END_OF_DOC') AS end_marker FROM (SELECT *,
+substring({SLUG.format('trim(line)')}, 1, 40) AS s, row_number() OVER (PARTITION BY source_id ORDER BY k) AS o, lead(trim(line)) OVER (PARTITION BY source_id ORDER BY k) AS e FROM hs)"""
+)
+def q_section_bounds(spark, d):
+    return sections.section_bounds(heading_lines(spark, d))
+
+
+TOC = """cu AS (SELECT c_name, n_name, r_name, r_regionkey, n_nationkey, row_number() OVER (ORDER BY r_regionkey, n_nationkey, c_custkey) - 1 AS idx
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+cp AS (SELECT *, CAST(1 + idx // 3 AS INTEGER) AS page FROM cu),
+toc AS (SELECT 3 AS level, c_name AS title, page, idx * 4 + 3 AS ord FROM cp UNION ALL SELECT 2, n_name, min(page), min(idx) * 4 + 2 FROM cp GROUP BY n_name UNION ALL SELECT 1, r_name, min(page), min(idx) * 4 + 1 FROM cp GROUP BY r_name),
+bd AS (SELECT ord, level, title, page, coalesce((SELECT min(p.page) FROM (SELECT DISTINCT page FROM toc) p WHERE p.page > toc.page), page + 6) AS behind FROM toc)"""
+
+
+@query(f"WITH {TOC} SELECT coalesce(max(level) FILTER (n >= 10), max(level)) AS depth FROM (SELECT level, count(*) AS n FROM toc GROUP BY level)")
+def q_toc_depth(spark, d):
+    return sections.toc_depth(A.toc(spark, d))
+
+
+@query(f"WITH {TOC} SELECT * FROM bd")
+def q_toc_bounds(spark, d):
+    return sections.toc_bounds(A.toc(spark, d))
+
+
+@query(
+    f"""WITH {TOC} SELECT level, title, page FROM (SELECT *, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS key FROM toc) WHERE contains(key, 'nation1')
+ORDER BY key = 'nation1' DESC, 7 / greatest(length(key), 1) DESC, ord LIMIT 1"""
+)
+def q_toc_match(spark, d):
+    return sections.toc_match(A.toc(spark, d), "Nation 1").select("level", "title", "page")
+
+
+@query(f"WITH {TOC} SELECT ord, bd.title, cp.page AS page_no, c_name AS text FROM bd JOIN cp ON cp.page >= bd.page AND cp.page < greatest(bd.behind, bd.page + 1) WHERE level < 3")
+def q_page_ranges(spark, d):
+    toc = A.toc(spark, d)
+    low = toc.where("level = 3").select(F.col("page").alias("page_no"), F.col("title").alias("text"))
+    return sections.page_ranges(sections.toc_bounds(toc).where("level < 3"), low)
+
+
+@query(
+    """WITH RECURSIVE it AS (SELECT source AS source_id, doc_id AS ord, length(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE length(trim(text)) > 80),
+b AS (SELECT source_id, ord, size, k, 0 AS batch, CAST(size AS BIGINT) AS total FROM it WHERE k = 1 UNION ALL
+  SELECT it.source_id, it.ord, it.size, it.k, CASE WHEN b.total + it.size <= 40000 THEN b.batch ELSE b.batch + 1 END, CASE WHEN b.total + it.size <= 40000 THEN b.total + it.size ELSE it.size END
+  FROM b JOIN it ON it.source_id = b.source_id AND it.k = b.k + 1)
+SELECT source_id, ord, batch, CAST(size AS INTEGER) AS size FROM b"""
+)
+def q_batch_pack(spark, d):
+    docs = A.read(spark, d, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("ord"), "text")
+    return sections.packed(docs)
+
+
+@query(
+    f"""SELECT doc_id, CAST(s // 2100 AS INTEGER) AS "window", CAST(s AS INTEGER) AS start, CAST(least(2500, n - s) AS INTEGER) AS n, w[s + 1] AS first, w[least(s + 2500, n)] AS last
+FROM (SELECT doc_id, w, len(w) AS n, unnest(range(0, len(w), 2100)) AS s FROM (SELECT doc_id, {WORDS} AS w FROM documents))"""
+)
+def q_token_windows(spark, d):
+    return pages.windows(A.read(spark, d, "documents"))
+
+
+@query(
+    f"""SELECT source, doc_id AS ord, n, CAST(least(n, 3000 - before) AS BIGINT) AS taken FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+FROM (SELECT source, doc_id, CAST(len({WORDS}) AS INTEGER) AS n FROM documents)) WHERE before < 3000"""
+)
+def q_token_budget(spark, d):
+    return pages.within_budget(A.read(spark, d, "documents").select("source", F.col("doc_id").alias("ord"), "text"), 3000)
+
+
+@query(
+    f"""WITH {NOTES}, want AS (SELECT path FROM notes UNION ALL SELECT path || '.bak' FROM notes)
+SELECT want.path, coalesce(CASE WHEN len({LOWER.format('content')}) > 4000 THEN array_to_string(list_filter(string_split_regex(content, '\\s+'), lambda t: t <> '')[1:4000], ' ') ELSE content END, '[Page not found: ' || want.path || ']') AS page FROM want LEFT JOIN notes ON notes.path = want.path"""
+)
+def q_page_read(spark, d):
+    n = A.notes(spark, d)
+    return pages.read_page(n, n.select("path").union(n.select(F.concat("path", F.lit(".bak")))))
+
+
+@query("SELECT doc_id, contains(lower(text), 'entre') AS hit FROM documents")
+def q_focus(spark, d):
+    return pages.focused(A.read(spark, d, "documents").select("doc_id", "text"), "entre").select("doc_id", "hit")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) < 12000 THEN 'single' ELSE 'llm' END AS strategy, CAST(CASE WHEN length(text) > 60000 THEN 25007 ELSE length(text) END AS INTEGER) AS sample_chars FROM documents")
+def q_router(spark, d):
+    return sections.routed(A.read(spark, d, "documents"))
+
+
+RESOLVE = "the and of"
+
+
+@query(
+    f"""WITH {NOTES}, c AS (SELECT path, title, len(list_intersect(list_distinct({LOWER.format('title')}), ['the', 'and', 'of'])) / 3.0 AS share,
+CASE WHEN lower(title) = '{RESOLVE}' THEN 1 WHEN path IN ('{RESOLVE}', '{RESOLVE}.md') THEN 2 WHEN contains(lower(title), '{RESOLVE}') THEN 3 WHEN contains(lower(title), 'the') AND contains(lower(title), 'and') AND contains(lower(title), 'of') THEN 4 END AS st FROM notes)
+SELECT path, title, stage FROM (SELECT *, coalesce(st, CASE WHEN share >= 0.35 THEN 5 END) AS stage FROM c) WHERE stage IS NOT NULL ORDER BY stage, CASE WHEN stage = 5 THEN -share ELSE 0 END, path LIMIT 1"""
+)
+def q_resolve_title(spark, d):
+    return search.resolve_title(A.notes(spark, d), RESOLVE).select("path", "title", "stage")
+
+
+@query(
+    f"""WITH {NOTES}, c AS (SELECT path, title, len(list_intersect(list_distinct({LOWER.format('title')}), ['the', 'and', 'of'])) AS shared FROM notes) SELECT path, title, CAST(shared AS INTEGER) AS shared FROM c WHERE shared > 0 ORDER BY shared DESC, path LIMIT 5"""
+)
+def q_suggest(spark, d):
+    return search.suggestions(A.notes(spark, d), RESOLVE).select("path", "title", F.round(F.col("share") * 3).cast("int").alias("shared"))
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id AS id, md5(text) || '.md' AS path FROM documents), e AS (SELECT path FROM n WHERE id % 3 = 0)
+SELECT id, path, row_number() OVER (PARTITION BY path ORDER BY id) = 1 AND path NOT IN (SELECT path FROM e) AS created FROM n"""
+)
+def q_insert_absent(spark, d):
+    new = A.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.md5("text"), F.lit(".md")).alias("path"))
+    return catalog.insert_absent(new, new.where("id % 3 = 0"))
+
+
+@query("SELECT DISTINCT o_custkey % 100 AS source_id, o_orderkey AS batch_id FROM orders WHERE o_orderstatus <> 'F'")
+def q_resume(spark, d):
+    o = A.read(spark, d, "orders").select((F.col("o_custkey") % 100).alias("source_id"), F.col("o_orderkey").alias("batch_id"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("failed").alias("status"))
+    return ingest.pending(o.select("source_id", "batch_id").distinct(), o)
+
+
+@query(None)
+def q_consolidate(spark, d):
+    n = A.read(spark, d, "part").select(F.concat(F.lit("size"), F.col("p_size").cast("string")).alias("source"), F.lit("concept").alias("type"), F.col("p_name").alias("title"))
+    return consolidate.clusters(n)
+
+
+TURNS = "tr AS (SELECT conv_id, turn, role, text, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS round FROM conversations)"
+
+
+@query(
+    f"""WITH {TURNS}, f AS (SELECT conv_id, count(*) FILTER (role = 'user') AS calls, coalesce(arg_max(text, turn) FILTER (role = 'assistant'), '') AS answer FROM tr GROUP BY conv_id)
+SELECT *, CASE WHEN length(answer) > 500 THEN substring(answer, 1, 500) || '...' ELSE answer END AS preview FROM f"""
+)
+def q_transcript_fold(spark, d):
+    return agent.folded(A.transcripts(spark, d))
+
+
+@query(f"WITH {TURNS}, r AS (SELECT conv_id, max(round) AS rounds FROM tr GROUP BY conv_id) SELECT conv_id, rounds, least(rounds, 2) AS run, rounds > 2 AS stopped FROM r")
+def q_iterations(spark, d):
+    return agent.capped(A.transcripts(spark, d), 2)
+
+
+@query(
+    f"""WITH {TURNS}, w AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM tr)
+SELECT conv_id, turn, round, CAST(length(text) AS INTEGER) AS call_chars, CAST(CASE WHEN nr = 'assistant' THEN length(nt) END AS INTEGER) AS result_chars FROM w WHERE role = 'user'"""
+)
+def q_call_pairs(spark, d):
+    return agent.call_pairs(A.transcripts(spark, d))
+
+
+@query(
+    f"""WITH {TURNS}, l AS (SELECT *, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS la FROM tr)
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'tool_call' WHEN turn = la THEN 'answer' ELSE 'tool_result' END AS type, CASE WHEN length(text) > 800 THEN substring(text, 1, 800) || '...' ELSE text END AS content FROM l WHERE role IN ('user', 'assistant')"""
+)
+def q_agent_events(spark, d):
+    return agent.events(A.transcripts(spark, d))
+
+
+@query(
+    f"""WITH {NOTES} SELECT path, '## Wiki-note' || chr(10) || chr(10) || '### Properties' || chr(10) || 'title: ' || title || chr(10) || 'type: ' || type || chr(10) || 'sources: ["' || sources[1] || '"]' || chr(10) || 'source_count: 1' || chr(10) ||
+'keywords: ' || CASE WHEN len(keywords) = 0 THEN '[]' ELSE '["' || array_to_string(list_transform(keywords, lambda k: replace(replace(k, chr(92), chr(92) || chr(92)), '"', chr(92) || '"')), '","') || '"]' END || chr(10) || 'last_updated: {TODAY}' || chr(10) || chr(10) || '## Content' || chr(10) || content AS markdown FROM notes"""
+)
+def q_render_notes(spark, d):
+    return catalog.render(A.notes(spark, d), TODAY)
+
+
+@query(f"WITH {NOTES} SELECT path, type, sources[1] AS source, array_to_string(keywords, '|') AS keywords, 'No summary provided.' AS summary, '{TODAY}' AS last_updated FROM notes")
+def q_props_parse(spark, d):
+    parsed = catalog.parse(catalog.render(A.notes(spark, d).where("content is not null"), TODAY))
+    return parsed.select("path", "type", F.element_at("sources", 1).alias("source"), F.array_join("keywords", "|").alias("keywords"), "summary", "last_updated")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def q_json_decode(spark, d):
+    return A.read(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query(f"WITH {PAGES} SELECT src, dst FROM ed WHERE dst NOT IN (SELECT name FROM pg)")
+def q_lint_links(spark, d):
+    return catalog.dangling_links(A.page_links(spark, d))
+
+
+@query(f"WITH {NOTES} SELECT type, count(*) FILTER (len(keywords) NOT BETWEEN 3 AND 5) AS bad_keywords, count(*) FILTER (title = '') AS no_title FROM notes GROUP BY type")
+def q_lint_counts(spark, d):
+    n = A.notes(spark, d)
+    return n.groupBy("type").agg(F.count_if(~F.size("keywords").between(3, 5)).alias("bad_keywords"), F.count_if(F.col("title") == "").alias("no_title"))
+
+
+NORM = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
+
+
+@query(
+    f"""SELECT doc_id, {NORM.format('text')} AS norm, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') AS key, source || '.x' AS link, source || '.pdf' AS raw FROM documents"""
+)
+def q_normalize(spark, d):
+    docs = A.read(spark, d, "documents")
+    return docs.select(
+        "doc_id", T.collapsed(F.col("text")).alias("norm"), T.toc_key(F.col("source")).alias("key"),
+        T.clean_link(F.concat(F.lit("[["), F.col("source"), F.lit(".x.md|label]]"))).alias("link"),
+        T.raw_name(F.concat(F.lit("[Raw/Sources/"), F.col("source"), F.lit(".pdf]"))).alias("raw"),
+    )
+
+
+@query(f"SELECT doc_id, CAST(instr({NORM.format('text')}, {NORM.format('substring(text, 41, 30)')}) - 1 AS INTEGER) AS place FROM documents WHERE length(text) >= 80")
+def q_marker_locate(spark, d):
+    docs = A.read(spark, d, "documents").where(F.length("text") >= 80)
+    return docs.select("doc_id", T.locate_marker(F.col("text"), F.substring("text", 41, 30)).cast("int").alias("place"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 800 THEN substring(text, 1, 800) || '...' ELSE text END AS preview FROM documents")
+def q_preview(spark, d):
+    return A.read(spark, d, "documents").select("doc_id", T.preview(F.col("text"), 800).alias("preview"))
+
+
+@query(None)
+def q_extract_offline(spark, d):
+    return ingest.checked(ingest.extract(A.read(spark, d, "documents")))
