@@ -85,6 +85,10 @@ def properties_block(content: Column) -> Column:
     return F.when(block != "", block).otherwise(F.regexp_extract(content, r"(?s)\A---\n(.*?)\n---\n", 1))
 
 
+def unquoted(value: Column) -> Column:
+    return F.regexp_replace(value, "^([\"'])(.*)\\1$", "$2")
+
+
 def property_map(block: Column) -> Column:
     """``key: value`` lines as a map of strings; comments and quotes go, blank lines are left out."""
     lines = F.filter(F.split(block, "\n"), lambda x: F.trim(x).rlike("^[^#:]+:"))
@@ -92,14 +96,14 @@ def property_map(block: Column) -> Column:
     def entry(line: Column) -> Column:
         key = F.trim(F.regexp_extract(line, "^([^:]+):", 1))
         value = F.trim(F.regexp_replace(F.regexp_extract(line, "^[^:]+:(.*)$", 1), r"\s#.*$", ""))
-        return F.struct(key.alias("key"), F.regexp_replace(value, "^[\"']|[\"']$", "").alias("value"))
+        return F.struct(key.alias("key"), unquoted(value).alias("value"))
 
     return F.map_from_entries(F.array_distinct(F.transform(lines, entry)))
 
 
 def property_list(value: Column) -> Column:
     """``["a", "b"]`` or ``[a, b]`` or ``a, b`` as an array."""
-    loose = F.filter(F.transform(F.split(F.regexp_replace(value, r"^\[|\]$", ""), ","), lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")), lambda x: x != "")
+    loose = F.filter(F.transform(F.split(F.regexp_replace(value, r"^\[|\]$", ""), ","), lambda x: unquoted(F.trim(x))), lambda x: x != "")
     return F.coalesce(F.from_json(value, "array<string>"), loose)
 
 
@@ -113,8 +117,8 @@ def locate_marker(text: Column, marker: Column) -> Column:
     long = F.filter(F.split(mark, " "), lambda w: F.length(w) > 2)
 
     def found(needle: Column) -> Column:
-        return F.when((needle != "") & (F.instr(norm, "") >= 0), F.nullif(F.call_function("locate", needle, norm), F.lit(0)) - 1)
+        return F.when(needle != "", F.nullif(F.call_function("locate", needle, norm), F.lit(0)) - 1)
 
     tries = [found(mark)] + [F.when(F.size(long) >= n, found(F.array_join(F.slice(long, 1, n), " "))) for n in (20, 12, 8, 5, 3)]
     last = F.try_element_at(F.filter(F.transform(F.reverse(long), lambda w: F.call_function("locate", w, norm)), lambda p: p > 0), F.lit(1)) - 1
-    return F.coalesce(*tries, F.greatest(last - 50, F.lit(0)), F.lit(-1))
+    return F.coalesce(*tries, F.when(last.isNotNull(), F.greatest(last - 50, F.lit(0))), F.lit(-1))
