@@ -197,10 +197,10 @@ def unpacked(col: pa.Array) -> Iterator[bytes]:
         yield expand(z.as_py())
 
 
-def bucket_count(docs: DataFrame, text_col: str = "text", bytes_each: int = 16 << 20) -> int:
+def bucket_count(docs: DataFrame, text_col: str = "text", bytes_each: int = 8 << 20) -> int:
     """Buckets for packed exchanges: they grow with the text, so that one bucket stays small."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    return max(4 * shuffle_parts(docs.sparkSession), -(-total // bytes_each))
+    return max(shuffle_parts(docs.sparkSession), -(-total // bytes_each))
 
 
 def pack_rows(keys: np.ndarray, rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
