@@ -362,7 +362,9 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = with_text_hash(docs, id_col, text_col)
     group = linked_groups(docs)
-    least = group.where("n > 0").groupBy("g").agg(F.min("doc_id").alias("least"))
+    group = materialise(group, "linked", few=16)
+    # stored, so that the join stands alone between its exchanges and a hot group can be split
+    least = materialise(group.where("n > 0").groupBy("g").agg(F.min("doc_id").alias("least")), "least", few=16)
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return group.join(least, "g", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

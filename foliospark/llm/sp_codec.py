@@ -8,7 +8,8 @@ takes the best pair of every row.
 
 No piece holds a space mark after another character (``Vocabulary`` checks that), so no
 merge crosses from a word into the next one: a text falls apart into words, each led by
-its space marks, that are encoded alone and remembered by the Python worker.
+its space marks, that are encoded alone and remembered by the Python worker. The same
+holds at line ends where no piece holds one.
 
 Every Arrow batch is checked against the sentencepiece library: the words that are new
 to the worker are encoded by the library too, in one call, and so are, as a whole, the
@@ -65,6 +66,7 @@ class Vocabulary:
         self.by_word = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         self.surface = {i: p.replace(SPACE, " ") for p, i in self.ids.items()} | {i: "" for i in range(n) if sp.is_control(i)}
         self.table = self.pair_table()
+        self.lines_apart = all("\n" not in p for p in self.ids) and self.bytes[10] != sp.unk_id()
         self.digits = [str(i) for i in range(n)]
         #: Ids, as 4-byte numbers, of words met before.
         self.known: dict[str, bytes] = {}
@@ -192,14 +194,21 @@ class Vocabulary:
         return out
 
     def learn(self, words: list[str]) -> None:
-        """Remember words without marks, after the library has given the same ids for all of them in a row."""
+        """Remember words without marks, after the library has given the same ids for all of them in a row.
+
+        A word that starts with a line end has no space mark.
+        """
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known.clear()
-        found = self.word_ids([SPACE + w for w in words])
-        if [*chain.from_iterable(found)] != self.library.encode(" ".join(words)):
-            bad = [w for w, ids in zip(words, found, strict=True) if ids != self.library.encode(w)]
-            raise ValueError(f"our ids differ from the library's for the words {bad[:3]!r}")
-        self.known.update(zip(words, (array("I", ids).tobytes() for ids in found), strict=True))
+        spaced = [w for w in words if w[0] != "\n"]
+        broken = [w for w in words if w[0] == "\n"]
+        after = self.word_ids([w[1:] for w in broken])
+        found = [self.word_ids([SPACE + w for w in spaced]), [[self.bytes[10], *ids] for ids in after]]
+        theirs = [self.library.encode(" ".join(spaced)), self.library.encode("".join(broken))[1:]]
+        for ours, ids, kind in zip(found, theirs, (spaced, broken), strict=True):
+            if [*chain.from_iterable(ours)] != ids:
+                raise ValueError(f"our ids differ from the library's for one of the words {kind[:3]!r} ...")
+            self.known.update(zip(kind, (array("I", x).tobytes() for x in ours), strict=True))
 
     def encoded_odd(self, text: str) -> list[int]:
         """Ids of a text with runs of spaces or marks of its own; the library must give the same."""
@@ -211,7 +220,10 @@ class Vocabulary:
 
     def encoded(self, texts: list[str]) -> list[tuple[str, list[int]]]:
         """For each text its decimal ids joined by one space, with the end id, and the ids."""
-        split = [t.split(" ") if self.by_word and SPACE not in t else [""] for t in texts]
+        if self.lines_apart:
+            split = [t.replace("\n", " \n").split(" ") if self.by_word and SPACE not in t else [""] for t in texts]
+        else:
+            split = [t.split(" ") if self.by_word and SPACE not in t else [""] for t in texts]
         split = [None if "" in words else words for words in split]
         found = [[*map(self.known.get, words)] if words else [] for words in split]
         fresh = {w for words, raw in zip(split, found, strict=True) if None in raw for w, r in zip(words, raw, strict=True) if r is None}
@@ -263,7 +275,7 @@ def vocabulary_of(model: str) -> Vocabulary:
 
 
 def encode_texts(
-    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, piece_chars: int = 1 << 20
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, piece_chars: int = 1 << 22
 ) -> DataFrame:
     """Encode each whole text with an end id, and decode the ids again.
 
