@@ -64,21 +64,15 @@ def backlinks(linked: DataFrame) -> DataFrame:
     return found.groupBy("page_id").agg(F.array_sort(F.collect_set("src")).alias("backlinks"))
 
 
-def backlinks_within(linked: DataFrame, least: int = 3) -> DataFrame:
-    """Backlinks where the name is part of a link: an equi-join on the names' trigrams, then the exact test.
-
-    Names shorter than ``least`` characters link only as whole names do.
-    """
-
-    def grams(text):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (least - 1)), lambda i: F.substring(text, i, F.lit(least))))
-
-    links = edges(linked).where(F.length("dst") >= least).select("src", "dst", F.explode(grams(F.col("dst"))).alias("gram"))
-    names = linked.where(F.length("name") >= least).select("page_id", "name", F.substring("name", 1, least).alias("gram"))
-    part = names.join(links, "gram").where("src <> page_id and contains(dst, name)").select("page_id", "src")
-    short = linked.where(F.length("name").between(1, least - 1)).select("page_id", "name")
-    whole = short.join(edges(linked), F.col("name") == F.col("dst")).where("src <> page_id").select("page_id", "src")
-    return part.union(whole).groupBy("page_id").agg(F.array_sort(F.collect_set("src")).alias("backlinks"))
+def backlinks_within(linked: DataFrame) -> DataFrame:
+    """Backlinks where the name is any part of a link: an equi-join on the distinct link names' substrings."""
+    e = edges(linked)
+    n = F.length("dst")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring("dst", i, k))))
+    subs = e.select("dst").distinct().where("dst <> ''").select("dst", F.explode(F.array_distinct(parts)).alias("name"))
+    names = linked.select("page_id", "name").where("name <> ''")
+    found = names.join(subs, "name").join(e, "dst").where("src <> page_id")
+    return found.groupBy("page_id").agg(F.array_sort(F.collect_set("src")).alias("backlinks"))
 
 
 def related(linked: DataFrame, most: int = 8) -> DataFrame:

@@ -126,8 +126,7 @@ def q_backlinks_strict(spark, d):
 
 
 @query(
-    f"""WITH {PAGES} SELECT page_id, array_to_string(list_sort(list(DISTINCT src)), ',') AS backlinks FROM pg JOIN ed ON src <> page_id AND
-CASE WHEN length(name) >= 3 THEN contains(dst, name) ELSE name = dst END WHERE name <> '' GROUP BY page_id"""
+    f"""WITH {PAGES} SELECT page_id, array_to_string(list_sort(list(DISTINCT src)), ',') AS backlinks FROM pg JOIN ed ON src <> page_id AND contains(dst, name) WHERE name <> '' GROUP BY page_id"""
 )
 def q_backlinks_compat(spark, d):
     return catalog.backlinks_within(A.page_links(spark, d)).select("page_id", F.array_join(F.transform("backlinks", lambda x: x.cast("string")), ",").alias("backlinks"))

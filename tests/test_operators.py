@@ -85,7 +85,7 @@ def test_parse_defaults(spark):
 def test_backlinks(spark):
     linked = spark.createDataFrame([(1, "alpha", ["beta", "alpha"]), (2, "beta", ["alphabet"]), (3, "be", ["alpha", "be"]), (4, None, None)], "page_id long, name string, links array<string>")
     assert {r.page_id: r.backlinks for r in catalog.backlinks(linked).collect()} == {1: [3], 2: [1]}
-    assert {r.page_id: r.backlinks for r in catalog.backlinks_within(linked).collect()} == {1: [2, 3], 2: [1]}
+    assert {r.page_id: r.backlinks for r in catalog.backlinks_within(linked).collect()} == {1: [2, 3], 2: [1], 3: [1, 2]}
 
 
 def test_insert_absent_is_idempotent(spark):
