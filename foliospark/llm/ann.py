@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 @dataclass
 class Router:
@@ -158,6 +160,7 @@ def search(
     ``sample_rows`` bounds the rows that are fitted on the driver, those with the least
     seeded hash of their id. All rows are indexed.
     """
+    small_batches(df)
     spark = df.sparkSession
     rows = valid_vectors(df, id_col, vec_col)
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()

@@ -19,6 +19,8 @@ M1 = np.uint64(0xFF51AFD7ED558CCD)
 M2 = np.uint64(0xC4CEB9FE1A85EC53)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 S33 = np.uint64(33)
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 #: Bytes of text worked on at once in a task, unless one text is longer.
 PIECE_BYTES = 1 << 20
 
@@ -49,6 +51,13 @@ def materialise(df: DataFrame, name: str, few: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> None:
+    """Arrow batches of this session hold few rows: texts are long, and a batch lies in the memory of both sides."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -61,6 +70,7 @@ def same_document(a: DataFrame, b: DataFrame):
 def with_text_hash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:
     """Columns doc_id, text (null: empty) and text_hash; rows that agree in all of them are one
     document. With ``rest``, a struct ``rest`` of all columns of ``docs`` but the text, whatever their names."""
+    small_batches(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     more = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("rest")] if rest else []
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), *more)

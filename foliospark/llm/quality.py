@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, materialise, pieces, word_spans
+from .common import buffers, materialise, pieces, small_batches, word_spans
 
 CAPITAL, SMALL, DIGIT, SPACE, STOP, BANG, BAR, SYMBOL = range(8)
 KINDS = np.full(256, SYMBOL)
@@ -36,6 +36,7 @@ FEATURES = list(RATES)
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Counts of each whole text; a null text is empty. ``repeats`` are words equal to the one
     before, ``copies`` words equal to the one three before."""
+    small_batches(docs)
     carry = carry or []
 
     def work(batches):

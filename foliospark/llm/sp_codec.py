@@ -24,18 +24,21 @@ from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SPACE = "▁"
 #: A word with its space marks.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
-#: Words that a worker remembers before it starts anew.
-CACHE_WORDS = 700_000
+#: Words that a worker remembers before it sets them aside; those that come again are taken over.
+CACHE_WORDS = 400_000
 #: Longest word that is merged together with others.
 SHORT = 48
 PLACE = (1 << 40) - 1
@@ -67,9 +70,11 @@ class Vocabulary:
         self.surface = {i: p.replace(SPACE, " ") for p, i in self.ids.items()} | {i: "" for i in range(n) if sp.is_control(i)}
         self.table = self.pair_table()
         self.lines_apart = all("\n" not in p for p in self.ids) and self.bytes[10] != sp.unk_id()
+        self.single = {p for p in self.ids if len(p) == 1}
         self.digits = [str(i) for i in range(n)]
         #: Ids, as 4-byte numbers, of words met before.
         self.known: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
 
     def merge(self, word: str) -> list[int]:
         """Ids of a string by the agenda of adjacent pairs."""
@@ -141,74 +146,84 @@ class Vocabulary:
         hit = keys[at] == key
         return np.where(hit, ranks[at], NO_RANK), merged[at]
 
-    def merge_many(self, words: list[str]) -> list[list[int]]:
-        """``merge`` of words of one length, a round of merges at a time."""
+    def merge_many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of words of one length, a round of merges at a time: ids in a row, and how many of each word."""
         length, count = len(words[0]), len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         chars, inverse = np.unique(codes, return_inverse=True)
-        single = np.array([self.ids.get(chr(c), -2 - int(c)) for c in chars], np.int32)  # -2 - code: no piece
-        symbols = single[inverse].reshape(count, length)
-        done = np.empty((count, length), np.int32)
-        width = np.full(count, length)
+        symbols = np.array([self.ids[chr(c)] for c in chars], np.int32)[inverse].reshape(count, length)
+        done = np.full((count, length), -1, np.int32)
         rows = np.arange(count)  # words that still have pairs to merge
         ranks, merged = (x.reshape(count, length - 1) for x in self.look_up(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()))
         while length > 1 and len(rows):
             best = ranks.argmin(1)
-            here = np.arange(len(rows))
-            open_ = ranks[here, best] < NO_RANK
-            stop = ~open_
-            done[rows[stop], :length], width[rows[stop]] = symbols[stop], length
-            rows, symbols, ranks, merged, best = rows[open_], symbols[open_], ranks[open_], merged[open_], best[open_]
+            more = ranks[np.arange(len(rows)), best] < NO_RANK
+            if not more.all():
+                done[rows[~more], :length] = symbols[~more]
+                rows, symbols, ranks, merged, best = rows[more], symbols[more], ranks[more], merged[more], best[more]
             here, length = np.arange(len(rows)), length - 1
             symbols[here, best] = merged[here, best]
             col = np.arange(length)
-            symbols = np.take_along_axis(symbols, col + (col > best[:, None]), 1)
+            symbols = symbols[here[:, None], col + (col > best[:, None])]
             if length == 1:
                 break
             col = col[:-1]
-            move = col + (col >= best[:, None])
-            ranks, merged = np.take_along_axis(ranks, move, 1), np.take_along_axis(merged, move, 1)
+            move = here[:, None], col + (col >= best[:, None])
+            ranks, merged = ranks[move], merged[move]
             for side in (best - 1, best):  # the pairs that the new symbol is in
                 ok = (side >= 0) & (side < length - 1)
                 r, c = here[ok], side[ok]
                 ranks[r, c], merged[r, c] = self.look_up(symbols[r, c], symbols[r, c + 1])
-        done[rows, :length], width[rows] = symbols, length
-        out = [row[:w] for row, w in zip(done.tolist(), width.tolist(), strict=True)]
-        if (single < 0).any():
-            for k in np.flatnonzero((done < -1).any(1)):
-                out[k] = [i for s in out[k] for i in ([s] if s >= 0 else [self.bytes[b] for b in chr(-2 - s).encode()])]
-        return out
+        done[rows, :length] = symbols
+        used = done >= 0
+        return done[used], used.sum(1)
+
+    def merge_all(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in another order, their ids in a row, and how many of each: short words many at a
+        time, long ones and those with characters that are no piece by the agenda alone."""
+        by_length: dict[int, list[str]] = {}
+        alone = []
+        single = self.single
+        for w in words:
+            if 2 <= len(w) <= SHORT and single.issuperset(w):
+                by_length.setdefault(len(w), []).append(w)
+            else:
+                alone.append(w)
+        ids = [self.merge(w) for w in alone]
+        found = [(np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64))]
+        found += [self.merge_many(group) for group in by_length.values()]
+        flat, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        return [*alone, *chain.from_iterable(by_length.values())], flat, count
 
     def word_ids(self, words: list[str]) -> list[list[int]]:
-        """Ids of words with their marks: short ones many at a time, long ones by the agenda alone."""
-        out: list[list[int]] = [[]] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            if 2 <= len(w) <= SHORT:
-                by_length.setdefault(len(w), []).append(k)
-            else:
-                out[k] = self.merge(w)
-        for places in by_length.values():
-            for k, ids in zip(places, self.merge_many([words[k] for k in places]), strict=True):
-                out[k] = ids
-        return out
+        """Ids of words with their marks."""
+        order, flat, count = self.merge_all([*set(words)])
+        ends = np.cumsum(count)
+        ids = {w: flat[e - n : e].tolist() for w, e, n in zip(order, ends.tolist(), count.tolist(), strict=True)}
+        return [ids[w] for w in words]
 
     def learn(self, words: list[str]) -> None:
         """Remember words without marks, after the library has given the same ids for all of them in a row.
 
         A word that starts with a line end has no space mark.
         """
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        spaced = [w for w in words if w[0] != "\n"]
-        broken = [w for w in words if w[0] == "\n"]
-        after = self.word_ids([w[1:] for w in broken])
-        found = [self.word_ids([SPACE + w for w in spaced]), [[self.bytes[10], *ids] for ids in after]]
-        theirs = [self.library.encode(" ".join(spaced)), self.library.encode("".join(broken))[1:]]
-        for ours, ids, kind in zip(found, theirs, (spaced, broken), strict=True):
-            if [*chain.from_iterable(ours)] != ids:
-                raise ValueError(f"our ids differ from the library's for one of the words {kind[:3]!r} ...")
-            self.known.update(zip(kind, (array("I", x).tobytes() for x in ours), strict=True))
+        for lead in ("", "\n"):
+            kind = [w for w in words if (w[0] == "\n") == bool(lead)]
+            if not kind:
+                continue
+            order, flat, count = self.merge_all([w[1:] for w in kind] if lead else [SPACE + w for w in kind])
+            if lead:
+                order = [lead + w for w in order]
+                at = np.cumsum(count) - count
+                flat, count = np.insert(flat, at, self.bytes[10]), count + 1
+                theirs = self.library.encode("".join(order))[1:]
+            else:
+                order = [w[1:] for w in order]
+                theirs = self.library.encode(" ".join(order))
+            if not np.array_equal(flat, theirs):
+                raise ValueError(f"our ids differ from the library's for one of the words {order[:3]!r} ...")
+            raw, ends = flat.astype(np.uint32).tobytes(), (4 * np.cumsum(count)).tolist()
+            self.known.update(zip(order, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def encoded_odd(self, text: str) -> list[int]:
         """Ids of a text with runs of spaces or marks of its own; the library must give the same."""
@@ -225,20 +240,26 @@ class Vocabulary:
         else:
             split = [t.split(" ") if self.by_word and SPACE not in t else [""] for t in texts]
         split = [None if "" in words else words for words in split]
-        found = [[*map(self.known.get, words)] if words else [] for words in split]
-        fresh = {w for words, raw in zip(split, found, strict=True) if None in raw for w, r in zip(words, raw, strict=True) if r is None}
+        known = self.known
+        found = [[*map(known.get, words)] if words else [] for words in split]
+        fresh: set[str] = set()
+        for words, raw in zip(split, found, strict=True):
+            if None in raw:
+                fresh.update(compress(words, map(not_, raw)))
         if fresh:
-            self.learn([*fresh])
+            again = {w: self.aside[w] for w in fresh if w in self.aside}
+            known.update(again)
+            self.learn([w for w in fresh if w not in again])
         digits, out = self.digits, []
         for text, words, raw in zip(texts, split, found, strict=True):
             if words:
-                if None in raw:
-                    raw = [r if r is not None else self.known[w] for w, r in zip(words, raw, strict=True)]
-                ids = array("I", b"".join(raw)).tolist()
+                ids = array("I", b"".join(map(known.__getitem__, words) if None in raw else raw)).tolist()
             else:
                 ids = self.encoded_odd(text) if text else []
             ids.append(self.eos)
             out.append((" ".join(map(digits.__getitem__, ids)), ids))
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.aside = {}, self.known
         return out
 
     def decoded(self, ids: list[int]) -> str:
@@ -275,7 +296,7 @@ def vocabulary_of(model: str) -> Vocabulary:
 
 
 def encode_texts(
-    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, piece_chars: int = 1 << 22
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, piece_chars: int = 1 << 21
 ) -> DataFrame:
     """Encode each whole text with an end id, and decode the ids again.
 
@@ -310,6 +331,7 @@ def encode_texts(
         cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
         return pa.record_batch([ids, *cols], names)
 
+    small_batches(docs)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_ids
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Fixed values of the format.
 WIDTH_TAG, HEIGHT_TAG, BITS_TAG, COMPRESSION_TAG, PHOTOMETRIC_TAG = 256, 257, 258, 259, 262
 STRIP_OFFSETS_TAG, SAMPLES_TAG, ROWS_PER_STRIP_TAG, STRIP_BYTES_TAG, PREDICTOR_TAG = 273, 277, 278, 279, 317
@@ -356,6 +358,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 cols = [ids[lo : lo + 1024], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))]
                 yield pa.record_batch(cols, names)
 
+    small_batches(docs)
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()] + [pa.binary()] * keep_media
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages"] + ["media"] * keep_media
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
