@@ -39,3 +39,10 @@ def events(turns: DataFrame) -> DataFrame:
     kind = F.when(F.col("role") == "user", "tool_call").when((F.col("role") == "assistant") & (F.col("turn") == F.col("last")), "answer").when(F.col("role") == "assistant", "tool_result")
     rows = turns.withColumn("last", last).select("conv_id", "turn", kind.alias("type"), T.preview(F.col("text"), 800).alias("content"))
     return rows.where("type is not null")
+
+
+def formatted_args(args):
+    """``k=json`` pairs of a map column in key order, or ``(no args)``."""
+    pairs = F.transform(F.array_sort(F.map_entries(args)), lambda e: F.concat(e["key"], F.lit("="), F.to_json(F.array(e["value"]))))
+    inner = F.transform(pairs, lambda p: F.regexp_replace(p, r"^([^=]*=)\[(.*)\]$", "$1$2"))
+    return F.when(F.size(args) > 0, F.array_join(inner, ", ")).otherwise(F.lit("(no args)"))

@@ -49,3 +49,18 @@ def checked(notes: DataFrame) -> DataFrame:
     """Notes with the contract's checks: three to five keywords, a known type."""
     known = F.col("type").isin("concept", "entity", "procedure", "synthesis")
     return notes.withColumn("keywords_ok", F.size("keywords").between(3, 5)).withColumn("type_ok", F.coalesce(known, F.lit(False)))
+
+
+NOTES_JSON = "source_title string, summary string, notes array<struct<title:string,type:string,summary:string,keywords:array<string>,content_body:string,content:string>>"
+
+
+def decoded(responses: DataFrame) -> DataFrame:
+    """Notes of JSON responses (id, json), ``content`` standing in for ``content_body``; bad JSON gives a row with ``ok`` false."""
+    rows = responses.select("id", F.from_json("json", NOTES_JSON, {"mode": "PERMISSIVE"}).alias("j"))
+    rows = rows.select("id", F.col("j.notes").isNotNull().alias("ok"), F.explode_outer("j.notes").alias("n"))
+    return rows.select("id", "ok", "n.title", "n.type", F.coalesce("n.keywords", F.array().cast("array<string>")).alias("keywords"), F.coalesce("n.content_body", "n.content", F.lit("")).alias("content"))
+
+
+def latest(progress: DataFrame) -> DataFrame:
+    """The newest status of each batch of an append-only progress table."""
+    return progress.groupBy("source_id", "batch_id").agg(F.max_by("status", "stamp").alias("status"), F.max("stamp").alias("stamp"))

@@ -43,3 +43,36 @@ def within_budget(pages: DataFrame, budget: int) -> DataFrame:
 def focused(pages: DataFrame, term: str) -> DataFrame:
     """Pages with ``hit``: those with the term come first, each part in page order."""
     return pages.withColumn("hit", F.contains(F.lower("text"), F.lit(term.lower())))
+
+
+def page_jump(toc: DataFrame, pages: DataFrame, query: str, focus: str = "") -> DataFrame:
+    """Pages of the section that a table of contents has for ``query``, those with ``focus`` first: place, page_no, text."""
+    from .sections import toc_bounds, toc_match
+
+    hit = toc_match(toc, query).select("ord")
+    bounds = F.broadcast(toc_bounds(toc).join(hit, "ord").select("page", "behind"))  # one row
+    inside = pages.join(bounds, (F.col("page_no") >= F.col("page")) & (F.col("page_no") < F.greatest("behind", F.col("page") + 1))).select("page_no", "text")
+    rows = focused(inside, focus) if focus else inside.withColumn("hit", F.lit(True))
+    return rows.orderBy(F.desc("hit"), "page_no").select("hit", "page_no", "text")
+
+
+def raw_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """The file that each wanted name means: itself, or with .pdf, .md or .txt; in raw/sources before raw."""
+    name = T.raw_name(F.col("name"))
+    endings = F.when(F.contains(name, F.lit(".")), F.array(F.lit(""))).otherwise(F.array(*(F.lit(e) for e in (".pdf", ".md", ".txt"))))
+    folders = F.array(F.lit("raw/sources/"), F.lit("raw/"))
+    tries = F.flatten(F.transform(folders, lambda f: F.transform(endings, lambda e: F.concat(f, name, e))))
+    rows = wanted.select("name", F.posexplode(tries).alias("priority", "path"))
+    return rows.join(files, "path").groupBy("name").agg(F.min_by("path", "priority").alias("path"))
+
+
+def resolved_read(notes: DataFrame, query: str, limit: int = PAGE_TOKENS) -> DataFrame:
+    """The page that a title means, under a line that says so; else the titles that are nearest."""
+    from .search import resolve_title, suggestions
+
+    hit = resolve_title(notes, query)
+    page = F.concat(F.lit(f"[Resolved '{query}' → '"), "path", F.lit("']\n\n"), trimmed(F.col("content"), limit))
+    found = hit.select(page.alias("text"), F.lit(0).alias("origin"))
+    near = suggestions(notes, query).agg(F.array_join(F.collect_list("title"), "\n").alias("t"))  # five rows
+    other = near.select(F.when(F.col("t") == "", F.lit("No similar pages found.")).otherwise(F.concat(F.lit("Did you mean:\n"), "t")).alias("text"), F.lit(1).alias("origin"))
+    return found.union(other).orderBy("origin").limit(1).select("text")

@@ -107,3 +107,17 @@ def resolve_title(notes: DataFrame, query: str, least: float = 0.35) -> DataFram
 def suggestions(notes: DataFrame, query: str, k: int = 5) -> DataFrame:
     """Titles with the largest word overlap."""
     return notes.withColumn("share", overlap(F.col("title"), query_terms(query))).where("share > 0").orderBy(F.desc("share"), "path").limit(k)
+
+
+def formatted(results: DataFrame) -> DataFrame:
+    """Results in order as one text; a fixed sentence where there are none. ``results`` is a top-k list."""
+    place = F.row_number().over(W.orderBy(F.desc("score_micro"), "path"))
+    milli = F.format_string("%d.%03d", F.floor(F.col("score_micro") / 1000000), F.floor(F.col("score_micro") % 1000000 / 1000))
+    line = F.concat(
+        place.cast("string"), F.lit(". **"), "title", F.lit("** `["), "type", F.lit("]` _(score: "), milli, F.lit(")_\n   Path: `"), "path",
+        F.lit("`\n   Summary: "), "summary", F.lit("\n   Keywords: "), F.array_join("keywords", ", "), F.lit("\n"),
+    )
+    rows = results.select(place.alias("place"), line.alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
+    text = F.concat(F.lit("## Wiki Search Results\n\n"), F.array_join(lines, "\n"))
+    return rows.agg(F.when(F.count("*") == 0, F.lit("No matching pages found in the wiki.")).otherwise(text).alias("text"))

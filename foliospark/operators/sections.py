@@ -83,3 +83,37 @@ def routed(docs: DataFrame, toc_sections: str = "0", heading_count: str = "0") -
     """The strategy for each document, from its length and the sections that cheap ways find."""
     strategy = F.when(F.length("text") < SINGLE_PASS, "single").when(F.expr(f"{toc_sections} >= 2"), "toc").when(F.expr(f"{heading_count} >= 3"), "regex").otherwise("llm")
     return docs.select("doc_id", strategy.alias("strategy"), F.length(T.sample(F.col("text"))).alias("sample_chars"))
+
+
+def toc_sections(toc: DataFrame, total_pages: int, least: int = 10) -> DataFrame:
+    """Sections from the entries of the chosen level, each up to the next one's page; none where no level has two.
+
+    The next entry comes from ordinals in blocks of ``ord``: a lead inside a block, and the
+    first entry of a later block (a row for each block) at its end.
+    """
+    n = toc.groupBy("level").agg(F.count("*").alias("n"))
+    fine = F.max(F.when(F.col("n") >= least, F.col("level")))
+    depth = n.where("n >= 2").agg(F.coalesce(fine, F.when(F.max_by("n", "level") >= 2, F.max("level")), F.min("level")).alias("level"))
+    rows = toc.join(F.broadcast(depth), "level").withColumn("block", F.floor(F.col("ord") / 4096))
+    w = W.partitionBy("block").orderBy("ord")
+    inside = rows.withColumn("next", F.lead(F.struct("page", "title")).over(w))
+    first = rows.groupBy("block").agg(F.min_by(F.struct("page", "title"), "ord").alias("first"))
+    later = first.withColumn("after", F.lead("first").over(W.orderBy("block"))).select("block", "after")
+    rows = inside.join(later, "block").withColumn("next", F.coalesce("next", "after"))
+    return rows.select("level", "title", T.section_id(F.col("title"), F.col("ord") + 1).alias("section_id"), F.col("page").alias("page_start"), F.coalesce("next.page", F.lit(total_pages + 1)).alias("page_end"), F.coalesce("next.title", F.lit(END)).alias("end_marker"))
+
+
+def marker_slices(docs: DataFrame, start: str, end: str, least: int = 80) -> DataFrame:
+    """The part of each collapsed text between two markers; none where the start is not found or the part is short."""
+    norm = T.collapsed(F.col("text"))
+    at = T.locate_marker(F.col("text"), F.lit(start))
+    rows = docs.select("doc_id", norm.alias("norm"), at.alias("place")).where("place >= 0")
+    rest = F.expr(f"substring(norm, place + 1 + {len(start)})")
+    stop = T.locate_marker(rest, F.lit(end))
+    chunk = F.when(stop >= 0, F.substring("norm", F.col("place") + 1, stop + len(start))).otherwise(F.expr("substring(norm, place + 1)"))
+    return rows.select("doc_id", "place", F.trim(chunk).alias("chunk")).where(F.length("chunk") > least)
+
+
+def batch_text(chunks: DataFrame) -> DataFrame:
+    """Chunks as an extractor reads them: a title line and the text."""
+    return chunks.select("ord", F.concat(F.lit("### Section: "), "title", F.lit("\n"), "text").alias("rendered"))

@@ -400,3 +400,111 @@ def q_preview(spark, d):
 @query(None)
 def q_extract_offline(spark, d):
     return ingest.checked(ingest.extract(A.read(spark, d, "documents")))
+
+
+@query(
+    f"""WITH {TOC}, n AS (SELECT level, count(*) AS n FROM toc GROUP BY level HAVING count(*) >= 2), dp AS (SELECT coalesce(max(level) FILTER (n >= 10), max(level)) AS level FROM n),
+s AS (SELECT toc.*, lead(page) OVER (ORDER BY ord) AS np, lead(title) OVER (ORDER BY ord) AS nt FROM toc JOIN dp USING (level)), x AS (SELECT *, substring({SLUG.format('title')}, 1, 40) AS sg FROM s)
+SELECT level, title, CASE WHEN sg = '' THEN 'section-' || (ord + 1) ELSE sg END AS section_id, page AS page_start, coalesce(np, 100001) AS page_end, coalesce(nt, 'END_OF_DOC') AS end_marker FROM x"""
+)
+def q_toc_sections(spark, d):
+    return sections.toc_sections(A.toc(spark, d), 100_000)
+
+
+SLICE = ("the", "with")
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {NORM.format('text')} AS norm FROM documents), a AS (SELECT *, CAST(instr(norm, 'the') - 1 AS INTEGER) AS place FROM t WHERE contains(norm, 'the')),
+b AS (SELECT *, instr(substring(norm, place + 4), 'with') - 1 AS stop FROM a), c AS (SELECT doc_id, place, trim(CASE WHEN stop >= 0 THEN substring(norm, place + 1, stop + 3) ELSE substring(norm, place + 1) END) AS chunk FROM b)
+SELECT * FROM c WHERE length(chunk) > 80"""
+)
+def q_marker_slices(spark, d):
+    return sections.marker_slices(A.read(spark, d, "documents"), *SLICE)
+
+
+@query(f"WITH {NOTES} SELECT doc_id AS ord, '### Section: ' || title || chr(10) || content AS rendered FROM notes")
+def q_batch_text(spark, d):
+    return sections.batch_text(A.notes(spark, d).select(F.col("doc_id").alias("ord"), "title", F.col("content").alias("text")))
+
+
+@query(
+    f"""WITH {TOC}, m AS (SELECT ord FROM (SELECT *, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS key FROM toc) WHERE contains(key, 'nation1') ORDER BY key = 'nation1' DESC, 7 / greatest(length(key), 1) DESC, ord LIMIT 1)
+SELECT contains(lower(c_name), '5') AS hit, cp.page AS page_no, c_name AS text FROM bd JOIN m USING (ord) JOIN cp ON cp.page >= bd.page AND cp.page < greatest(bd.behind, bd.page + 1)"""
+)
+def q_page_jump(spark, d):
+    toc = A.toc(spark, d)
+    low = toc.where("level = 3").select(F.col("page").alias("page_no"), F.col("title").alias("text"))
+    return pages.page_jump(toc, low, "Nation 1", "5")
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT 'Raw/Sources/' || source AS name, source AS stem FROM documents UNION ALL SELECT DISTINCT '[' || source || '.md]', source FROM documents),
+f AS (SELECT DISTINCT stem, CASE WHEN ends_with(stem, '1') THEN ['.pdf', '.md'] WHEN ends_with(stem, '2') THEN ['.txt'] ELSE ['.md'] END AS e FROM w)
+SELECT name, 'raw/sources/' || stem || CASE WHEN ends_with(name, '.md]') THEN '.md' ELSE e[1] END AS path FROM w JOIN f USING (stem) WHERE NOT ends_with(name, '.md]') OR list_contains(e, '.md')"""
+)
+def q_raw_paths(spark, d):
+    s = A.read(spark, d, "documents").select("source").distinct()
+    wanted = s.select(F.concat(F.lit("Raw/Sources/"), "source").alias("name")).union(s.select(F.concat(F.lit("["), "source", F.lit(".md]"))))
+    ends = F.when(F.endswith("source", F.lit("1")), F.array(F.lit(".pdf"), F.lit(".md"))).when(F.endswith("source", F.lit("2")), F.array(F.lit(".txt"))).otherwise(F.array(F.lit(".md")))
+    files = s.select(F.explode(F.transform(ends, lambda e: F.concat(F.lit("raw/sources/"), "source", e))).alias("path"))
+    return pages.raw_paths(wanted, files)
+
+
+@query(
+    f"""WITH {NOTES}, c AS (SELECT path, title, content, len(list_intersect(list_distinct({LOWER.format('title')}), ['the', 'and', 'of'])) / 3.0 AS share,
+CASE WHEN lower(title) = '{RESOLVE}' THEN 1 WHEN path IN ('{RESOLVE}', '{RESOLVE}.md') THEN 2 WHEN contains(lower(title), '{RESOLVE}') THEN 3 WHEN contains(lower(title), 'the') AND contains(lower(title), 'and') AND contains(lower(title), 'of') THEN 4 END AS st FROM notes)
+SELECT '[Resolved ' || chr(39) || '{RESOLVE}' || chr(39) || ' → ' || chr(39) || path || chr(39) || ']' || chr(10) || chr(10) || CASE WHEN len({LOWER.format('content')}) > 4000 THEN array_to_string(list_filter(string_split_regex(content, '\\s+'), lambda t: t <> '')[1:4000], ' ') ELSE content END AS text
+FROM (SELECT *, coalesce(st, CASE WHEN share >= 0.35 THEN 5 END) AS stage FROM c) WHERE stage IS NOT NULL ORDER BY stage, CASE WHEN stage = 5 THEN -share ELSE 0 END, path LIMIT 1"""
+)
+def q_resolved_read(spark, d):
+    return pages.resolved_read(A.notes(spark, d), RESOLVE)
+
+
+@query(
+    f"""{CATALOG}, top AS (SELECT *, {MICRO} AS m FROM scored WHERE score > 0 ORDER BY m DESC, path LIMIT 10), nb AS (SELECT *, row_number() OVER (ORDER BY m DESC, path) AS k FROM top)
+SELECT '## Wiki Search Results' || chr(10) || chr(10) || string_agg(k || '. **' || title || '** `[' || type || ']` _(score: ' || (m // 1000000) || '.' || lpad(CAST(m % 1000000 // 1000 AS VARCHAR), 3, '0') || ')_' || chr(10) ||
+'   Path: `' || path || '`' || chr(10) || '   Summary: ' || summary || chr(10) || '   Keywords: ' || array_to_string(keywords, ', ') || chr(10), chr(10) ORDER BY k) AS text FROM nb"""
+)
+def q_format_results(spark, d):
+    return search.formatted(search.catalog_search(A.search_text(A.notes(spark, d)), QUERY))
+
+
+@query(None)
+def q_cluster_metrics(spark, d):
+    return consolidate.metrics(q_consolidate(spark, d))
+
+
+@query(None)
+def q_kept_and_merged(spark, d):
+    found = q_consolidate(spark, d)
+    return consolidate.kept_and_merged(found.select("source", "type", "title"), found)
+
+
+@query(
+    f"""WITH {NOTES} SELECT doc_id AS id, doc_id % 7 > 0 AS ok, CASE WHEN doc_id % 7 > 0 THEN title END AS title, CASE WHEN doc_id % 7 > 0 THEN type END AS type,
+CASE WHEN doc_id % 7 > 0 THEN array_to_string(keywords, '|') ELSE '' END AS keywords, CASE WHEN doc_id % 7 > 0 THEN content ELSE '' END AS content FROM notes"""
+)
+def q_decode_notes(spark, d):
+    n = A.notes(spark, d)
+    one = F.struct("title", "type", "keywords", F.when(F.col("doc_id") % 2 == 0, F.col("content")).alias("content_body"), F.when(F.col("doc_id") % 2 == 1, F.col("content")).alias("content"))
+    text = F.to_json(F.struct(F.lit("s").alias("source_title"), F.array(one).alias("notes")))
+    broken = n.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 == 0, F.lit("{ not json")).otherwise(text).alias("json"))
+    return ingest.decoded(broken).select("id", "ok", "title", "type", F.array_join("keywords", "|").alias("keywords"), "content")
+
+
+@query("SELECT source_id, batch_id, arg_max(status, stamp) AS status, max(stamp) AS stamp FROM (SELECT user_id AS source_id, event_id % 50 AS batch_id, event_type AS status, event_id AS stamp FROM events) GROUP BY ALL")
+def q_progress_latest(spark, d):
+    e = A.read(spark, d, "events").select(F.col("user_id").alias("source_id"), (F.col("event_id") % 50).alias("batch_id"), F.col("event_type").alias("status"), F.col("event_id").alias("stamp"))
+    return ingest.latest(e)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '(no args)' ELSE 'lang=' || to_json(lang) || ', source=' || to_json(source) END AS args FROM documents")
+def q_format_args(spark, d):
+    args = F.when(F.col("doc_id") % 5 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("source"), "source", F.lit("lang"), "lang"))
+    return A.read(spark, d, "documents").select("doc_id", agent.formatted_args(args).alias("args"))
+
+
+@query(f"WITH {TOC} SELECT level, count(*) AS n, min(page) AS first_page, max(page) AS last_page FROM toc GROUP BY level")
+def q_toc_levels(spark, d):
+    return A.toc(spark, d).groupBy("level").agg(F.count("*").alias("n"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
