@@ -1,7 +1,8 @@
 """The corpus pipeline: documents through quality, dedup, mixing and tokenizing stages.
 
 Each stage works on all that the one before it kept. The first four return the columns of
-``documents``, the last one the digests of each document's ids and decoded text.
+``documents``, the last one the digests of each document's ids and decoded text. A stage
+leaves a file for several tasks' worth of rows, so that files stay large.
 """
 
 from __future__ import annotations
@@ -9,33 +10,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import line_dedup, mixing, ngram_join, quality, sp_codec
-from foliospark.llm.common import materialise, table
+from foliospark.llm.common import few_files, materialise, table
 from foliospark.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+    return few_files(quality.accepted(docs, table(spark, sf_dir, "labels")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal or similar lines the first stays; documents without a byte left go."""
-    return line_dedup.without_repeated_lines(docs)
+    return few_files(line_dedup.without_repeated_lines(docs))
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return ngram_join.one_of_each_group(docs)
+    return few_files(ngram_join.one_of_each_group(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Eighty of a hundred tokens, by the target weights; no document twice."""
-    return mixing.mixed(docs, percent=80, max_epochs=1, as_documents=True)
+    return few_files(mixing.mixed(docs, percent=80, max_epochs=1, as_documents=True))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encoded and decoded texts, as digests."""
-    return sp_codec.encode_texts(docs, tokenizer_path())
+    return few_files(sp_codec.encode_texts(docs, tokenizer_path()))
 
 
 STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("ngram_join", join_stage), ("mixing", mixing_stage), ("sentencepiece", token_stage)]

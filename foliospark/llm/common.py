@@ -62,6 +62,11 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """An eighth of the shuffle partitions (four at least) write the rows: larger files, tasks that take several partitions."""
+    return df.coalesce(max(4, shuffle_parts(df.sparkSession) // 8))
+
+
 def same_document(a: DataFrame, b: DataFrame):
     """Join condition on doc_id and text hash, where a null doc_id equals a null one."""
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])

@@ -133,7 +133,7 @@ def mixed(docs: DataFrame, percent: int = 60, max_epochs: int = 2, seed: int = 1
     domain = default_domain() if domain is None else domain
     weights = weights or [DOMAIN_WEIGHTS, LANG_WEIGHTS, {}]
     all_rows = leaves(docs, domain)
-    narrow = materialise(all_rows.drop("row"), "tokens")
+    narrow = materialise(all_rows.drop("row"), "tokens", few=16)
     budget = materialise(budgets(narrow, percent, max_epochs, weights), "budgets", few=64)
     upto = materialise(thresholds(narrow, budget, seed), "thresholds", few=64)
     # one row a leaf, and small enough to be broadcast unless there are very many leaves
