@@ -22,7 +22,7 @@ S33 = np.uint64(33)
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
 #: Bytes of text worked on at once in a task, unless one text is longer.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -38,7 +38,7 @@ WORDS = 5
 PREFIX = np.dtype([("token", "<u4"), ("cls", "<u8")])
 MEMBER = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("null", "<i4"), ("n", "<i4"), ("cls", "<u8")])
 #: Prefix shingles that a task holds before it deals them out.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Most shingles that the common order puts last, as a list that every task gets.
 MOST_FREQUENT = 50_000
 #: Least and most sets of a block.

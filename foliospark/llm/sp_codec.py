@@ -24,7 +24,7 @@ from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
-from itertools import chain, compress
+from itertools import chain, compress, islice
 from operator import not_
 
 import numpy as np
@@ -41,6 +41,8 @@ WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 CACHE_WORDS = 400_000
 #: Longest word that is merged together with others.
 SHORT = 48
+#: The earliest, and so most frequent, words that a worker keeps between tasks.
+KEPT_WORDS = 150_000
 PLACE = (1 << 40) - 1
 NO_RANK = 1 << 30
 
@@ -225,6 +227,11 @@ class Vocabulary:
             raw, ends = flat.astype(np.uint32).tobytes(), (4 * np.cumsum(count)).tolist()
             self.known.update(zip(order, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
+    def forget(self) -> None:
+        """Keep only the words that were met first; the worker's memory is another stage's next."""
+        first = chain(self.aside.items(), self.known.items())
+        self.known, self.aside = dict(islice(first, KEPT_WORDS)), {}
+
     def encoded_odd(self, text: str) -> list[int]:
         """Ids of a text with runs of spaces or marks of its own; the library must give the same."""
         marked = (SPACE + text).replace(" ", SPACE)
@@ -317,6 +324,7 @@ def encode_texts(
                     hi += 1
                 yield checked(vocabulary, ids[lo:hi], texts[lo:hi])
                 lo = hi
+        vocabulary.forget()
 
     def checked(vocabulary: Vocabulary, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
         found = vocabulary.encoded(texts)
