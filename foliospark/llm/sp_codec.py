@@ -303,13 +303,15 @@ def vocabulary_of(model: str) -> Vocabulary:
 
 
 def encode_texts(
-    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, piece_chars: int = 1 << 21
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, piece_chars: int = 1 << 21, keep_words: bool = True
 ) -> DataFrame:
     """Encode each whole text with an end id, and decode the ids again.
 
     Columns: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids and decoded with
     ``keep_ids``. A null text is empty and has the end id alone. Rows are independent:
     null ids, ties and repeated rows need no rule. ``model`` is a path that executors have.
+    ``keep_words``: workers keep the vocabulary and some words for their next task; without,
+    their memory is free for other stages.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,6 +327,8 @@ def encode_texts(
                 yield checked(vocabulary, ids[lo:hi], texts[lo:hi])
                 lo = hi
         vocabulary.forget()
+        if not keep_words:
+            VOCABULARIES.clear()
 
     def checked(vocabulary: Vocabulary, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
         found = vocabulary.encoded(texts)
