@@ -2,7 +2,7 @@
 
 Each stage works on all that the one before it kept. The first four return the columns of
 ``documents``, the last one the digests of each document's ids and decoded text. A stage
-leaves a file for several tasks' worth of rows, so that files stay large.
+that only scans leaves a file for several tasks' worth of rows.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal or similar lines the first stays; documents without a byte left go."""
-    return few_files(line_dedup.without_repeated_lines(docs))
+    return line_dedup.without_repeated_lines(docs)
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return few_files(ngram_join.one_of_each_group(docs))
+    return ngram_join.one_of_each_group(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
