@@ -36,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encoded and decoded texts, as digests."""
-    return few_files(sp_codec.encode_texts(docs, tokenizer_path(), keep_words=False))
+    return few_files(sp_codec.encode_texts(docs, tokenizer_path(), keep_words=False, piece_chars=1 << 19))
 
 
 STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("ngram_join", join_stage), ("mixing", mixing_stage), ("sentencepiece", token_stage)]
