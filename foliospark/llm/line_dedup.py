@@ -6,9 +6,9 @@ compared by the exact Jaccard similarity of their shingle sets. Distributed unio
 joins equal and similar lines, and the first line of each component stays.
 
 Recall of one pair at similarity s is ``1 - (1 - s**ROWS)**BANDS``: 0.985 at 0.8, 0.998
-at 0.85. Up to FEW lines with one band key are compared with each other. Of more, each is
-compared with the first one and its neighbours, so candidates grow with the lines; and a
-task sends only FEW lines of a key, the others are compared with the first of these.
+at 0.85. All lines with one band key are compared with each other: up to FEW as pairs. The
+lines of a hot key, which has more, are dealt to blocks, and a task for each block and pair
+of blocks finds links that connect what all its similar pairs connect.
 """
 
 from __future__ import annotations
@@ -27,8 +27,12 @@ SIMILARITY = 0.8
 #: Shorter lines are left alone.
 LEAST_BYTES = 16
 LAST = (1 << 63) - 1
-PAIR = np.dtype([("key", "<u8"), ("h", "<u8"), ("to", "<u8")])
+BAND = np.dtype([("key", "<u8"), ("h", "<u8"), ("size", "<i4"), ("kind", "u1")])
+#: Kinds of band rows: of a key with few lines in this task, the first FEW of a key with more, and the others.
+COLD, FIRST, OTHER = 0, 1, 2
 FEW = 6
+#: Lines and bytes of a block of a hot key, on average.
+BLOCK_LINES, BLOCK_BYTES = 512, 1 << 19
 #: Band rows that a task holds before it deals them out.
 HELD = 1 << 19
 
@@ -85,30 +89,24 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("text", "doc_id", "text_hash").mapInArrow(work, "doc_id long, text_hash long, start int, end int, h long")
 
 
-def star(key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort by (key, h); the sorted index and, for each place in it, the place where its key starts."""
-    order = np.lexsort((h, key))
-    start = runs(key[order])
-    return order, np.repeat(start, np.diff(np.r_[start, len(order)]))
-
-
 def candidates(docs: DataFrame) -> DataFrame:
-    """Pairs a, b of line hashes that share a band key, each line with the least one of its key."""
+    """Lines that share a band key, as a, b, size: a pair of line hashes with size 0, or the key
+    (as signed long), the hash and the bytes of a line, for each line of a hot key."""
     buckets = bucket_count(docs)
 
     def flush(held):
-        keys, hs = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, head = star(keys, hs)
-        keys, hs = keys[order], hs[order]
-        fresh = np.r_[True, (keys[1:] != keys[:-1]) | (hs[1:] != hs[:-1])]
-        out = np.zeros(int(fresh.sum()), PAIR)
-        out["key"], out["h"], out["to"] = keys[fresh], hs[fresh], hs[head][fresh]
-        # the first lines of a key in this task stand for the others, which travel by their own hash
-        at = np.flatnonzero(np.r_[True, out["key"][1:] != out["key"][:-1]])
-        other = np.arange(len(out)) - np.repeat(at, np.diff(np.r_[at, len(out)])) >= FEW
-        out["to"][~other] = out["h"][~other]
-        out["key"][other] = mix(out["h"][other] ^ out["key"][other])
-        yield from pack_rows(out["key"], out, buckets)
+        keys, hs, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((hs, keys))
+        order = order[runs(keys[order], hs[order])]
+        out = np.zeros(len(order), BAND)
+        out["key"], out["h"], out["size"] = keys[order], hs[order], sizes[order]
+        start = runs(out["key"])
+        count = np.diff(np.r_[start, len(out)])
+        out["kind"] = np.where(np.repeat(count, count) > FEW, FIRST, COLD)
+        # a bucket gets few lines of a hot key from each task; the others, known as hot, travel by their own hash
+        other = np.arange(len(out)) - np.repeat(start, count) >= FEW
+        out["kind"][other] = OTHER
+        yield from pack_rows(np.where(other, mix(out["h"] ^ out["key"]), out["key"]), out, buckets)
 
     def work(batches):
         held, size = [], 0
@@ -120,8 +118,9 @@ def candidates(docs: DataFrame) -> DataFrame:
                 h, first = np.unique(line_hashes(part, s, e), return_index=True)
                 if not len(h):
                     continue
-                keys = band_keys(part, s[first], e[first])
-                held.append((keys.ravel(), np.tile(h, BANDS)))
+                s, e = s[first], e[first]
+                keys = band_keys(part, s, e)
+                held.append((keys.ravel(), np.tile(h, BANDS), np.tile((e - s).astype(np.int32), BANDS)))
                 size += keys.size
                 if size > HELD:
                     yield from flush(held)
@@ -130,29 +129,34 @@ def candidates(docs: DataFrame) -> DataFrame:
             yield from flush(held)
 
     def resolve(payload: pa.Table) -> pa.Table:
-        rows = unpack_rows(payload["payload"], PAIR)
-        done = rows[rows["h"] != rows["to"]]
-        rows = rows[rows["h"] == rows["to"]]
-        key, h = rows["key"], rows["h"]
-        order = np.lexsort((h, key))
-        order = order[runs(key[order], h[order])]
-        key, h = key[order], h[order]
-        start = runs(key)
-        head = np.repeat(start, np.diff(np.r_[start, len(h)]))
-        place = np.arange(len(h)) - head
-        a, b = [done["h"], h], [done["to"], h[head]]
+        rows = unpack_rows(payload["payload"], BAND)
+        other = rows[rows["kind"] == OTHER]
+        rows = rows[rows["kind"] != OTHER]
+        rows = rows[np.lexsort((rows["h"], rows["key"]))]
+        start = runs(rows["key"])
+        told = np.maximum.reduceat(rows["kind"], start) == FIRST if len(rows) else np.zeros(0, bool)
+        told = np.repeat(told, np.diff(np.r_[start, len(rows)]))
+        once = runs(rows["key"], rows["h"])
+        rows, told = rows[once], told[once]
+        start = runs(rows["key"])
+        count = np.diff(np.r_[start, len(rows)])
+        hot = told | (np.repeat(count, count) > FEW)
+        place = np.arange(len(rows)) - np.repeat(start, count)
+        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for back in range(1, FEW):
-            at = np.flatnonzero((place >= back) & ((place < FEW) | (back <= 3)))
-            a.append(h[at])
-            b.append(h[at - back])
+            at = np.flatnonzero((place >= back) & ~hot)
+            a.append(rows["h"][at])
+            b.append(rows["h"][at - back])
         a, b = np.concatenate(a), np.concatenate(b)
-        a, b = a[a != b], b[a != b]
         order = np.lexsort((b, a))
         order = order[runs(a[order], b[order])]
-        return pa.table([pa.array(a[order].view(np.int64)), pa.array(b[order].view(np.int64))], ["a", "b"])
+        hot = np.concatenate([rows[hot], other])
+        size = np.r_[np.zeros(len(order), np.int32), hot["size"]]
+        a, b = np.r_[a[order], hot["key"]], np.r_[b[order], hot["h"]]
+        return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(size)], ["a", "b", "size"])
 
     dealt = docs.select("text").mapInArrow(work, "bucket int, payload binary")
-    return dealt.groupBy("bucket").applyInArrow(resolve, "a long, b long").distinct()
+    return dealt.groupBy("bucket").applyInArrow(resolve, "a long, b long, size int").distinct()
 
 
 def line_texts(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -188,10 +192,101 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both / (len(a) + len(b) - both) >= SIMILARITY
 
 
+def group_links(sets: list[np.ndarray], left: int = 0) -> list[tuple[int, int]]:
+    """Links, by places, that connect what all similar pairs connect: of the first ``left`` sets with the others, or of all."""
+    n = np.array([len(s) for s in sets])
+    _, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), n)[np.argsort(inverse, kind="stable")]
+    first = np.cumsum(df) - df
+    tokens = np.split(inverse, np.cumsum(n)[:-1])
+    root = list(range(len(sets)))
+    links = []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def link(i: int) -> None:
+        t = tokens[i][df[tokens[i]] > 1]
+        if len(t) / n[i] < SIMILARITY:
+            return
+        size = df[t]
+        at = np.repeat(first[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        hit = np.flatnonzero(both / (n + n[i] - both) >= SIMILARITY)
+        if left:
+            hit = hit[hit >= left] if i < left else hit[hit < left]
+        for j in hit.tolist():
+            a, b = find(i), find(j)
+            if a != b:
+                root[a] = b
+                links.append((i, j))
+
+    # the set that shares most comes first; sets joined with it need no look of their own
+    weight = np.array([df[t].mean() for t in tokens])
+    order = np.argsort(-weight, kind="stable").tolist()
+    centre, passed = order[0], False
+    link(centre)
+    for i in order[1:]:
+        if left and i >= left:
+            continue
+        if find(i) == find(centre):
+            passed = True
+        else:
+            link(i)
+    if left and passed:  # a set passed over was not compared with the other side's sets that are not joined
+        for j in order[1:]:
+            if j >= left and find(j) != find(centre):
+                link(j)
+    return links
+
+
+def hot_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges a, b: they connect what all similar pairs of lines of one hot key connect. ``members``: key, h, size."""
+    lines_of = F.ceil(F.col("n") / BLOCK_LINES)
+    bytes_of = F.ceil(F.col("bytes") / BLOCK_BYTES)
+    each = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
+    # keys with the same lines are one; stored, so that the join stands alone between its exchanges and a hot key can be split
+    keys = each.groupBy("n", "bytes", "x", "y").agg(F.min("key").alias("key")).where("n > 1")
+    keys = materialise(keys.select("key", "bytes", F.greatest(lines_of, bytes_of).cast("int").alias("blocks")), "hot-keys", few=16)
+    pools = max(1, (keys.where("blocks = 1").agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES)
+    mine = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
+    placed = (
+        members.join(keys, "key")
+        .select("key", "h", "blocks", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("key", "h", "blocks", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    )
+    # keys of one block share a task's call; a pair of blocks has its own
+    pool = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(pools))).otherwise(F.xxhash64("key", "i", "j"))
+
+    def join(group: pa.Table) -> pa.Table:
+        key, i, j, mine, h = (group[c].to_numpy() for c in ("key", "i", "j", "mine", "h"))
+        text = group["line"]
+        a, b = [], []
+        order = np.lexsort((h, mine, j, i, key))
+        start = runs(key[order], i[order], j[order])
+        for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(order)], strict=True):
+            at = order[lo:hi]
+            left = int((mine[at] == i[at]).sum()) if i[at[0]] != j[at[0]] else 0
+            if len(at) < 2 or i[at[0]] != j[at[0]] and left in (0, len(at)):
+                continue
+            for x, y in group_links([shingle_set(text[k].as_py()) for k in at.tolist()], left):
+                a.append(h[at[x]])
+                b.append(h[at[y]])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = placed.withColumn("pool", pool).join(texts, "h")
+    return rows.select("pool", "key", "i", "j", "mine", "h", "line").groupBy("pool").applyInArrow(join, "a long, b long")
+
+
 def similar_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Edges a, b between hashes of different lines with a similarity of SIMILARITY or more."""
-    pairs = materialise(candidates(docs), "line-pairs", few=16)
-    nodes = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    met = materialise(candidates(docs), "line-pairs", few=16)
+    pairs = met.where("size = 0").select("a", "b")
+    members = met.where("size > 0").select(F.col("a").alias("key"), F.col("b").alias("h"), "size")
+    nodes = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(members.select("h")).distinct()
     texts = materialise(line_texts(docs, found, nodes), "line-texts", few=16)
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
 
@@ -209,7 +304,7 @@ def similar_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
             same = [alike(of(a, x), of(b, y)) for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
             yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").union(hot_links(members, texts))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

@@ -106,6 +106,41 @@ def test_line_recall(spark):
     assert pairs > 100 and got >= 0.95 * pairs
 
 
+@pytest.mark.parametrize("lines", [512, 40])
+def test_line_dedup_of_a_large_family(spark, lines, monkeypatch):
+    """A base line with hundreds of copies that each have their own edit: each is like the base, not like the others."""
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", lines)
+    rng = random.Random(11)
+    base = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(300)).decode()
+    rows = [(1000, base)]
+    for i in range(300):
+        line, at = list(base), 9 + (i % 140) * 2
+        for k in range(0, 24, 8):  # three edits at different places: about 24 of 293 shingles
+            line[(at + 91 * k // 8) % 300] = chr(65 + (i + k) % 26)
+        rows.append((i, "".join(line)))
+    plain = brute.fuzzy_lines(rows, line_dedup.LEAST_BYTES, line_dedup.SHINGLE, line_dedup.SIMILARITY)
+    assert sum(1 for r in plain if r[1]) == 300
+    got = line_dedup.dedup(frame(spark, rows).repartition(3))
+    assert collected(got, rows, CUT) == expected(rows, plain)
+
+
+@pytest.mark.parametrize("left", [0, 40])
+def test_line_links_connect_what_all_pairs_do(left):
+    rng = np.random.default_rng(6)
+    families = [rng.integers(0, 10**6, 60) for _ in range(4)]
+    for _ in range(20):
+        sets = []
+        for _ in range(90):
+            s = families[rng.integers(4)].copy()
+            s[rng.choice(60, rng.integers(0, 12), replace=False)] = rng.integers(0, 10**6)
+            sets.append(np.unique(s))
+        both = lambda i, j: left == 0 or (i < left) != (j < left)
+        pairs = [(i, j) for i in range(90) for j in range(i) if both(i, j) and line_dedup.alike(sets[i], sets[j])]
+        links = line_dedup.group_links(sets, left)
+        assert all(both(i, j) and line_dedup.alike(sets[i], sets[j]) for i, j in links)
+        assert brute.components(range(90), links) == brute.components(range(90), pairs)
+
+
 def test_ngram_join(spark, awkward):
     got = ngram_join.linked_documents(frame(spark, awkward))
     assert collected(got, awkward, ["n_shingles", "component_id"]) == expected(awkward, brute.jaccard_groups(awkward)) or sorted(map(repr, collected(got, awkward, ["n_shingles", "component_id"]))) == sorted(map(repr, expected(awkward, brute.jaccard_groups(awkward))))
