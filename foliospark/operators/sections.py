@@ -79,9 +79,19 @@ def packed(chunks: DataFrame, limit: int = BATCH, least: int = 80) -> DataFrame:
     return rows.select("source_id", F.explode(F.aggregate("items", start, step)["out"]).alias("i")).select("source_id", "i.ord", "i.batch", "i.size")
 
 
-def routed(docs: DataFrame, toc_sections: str = "0", heading_count: str = "0") -> DataFrame:
-    """The strategy for each document, from its length and the sections that cheap ways find."""
-    strategy = F.when(F.length("text") < SINGLE_PASS, "single").when(F.expr(f"{toc_sections} >= 2"), "toc").when(F.expr(f"{heading_count} >= 3"), "regex").otherwise("llm")
+def routed(docs: DataFrame, toc: DataFrame | None = None) -> DataFrame:
+    """The strategy for each document, from its length and the sections that cheap ways find.
+
+    ``toc``: doc_id, level of the entries of all tables of contents, if there are any. A
+    document has two sections of it where a level has two entries, as ``toc_sections`` chooses.
+    """
+    listed = F.lit(0)
+    if toc is not None:
+        levels = toc.groupBy("doc_id", "level").agg(F.count("*").alias("n"))
+        docs = docs.join(levels.groupBy("doc_id").agg(F.max("n").alias("toc_sections")), "doc_id", "left")
+        listed = F.coalesce("toc_sections", F.lit(0))
+    found = F.size(F.filter(F.split("text", "\n"), T.is_heading))
+    strategy = F.when(F.length("text") < SINGLE_PASS, "single").when(listed >= 2, "toc").when(found >= 3, "regex").otherwise("llm")
     return docs.select("doc_id", strategy.alias("strategy"), F.length(T.sample(F.col("text"))).alias("sample_chars"))
 
 

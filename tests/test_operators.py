@@ -189,3 +189,12 @@ def test_stream_reads_only_new_files(spark, tmp_path):
     spark.createDataFrame([(2, "three four")], "doc_id long, text string").write.mode("append").parquet(paths[0])
     ingest_new(spark, *paths).awaitTermination()
     assert sorted(r.doc_id for r in spark.read.parquet(paths[1]).collect()) == [1, 2]
+
+
+def test_router_takes_all_four_ways(spark):
+    body = "x" * 12_000
+    headings = "1 Intro\n2.1 Scope\nIV. Annex\n"
+    docs = spark.createDataFrame([(1, headings), (2, headings + body), (3, "1 Intro\n2.1 Scope\n" + body), (4, headings + body), (5, body)], "doc_id long, text string")
+    toc = spark.createDataFrame([(1, 1), (1, 1), (4, 1), (4, 2), (4, 2), (5, 1), (5, 2)], "doc_id long, level int")
+    assert {r.doc_id: r.strategy for r in sections.routed(docs, toc).collect()} == {1: "single", 2: "regex", 3: "llm", 4: "toc", 5: "llm"}
+    assert {r.doc_id: r.strategy for r in sections.routed(docs).collect()} == {1: "single", 2: "regex", 3: "llm", 4: "regex", 5: "llm"}
