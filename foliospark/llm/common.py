@@ -137,8 +137,8 @@ def spans_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return s[first], e[np.r_[np.flatnonzero(first)[1:] - 1, len(s) - 1]]
 
 
-_SPACES = np.zeros(256, bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
 _ODD = 0xD6E8FEB86659FD93
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -169,7 +169,7 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tup
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
-    inside = ~_SPACES[buf]
+    inside = ~SPACES[buf]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

@@ -1,6 +1,7 @@
 """Line dedup: fuzzy lines by MinHash.
 
-A line is a set of shingles of SHINGLE bytes. Its signature has the least values of
+A line is a set of shingles of SHINGLE bytes; a shorter line is its own one shingle, so only
+equal lines are like it, and they meet by their hash. The signature of a longer one has the least values of
 ``BANDS * ROWS`` hash functions; lines whose signatures agree in a band are candidates,
 compared by the exact Jaccard similarity of their shingle sets. Distributed union-find
 joins equal and similar lines, and the first line of each component stays.
@@ -18,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, bucket_count, buffers, cut_spans, materialise, mix, pack_rows, packed_texts, pieces, runs, same_document, unpack_rows, unpacked, with_text_hash, words8
+from .common import GOLD, SPACES, bucket_count, buffers, cut_spans, materialise, mix, pack_rows, packed_texts, pieces, runs, same_document, unpack_rows, unpacked, with_text_hash, words8
 from .components import components
 
 SHINGLE = 8
 BANDS, ROWS = 8, 4
 SIMILARITY = 0.8
-#: Shorter lines are left alone.
-LEAST_BYTES = 16
+#: Shorter lines are like equal lines only.
+LEAST_BYTES = SHINGLE
 LAST = (1 << 63) - 1
 BAND = np.dtype([("key", "<u8"), ("h", "<u8"), ("size", "<i4"), ("kind", "u1")])
 #: Kinds of band rows: of a key with few lines in this task, the first FEW of a key with more, and the others.
@@ -38,7 +39,7 @@ HELD = 1 << 19
 
 
 def line_places(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end (without the line end) of each line that is long enough."""
+    """Row, start and end (without the line end) of each line but blank ones: empty, or spaces shorter than a shingle."""
     n = len(buf)
     breaks = np.flatnonzero(buf == 10)
     starts = np.union1d(np.r_[breaks + 1, offsets[:-1]], [])
@@ -46,7 +47,11 @@ def line_places(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     row = np.searchsorted(offsets, starts, "right") - 1
     nxt = np.searchsorted(breaks, starts)
     ends = np.minimum(np.r_[breaks, n][nxt], offsets[row + 1])
-    keep = ends - starts >= LEAST_BYTES
+    keep = ends - starts >= SHINGLE
+    short = np.flatnonzero(~keep)
+    for k in range(SHINGLE - 1):
+        short = short[starts[short] + k < ends[short]]
+        keep[short] |= ~SPACES[buf[starts[short] + k]]
     return row[keep], starts[keep], ends[keep]
 
 
@@ -74,7 +79,7 @@ def band_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, start, end, h (as signed long) of each line that is long enough."""
+    """doc_id, text_hash, start, end, h (as signed long) of each line that is not blank."""
 
     def work(batches):
         for batch in batches:
@@ -115,6 +120,8 @@ def candidates(docs: DataFrame) -> DataFrame:
             for lo, hi in pieces(offsets):
                 part, at = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 _, s, e = line_places(part, at)
+                long = e - s >= LEAST_BYTES
+                s, e = s[long], e[long]
                 h, first = np.unique(line_hashes(part, s, e), return_index=True)
                 if not len(h):
                     continue
@@ -325,7 +332,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
 
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept; with ``rest`` a
     struct of the other columns). One row for each input row. Lines end at a line feed,
-    which goes with a removed line. A null text is empty. Lines under LEAST_BYTES stay.
+    which goes with a removed line. A null text is empty. Lines under LEAST_BYTES are like
+equal lines only; blank ones (empty, or spaces shorter than a shingle) stay.
     Rows with the same doc_id and text are one document; a null doc_id comes last, and of
     lines at the same place of null ids all stay. An empty table gives an empty result.
     """

@@ -124,6 +124,13 @@ def test_line_dedup_of_a_large_family(spark, lines, monkeypatch):
     assert collected(got, rows, CUT) == expected(rows, plain)
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Short lines go where they are repeated, similar ones from a shingle's length on; blank lines stay."""
+    texts = ["Read more\nShare\n\n  \nab\nhome page 12", "ac\nShare\nRead more\n\n  \nhome page 123", "Share\n\nNew\nab", "Share\nab \n\t\n\t"]
+    got = line_dedup.dedup(frame(spark, list(enumerate(texts))), keep_text=True).orderBy("doc_id").collect()
+    assert [r.kept.decode() for r in got] == [texts[0], "ac\n\n  \n", "\nNew\n", "ab \n\t\n\t"]
+
+
 @pytest.mark.parametrize("left", [0, 40])
 def test_line_links_connect_what_all_pairs_do(left):
     rng = np.random.default_rng(6)
