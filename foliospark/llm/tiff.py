@@ -39,8 +39,6 @@ WIDTH = 192
 PAGE_ROWS = 1024
 STRIP_ROWS = 32
 TILE_SIDE = 64
-#: LZW is the one code that runs byte by byte in Python, so long payloads get another.
-LZW_BYTES = 1536
 
 
 class TiffError(ValueError):
@@ -294,13 +292,10 @@ def decode_pages(data: bytes) -> Iterator[Page]:
 
 
 def layout_for(payload: bytes) -> tuple[int, int, bool]:
-    """Compression, predictor and tiling, which only the payload decides."""
+    """Compression, predictor and tiling, which only the payload's checksum decides, at every size."""
     crc = zlib.crc32(payload)
-    if len(payload) <= LZW_BYTES and crc & 1:
-        compression = LZW
-    else:
-        compression = (DEFLATE, PACKBITS, DEFLATE, NONE)[crc >> 1 & 3]
-    return compression, 1 + (crc >> 3 & 1 if compression in (LZW, DEFLATE) else 0), bool(crc >> 4 & 1) and compression != LZW
+    compression = (DEFLATE, PACKBITS, LZW, NONE)[crc >> 1 & 3]
+    return compression, 1 + (crc >> 3 & 1 if compression in (LZW, DEFLATE) else 0), bool(crc >> 4 & 1)
 
 
 def payload_of(text: bytes) -> bytes:

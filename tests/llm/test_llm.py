@@ -377,6 +377,18 @@ def test_tiff_round_trip(compression, predictor, tiled):
             assert [p.number for p in found] == list(range(-(-size // tiff.PAGE_ROWS)))
 
 
+def test_tiff_layouts_at_every_size():
+    """Long payloads meet LZW as short ones do, in strips and in tiles, and come back whole."""
+    rng = random.Random(8)
+    met = set()
+    for k in range(16):
+        text = prose(rng, 2000 + k).encode()
+        met.add(tiff.layout_for(tiff.payload_of(text))[::2])
+        row = tiff.describe(text)
+        assert row[:3] == (len(text), len(tiff.payload_of(text)), sha256(tiff.payload_of(text)).hexdigest())
+    assert {(tiff.LZW, False), (tiff.LZW, True)} <= met
+
+
 def test_tiff_of_other_writers():
     """Big-endian, values in the entry, one strip, PackBits with a no-op."""
     import struct
