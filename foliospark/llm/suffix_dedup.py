@@ -15,7 +15,7 @@ dictionary phrases that share a trigger with another one, of another document, c
 equal strings besides.
 
 Suffix order. Those phrases' suffixes are sorted by their LENGTH bytes within the bucket
-of their trigger; the buckets put together are the corpus order to that depth. In a run
+of their trigger; buckets go by hash, so there is no order across them. In a run
 of equal suffixes all but those of the least document are removed.
 
 Hot phrases are combined before the exchange: a task sends only the least document of
