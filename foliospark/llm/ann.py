@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample: a neighbour graph, its balanced partitioning (partitions of equal
+On a sample of bounded size (it grows with the number of partitions): a neighbour graph, its balanced partitioning (partitions of equal
 capacity that keep neighbours together), and a small classifier (one hidden layer) that
 learns the partition of a vector. All rows are indexed in the classifier's most probable
 partition; a query goes to its several most probable ones and is reranked exactly there.
@@ -23,7 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialise, small_batches
+
+
+#: Rows of a partition, on average; most partitions; sample rows at least, and for each partition.
+PARTITION_ROWS, MOST_PARTS, SAMPLE_ROWS, SAMPLE_EACH = 8192, 1024, 4096, 32
 
 
 @dataclass
@@ -75,7 +79,7 @@ def balanced_partition(graph: np.ndarray, x: np.ndarray, parts: int, rng: np.ran
     capacity = int(np.ceil(n / parts * slack))
     ends = np.repeat(np.arange(n), graph.shape[1]), graph.ravel()
     for _ in range(rounds):
-        votes = np.zeros((n, parts))
+        votes = np.zeros((n, parts), np.float32)
         np.add.at(votes, (ends[0], label[ends[1]]), 1)
         np.add.at(votes, (ends[1], label[ends[0]]), 1)
         size = np.bincount(label, minlength=parts)
@@ -148,7 +152,7 @@ def matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def search(
-    df: DataFrame, is_query, k: int = 5, parts: int | None = None, sample_rows: int = 4096, coverage: float = 0.93, block_rows: int = 4096, block_queries: int = 2048, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding"
+    df: DataFrame, is_query, k: int = 5, parts: int | None = None, sample_rows: int | None = None, coverage: float = 0.93, block_rows: int = 4096, block_queries: int = 2048, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """The ``k`` nearest rows by cosine for each row for which ``is_query`` (a Column over vec_id) holds.
 
@@ -158,17 +162,20 @@ def search(
     id, take no part. Fewer candidates than ``k`` give fewer rows, an empty table none.
 
     ``sample_rows`` bounds the rows that are fitted on the driver, those with the least
-    seeded hash of their id. All rows are indexed.
+    seeded hash of their id: SAMPLE_ROWS, or SAMPLE_EACH for each partition. ``parts``
+    grows with the table up to MOST_PARTS. All rows are indexed. The rows that take part are
+    stored once, and the passes over them read that table.
     """
     small_batches(df)
     spark = df.sparkSession
-    rows = valid_vectors(df, id_col, vec_col)
+    rows = materialise(valid_vectors(df, id_col, vec_col), "vectors")
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if length is None:
         return spark.createDataFrame([], schema)
     rows, total = rows.where(F.size("v") == length["d"]), length["count"]
-    parts = parts or int(min(256, max(16, total // 8192)))
+    parts = parts or int(min(MOST_PARTS, max(16, total // PARTITION_ROWS)))
+    sample_rows = sample_rows or max(SAMPLE_ROWS, SAMPLE_EACH * parts)
     picked = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample_rows).select("v").collect()
     router = train(unit(np.array([r["v"] for r in picked], np.float64)), parts, seed, coverage)
 

@@ -23,6 +23,10 @@ S33 = np.uint64(33)
 BATCH_ROWS = 1000
 #: Bytes of text worked on at once in a task, unless one text is longer.
 PIECE_BYTES = 1 << 19
+#: Rows, and bytes of the corpus, for each task that writes a narrow table.
+TASK_ROWS, TASK_BYTES = 1 << 19, 64 << 20
+#: Paths of the tables stored by this process that are not deleted yet.
+STORED: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,27 +34,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local
+    session gets one of its own; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-folio-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def materialise(df: DataFrame, name: str, few: int = 0) -> DataFrame:
+def writers(spark: SparkSession, rows: int = 0, text_bytes: int = 0) -> int:
+    """Tasks to write a narrow table with: by its rows, or by the bytes of the texts that it is about."""
+    return max(1, min(shuffle_parts(spark), max(-(-rows // TASK_ROWS), -(-text_bytes // TASK_BYTES))))
+
+
+def materialise(df: DataFrame, name: str, parts: int = 0) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    ``few``: a table that is small beside the corpus goes to that fraction of the shuffle
-    partitions, so that many rounds do not leave thousands of tiny files.
+    ``parts`` tasks write it, or as many as ``df`` has: many rounds over small tables do not
+    leave thousands of tiny files, and large ones are written by many tasks.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
-    out = df.repartition(max(1, shuffle_parts(spark) // few)) if few else df
-    out.write.parquet(path)
+    (df.repartition(parts) if parts else df).write.parquet(path)
+    STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in list(paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        STORED.remove(path)
+
+
 def small_batches(df: DataFrame) -> None:
     """Arrow batches of this session hold few rows: texts are long, and a batch lies in the memory of both sides."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -62,9 +82,13 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """An eighth of the shuffle partitions (four at least) write the rows: larger files, tasks that take several partitions."""
-    return df.coalesce(max(4, shuffle_parts(df.sparkSession) // 8))
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+
+
+def digests(df: DataFrame) -> DataFrame:
+    """Narrow results of heavy work, exchanged so that fewer tasks write them; the work stays in all tasks."""
+    return df.repartition(max(1, shuffle_parts(df.sparkSession) // 6))
 
 
 def same_document(a: DataFrame, b: DataFrame):
@@ -163,6 +187,15 @@ def byte_values(lower: bool = False) -> np.ndarray:
     return values
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the bytes from each start to its end, by differences of one running sum."""
+    n = len(buf)
+    up, down = _powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(byte_values(lower)[buf] * up[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * GOLD)
+
+
 def word_spans(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, start, end and 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, in order; no word crosses a row."""
     n = len(buf)
@@ -178,12 +211,8 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tup
     first[cut] |= inside[cut]
     last[cut - 1] |= inside[cut - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(byte_values(lower)[buf] * up[:n], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * GOLD)
     row = np.searchsorted(offsets, start, "right") - 1
-    return row, start, end, h
+    return row, start, end, span_hashes(buf, start, end, lower)
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -212,10 +241,9 @@ def unpacked(col: pa.Array) -> Iterator[bytes]:
         yield expand(z.as_py())
 
 
-def bucket_count(docs: DataFrame, text_col: str = "text", bytes_each: int = 8 << 20) -> int:
-    """Buckets for packed exchanges: they grow with the text, so that one bucket stays small."""
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    return max(shuffle_parts(docs.sparkSession), -(-total // bytes_each))
+def bucket_count(spark: SparkSession, total: int, bytes_each: int = 8 << 20) -> int:
+    """Buckets for packed exchanges: they grow with the text's ``total`` bytes, so that one bucket stays small."""
+    return max(shuffle_parts(spark), -(-total // bytes_each))
 
 
 def pack_rows(keys: np.ndarray, rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -278,5 +306,4 @@ def cut_spans(docs: DataFrame, marks: DataFrame, keep_text: bool = False) -> Dat
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     schema += "".join(f", rest {docs.schema['rest'].dataType.simpleString()}" for _ in more)
     cut = joined.mapInArrow(work, schema)
-    # digests are small beside the texts they come from: fewer tasks write them
-    return cut if keep_text else cut.coalesce(max(1, shuffle_parts(docs.sparkSession) // 6))
+    return cut if keep_text else digests(cut)

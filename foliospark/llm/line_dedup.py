@@ -1,10 +1,11 @@
 """Line dedup: fuzzy lines by MinHash.
 
-A line is a set of shingles of SHINGLE bytes; a shorter line is its own one shingle, so only
-equal lines are like it, and they meet by their hash. The signature of a longer one has the least values of
-``BANDS * ROWS`` hash functions; lines whose signatures agree in a band are candidates,
-compared by the exact Jaccard similarity of their shingle sets. Distributed union-find
-joins equal and similar lines, and the first line of each component stays.
+A line is a set of shingles of SHINGLE characters; a line with fewer characters is its own
+one shingle, so only equal lines are like it, and they meet by their hash. The signature of
+a longer one has the least values of ``BANDS * ROWS`` hash functions; lines whose signatures
+agree in a band are candidates, compared by the exact Jaccard similarity of their shingle
+sets. Distributed union-find joins equal and similar lines, and the first line of each
+component stays.
 
 Recall of one pair at similarity s is ``1 - (1 - s**ROWS)**BANDS``: 0.985 at 0.8, 0.998
 at 0.85. All lines with one band key are compared with each other: up to FEW as pairs. The
@@ -14,19 +15,19 @@ of blocks finds links that connect what all its similar pairs connect.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, SPACES, bucket_count, buffers, cut_spans, materialise, mix, pack_rows, packed_texts, pieces, runs, same_document, unpack_rows, unpacked, with_text_hash, words8
+from .common import GOLD, SPACES, bucket_count, buffers, cut_spans, materialise, mix, pack_rows, packed_texts, pieces, runs, same_document, span_hashes, text_bytes, unpack_rows, unpacked, with_text_hash, words8, writers
 from .components import components
 
 SHINGLE = 8
 BANDS, ROWS = 8, 4
 SIMILARITY = 0.8
-#: Shorter lines are like equal lines only.
-LEAST_BYTES = SHINGLE
 LAST = (1 << 63) - 1
 BAND = np.dtype([("key", "<u8"), ("h", "<u8"), ("size", "<i4"), ("kind", "u1")])
 #: Kinds of band rows: of a key with few lines in this task, the first FEW of a key with more, and the others.
@@ -62,14 +63,33 @@ def line_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return np.array([digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
 
 
-def band_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each line and band."""
-    count = ends - starts - SHINGLE + 1
-    first = np.r_[0, np.cumsum(count)[:-1]]
-    at = np.repeat(starts - first, count) + np.arange(count.sum())
-    x = (mix(words8(buf)[at]) >> np.uint64(32)).astype(np.uint32)
+def shingles(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value for each shingle of each line, in order, and how many each line has.
+
+    Eight characters of a byte each are one number; wider ones have a hash of their bytes.
+    """
+    n = len(buf)
+    wide = n and int(buf.max()) >= 0x80
+    first = np.flatnonzero((buf & 0xC0) != 0x80) if wide else None  # where characters start
+    lo, hi = (np.searchsorted(first, starts), np.searchsorted(first, ends)) if wide else (starts, ends)
+    count = np.maximum(hi - lo - SHINGLE + 1, 0)
+    at = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+    if not wide:
+        return words8(buf)[at], count
+    s, e = first[at], np.minimum(np.r_[first, n][at + SHINGLE], np.repeat(ends, count))
+    values = words8(buf)[s]
+    more = np.flatnonzero(e - s > SHINGLE)
+    if len(more):
+        values[more] = span_hashes(buf, s[more], e[more])
+    return values, count
+
+
+def band_keys(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each line (of one shingle at least) and band."""
+    first = np.cumsum(count) - count
+    x = (mix(values) >> np.uint64(32)).astype(np.uint32)
     factors = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * GOLD) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    keys = np.zeros((BANDS, len(starts)), np.uint64)
+    keys = np.zeros((BANDS, len(count)), np.uint64)
     values = np.empty_like(x)
     for k in range(BANDS * ROWS):
         np.multiply(x, factors[k], out=values)
@@ -94,10 +114,10 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("text", "doc_id", "text_hash").mapInArrow(work, "doc_id long, text_hash long, start int, end int, h long")
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, total: int) -> DataFrame:
     """Lines that share a band key, as a, b, size: a pair of line hashes with size 0, or the key
-    (as signed long), the hash and the bytes of a line, for each line of a hot key."""
-    buckets = bucket_count(docs)
+    (as signed long), the hash and the bytes of a line, for each line of a hot key. ``total``: the bytes of all texts."""
+    buckets = bucket_count(docs.sparkSession, total)
 
     def flush(held):
         keys, hs, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -120,14 +140,16 @@ def candidates(docs: DataFrame) -> DataFrame:
             for lo, hi in pieces(offsets):
                 part, at = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 _, s, e = line_places(part, at)
-                long = e - s >= LEAST_BYTES
+                long = e - s >= SHINGLE
                 s, e = s[long], e[long]
                 h, first = np.unique(line_hashes(part, s, e), return_index=True)
-                if not len(h):
-                    continue
                 s, e = s[first], e[first]
-                keys = band_keys(part, s, e)
-                held.append((keys.ravel(), np.tile(h, BANDS), np.tile((e - s).astype(np.int32), BANDS)))
+                values, count = shingles(part, s, e)
+                long = count > 0
+                if not long.any():
+                    continue
+                keys = band_keys(values, count[long])
+                held.append((keys.ravel(), np.tile(h[long], BANDS), np.tile((e - s)[long].astype(np.int32), BANDS)))
                 size += keys.size
                 if size > HELD:
                     yield from flush(held)
@@ -167,8 +189,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h and the bytes of one line of each wanted hash."""
-    place = found.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("doc_id", "text_hash", "start", "end")).alias("p"))
+    """h and the bytes of one line of each wanted hash; the place of a line is aggregated before the join, partially before its exchange."""
+    place = found.groupBy("h").agg(F.min(F.struct("doc_id", "text_hash", "start", "end")).alias("p")).join(wanted, "h", "left_semi")
     of_doc = place.groupBy(F.col("p.doc_id").alias("doc_id"), F.col("p.text_hash").alias("text_hash")).agg(F.collect_list(F.struct("h", F.col("p.start").alias("s"), F.col("p.end").alias("e"))).alias("places"))
     packed = packed_texts(docs.select("doc_id", "text", "text_hash"))
     joined = packed.join(of_doc, same_document(packed, of_doc)).select("z", "places")
@@ -187,15 +209,15 @@ def line_texts(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFram
 
 
 def shingle_set(line: bytes) -> np.ndarray:
-    """The distinct shingles, each as one number of its eight bytes, sorted."""
-    return np.unique(words8(np.frombuffer(line, np.uint8))[: len(line) - SHINGLE + 1])
+    """The values of a line's distinct shingles, sorted."""
+    return np.unique(shingles(np.frombuffer(line, np.uint8), np.zeros(1, np.int64), np.full(1, len(line)))[0])
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the Jaccard similarity is SIMILARITY or more; sizes too far apart rule it out."""
+def alike(a: Collection[int], b: Collection[int]) -> bool:
+    """Whether the Jaccard similarity of two sets is SIMILARITY or more; sizes too far apart rule it out."""
     if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = len(a & b)
     return both / (len(a) + len(b) - both) >= SIMILARITY
 
 
@@ -257,7 +279,7 @@ def hot_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     each = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
     # keys with the same lines are one; stored, so that the join stands alone between its exchanges and a hot key can be split
     keys = each.groupBy("n", "bytes", "x", "y").agg(F.min("key").alias("key")).where("n > 1")
-    keys = materialise(keys.select("key", "bytes", F.greatest(lines_of, bytes_of).cast("int").alias("blocks")), "hot-keys", few=16)
+    keys = materialise(keys.select("key", "bytes", F.greatest(lines_of, bytes_of).cast("int").alias("blocks")), "hot-keys", writers(members.sparkSession, rows=members.count()))
     pools = max(1, (keys.where("blocks = 1").agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES)
     mine = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
     placed = (
@@ -288,23 +310,24 @@ def hot_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("pool", "key", "i", "j", "mine", "h", "line").groupBy("pool").applyInArrow(join, "a long, b long")
 
 
-def similar_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Edges a, b between hashes of different lines with a similarity of SIMILARITY or more."""
-    met = materialise(candidates(docs), "line-pairs", few=16)
+def similar_lines(docs: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """Edges a, b between hashes of different lines with a similarity of SIMILARITY or more. ``total``: the bytes of all texts."""
+    parts = writers(docs.sparkSession, text_bytes=total)
+    met = materialise(candidates(docs, total), "line-pairs", parts)
     pairs = met.where("size = 0").select("a", "b")
     members = met.where("size > 0").select(F.col("a").alias("key"), F.col("b").alias("h"), "size")
     nodes = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(members.select("h")).distinct()
-    texts = materialise(line_texts(docs, found, nodes), "line-texts", few=16)
+    texts = materialise(line_texts(docs, found, nodes), "line-texts", parts)
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
 
     def verify(batches):
-        known: dict[int, np.ndarray] = {}  # pairs come sorted by b, so its set is used again
+        known: dict[int, frozenset[int]] = {}  # pairs come sorted by b, so its set is used again
 
-        def of(h: int, line: bytes) -> np.ndarray:
+        def of(h: int, line: bytes) -> frozenset[int]:
             if h not in known:
-                if len(known) >= 2000:
+                if len(known) >= 500:
                     known.clear()
-                known[h] = shingle_set(line)
+                known[h] = frozenset(shingle_set(line).tolist())
             return known[h]
 
         for batch in batches:
@@ -317,12 +340,14 @@ def similar_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, end (with the line end) of each line that is not the first of its component."""
     found = lines(docs)
-    root = components(similar_lines(docs, found)).withColumnRenamed("node", "h")
+    total = text_bytes(docs)
+    parts = writers(docs.sparkSession, text_bytes=total)
+    root = components(similar_lines(docs, found, total), parts).withColumnRenamed("node", "h")
     group = found.join(root, "h", "left").withColumn("g", F.coalesce("root", "h"))
     order = F.coalesce("doc_id", F.lit(LAST))
     first = group.groupBy("g").agg(F.min(F.struct(order.alias("o"), F.col("start").alias("s"))).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # stored, so that the join stands alone between its exchanges and a hot group can be split
-    first = materialise(first, "first-lines", few=16)
+    first = materialise(first, "first-lines", parts)
     later = F.struct(order.alias("o"), F.col("start").alias("s")) > F.col("first")
     return group.join(first, "g").where(later).select("doc_id", "text_hash", "start", (F.col("end") + 1).alias("end"))
 
@@ -332,8 +357,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
 
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept; with ``rest`` a
     struct of the other columns). One row for each input row. Lines end at a line feed,
-    which goes with a removed line. A null text is empty. Lines under LEAST_BYTES are like
-equal lines only; blank ones (empty, or spaces shorter than a shingle) stay.
+    which goes with a removed line. A null text is empty. Lines of fewer than SHINGLE
+    characters are like equal lines only; blank ones (empty, or under SHINGLE bytes of white space) stay.
     Rows with the same doc_id and text are one document; a null doc_id comes last, and of
     lines at the same place of null ids all stay. An empty table gives an empty result.
     """

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, writers
 
 LEVELS = ["domain", "lang", "source"]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,7 +81,7 @@ def shared_out(children: DataFrame, parent: list[str], name: str, weights: Mappi
 def budgets(narrow: DataFrame, percent: int, max_epochs: int, weights: list[Mapping[str, int]]) -> DataFrame:
     """domain, lang, source, whole (epochs) and left (tokens of one more epoch) of each leaf."""
     leaf = narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
-    leaf = materialise(leaf.withColumn("cap", F.col("tokens") * max_epochs), "leaves", few=64)
+    leaf = materialise(leaf.withColumn("cap", F.col("tokens") * max_epochs), "leaves", 1)
     total = leaf.agg(F.sum("tokens")).first()[0] or 0
     above = None
     for depth, name in enumerate(LEVELS):
@@ -113,7 +113,7 @@ def thresholds(narrow: DataFrame, budget: DataFrame, seed: int) -> DataFrame:
         upto = F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bin"))
         sums = sums.withColumn("upto", upto).where("upto > left")
         edge = sums.groupBy(*LEVELS).agg(F.min_by(F.struct("bin", (F.col("left") - (F.col("upto") - F.col("n"))).alias("left")), "bin").alias("e"))
-        edge = materialise(edge.select(*LEVELS, F.col("e.left").alias("left"), F.col("e.bin").alias("prefix")), "edges", few=64)
+        edge = materialise(edge.select(*LEVELS, F.col("e.left").alias("left"), F.col("e.bin").alias("prefix")), "edges", 1)
     inside = rows.drop("left").join(edge, LEVELS).where(F.expr("startswith(key, prefix)")).groupBy(*LEVELS, "left", "key").agg(F.sum("tokens").alias("n"))
     taken = inside.withColumn("upto", F.sum("n").over(W.partitionBy(*LEVELS).orderBy("key"))).where("upto <= left")
     last = taken.groupBy(*LEVELS).agg(F.max("key").alias("last"))
@@ -133,9 +133,9 @@ def mixed(docs: DataFrame, percent: int = 60, max_epochs: int = 2, seed: int = 1
     domain = default_domain() if domain is None else domain
     weights = weights or [DOMAIN_WEIGHTS, LANG_WEIGHTS, {}]
     all_rows = leaves(docs, domain)
-    narrow = materialise(all_rows.drop("row"), "tokens", few=16)
-    budget = materialise(budgets(narrow, percent, max_epochs, weights), "budgets", few=64)
-    upto = materialise(thresholds(narrow, budget, seed), "thresholds", few=64)
+    narrow = materialise(all_rows.drop("row"), "tokens", writers(docs.sparkSession, rows=docs.count()))
+    budget = materialise(budgets(narrow, percent, max_epochs, weights), "budgets", 1)
+    upto = materialise(thresholds(narrow, budget, seed), "thresholds", 1)
     # one row a leaf, and small enough to be broadcast unless there are very many leaves
     rows = all_rows.join(upto, LEVELS)
     one_more = F.coalesce(epoch_key(F.col("whole"), seed) <= F.col("upto"), F.lit(False))

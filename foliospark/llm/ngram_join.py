@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import GOLD, bucket_count, buffers, materialise, mix, pack_rows, packed_texts, pieces, runs, same_document, shuffle_parts, unpack_rows, unpacked, with_text_hash, word_spans
+from .common import GOLD, bucket_count, buffers, materialise, mix, pack_rows, packed_texts, pieces, runs, same_document, shuffle_parts, text_bytes, unpack_rows, unpacked, with_text_hash, word_spans, writers
 from .components import components
 
 WORDS = 5
@@ -83,10 +83,11 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes())
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
+def prefixes(docs: DataFrame, total: int) -> DataFrame:
     """Rows of two kinds. Members: doc_id, text_hash, cls, n of each text. Shares: cls and in ``n``
-    how many shingles of its 30 % prefix other classes have in theirs (in parts, one a bucket)."""
-    buckets = bucket_count(docs)
+    how many shingles of its 30 % prefix other classes have in theirs (in parts, one a bucket).
+    ``total``: the bytes of all texts."""
+    buckets = bucket_count(docs.sparkSession, total)
 
     def flush(members, sets):
         rows = np.array(members, MEMBER)
@@ -315,15 +316,15 @@ def links_in(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-def class_links(docs: DataFrame, members: DataFrame, shares: DataFrame) -> DataFrame:
+def class_links(docs: DataFrame, members: DataFrame, shares: DataFrame, total_bytes: int) -> DataFrame:
     """Edges a, b between classes: they connect just what the links of all pairs connect."""
     size = members.select("cls", F.col("n").alias("size")).distinct()
     shared = shares.groupBy("cls").agg(F.sum("n").alias("shared"))
     # a share of ceil(n / 10) on both sides: of the smaller set's, 8 % of this one's size at least
     left = shared.join(size, "cls").where("100 * shared >= 8 * size").select("cls")
     sets = materialise(sets_of(docs.select("doc_id", "text", "text_hash"), members, left), "sets")
-    found = materialise(groups(sets), "groups", few=16)
     spark = docs.sparkSession
+    found = materialise(groups(sets), "groups", writers(spark, text_bytes=total_bytes))
     total = found.count()
     block = min(MOST_BLOCK, max(LEAST_BLOCK, total // (4 * shuffle_parts(spark))))
     count = found.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1").select("leader", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
@@ -345,9 +346,11 @@ def class_links(docs: DataFrame, members: DataFrame, shares: DataFrame) -> DataF
 
 def linked_groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n and the group ``g`` of each row of ``with_text_hash``."""
-    both = materialise(prefixes(docs), "prefixes", few=16)
+    total = text_bytes(docs)
+    parts = writers(docs.sparkSession, text_bytes=total)
+    both = materialise(prefixes(docs, total), "prefixes", parts)
     members = both.where("member").drop("member")
-    root = components(class_links(docs, members, both.where("not member").select("cls", "n")))
+    root = components(class_links(docs, members, both.where("not member").select("cls", "n"), total), parts)
     return members.join(root.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "cls").alias("g"))
 
 
@@ -362,9 +365,10 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = with_text_hash(docs, id_col, text_col)
     group = linked_groups(docs)
-    group = materialise(group, "linked", few=16)
+    parts = writers(docs.sparkSession, rows=docs.count())
+    group = materialise(group, "linked", parts)
     # stored, so that the join stands alone between its exchanges and a hot group can be split
-    least = materialise(group.where("n > 0").groupBy("g").agg(F.min("doc_id").alias("least")), "least", few=16)
+    least = materialise(group.where("n > 0").groupBy("g").agg(F.min("doc_id").alias("least")), "least", parts)
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return group.join(least, "g", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
@@ -376,7 +380,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     set are linked with nothing and all stay.
     """
     rows = with_text_hash(docs, rest=True)
-    group = materialise(linked_groups(rows.select("doc_id", "text", "text_hash")), "linked", few=16)
+    group = materialise(linked_groups(rows.select("doc_id", "text", "text_hash")), "linked", writers(docs.sparkSession, rows=rows.count()))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     keep = group.where("n > 0").groupBy("g").agg(F.min(first).alias("f")).select(F.col("f.doc_id").alias("doc_id"), F.col("f.text_hash").alias("text_hash"), F.lit(True).alias("once"))
     keep = keep.union(group.where("n = 0").select("doc_id", "text_hash", F.lit(False)).distinct())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, materialise, pieces, small_batches, word_spans
+from .common import buffers, materialise, pieces, small_batches, word_spans, writers
 
 CAPITAL, SMALL, DIGIT, SPACE, STOP, BANG, BAR, SYMBOL = range(8)
 KINDS = np.full(256, SYMBOL)
@@ -156,7 +156,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
     itself: repeated rows, ties and null ids need no rule; an empty table gives an empty
     result. The counts are stored once in the shared folder and read for both passes.
     """
-    stats = materialise(statistics(docs, id_col, text_col, carry), "quality", few=16)
+    stats = materialise(statistics(docs, id_col, text_col, carry), "quality", writers(docs.sparkSession, rows=docs.count()))
     model = fit(stats, labels)
     xs = [f"__x{i}" for i in range(len(FEATURES))]
     with_x = stats.select("doc_id", *(carry or []), *(c.alias(x) for c, x in zip(model.features(), xs, strict=True)))
@@ -170,7 +170,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     The model is fitted on stored counts; texts are counted again where they are filtered,
     so that they go through no shuffle.
     """
-    model = fit(materialise(statistics(docs), "quality", few=16), labels)
+    model = fit(materialise(statistics(docs), "quality", writers(docs.sparkSession, rows=docs.count())), labels)
     xs = [f"__x{i}" for i in range(len(FEATURES))]
     rows = docs.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
     scored = statistics(rows, carry=["__row"]).select("__row", *(c.alias(x) for c, x in zip(model.features(), xs, strict=True)))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, buffers, cut_spans, mix, pieces, with_text_hash
+from .common import GOLD, buffers, cut_spans, materialise, mix, pieces, text_bytes, with_text_hash, writers
 
 REACH = 32
 #: Longer chunks (periodic text has no single largest hash) are cut at this stride.
@@ -94,7 +94,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """Chunks whose digest occurs earlier: in a smaller doc_id, or further left in the same one.
 
     The least place of each digest is a partially aggregated minimum; chunks are joined
-    with the digests that occur more than once, a join whose hot keys Spark can split.
+    with the digests that occur more than once. Those are stored first, so that the join
+    stands alone between its exchanges and Spark can split a hot digest.
     """
     found = chunks(docs)
     order = F.coalesce("doc_id", F.lit(LAST))
@@ -104,6 +105,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         .where("n > 1")
         .select(F.col("d1").alias("f1"), F.col("d2").alias("f2"), "first")
     )
+    first = materialise(first, "first-chunks", writers(docs.sparkSession, text_bytes=text_bytes(docs)))
     later = F.struct(order.alias("o"), F.col("start").alias("s")) > F.col("first")
     return found.join(first, (F.col("d1") == F.col("f1")) & (F.col("d2") == F.col("f2"))).where(later).select("doc_id", "text_hash", "start", "end")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, bucket_count, buffers, materialise, mix, pieces, runs, shuffle_parts, spans_of, unpacked, with_text_hash, words8
+from .common import GOLD, bucket_count, buffers, digests, materialise, mix, pieces, runs, spans_of, text_bytes, unpacked, with_text_hash, words8
 
 LENGTH = 50
 GRAM = 16
@@ -334,7 +334,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     clash = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").limit(1).count() > 0
     own = F.col("doc_id").isNull() | F.lit(clash)
     docs = docs.withColumn("ord", F.coalesce("doc_id", F.lit(LAST))).withColumn("tag", F.when(own, F.pmod("text_hash", F.lit(1 << 32))).otherwise(F.lit(0)))
-    buckets = bucket_count(docs)
+    buckets = bucket_count(docs.sparkSession, text_bytes(docs))
 
     def pack(batches):
         import zstandard
@@ -364,12 +364,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * keep_text
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)
 
-    first = materialise(dictionary(phrases(docs, buckets), buckets), "phrases", few=16)
+    first = materialise(dictionary(phrases(docs, buckets), buckets), "phrases")
     texts = docs.select("text", "ord", "tag", "doc_id").mapInArrow(pack, "bucket int, ord long, tag long, doc_id long, z binary")
     open_ = first.where(F.col("kind") != REMOVED)
     later = sorted_runs(suffixes(texts, open_, buckets), buckets)
     gone = first.where(F.col("kind") == REMOVED).union(later)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     result = texts.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(cut, schema)
-    # digests are small beside the texts they come from: fewer tasks write them
-    return result if keep_text else result.coalesce(max(1, shuffle_parts(docs.sparkSession) // 6))
+    return result if keep_text else digests(result)

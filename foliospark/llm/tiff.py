@@ -39,6 +39,8 @@ WIDTH = 192
 PAGE_ROWS = 1024
 STRIP_ROWS = 32
 TILE_SIDE = 64
+#: Pixels of a page, strip or tile that are read; a header that claims more is an error.
+MOST_PIXELS = 1 << 28
 
 
 class TiffError(ValueError):
@@ -183,10 +185,14 @@ def pack(block: np.ndarray, compression: int, predictor: int) -> bytes:
 
 def unpack(data: bytes, rows: int, width: int, compression: int, predictor: int) -> np.ndarray:
     size = rows * width
+    if not 0 < size <= MOST_PIXELS:
+        raise TiffError("a strip or tile has no pixels or too many")
+    if predictor not in (1, 2):
+        raise TiffError(f"predictor {predictor} is not read")
     if compression == LZW:
         raw = unlzw(data, size)
     elif compression in (DEFLATE, OLD_DEFLATE):
-        raw = zlib.decompress(data)
+        raw = zlib.decompressobj().decompress(data, size)
     elif compression == PACKBITS:
         raw = unpackbits(data, size)
     elif compression == NONE:
@@ -267,16 +273,20 @@ def decode_pages(data: bytes) -> Iterator[Page]:
         (at,) = struct.unpack_from(order + "L", data, at + 2 + 12 * n)
 
         def one(tag: int, default: int, tags: dict = tags) -> int:
-            return tags.get(tag, (default,))[0]
+            return (tags.get(tag) or (default,))[0]
 
         width, height = one(WIDTH_TAG, 0), one(HEIGHT_TAG, 0)
         compression, predictor = one(COMPRESSION_TAG, NONE), one(PREDICTOR_TAG, 1)
         if one(BITS_TAG, 1) != 8 or one(SAMPLES_TAG, 1) != 1:
             raise TiffError("only one 8-bit sample a pixel is read")
+        if not 0 < width * height <= MOST_PIXELS:
+            raise TiffError("a page has no pixels or too many")
         image = np.zeros((height, width), np.uint8)
         if tiled := TILE_OFFSETS_TAG in tags:
             tw, th = one(TILE_WIDTH_TAG, 0), one(TILE_HEIGHT_TAG, 0)
             across = -(-width // tw)
+            if len(tags[TILE_OFFSETS_TAG]) < across * -(-height // th):
+                raise TiffError("tiles are missing")
             for k, (o, size) in enumerate(zip(tags[TILE_OFFSETS_TAG], tags[TILE_BYTES_TAG], strict=True)):
                 y, x = k // across * th, k % across * tw
                 block = unpack(data[o : o + size], th, tw, compression, predictor)
@@ -284,6 +294,8 @@ def decode_pages(data: bytes) -> Iterator[Page]:
                 part[:] = block[: part.shape[0], : part.shape[1]]
         else:
             step = one(ROWS_PER_STRIP_TAG, height)
+            if len(tags[STRIP_OFFSETS_TAG]) * step < height:
+                raise TiffError("strips are missing")
             for k, (o, size) in enumerate(zip(tags[STRIP_OFFSETS_TAG], tags[STRIP_BYTES_TAG], strict=True)):
                 rows = min(step, height - k * step)
                 image[k * step : k * step + rows] = unpack(data[o : o + size], rows, width, compression, predictor)
@@ -307,7 +319,8 @@ def pages(df: DataFrame, media_col: str = "media", id_col: str = "id") -> DataFr
 
     Columns id, page, width, height, compression, predictor, tiled, samples, error. A null
     file gives no row; bytes that are no readable TIFF give one row with ``error`` set and
-    the rest null. Repeated rows give repeated pages.
+    the rest null: cut off files, empty fields, sides over MOST_PIXELS, data that would
+    expand beyond its strip or tile, unknown codes. Repeated rows give repeated pages.
     """
 
     def read(batches):
@@ -319,7 +332,7 @@ def pages(df: DataFrame, media_col: str = "media", id_col: str = "id") -> DataFr
                 try:
                     for p in decode_pages(data):
                         out.append((key, p.number, p.width, p.height, NAMES[p.compression], p.predictor, p.tiled, p.samples, None))
-                except (TiffError, struct.error, zlib.error, ValueError, ZeroDivisionError, KeyError) as e:
+                except (TiffError, struct.error, zlib.error, ValueError, ArithmeticError, LookupError, MemoryError) as e:
                     out.append((key, *[None] * 7, str(e) or type(e).__name__))
                 if sum(len(r[7] or b"") for r in out) > 8 << 20:
                     yield as_batch(out)

@@ -88,7 +88,7 @@ def test_suffix_dedup_in_small_flushes(spark, awkward, monkeypatch):
 
 
 def test_line_dedup(spark, awkward):
-    plain = brute.fuzzy_lines(awkward, line_dedup.LEAST_BYTES, line_dedup.SHINGLE, line_dedup.SIMILARITY)
+    plain = brute.fuzzy_lines(awkward, line_dedup.SHINGLE, line_dedup.SIMILARITY)
     assert collected(line_dedup.dedup(frame(spark, awkward)), awkward, CUT) == expected(awkward, plain)
 
 
@@ -100,7 +100,7 @@ def test_line_recall(spark):
         words = line.split()
         words[rng.randrange(40)] = "changed"
         rows += [(2 * i, line), (2 * i + 1, " ".join(words))]
-    plain = brute.fuzzy_lines(rows, line_dedup.LEAST_BYTES, line_dedup.SHINGLE, line_dedup.SIMILARITY)
+    plain = brute.fuzzy_lines(rows, line_dedup.SHINGLE, line_dedup.SIMILARITY)
     pairs = sum(1 for r in plain if r[1])
     got = line_dedup.dedup(frame(spark, rows)).where("n_removed > 0").count()
     assert pairs > 100 and got >= 0.95 * pairs
@@ -118,12 +118,36 @@ def test_line_dedup_of_a_large_family(spark, lines, monkeypatch):
         for k in range(0, 24, 8):  # three edits at different places: about 24 of 293 shingles
             line[(at + 91 * k // 8) % 300] = chr(65 + (i + k) % 26)
         rows.append((i, "".join(line)))
-    plain = brute.fuzzy_lines(rows, line_dedup.LEAST_BYTES, line_dedup.SHINGLE, line_dedup.SIMILARITY)
+    plain = brute.fuzzy_lines(rows, line_dedup.SHINGLE, line_dedup.SIMILARITY)
     assert sum(1 for r in plain if r[1]) == 300
     got = line_dedup.dedup(frame(spark, rows).repartition(3))
     assert collected(got, rows, CUT) == expected(rows, plain)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуф", "日本語文字列行書化物語"])
+def test_line_dedup_inside_a_template(spark, letters):
+    """Pairs of near-duplicates among lines of one template: recall as of lines alone, whatever the partitions."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(letters) for _ in range(8))
+    frame_ = [word() for _ in range(40)]
+    rows = []
+    for i in range(200):
+        base = list(frame_)
+        for k in (3, 15, 27):
+            base[k] = word()
+        other = list(base)
+        other[39] = word()
+        other[33] = word()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    grams = [{t[k : k + 8] for k in range(len(t) - 7)} for _, t in rows]
+    share = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    assert 0.8 < share(0, 1) and share(0, 2) < 0.8
+    plain = brute.fuzzy_lines(rows, line_dedup.SHINGLE, line_dedup.SIMILARITY)
+    found = [sorted(r.doc_id for r in line_dedup.dedup(frame(spark, rows).repartition(n)).where("n_removed > 0").collect()) for n in (1, 7)]
+    assert found[0] == found[1] and len(found[0]) >= 0.95 * sum(1 for r in plain if r[1])
+    assert sum(1 for r in plain if r[1]) >= 200
+
+
 def test_line_dedup_of_short_lines(spark):
     """Short lines go where they are repeated, similar ones from a shingle's length on; blank lines stay."""
     texts = ["Read more\nShare\n\n  \nab\nhome page 12", "ac\nShare\nRead more\n\n  \nhome page 123", "Share\n\nNew\nab", "Share\nab \n\t\n\t"]
@@ -133,6 +157,7 @@ def test_line_dedup_of_short_lines(spark):
 
 @pytest.mark.parametrize("left", [0, 40])
 def test_line_links_connect_what_all_pairs_do(left):
+    alike = lambda a, b: line_dedup.alike(set(a.tolist()), set(b.tolist()))
     rng = np.random.default_rng(6)
     families = [rng.integers(0, 10**6, 60) for _ in range(4)]
     for _ in range(20):
@@ -142,9 +167,9 @@ def test_line_links_connect_what_all_pairs_do(left):
             s[rng.choice(60, rng.integers(0, 12), replace=False)] = rng.integers(0, 10**6)
             sets.append(np.unique(s))
         both = lambda i, j: left == 0 or (i < left) != (j < left)
-        pairs = [(i, j) for i in range(90) for j in range(i) if both(i, j) and line_dedup.alike(sets[i], sets[j])]
+        pairs = [(i, j) for i in range(90) for j in range(i) if both(i, j) and alike(sets[i], sets[j])]
         links = line_dedup.group_links(sets, left)
-        assert all(both(i, j) and line_dedup.alike(sets[i], sets[j]) for i, j in links)
+        assert all(both(i, j) and alike(sets[i], sets[j]) for i, j in links)
         assert brute.components(range(90), links) == brute.components(range(90), pairs)
 
 
@@ -293,6 +318,27 @@ def test_search_recall_and_ties(spark):
     assert [v for _, v, _ in sorted(got[100])] == [101, 102, 103, 104, 105]
 
 
+def test_search_recall_on_given_vectors(spark):
+    """Against brute force over all rows, and with more partitions than the smallest number."""
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    asked = np.flatnonzero(ids % 50 == 0)
+    best = {}
+    for q in asked:
+        s = u @ u[q]
+        s[q] = -9
+        best[ids[q]] = set(ids[np.lexsort((ids, -s))[:5]].tolist())
+    for parts in (None, 24):
+        got: dict = {}
+        found = queries.op7_ann(spark, d) if parts is None else ann.search(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 50 == 0, parts=parts)
+        for r in found.collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert set(got) == set(best) and all(len(v) == 5 for v in got.values())
+        assert sum(len(best[q] & got[q]) for q in best) >= 0.9 * 5 * len(best)
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
@@ -407,6 +453,53 @@ def test_pages_report_errors(spark):
     assert sorted((r.id, r.error is None) for r in got) == [(1, True), (1, True), (2, False), (4, False), (5, False)]
 
 
+def patched(data: bytes, tag: int, **new) -> bytes:
+    """``data`` (one page, little-endian) with other values in the entry of ``tag``."""
+    import struct
+
+    out = bytearray(data)
+    (at,) = struct.unpack_from("<L", out, 4)
+    (n,) = struct.unpack_from("<H", out, at)
+    for k in range(n):
+        where = at + 2 + 12 * k
+        if struct.unpack_from("<H", out, where)[0] == tag:
+            if "count" in new:
+                struct.pack_into("<L", out, where + 4, new["count"])
+            if "value" in new:
+                struct.pack_into("<L", out, where + 8, new["value"])
+    return bytes(out)
+
+
+def test_broken_files_are_error_rows(spark):
+    """One bad file is a row, not the job's end: empty fields, huge sides, bombs, missing parts."""
+    good = {c: tiff.encode(tiff.payload_of(b"abc" * 400), c) for c in (tiff.NONE, tiff.DEFLATE, tiff.LZW, tiff.PACKBITS)}
+    tiles = tiff.encode(tiff.payload_of(b"abc" * 400), tiff.DEFLATE, 1, True)
+    bomb = zlib.compress(bytes(1 << 26), 9)
+    rows = [good[tiff.DEFLATE], *(patched(good[tiff.DEFLATE], t, count=0) for t in (256, 257, 258, 259, 273, 277, 278, 279, 317)), patched(good[tiff.DEFLATE], 256, value=1 << 30), patched(good[tiff.DEFLATE], 257, value=(1 << 32) - 1)]
+    rows += [patched(good[tiff.DEFLATE], 278, value=0), patched(good[tiff.DEFLATE], 317, value=3), patched(good[tiff.DEFLATE], 259, value=7), patched(good[tiff.DEFLATE], 256, count=(1 << 32) - 1)]
+    rows += [patched(tiles, 322, value=0), patched(tiles, 322, value=60000), patched(tiles, 323, value=1), good[tiff.LZW][:30], *(g[:-9] for g in good.values())]
+    big = tiff.encode(bytes(192 * 32), tiff.DEFLATE)
+    rows.append(patched(patched(big + bomb, 273, value=len(big)), 279, value=len(bomb)))
+    got = {r.id: r for r in tiff.pages(spark.createDataFrame(list(enumerate(rows)), "id long, media binary")).collect()}
+    assert len(got) == len(rows)
+    assert got[0].error is None and got[len(rows) - 1].samples == bytes(192 * 32)  # the bomb is read as far as its strip goes
+    ignored = {i for i, t in enumerate((256, 257, 258, 259, 273, 277, 278, 279, 317), 1) if t in (277, 278, 317)}  # fields with a default
+    assert all((got[i].error is None) == (i in ignored) for i in range(1, len(rows) - 1)), [(i, got[i].error) for i in got]
+
+
+def test_stored_form_and_feature(spark, awkward):
+    """media_sha256, media_bytes and feature are those of the stored file and of what it holds."""
+    names = {tiff.NONE: "none", tiff.LZW: "lzw", tiff.DEFLATE: "deflate", tiff.PACKBITS: "packbits"}
+    for r in tiff.store_texts(frame(spark, awkward), keep_media=True).collect():
+        assert (r.media_bytes, r.media_sha256) == (len(r.media), sha256(r.media).hexdigest())
+        raw = b"".join(p.samples for p in tiff.decode_pages(r.media))
+        assert sha256(raw).hexdigest() == r.payload_sha256
+        code, predictor, tiled = tiff.layout_for(raw)
+        counts = [raw.count(bytes((i,))) for i in range(256)]
+        rows = len(raw) // 192
+        assert r.feature == f"192x{rows} pages={-(-rows // 1024)} {names[code]} predictor={predictor} {'tiles' if tiled else 'strips'} levels={sum(c > 0 for c in counts)} mode={counts.index(max(counts))} sum={sum(raw)}"
+
+
 def test_store_texts(spark, awkward):
     got = collected(tiff.store_texts(frame(spark, awkward)), awkward, ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"])
 
