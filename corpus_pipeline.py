@@ -1,8 +1,8 @@
 """The corpus pipeline: documents through quality, dedup, mixing and tokenizing stages.
 
 Each stage works on all that the one before it kept. The first four return the columns of
-``documents``, the last one the digests of each document's ids and decoded text. A stage
-that only scans leaves a file for several tasks' worth of rows.
+``documents``, the last one the digests of each document's ids and decoded text. Heavy work
+stays in all tasks; only the digests are exchanged, so that fewer tasks write them.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import line_dedup, mixing, ngram_join, quality, sp_codec
-from foliospark.llm.common import few_files, materialise, table
+from foliospark.llm.common import STORED, digests, forget, materialise, table
 from foliospark.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return few_files(quality.accepted(docs, table(spark, sf_dir, "labels")))
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +31,12 @@ def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Eighty of a hundred tokens, by the target weights; no document twice."""
-    return few_files(mixing.mixed(docs, percent=80, max_epochs=1, as_documents=True))
+    return mixing.mixed(docs, percent=80, max_epochs=1, as_documents=True)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encoded and decoded texts, as digests."""
-    return few_files(sp_codec.encode_texts(docs, tokenizer_path(), keep_words=False, piece_chars=1 << 19))
+    return digests(sp_codec.encode_texts(docs, tokenizer_path(), keep_words=False, piece_chars=1 << 19))
 
 
 STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("ngram_join", join_stage), ("mixing", mixing_stage), ("sentencepiece", token_stage)]
@@ -46,10 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what one stage keeps is written and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what one stage keeps is written and read again by the next.
+
+    A stage's own tables, and the documents before it, are deleted once its result is written.
+    """
+    docs, start = table(spark, sf_dir, "documents"), len(STORED)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"stage{k}")
+            forget(spark, STORED[start:-1])
     return docs
