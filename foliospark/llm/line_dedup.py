@@ -15,8 +15,6 @@ of blocks finds links that connect what all its similar pairs connect.
 
 from __future__ import annotations
 
-from collections.abc import Collection
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,25 +61,32 @@ def line_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return np.array([digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
 
 
-def shingles(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit value for each shingle of each line, in order, and how many each line has.
+def shingles(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order in which lines are taken, a 64-bit value for each of their shingles, and how many each line has.
 
     Eight characters of a byte each are one number; wider ones have a hash of their bytes.
+    Lines with wide characters come last: only they are searched for where characters start.
     """
-    n = len(buf)
-    wide = n and int(buf.max()) >= 0x80
-    first = np.flatnonzero((buf & 0xC0) != 0x80) if wide else None  # where characters start
-    lo, hi = (np.searchsorted(first, starts), np.searchsorted(first, ends)) if wide else (starts, ends)
-    count = np.maximum(hi - lo - SHINGLE + 1, 0)
-    at = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-    if not wide:
-        return words8(buf)[at], count
-    s, e = first[at], np.minimum(np.r_[first, n][at + SHINGLE], np.repeat(ends, count))
-    values = words8(buf)[s]
-    more = np.flatnonzero(e - s > SHINGLE)
-    if len(more):
-        values[more] = span_hashes(buf, s[more], e[more])
-    return values, count
+    high = np.r_[0, np.cumsum(buf >= 0x80)]
+    wide = high[ends] > high[starts]
+    order = np.argsort(wide, kind="stable")
+    plain = order[: len(order) - int(wide.sum())]
+    s, count = starts[plain], np.maximum(ends[plain] - starts[plain] - SHINGLE + 1, 0)
+    values = words8(buf)[np.repeat(s - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    if len(plain) == len(order):
+        return order, values, count
+    s, size = starts[order[len(plain) :]], (ends - starts)[order[len(plain) :]]
+    to = np.cumsum(size)
+    own = buf[np.repeat(s - to + size, size) + np.arange(to[-1])]
+    first = np.flatnonzero((own & 0xC0) != 0x80)
+    lo, hi = np.searchsorted(first, to - size), np.searchsorted(first, to)
+    more = np.maximum(hi - lo - SHINGLE + 1, 0)
+    at = np.repeat(lo - np.cumsum(more) + more, more) + np.arange(more.sum())
+    s, e = first[at], np.minimum(np.r_[first, len(own)][at + SHINGLE], np.repeat(to, more))
+    found = words8(own)[s]
+    far = np.flatnonzero(e - s > SHINGLE)
+    found[far] = span_hashes(own, s[far], e[far])
+    return order, np.r_[values, found], np.r_[count, more]
 
 
 def band_keys(values: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -144,12 +149,12 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
                 s, e = s[long], e[long]
                 h, first = np.unique(line_hashes(part, s, e), return_index=True)
                 s, e = s[first], e[first]
-                values, count = shingles(part, s, e)
-                long = count > 0
-                if not long.any():
+                order, values, count = shingles(part, s, e)
+                order = order[count > 0]
+                if not len(order):
                     continue
-                keys = band_keys(values, count[long])
-                held.append((keys.ravel(), np.tile(h[long], BANDS), np.tile((e - s)[long].astype(np.int32), BANDS)))
+                keys = band_keys(values, count[count > 0])
+                held.append((keys.ravel(), np.tile(h[order], BANDS), np.tile((e - s)[order].astype(np.int32), BANDS)))
                 size += keys.size
                 if size > HELD:
                     yield from flush(held)
@@ -208,17 +213,26 @@ def line_texts(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFram
     return joined.mapInArrow(work, "h long, line binary").dropDuplicates(["h"])
 
 
-def shingle_set(line: bytes) -> np.ndarray:
-    """The values of a line's distinct shingles, sorted."""
-    return np.unique(shingles(np.frombuffer(line, np.uint8), np.zeros(1, np.int64), np.full(1, len(line)))[0])
+def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """The values of the distinct shingles of each line, sorted."""
+    to = np.cumsum([len(x) for x in lines])
+    order, values, count = shingles(np.frombuffer(b"".join(lines), np.uint8), np.r_[0, to[:-1]], to)
+    found = np.split(values, np.cumsum(count)[:-1])
+    out: list[np.ndarray] = [values[:0]] * len(lines)
+    for i, v in zip(order.tolist(), found, strict=True):
+        v.sort()
+        out[i] = v[runs(v)]
+    return out
 
 
-def alike(a: Collection[int], b: Collection[int]) -> bool:
-    """Whether the Jaccard similarity of two sets is SIMILARITY or more; sizes too far apart rule it out."""
-    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is SIMILARITY or more; sizes too far apart rule it out."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < SIMILARITY * len(b):
         return False
-    both = len(a & b)
-    return both / (len(a) + len(b) - both) >= SIMILARITY
+    both = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
+    return bool(both / (len(a) + len(b) - both) >= SIMILARITY)
 
 
 def group_links(sets: list[np.ndarray], left: int = 0) -> list[tuple[int, int]]:
@@ -301,7 +315,7 @@ def hot_links(members: DataFrame, texts: DataFrame) -> DataFrame:
             left = int((mine[at] == i[at]).sum()) if i[at[0]] != j[at[0]] else 0
             if len(at) < 2 or i[at[0]] != j[at[0]] and left in (0, len(at)):
                 continue
-            for x, y in group_links([shingle_set(text[k].as_py()) for k in at.tolist()], left):
+            for x, y in group_links(shingle_sets([text[k].as_py() for k in at.tolist()]), left):
                 a.append(h[at[x]])
                 b.append(h[at[y]])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -321,18 +335,17 @@ def similar_lines(docs: DataFrame, found: DataFrame, total: int) -> DataFrame:
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
 
     def verify(batches):
-        known: dict[int, frozenset[int]] = {}  # pairs come sorted by b, so its set is used again
-
-        def of(h: int, line: bytes) -> frozenset[int]:
-            if h not in known:
-                if len(known) >= 500:
-                    known.clear()
-                known[h] = frozenset(shingle_set(line).tolist())
-            return known[h]
-
+        known: dict[int, np.ndarray] = {}  # pairs come sorted by b, so its set is used again
         for batch in batches:
-            same = [alike(of(a, x), of(b, y)) for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
-            yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(same, pa.bool_()))
+            for lo in range(0, len(batch), 500):
+                a, b, x, y = (batch.column(k).slice(lo, 500).to_pylist() for k in range(4))
+                new = {h: line for h, line in zip(a + b, x + y, strict=True) if h not in known}
+                if len(known) + len(new) > 4000:
+                    known, new = {}, dict(zip(a + b, x + y, strict=True))
+                if new:
+                    known |= zip(new, shingle_sets([*new.values()]), strict=True)
+                same = [alike(known[i], known[j]) for i, j in zip(a, b, strict=True)]
+                yield pa.record_batch([c.slice(lo, 500) for c in batch.columns[:2]], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").union(hot_links(members, texts))
 
