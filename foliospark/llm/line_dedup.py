@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, SPACES, bucket_count, buffers, cut_spans, materialise, mix, pack_rows, packed_texts, pieces, runs, same_document, span_hashes, text_bytes, unpack_rows, unpacked, with_text_hash, words8, writers
+from .common import GOLD, SPACES, bucket_count, buffers, cut_spans, materialise, mix, pack_rows, packed_texts, pieces, runs, same_document, span_hashes, text_bytes, tidied, unpack_rows, unpacked, with_text_hash, words8, writers
 from .components import components
 
 SHINGLE = 8
@@ -116,7 +116,7 @@ def lines(docs: DataFrame) -> DataFrame:
                 h = line_hashes(part, s, e).view(np.int64)
                 yield pa.record_batch([batch.column(1).take(take), batch.column(2).take(take), pa.array((s - at[row]).astype(np.int32)), pa.array((e - at[row]).astype(np.int32)), pa.array(h)], ["doc_id", "text_hash", "start", "end", "h"])
 
-    return docs.select("text", "doc_id", "text_hash").mapInArrow(work, "doc_id long, text_hash long, start int, end int, h long")
+    return docs.select("text", "doc_id", "text_hash").mapInArrow(tidied(work), "doc_id long, text_hash long, start int, end int, h long")
 
 
 def candidates(docs: DataFrame, total: int) -> DataFrame:
@@ -189,7 +189,7 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
         a, b = np.r_[a[order], hot["key"]], np.r_[b[order], hot["h"]]
         return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(size)], ["a", "b", "size"])
 
-    dealt = docs.select("text").mapInArrow(work, "bucket int, payload binary")
+    dealt = docs.select("text").mapInArrow(tidied(work), "bucket int, payload binary")
     return dealt.groupBy("bucket").applyInArrow(resolve, "a long, b long, size int").distinct()
 
 
@@ -210,7 +210,7 @@ def line_texts(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFram
             yield pa.record_batch([pa.array(hs, pa.int64()), pa.array(out, pa.binary())], ["h", "line"])
 
     # equal rows of the input give the same line more than once
-    return joined.mapInArrow(work, "h long, line binary").dropDuplicates(["h"])
+    return joined.mapInArrow(tidied(work), "h long, line binary").dropDuplicates(["h"])
 
 
 def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
@@ -347,7 +347,7 @@ def similar_lines(docs: DataFrame, found: DataFrame, total: int) -> DataFrame:
                 same = [alike(known[i], known[j]) for i, j in zip(a, b, strict=True)]
                 yield pa.record_batch([c.slice(lo, 500) for c in batch.columns[:2]], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").union(hot_links(members, texts))
+    return both.select("a", "b", "x", "y").mapInArrow(tidied(verify), "a long, b long").union(hot_links(members, texts))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

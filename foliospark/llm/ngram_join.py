@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import GOLD, bucket_count, buffers, materialise, mix, pack_rows, packed_texts, pieces, runs, same_document, shuffle_parts, text_bytes, unpack_rows, unpacked, with_text_hash, word_spans, writers
+from .common import GOLD, bucket_count, buffers, materialise, mix, pack_rows, packed_texts, pieces, runs, same_document, shuffle_parts, text_bytes, tidied, unpack_rows, unpacked, with_text_hash, word_spans, writers
 from .components import components
 
 WORDS = 5
@@ -133,7 +133,7 @@ def prefixes(docs: DataFrame, total: int) -> DataFrame:
         return pa.table([none, none, pa.array(cls.view(np.int64)), pa.array(n), pa.array(np.zeros(len(cls), bool))], names)
 
     names = ["doc_id", "text_hash", "cls", "n", "member"]
-    dealt = docs.select("text", "doc_id", "text_hash").mapInArrow(work, "kind int, bucket int, payload binary")
+    dealt = docs.select("text", "doc_id", "text_hash").mapInArrow(tidied(work), "kind int, bucket int, payload binary")
     return dealt.groupBy("kind", "bucket").applyInArrow(resolve, "doc_id long, text_hash long, cls long, n long, member boolean")
 
 
@@ -155,7 +155,7 @@ def sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame
                 yield pa.record_batch([cls[lo:hi], pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "set"])
 
     # equal rows of the input give a class more than once
-    return joined.mapInArrow(work, "cls long, set binary").dropDuplicates(["cls"])
+    return joined.mapInArrow(tidied(work), "cls long, set binary").dropDuplicates(["cls"])
 
 
 def frequent(sets: DataFrame) -> np.ndarray:
@@ -168,7 +168,7 @@ def frequent(sets: DataFrame) -> np.ndarray:
 
     total = sets.agg(F.sum(F.octet_length("set"))).first()[0] or 0
     least = max(16, total // 8 // MOST_FREQUENT)
-    many = sets.select("set").mapInArrow(tokens, "token long").groupBy("token").count().where(F.col("count") >= least)
+    many = sets.select("set").mapInArrow(tidied(tokens), "token long").groupBy("token").count().where(F.col("count") >= least)
     return np.sort(np.array([r[0] for r in many.select("token").collect()], np.int64))
 
 
@@ -187,7 +187,7 @@ def groups(sets: DataFrame) -> DataFrame:
                 s = s[: prefix_length(n, -(-n // 10))]
                 yield pa.record_batch([pa.array(s), pa.array(np.full(len(s), cls.as_py())), pa.array(np.full(len(s), n, np.int32))], ["token", "cls", "n"])
 
-    found = sets.select("cls", "set").mapInArrow(tokens, "token long, cls long, n int")
+    found = sets.select("cls", "set").mapInArrow(tidied(tokens), "token long, cls long, n int")
     leader = found.groupBy("token").agg(F.min("cls").alias("leader"), F.max("cls").alias("most")).where("leader < most").select("token", "leader")
     shared = found.join(leader, "token").groupBy("cls", "n", "leader").agg(F.count("*").alias("c"))
     mine = W.partitionBy("cls")

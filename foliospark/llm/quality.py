@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, materialise, pieces, small_batches, word_spans, writers
+from .common import buffers, materialise, pieces, small_batches, tidied, word_spans, writers
 
 CAPITAL, SMALL, DIGIT, SPACE, STOP, BANG, BAR, SYMBOL = range(8)
 KINDS = np.full(256, SYMBOL)
@@ -60,7 +60,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = ["doc_id", *carry]
     chosen = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id"), *carry)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-    return chosen.mapInArrow(work, kinds + "".join(f", {c} long" for c in COUNTS))
+    return chosen.mapInArrow(tidied(work), kinds + "".join(f", {c} long" for c in COUNTS))
 
 
 def parts(name: str) -> tuple[Column, Column]:

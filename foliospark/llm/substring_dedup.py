@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, buffers, cut_spans, materialise, mix, pieces, text_bytes, with_text_hash, writers
+from .common import GOLD, buffers, cut_spans, materialise, mix, pieces, text_bytes, tidied, with_text_hash, writers
 
 REACH = 32
 #: Longer chunks (periodic text has no single largest hash) are cut at this stride.
@@ -87,7 +87,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     ["doc_id", "text_hash", "start", "end", "d1", "d2"],
                 )
 
-    return docs.select("text", "doc_id", "text_hash").mapInArrow(work, "doc_id long, text_hash long, start int, end int, d1 long, d2 long")
+    return docs.select("text", "doc_id", "text_hash").mapInArrow(tidied(work), "doc_id long, text_hash long, start int, end int, d1 long, d2 long")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:

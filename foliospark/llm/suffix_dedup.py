@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, bucket_count, buffers, digests, materialise, mix, pieces, runs, spans_of, text_bytes, unpacked, with_text_hash, words8
+from .common import GOLD, bucket_count, buffers, digests, materialise, mix, pieces, runs, spans_of, text_bytes, tidied, unpacked, with_text_hash, words8
 
 LENGTH = 50
 GRAM = 16
@@ -181,7 +181,7 @@ def phrases(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return docs.select("text", "ord", "tag").mapInArrow(work, "kind int, bucket int, payload binary")
+    return docs.select("text", "ord", "tag").mapInArrow(tidied(work), "kind int, bucket int, payload binary")
 
 
 def dictionary(dealt: DataFrame, buckets: int) -> DataFrame:
@@ -365,7 +365,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)
 
     first = materialise(dictionary(phrases(docs, buckets), buckets), "phrases")
-    texts = docs.select("text", "ord", "tag", "doc_id").mapInArrow(pack, "bucket int, ord long, tag long, doc_id long, z binary")
+    texts = docs.select("text", "ord", "tag", "doc_id").mapInArrow(tidied(pack), "bucket int, ord long, tag long, doc_id long, z binary")
     open_ = first.where(F.col("kind") != REMOVED)
     later = sorted_runs(suffixes(texts, open_, buckets), buckets)
     gone = first.where(F.col("kind") == REMOVED).union(later)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidied
 
 # Fixed values of the format.
 WIDTH_TAG, HEIGHT_TAG, BITS_TAG, COMPRESSION_TAG, PHOTOMETRIC_TAG = 256, 257, 258, 259, 262
@@ -346,7 +346,7 @@ def pages(df: DataFrame, media_col: str = "media", id_col: str = "id") -> DataFr
         return pa.record_batch([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
     chosen = df.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("media"))
-    return chosen.mapInArrow(read, "id long, page int, width int, height int, compression string, predictor int, tiled boolean, samples binary, error string")
+    return chosen.mapInArrow(tidied(read), "id long, page int, width int, height int, compression string, predictor int, tiled boolean, samples binary, error string")
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
@@ -371,7 +371,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages"] + ["media"] * keep_media
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int"
-    return chosen.mapInArrow(work, schema + (", media binary" if keep_media else ""))
+    return chosen.mapInArrow(tidied(work), schema + (", media binary" if keep_media else ""))
 
 
 def describe(text: bytes) -> tuple:
