@@ -35,6 +35,8 @@ FEW = 6
 BLOCK_LINES, BLOCK_BYTES = 512, 1 << 19
 #: Band rows that a task holds before it deals them out.
 HELD = 1 << 19
+#: Bytes of text whose signatures are made at once, eight bytes and more for each.
+PIECE = 1 << 16
 
 
 def line_places(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +144,7 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             buf, offsets = buffers(batch.column(0))
-            for lo, hi in pieces(offsets):
+            for lo, hi in pieces(offsets, PIECE):
                 part, at = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 _, s, e = line_places(part, at)
                 long = e - s >= SHINGLE
