@@ -40,6 +40,8 @@ TURN, BACK = np.uint64(31), np.uint64(33)
 LOW, HIGH = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000)
 #: Phrases that a task holds before it deals them out, and different ones of a trigger that make it hot.
 HELD, HOT = 1 << 20, 32
+#: Bytes of text that are parsed at once, eight bytes and more for each.
+PIECE = 1 << 16
 
 REMOVED, SHARED, SCATTERED = 1, 2, 3
 #: A phrase: trigger hash, content hash, document, place, number of strings less one, and whether its trigger is hot.
@@ -167,7 +169,7 @@ def phrases(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             buf, offsets = buffers(batch.column(0))
             docs_, tags = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.uint32)
-            for lo, hi in pieces(offsets):
+            for lo, hi in pieces(offsets, PIECE):
                 part, at = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 s, e, trigger, content = parse(part, at)
                 if not len(s):
