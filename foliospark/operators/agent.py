@@ -19,12 +19,35 @@ def folded(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "calls", answered.alias("answer"), T.preview(answered, 500).alias("preview"))
 
 
-def call_pairs(turns: DataFrame) -> DataFrame:
-    """Each call with its result, the turn after it; a call without one has a null result."""
-    w = W.partitionBy("conv_id").orderBy("turn")
-    rows = turns.withColumn("next_role", F.lead("role").over(w)).withColumn("next_text", F.lead("text").over(w))
-    result = F.when(F.col("next_role") == "assistant", F.length("next_text"))
-    return rows.where(F.col("role") == "user").select("conv_id", "turn", "round", F.length("text").alias("call_chars"), result.alias("result_chars"))
+def call_pairs(messages: DataFrame) -> DataFrame:
+    """Each call with the result that names its id, wherever that comes; a call without one has a null result.
+
+    ``messages``: conv_id, seq, kind, call_id, tool, args, content.
+    """
+    calls = messages.where("kind = 'call'").select("conv_id", "call_id", "seq", "tool", "args")
+    results = messages.where("kind = 'result'").select("conv_id", "call_id", F.col("seq").alias("result_seq"), F.col("content").alias("result"))
+    return calls.join(results, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "seq", "tool", "args", "result_seq", T.preview(F.col("result"), 500).alias("result_preview"))
+
+
+def read_sources(messages: DataFrame) -> DataFrame:
+    """conv_id and sources: the distinct paths that a conversation's page reads ask for, first read first."""
+    path = F.col("args")["path"]
+    reads = messages.where((F.col("kind") == "call") & (F.col("tool") == "read_page") & (F.coalesce(path, F.lit("")) != ""))
+    got = reads.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", path.alias("path")))).alias("p"))
+    return got.select("conv_id", F.array_distinct(F.transform("p", lambda x: x["path"])).alias("sources"))
+
+
+def responses(messages: DataFrame) -> DataFrame:
+    """conv_id, query, answer, tool_calls (tool, result_preview in the order of the calls) and sources of each conversation."""
+    text = messages.groupBy("conv_id").agg(
+        F.min_by("content", F.when(F.col("kind") == "question", F.col("seq"))).alias("query"),
+        F.max_by("content", F.when(F.col("kind") == "answer", F.col("seq"))).alias("answer"),
+    )
+    pairs = call_pairs(messages).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "tool", "result_preview"))).alias("p"))
+    calls = pairs.select("conv_id", F.transform("p", lambda x: F.struct(x["tool"].alias("tool"), x["result_preview"].alias("result_preview"))).alias("tool_calls"))
+    none = F.array().cast("array<string>")
+    rows = text.join(calls, "conv_id", "left").join(read_sources(messages), "conv_id", "left")
+    return rows.select("conv_id", "query", F.trim(F.coalesce("answer", F.lit(""))).alias("answer"), "tool_calls", F.coalesce("sources", none).alias("sources"))
 
 
 def capped(turns: DataFrame, most: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,43 +13,92 @@ from ..functions import text as T
 FOLDERS = {"concept": "concepts", "entity": "entities", "procedure": "procedures", "synthesis": "synthesis"}
 
 
+ENTRY = "path string, title string, type string, summary string, sources array<string>, source_count int, keywords array<string>, links array<string>, sections array<string>, last_updated string, backlinks array<string>, tokens array<string>"
+
+
 def render(notes: DataFrame, today: str) -> DataFrame:
-    """path and the Markdown of each note; quotes in values are escaped by JSON."""
+    """path and the Markdown of each note; title and summary are quoted, with escapes."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
     line = [
         F.lit("## Wiki-note\n\n### Properties\n"),
-        F.concat(F.lit("title: "), F.col("title"), F.lit("\n")),
-        F.concat(F.lit("type: "), F.col("type"), F.lit("\n")),
+        F.concat(F.lit("title: "), T.quoted(text("title")), F.lit("\n")),
+        F.concat(F.lit("type: "), text("type"), F.lit("\n")),
+        F.concat(F.lit("summary: "), T.quoted(text("summary")), F.lit("\n")),
         F.concat(F.lit("sources: "), F.to_json("sources"), F.lit("\n")),
         F.concat(F.lit("source_count: "), F.size("sources").cast("string"), F.lit("\n")),
         F.concat(F.lit("keywords: "), F.to_json("keywords"), F.lit("\n")),
         F.lit(f"last_updated: {today}\n"),
-        F.concat(F.lit("\n## Content\n"), F.col("content")),
+        F.concat(F.lit("\n## Content\n"), text("content")),
     ]
     return notes.select("path", F.concat(*line).alias("markdown"))
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Catalog columns of note files (path, markdown); missing properties get their defaults."""
+def parse(files: DataFrame, today: str = "") -> DataFrame:
+    """Catalog columns of note files (path, markdown); missing properties get their defaults.
+
+    A scalar source is the only one, scalar keywords are separated by commas; a title is the
+    file's name in capitals, a type that of the folder, ``last_updated`` is ``today``.
+    """
     p = files.select("path", "markdown", T.property_map(T.properties_block(F.col("markdown"))).alias("p"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
     folder = F.split_part("path", F.lit("/"), F.lit(1))
     kind = F.lit(None).cast("string")
     for k, f in FOLDERS.items():
         kind = F.when(folder == f, k).otherwise(kind)
-    sources, keywords = T.property_list(F.col("p")["sources"]), T.property_list(F.col("p")["keywords"])
+    value = lambda k: T.property_text(F.col("p")[k])
+    none = F.array().cast("array<string>")
+    sources = F.coalesce(T.property_source(F.col("p")["sources"]), none)
     return p.select(
         "path",
-        F.coalesce(F.col("p")["title"], F.initcap(F.regexp_replace(stem, "-", " "))).alias("title"),
-        F.coalesce(F.col("p")["type"], kind).alias("type"),
-        F.coalesce(F.col("p")["summary"], F.lit("No summary provided.")).alias("summary"),
-        F.coalesce(sources, F.array().cast("array<string>")).alias("sources"),
-        F.coalesce(keywords, F.array().cast("array<string>")).alias("keywords"),
-        F.col("p")["last_updated"].alias("last_updated"),
+        F.coalesce(value("title"), F.initcap(F.regexp_replace(stem, "-", " "))).alias("title"),
+        F.coalesce(value("type"), kind).alias("type"),
+        F.coalesce(value("summary"), F.lit("No summary provided.")).alias("summary"),
+        sources.alias("sources"),
+        F.size(sources).alias("source_count"),
+        F.coalesce(T.property_list(F.col("p")["keywords"]), none).alias("keywords"),
+        F.coalesce(value("last_updated"), F.lit(today)).alias("last_updated"),
         T.links(F.col("markdown")).alias("links"),
         T.section_refs(F.col("markdown")).alias("sections"),
+        T.note_body(F.col("markdown")).alias("body"),
     )
 
 
+def entries(notes: DataFrame) -> DataFrame:
+    """Catalog entries of notes: what is known of each note, the tokens that searches look at,
+    and the paths of the notes that link to its title. Contents stay behind."""
+    text = F.concat_ws(" ", "title", "summary", F.array_join("keywords", " "))
+    rows = notes.select("path", "title", "type", "summary", "sources", F.size("sources").alias("source_count"), "keywords", "links", "sections", "last_updated", T.tokens(text).alias("tokens"))
+    back = backlinks(rows.select(F.col("path").alias("page_id"), F.col("title").alias("name"), "links"))
+    back = back.select(F.col("page_id").alias("path"), "backlinks")
+    out = rows.join(back, "path", "left").withColumn("backlinks", F.coalesce("backlinks", F.array().cast("array<string>")))
+    return out.select(*(c.split()[0] for c in ENTRY.split(", ")))
+
+
+def save(found: DataFrame, path: str) -> None:
+    """Write the catalog in place of the one before."""
+    found.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The catalog at ``path`` with the defaults of missing fields; an empty one where there is none that can be read."""
+    try:
+        rows = spark.read.parquet(path)
+    except (AnalysisException, Py4JJavaError):
+        rows = spark.createDataFrame([], ENTRY)
+    default = {"title": F.lit(""), "summary": F.lit(""), "last_updated": F.lit(""), "type": F.lit("concept"), "source_count": F.lit(0)}
+    cols = []
+    for field in ENTRY.split(", "):
+        name, kind = field.split()
+        missing = default.get(name, F.array().cast(kind) if kind.startswith("array") else F.lit(None).cast(kind))
+        cols.append((F.coalesce(F.col(name), missing) if name in rows.columns else missing).alias(name))
+    return rows.select(*cols).where("path is not null")
+
+
+def entry(found: DataFrame, path: str) -> DataFrame:
+    """The entry of a path, with or without its ``.md``."""
+    return found.where(F.col("path").isin(path, f"{path}.md")).orderBy(F.col("path") != path).limit(1)
+
+
 def type_counts(notes: DataFrame) -> DataFrame:
     return notes.groupBy("type").agg(F.count("*").alias("n"))
 
@@ -64,17 +115,43 @@ def backlinks(linked: DataFrame) -> DataFrame:
     return found.groupBy("page_id").agg(F.array_sort(F.collect_set("src")).alias("backlinks"))
 
 
+def grams(text: Column) -> Column:
+    """The distinct substrings of three characters; a shorter text is its own."""
+    n = F.length(text)
+    return F.array_distinct(F.when(n <= 3, F.array(text)).otherwise(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3)))))
+
+
+def short_parts(text: Column) -> Column:
+    """The distinct substrings of one to three characters."""
+    n = F.length(text)
+    each = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(each(1), each(2), each(3))))
+
+
 def backlinks_within(linked: DataFrame) -> DataFrame:
-    """Backlinks where the name is any part of a link: an equi-join on the distinct link names' substrings."""
+    """Backlinks where the name is any part of a link.
+
+    A name meets the distinct link names that hold its rarest three characters, and only
+    those are looked at: no link is taken apart into all its substrings.
+    """
     e = edges(linked)
-    n = F.length("dst")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring("dst", i, k))))
-    subs = e.select("dst").distinct().where("dst <> ''").select("dst", F.explode(F.array_distinct(parts)).alias("name"))
-    names = linked.select("page_id", "name").where("name <> ''")
-    found = names.join(subs, "name").join(e, "dst").where("src <> page_id")
+    targets = e.select("dst").distinct().where("dst <> ''").select("dst", F.explode(short_parts(F.col("dst"))).alias("gram"))
+    often = targets.groupBy("gram").agg(F.count("*").alias("n"))
+    names = linked.select("name").where("name <> ''").distinct().select("name", F.explode(grams(F.col("name"))).alias("gram"))
+    rarest = names.join(often, "gram", "left").groupBy("name").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    holds = rarest.join(targets, "gram").where(F.contains("dst", F.col("name"))).select("name", "dst")
+    found = linked.select("page_id", "name").join(holds, "name").join(e, "dst").where("src <> page_id")
     return found.groupBy("page_id").agg(F.array_sort(F.collect_set("src")).alias("backlinks"))
 
 
+def backlinks_by_scan(notes: DataFrame) -> DataFrame:
+    """path and ``scanned``, the paths of notes whose content links to it by path, whatever the case: for catalogs without backlinks."""
+    key = F.lower(F.trim(F.regexp_replace("path", r"\.md", "")))
+    links = notes.select(F.col("path").alias("src"), F.explode(F.array_distinct(F.transform(T.links(F.col("content")), F.lower))).alias("key"))
+    found = notes.select("path", key.alias("key")).distinct().join(links, "key").where("src <> path")
+    return found.groupBy("path").agg(F.array_sort(F.collect_set("src")).alias("scanned"))
+
+
 def related(linked: DataFrame, most: int = 8) -> DataFrame:
     """For each page its link names, then pages that link to it by id, unseen ones only, the first eight."""
     back = backlinks(linked).select("page_id", F.transform("backlinks", lambda b: b.cast("string")).alias("back"))
@@ -84,15 +161,50 @@ def related(linked: DataFrame, most: int = 8) -> DataFrame:
     return rows.select("page_id", F.slice(all_, 1, most).alias("related")).where(F.size("related") > 0)
 
 
-def index_rows(notes: DataFrame) -> DataFrame:
-    """Rows of the index page in order: by category, then title."""
-    order = F.array(*(F.lit(k) for k in FOLDERS))
+def related_notes(found: DataFrame, scanned: DataFrame | None = None, most: int = 8) -> DataFrame:
+    """path and related: an entry's links, then its backlinks; where it has none of these, those that ``scanned`` has."""
+    rows = found.select("path", "links", "backlinks")
+    back = F.col("backlinks")
+    if scanned is not None:
+        rows = rows.join(scanned, "path", "left")
+        back = F.when(F.size("backlinks") > 0, F.col("backlinks")).otherwise(F.coalesce("scanned", F.array().cast("array<string>")))
+    links = F.filter("links", lambda x: ~F.startswith(x, F.lit("raw/")))
+    return rows.select("path", F.slice(F.array_distinct(F.concat(links, back)), 1, most).alias("related"))
+
+
+def related_lines(rows: DataFrame, titles: DataFrame) -> DataFrame:
+    """path and text: a line for each related page with its title, the link itself where no entry has that path.
+
+    ``rows``: path, related (at most a few each); ``titles``: path, title.
+    """
+    each = rows.select(F.col("path").alias("of"), F.posexplode_outer("related").alias("k", "rp"))
+    named = each.join(titles.select(F.col("path").alias("rp"), "title"), "rp", "left")
+    line = F.concat(F.lit("  - "), F.coalesce("title", "rp"), F.lit(" (`"), "rp", F.lit("`)"))
+    lines = named.groupBy("of").agg(F.array_sort(F.collect_list(F.when(F.col("rp").isNotNull(), F.struct("k", line.alias("line"))))).alias("lines"))
+    head = F.concat(F.lit("Pages related to '"), "of", F.lit("':\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    return lines.select(F.col("of").alias("path"), F.when(F.size("lines") > 0, head).otherwise(F.concat(F.lit("No related pages found for '"), "of", F.lit("'."))).alias("text"))
+
+
+def index_lines(notes: DataFrame) -> DataFrame:
+    """Lines of the index page: under each of the four headings a table sorted by title, or a note that it is empty.
+
+    category (1 to 4), part (1 heading, 2 table head or empty mark, 3 rows), title, path, line; in order.
+    """
+    spark = notes.sparkSession
+    heads = spark.createDataFrame([(i, f, f.title()) for i, f in enumerate(FOLDERS.values(), 1)], "category int, folder string, name string")
+    target = F.regexp_replace("path", r"\.md$", "")
     row = F.concat(
-        F.lit("| ["), F.col("title"), F.lit("]("), F.regexp_replace("path", r"\.md$", ""), F.lit(") | "), F.translate("summary", "\n", " "), F.lit(" | "),
-        F.array_join(F.transform("keywords", lambda k: F.concat(F.lit("`"), k, F.lit("`"))), ", "), F.lit(" |"),
+        F.lit("| [["), target, F.lit("\\|"), F.col("title"), F.lit("]] | "), F.translate("summary", "\n", " "), F.lit(" | "),
+        F.array_join(F.transform("keywords", lambda k: F.concat(F.lit("`"), k, F.lit("`"))), ", "), F.lit(" | "), "last_updated", F.lit(" |"),
     )
-    rows = notes.select(F.array_position(order, F.col("type")).cast("int").alias("category"), "title", "path", row.alias("line"))
-    return rows.orderBy("category", "title", "path")  # a range-partitioned sort
+    folder = F.split_part("path", F.lit("/"), F.lit(1))
+    rows = notes.select(folder.alias("folder"), "title", "path", row.alias("line")).join(F.broadcast(heads), "folder")
+    full = rows.groupBy("folder").agg(F.count("*").alias("n"))
+    top = heads.select("category", F.lit(1).alias("part"), F.lit("").alias("title"), F.lit("").alias("path"), F.concat(F.lit("## "), "name").alias("line"))
+    table = F.when(F.col("n") > 0, "| Title | Summary | Keywords | Last Updated |\n| :--- | :--- | :--- | :--- |").otherwise("_No entries yet._")
+    second = heads.join(full, "folder", "left").select("category", F.lit(2), F.lit(""), F.lit(""), table)
+    lines = top.union(second).union(rows.select("category", F.lit(3), "title", "path", "line"))
+    return lines.orderBy("category", "part", "title", "path")  # a range-partitioned sort
 
 
 def dangling_links(linked: DataFrame) -> DataFrame:
@@ -107,3 +219,8 @@ def insert_absent(new: DataFrame, existing: DataFrame) -> DataFrame:
     there = existing.select("path").distinct().withColumn("there", F.lit(True))
     rows = new.withColumn("turn", first).join(there, "path", "left")
     return rows.withColumn("created", (F.col("turn") == 1) & F.col("there").isNull()).drop("turn", "there")
+
+
+def written(found: DataFrame) -> DataFrame:
+    """How many rows of ``insert_absent`` were created and how many skipped."""
+    return found.agg(F.count_if("created").alias("created"), F.count_if(~F.col("created")).alias("skipped"))

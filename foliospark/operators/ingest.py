@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import store
+
+PROGRESS = "source_id string, batch_id long, status string, notes array<struct<title:string,type:string,summary:string,keywords:array<string>,content_body:string>>, stamp long"
+
 #: text -> (title, type, summary, keywords, content)
 Extractor = Callable[[str], tuple[str, str, str, list[str], str]]
 SCHEMA = "doc_id long, title string, type string, summary string, keywords array<string>, content string, error string"
@@ -64,3 +68,34 @@ def decoded(responses: DataFrame) -> DataFrame:
 def latest(progress: DataFrame) -> DataFrame:
     """The newest status of each batch of an append-only progress table."""
     return progress.groupBy("source_id", "batch_id").agg(F.max_by("status", "stamp").alias("status"), F.max("stamp").alias("stamp"))
+
+
+def save_progress(done: DataFrame, path: str) -> None:
+    """Append finished batches (the columns of PROGRESS) to the progress table; one that is there already gets a newer row."""
+    done.select(*(c.strip().split()[0] for c in ("source_id", "batch_id", "status", "notes", "stamp"))).write.mode("append").parquet(path)
+
+
+def load_progress(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of each batch, none where there is no progress."""
+    if not store.exists(spark, path):
+        return spark.createDataFrame([], PROGRESS)
+    rows = spark.read.schema(PROGRESS).parquet(path)
+    newest = rows.groupBy("source_id", "batch_id").agg(F.max_by(F.struct("status", "notes", "stamp"), "stamp").alias("r"))
+    return newest.select("source_id", "batch_id", "r.*")
+
+
+def clear_progress(spark: SparkSession, path: str) -> None:
+    store.delete(spark, path)
+
+
+def resumed(batches: DataFrame, progress: DataFrame, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """source_id, batch_id, result, stored: kept results of the batches that are done, and ``process``'s of the others.
+
+    ``batches``: source_id, batch_id and what ``process`` needs, which gives them a ``result``;
+    ``progress``: source_id, batch_id, status, result.
+    """
+    done = progress.where("status = 'done'").select("source_id", "batch_id", "result")
+    keys = ["source_id", "batch_id"]
+    old = batches.select(*keys).join(done, keys).withColumn("stored", F.lit(True))
+    new = process(pending(batches, progress)).select(*keys, "result").withColumn("stored", F.lit(False))
+    return old.unionByName(new)

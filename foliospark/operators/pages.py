@@ -20,40 +20,121 @@ def windows(docs: DataFrame, size: int = WINDOW, overlap: int = OVERLAP) -> Data
     return rows.select("doc_id", "window", "start", F.size(part).alias("n"), F.element_at(part, 1).alias("first"), F.element_at(part, -1).alias("last"))
 
 
-def trimmed(text: Column, limit: int = PAGE_TOKENS) -> Column:
+def trimmed(text: Column, limit: int | Column = PAGE_TOKENS) -> Column:
     """The first ``limit`` tokens of a longer text."""
     w = T.words(text)
-    return F.when(F.size(w) > limit, F.array_join(F.slice(w, 1, limit), " ")).otherwise(text)
+    return F.when(F.size(w) > limit, F.array_join(F.slice(w, 1, F.lit(limit) if isinstance(limit, int) else limit), " ")).otherwise(text)
+
+
+TRUNCATED = "\n\n[Truncated \u2014 page exceeds token limit. Use read_page(path, max_tokens=N) to read more.]"
+
+
+def page_text(path: Column, text: Column, limit: int = PAGE_TOKENS, shown: int = 3) -> Column:
+    """A page as it is read: whole up to ``limit`` tokens, else its first windows under a head that counts them, cut to ``limit``.
+
+    The head's tokens count too, so a cut page ends with a notice.
+    """
+    w = T.words(text)
+    starts = F.sequence(F.lit(0), F.size(w) - 1, F.lit(WINDOW - OVERLAP))
+    parts = F.transform(F.slice(starts, 1, shown), lambda at: F.array_join(F.slice(w, at + 1, WINDOW), " "))
+    n = F.size(starts)
+    head = F.concat(F.lit("[Large page: "), path, F.lit(" \u2014 "), n.cast("string"), F.lit(" sections, showing first "), F.least(n, F.lit(shown)).cast("string"), F.lit(" most relevant sections]\n\n"))
+    whole = F.concat(head, trimmed(F.array_join(parts, "\n\n---\n\n"), limit))
+    large = F.when(n == 1, trimmed(text, limit)).when(F.size(T.words(whole)) > limit, F.concat(trimmed(whole, limit), F.lit(TRUNCATED))).otherwise(whole)
+    return F.when(F.size(w) <= limit, text).otherwise(large)
 
 
 def read_page(notes: DataFrame, wanted: DataFrame, limit: int = PAGE_TOKENS) -> DataFrame:
-    """Content of the wanted paths, or the message that there is no such page."""
-    rows = wanted.join(notes.select("path", "content"), "path", "left")
-    return rows.select("path", F.coalesce(trimmed(F.col("content"), limit), F.concat(F.lit("[Page not found: "), "path", F.lit("]"))).alias("page"))
+    """Content of the wanted paths (with or without ``.md``), or the message that there is no such page."""
+    here = notes.select(F.col("path").alias("at"), "content")
+    full = F.when(F.endswith("path", F.lit(".md")), F.col("path")).otherwise(F.concat("path", F.lit(".md")))
+    rows = wanted.withColumn("at", full).join(here, "at", "left")
+    return rows.select("path", F.coalesce(page_text(F.col("at"), F.col("content"), limit), F.concat(F.lit("[Page not found: "), "path", F.lit("]"))).alias("page"))
+
+
+#: Values of ``ord`` that are summed together where running sums are built in two levels.
+SUM_BLOCK = 4096
+
+
+def running_before(rows: DataFrame, source: str, ord_: str, value: str, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over the rows of the source with a smaller ``ord``.
+
+    Two levels: windows inside blocks of SUM_BLOCK ordinals, and a window over the blocks'
+    totals, one row a block; no window holds a whole source.
+    """
+    block = F.floor(F.col(ord_) / SUM_BLOCK)
+    rows = rows.withColumn("__block", block)
+    total = rows.groupBy(source, "__block").agg(F.sum(value).alias("__sum"))
+    base = F.coalesce(F.sum("__sum").over(W.partitionBy(source).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = total.select(F.col(source).alias("__source"), F.col("__block").alias("__at"), base.alias("__base"))
+    inside = F.coalesce(F.sum(value).over(W.partitionBy(source, "__block").orderBy(ord_).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__inside", inside).join(base, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__at"))).withColumn(name, F.col("__base") + F.col("__inside")).drop("__block", "__base", "__inside", "__source", "__at")
 
 
 def within_budget(pages: DataFrame, budget: int) -> DataFrame:
     """Pages of each source up to a token budget, the last one cut: source, ord, n, taken."""
-    n = F.size(T.words(F.col("text")))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = pages.select("source", "ord", n.alias("n")).withColumn("before", before).where(F.col("before") < budget)
+    rows = running_before(pages.select("source", "ord", F.size(T.words(F.col("text"))).alias("n")), "source", "ord", "n", "before").where(F.col("before") < budget)
     return rows.select("source", "ord", "n", F.least(F.col("n").cast("long"), budget - F.col("before")).alias("taken"))
 
 
+CUT_OFF = "[... PDF truncated \u2014 document is large ...]"
+
+
+def read_raw(pages: DataFrame, budget: int = 3000) -> DataFrame:
+    """source and text: each source's pages up to the budget, the last one cut to what is left, with a mark where more follows.
+
+    Only the pages within the budget meet in a row.
+    """
+    taken = within_budget(pages, budget)
+    size = pages.groupBy("source").agg(F.sum(F.size(T.words(F.col("text")))).alias("all"))
+    rows = taken.join(pages.select("source", "ord", "text"), ["source", "ord"]).join(size, "source")
+    part = F.when(F.col("taken") < F.col("n"), trimmed(F.col("text"), F.col("taken").cast("int"))).otherwise(F.col("text"))
+    got = rows.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ord", part.alias("part")))).alias("parts"), F.first("all").alias("all"))
+    texts = F.transform("parts", lambda p: p["part"])
+    return got.select("source", F.array_join(F.when(F.col("all") > budget, F.concat(texts, F.array(F.lit(CUT_OFF)))).otherwise(texts), "\n\n").alias("text"))
+
+
 def focused(pages: DataFrame, term: str) -> DataFrame:
     """Pages with ``hit``: those with the term come first, each part in page order."""
     return pages.withColumn("hit", F.contains(F.lower("text"), F.lit(term.lower())))
 
 
-def page_jump(toc: DataFrame, pages: DataFrame, query: str, focus: str = "") -> DataFrame:
-    """Pages of the section that a table of contents has for ``query``, those with ``focus`` first: place, page_no, text."""
+def section_pages(toc: DataFrame, pages: DataFrame, query: str) -> DataFrame:
+    """page_no and text of the pages of the section that a table of contents has for ``query``, with its title and first page."""
     from .sections import toc_bounds, toc_match
 
     hit = toc_match(toc, query).select("ord")
-    bounds = F.broadcast(toc_bounds(toc).join(hit, "ord").select("page", "behind"))  # one row
-    inside = pages.join(bounds, (F.col("page_no") >= F.col("page")) & (F.col("page_no") < F.greatest("behind", F.col("page") + 1))).select("page_no", "text")
+    bounds = F.broadcast(toc_bounds(toc).join(hit, "ord").select("title", "page", "behind"))  # one row
+    return pages.join(bounds, (F.col("page_no") >= F.col("page")) & (F.col("page_no") < F.greatest("behind", F.col("page") + 1))).select("page_no", "text", "title", "page")
+
+
+def page_jump(toc: DataFrame, pages: DataFrame, query: str, focus: str = "") -> DataFrame:
+    """Pages of the section that ``query`` means, those with ``focus`` first: place, hit, page_no, text, and the section's title and page."""
+    inside = section_pages(toc, pages, query)
     rows = focused(inside, focus) if focus else inside.withColumn("hit", F.lit(True))
-    return rows.orderBy(F.desc("hit"), "page_no").select("hit", "page_no", "text")
+    place = F.row_number().over(W.orderBy(F.desc("hit"), "page_no", "text"))  # the pages of one section
+    return rows.select(place.alias("place"), "hit", "page_no", "text", "title", "page")
+
+
+def jump_text(toc: DataFrame, pages: DataFrame, query: str, focus: str = "", limit: int = 3000, name: str = "") -> DataFrame:
+    """One row, text: those pages under a head that says where they are, cut to ``limit`` tokens (5,000 at least); or that no entry matches."""
+    rows = page_jump(toc, pages, query, focus)
+    got = rows.groupBy("title", "page").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("parts"), F.min("page_no").alias("a"), F.max("page_no").alias("b"))
+    said = F.lit(f", focus='{focus}'" if focus else "")
+    head = F.concat(F.lit("[Jumped to page "), F.col("page").cast("string"), F.lit(" \u2014 matched '"), "title", F.lit("'"), said, F.lit(" (pages "), F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string"), F.lit(")]\n\n"))
+    text = F.concat(head, F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n"))
+    found = got.select(trimmed(text, max(limit, 5000)).alias("text"), F.lit(0).alias("origin"))
+    missed = toc.sparkSession.range(1).select(F.lit(f"[Search term '{query}' not found in TOC index of {name}. Try without search, or use a different term.]").alias("text"), F.lit(1).alias("origin"))
+    return found.union(missed).orderBy("origin").limit(1).select("text")
+
+
+def toc_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """The table-of-contents sidecar of each wanted file (name, and ``at``, where the file is): beside it, in raw/sources, in raw, in raw/cache."""
+    stem = F.regexp_replace(F.element_at(F.split(T.raw_name(F.col("name")), "/"), -1), r"\.[^.]*$", "")
+    beside = F.regexp_replace("at", r"[^/]*$", "")
+    tries = F.transform(F.array(beside, F.lit("raw/sources/"), F.lit("raw/"), F.lit("raw/cache/")), lambda f: F.concat(f, stem, F.lit(".toc.json")))
+    rows = wanted.select("name", F.posexplode(tries).alias("priority", "path"))
+    return rows.join(files, "path").groupBy("name").agg(F.min_by("path", "priority").alias("path"))
 
 
 def raw_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
@@ -67,12 +148,22 @@ def raw_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def resolved_read(notes: DataFrame, query: str, limit: int = PAGE_TOKENS) -> DataFrame:
-    """The page that a title means, under a line that says so; else the titles that are nearest."""
+    """One row, text: the page of that path; else the page that the title means, under a line that says so; else the titles that are nearest."""
     from .search import resolve_title, suggestions
 
+    direct = notes.where(F.col("path").isin(query, f"{query}.md")).orderBy(F.col("path") != query).limit(1)
+    named = direct.select(page_text(F.col("path"), F.col("content"), limit).alias("text"), F.lit(0).alias("origin"))
     hit = resolve_title(notes, query)
-    page = F.concat(F.lit(f"[Resolved '{query}' → '"), "path", F.lit("']\n\n"), trimmed(F.col("content"), limit))
-    found = hit.select(page.alias("text"), F.lit(0).alias("origin"))
-    near = suggestions(notes, query).agg(F.array_join(F.collect_list("title"), "\n").alias("t"))  # five rows
-    other = near.select(F.when(F.col("t") == "", F.lit("No similar pages found.")).otherwise(F.concat(F.lit("Did you mean:\n"), "t")).alias("text"), F.lit(1).alias("origin"))
-    return found.union(other).orderBy("origin").limit(1).select("text")
+    page = F.concat(F.lit(f"[Resolved '{query}' \u2192 '"), "path", F.lit("']\n\n"), page_text(F.col("path"), F.col("content"), limit))
+    found = hit.select(page.alias("text"), F.lit(1).alias("origin"))
+    line = F.concat(F.lit("  - "), "title", F.lit(" (`"), "path", F.lit("`)"))
+    near = suggestions(notes, query).agg(F.array_sort(F.collect_list(F.struct(-F.col("share"), "path", line.alias("line")))).alias("t"))  # five rows
+    lines = F.array_join(F.transform("t", lambda x: x["line"]), "\n")
+    other = near.select(F.concat(F.lit(f"[Page not found: {query}]\nDid you mean:\n"), F.when(lines == "", F.lit("No similar pages found.")).otherwise(lines)).alias("text"), F.lit(2).alias("origin"))
+    return named.union(found).union(other).orderBy("origin").limit(1).select("text")
+
+
+def whole_text(pages: DataFrame) -> DataFrame:
+    """source and content: the pages (source, page, text) of each document in order, with a blank line between them."""
+    got = pages.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return got.select("source", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("content"))

@@ -1,15 +1,16 @@
 """Catalog, content and hybrid search, and title resolution.
 
-BM25 needs no exploded tokens and no shuffle of the corpus: one pass aggregates counts,
-lengths and document frequencies of the query's terms to one row, a second one scores
-each note from the occurrences of those terms in its token array and keeps the top k.
+Searches read the stored catalog, which has each note's tokens, and not the texts. BM25
+needs no exploded tokens and no shuffle: one pass aggregates counts, lengths and document
+frequencies of the query's terms to one row, a second one scores each note from the
+occurrences of those terms in its token array and keeps the top k.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,32 +56,37 @@ def catalog_search(notes: DataFrame, query: str, k: int = 10) -> DataFrame:
     return scored.where("score > 0").orderBy(F.desc("score_micro"), "path").limit(k)
 
 
-def usable(pattern: str) -> bool:
+def usable(spark: SparkSession, pattern: str) -> bool:
+    """Whether the engine that runs the pattern, Java's, takes it."""
     try:
-        re.compile(pattern)
-    except re.error:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except (IllegalArgumentException, Py4JJavaError):
         return False
     return True
 
 
 def content_matches(notes: DataFrame, pattern: str) -> DataFrame:
     """Notes whose content holds the pattern, whatever the case; a bad pattern matches nothing."""
-    if not usable(pattern):
+    if not usable(notes.sparkSession, f"(?i){pattern}"):
         return notes.where(F.lit(False))
     return notes.where(F.col("content").rlike(f"(?i){pattern}"))
 
 
-def content_search(notes: DataFrame, query: str, k: int = 10) -> DataFrame:
-    """The first 2k matches by path, scored among themselves; zero scores stay."""
-    hits = content_matches(notes, query).orderBy("path").limit(2 * k)
+def content_search(catalog: DataFrame, notes: DataFrame, query: str, k: int = 10) -> DataFrame:
+    """The first 2k catalogued matches by path, scored among themselves; zero scores stay.
+
+    ``notes`` (path, content) are only scanned for the pattern; what is shown and scored is
+    the catalog's, by a semi join.
+    """
+    hits = catalog.join(content_matches(notes, query).select("path"), "path", "left_semi").orderBy("path").limit(2 * k)
     scored = bm25(hits, query).withColumn("score_micro", micro(F.col("score")))
     return scored.orderBy(F.desc("score_micro"), "path").limit(k)
 
 
-def hybrid_search(notes: DataFrame, query: str, k: int = 10) -> DataFrame:
+def hybrid_search(catalog: DataFrame, notes: DataFrame, query: str, k: int = 10) -> DataFrame:
     """Catalog and content results, one row a path with the catalog's score kept."""
-    cols = ["path", "title", "type", "score_micro"]
-    both = catalog_search(notes, query, k).select(*cols, F.lit(0).alias("origin")).union(content_search(notes, query, k).select(*cols, F.lit(1)))
+    cols = ["path", "title", "type", "summary", "keywords", "sections", "score_micro"]
+    both = catalog_search(catalog, query, k).select(*cols, F.lit(0).alias("origin")).union(content_search(catalog, notes, query, k).select(*cols, F.lit(1)))
     first = F.row_number().over(W.partitionBy("path").orderBy("origin"))  # at most 2k rows
     return both.withColumn("turn", first).where("turn = 1").drop("turn", "origin").orderBy(F.desc("score_micro"), "path").limit(k)
 
@@ -92,12 +98,15 @@ def overlap(title: Column, words: list[str]) -> Column:
 
 def resolve_title(notes: DataFrame, query: str, least: float = 0.35) -> DataFrame:
     """The note that a title means: exact, path, part of the title, all words, best overlap; the first by path in a stage."""
-    q, words = query.strip().lower(), query_terms(query)
+    query = query.strip().lstrip("[").split("|")[0].rstrip("]").strip()
+    q, words = query.lower(), query_terms(query)
+    if not words:
+        return notes.select("*", F.lit(None).cast("int").alias("stage"), F.lit(0.0).alias("share")).limit(0)
     title = F.lower("title")
     stage = F.when(title == q, 1).when((F.col("path") == query) | (F.col("path") == query + ".md"), 2).when(F.contains(title, F.lit(q)), 3)
     if len(words) > 1:
         stage = stage.when(F.forall(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(title, w)), 4)
-    share = overlap(F.col("title"), words) if words else F.lit(0.0)
+    share = overlap(F.col("title"), words)
     stage = stage.when(share >= least, 5)
     rank = F.when(F.col("stage") == 5, -F.col("share")).otherwise(F.lit(0.0))
     found = notes.withColumn("stage", stage).withColumn("share", share).where("stage is not null")
@@ -113,8 +122,9 @@ def formatted(results: DataFrame) -> DataFrame:
     """Results in order as one text; a fixed sentence where there are none. ``results`` is a top-k list."""
     place = F.row_number().over(W.orderBy(F.desc("score_micro"), "path"))
     milli = F.format_string("%d.%03d", F.floor(F.col("score_micro") / 1000000), F.floor(F.col("score_micro") % 1000000 / 1000))
+    section = F.when(F.size("sections") > 0, F.concat(F.lit(" \u00a7 "), F.array_join("sections", ", "))).otherwise("")
     line = F.concat(
-        place.cast("string"), F.lit(". **"), "title", F.lit("** `["), "type", F.lit("]` _(score: "), milli, F.lit(")_\n   Path: `"), "path",
+        place.cast("string"), F.lit(". **"), "title", F.lit("** `["), "type", F.lit("]"), section, F.lit("` _(score: "), milli, F.lit(")_\n   Path: `"), "path",
         F.lit("`\n   Summary: "), "summary", F.lit("\n   Keywords: "), F.array_join("keywords", ", "), F.lit("\n"),
     )
     rows = results.select(place.alias("place"), line.alias("line"))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .pages import running_before
 
 SINGLE_PASS, SAMPLED, BATCH = 12_000, 60_000, 40_000
+#: Batches in a block of a source that is packed on its own.
+PACK_BLOCK = 256
 END = "END_OF_DOC"
 
 
@@ -60,23 +67,83 @@ def page_ranges(sections: DataFrame, pages: DataFrame) -> DataFrame:
     return wanted.join(pages, F.col("p") == F.col("page_no")).select("ord", "title", "page_no", "text")
 
 
-def packed(chunks: DataFrame, limit: int = BATCH, least: int = 80) -> DataFrame:
-    """Greedy batches of a source's chunks in order, up to ``limit`` characters; a longer chunk is alone.
-
-    One ordered fold a source over (ord, size) pairs, not over texts.
-    """
-    kept = chunks.where(F.length(F.trim("text")) > least).select("source_id", "ord", F.length("text").alias("size"))
-    rows = kept.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("ord", "size"))).alias("items"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<ord:bigint,batch:int,size:int>>").alias("out"))
+def batch_ends(before: np.ndarray, size: np.ndarray, limit: int) -> np.ndarray:
+    """Where the batch that starts at each chunk ends, as characters before that place; chunks come in order without gaps."""
+    end = before + size
+    last = np.searchsorted(end, before + limit, "right") - 1
+    return np.where(last >= np.arange(len(end)), end[np.maximum(last, 0)], end)
 
-    def step(acc, x):
-        fits = (acc["sum"] + x["size"] <= limit) | (acc["sum"] == 0)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        total = F.when(fits, acc["sum"] + x["size"]).otherwise(x["size"].cast("long"))
-        item = F.struct(x["ord"].cast("long").alias("ord"), batch.alias("batch"), x["size"].alias("size"))
-        return F.struct(batch.alias("batch"), total.alias("sum"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-    return rows.select("source_id", F.explode(F.aggregate("items", start, step)["out"]).alias("i")).select("source_id", "i.ord", "i.batch", "i.size")
+def packed(chunks: DataFrame, limit: int = BATCH, least: int = 80) -> DataFrame:
+    """Greedy batches of a source's chunks in order, up to ``limit`` characters; a longer chunk is alone: source_id, ord, batch, size.
+
+    Where a batch starts hangs on the one before it, so a source is packed in three steps.
+    Running sums deal its chunks to blocks of PACK_BLOCK batches' characters. In each block
+    the chain of batches is followed from every chunk that a batch of an earlier block may
+    end before: the place where it leaves the block, and how many batches it has. Only
+    those few rows a block meet in one task for each source, which strings the blocks
+    together; then each block numbers its chunks. Sizes travel, not texts.
+    """
+    span = limit * PACK_BLOCK
+    kept = chunks.where(F.length(F.trim("text")) > least).select("source_id", "ord", F.length("text").cast("long").alias("size"))
+    rows = running_before(kept, "source_id", "ord", "size", "before").withColumn("block", F.floor(F.col("before") / span))
+    # a block sees the chunks behind it that its last batches may take
+    ahead = rows.where((F.col("before") % span < limit) & (F.col("block") > 0)).withColumn("block", F.col("block") - 1)
+
+    def chains(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("before")
+        own = (group["own"] == 1).to_numpy()
+        before, size = group["before"].to_numpy(), group["size"].to_numpy()
+        n, border = int(own.sum()), (int(group["block"].iloc[0]) + 1) * span
+        source, block = group["source_id"].iloc[0], int(group["block"].iloc[0])
+        if not n:  # a chunk that is longer than the block lies over it
+            return pd.DataFrame({"source_id": group["source_id"].iloc[:0], "block": before[:0], "entry": before[:0], "leave": before[:0], "batches": before[:0]})
+        end = batch_ends(before, size, limit)[:n]
+        leave, count = end.copy(), np.ones(n, np.int64)
+        to = np.searchsorted(before[:n], end)
+        for i in range(n - 1, -1, -1):
+            if end[i] < border and to[i] < n:
+                leave[i], count[i] = leave[to[i]], count[to[i]] + 1
+        entry = np.flatnonzero((before[:n] - (border - span) < limit) | (np.arange(n) == 0))
+        return pd.DataFrame({"source_id": [source] * len(entry), "block": block, "entry": before[entry], "leave": leave[entry], "batches": count[entry]})
+
+    both = rows.withColumn("own", F.lit(1)).union(ahead.withColumn("own", F.lit(0))).select("source_id", "block", "ord", "before", "size", "own")
+    source = chunks.schema["source_id"].dataType.simpleString()
+    steps = both.drop("ord").groupBy("source_id", "block").applyInPandas(chains, f"source_id {source}, block long, entry long, leave long, batches long")
+
+    def strung(group: pd.DataFrame) -> pd.DataFrame:
+        at, base, out = 0, 0, []
+        step = {e: (b, leave, n) for b, e, leave, n in zip(group["block"], group["entry"], group["leave"], group["batches"], strict=True)}
+        while at in step:
+            block, leave, n = step[at]
+            out.append((block, at, base))
+            at, base = leave, base + n
+        # a last block in which no batch starts belongs to the last batch
+        out += [(b, 1 << 62, base) for b in sorted(set(group["block"]) - {b for b, _, _ in out})]
+        source = group["source_id"].iloc[0]
+        return pd.DataFrame([(*x, source) for x in out], columns=["block", "entry", "base", "source_id"])
+
+    entries = steps.groupBy("source_id").applyInPandas(strung, f"block long, entry long, base long, source_id {source}")
+
+    def numbered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("before")
+        own = left["own"].to_numpy() == 1
+        before, size = left["before"].to_numpy(), left["size"].to_numpy()
+        batch = np.zeros(len(left), np.int64)
+        if not own.any():
+            return pd.DataFrame({"source_id": left["source_id"].iloc[:0], "ord": left["ord"].iloc[:0], "batch": batch[:0], "size": size[:0]})
+        at, number = int(right["entry"].iloc[0]), int(right["base"].iloc[0])
+        end = batch_ends(before, size, limit)
+        batch[before < at] = number - 1  # what the last batch of an earlier block takes
+        while (i := int(np.searchsorted(before, at))) < len(before):
+            j = int(np.searchsorted(before, end[i]))
+            batch[i:j] = number
+            at, number = int(end[i]), number + 1
+        return pd.DataFrame({"source_id": [left["source_id"].iloc[0]] * int(own.sum()), "ord": left["ord"].to_numpy()[own], "batch": batch[own], "size": size[own]})
+
+    parts = both.groupBy("source_id", "block").cogroup(entries.groupBy("source_id", "block"))
+    kind = chunks.schema["ord"].dataType.simpleString()
+    return parts.applyInPandas(numbered, f"source_id {source}, ord {kind}, batch int, size int")
 
 
 def routed(docs: DataFrame, toc: DataFrame | None = None) -> DataFrame:
@@ -115,15 +182,85 @@ def toc_sections(toc: DataFrame, total_pages: int, least: int = 10) -> DataFrame
 
 def marker_slices(docs: DataFrame, start: str, end: str, least: int = 80) -> DataFrame:
     """The part of each collapsed text between two markers; none where the start is not found or the part is short."""
+    rows = docs.select("doc_id", "text", F.lit(start).alias("start_marker"), F.lit(end).alias("end_marker"))
+    return sliced(rows, least).select("doc_id", F.col("place"), "chunk")
+
+
+def sliced(sections: DataFrame, least: int = 80) -> DataFrame:
+    """Sections with their texts: the columns of ``sections`` (text, start_marker, end_marker and any others) but the text, place and chunk.
+
+    A section goes from its start marker to the next place of its end marker behind that,
+    or to the end of the text; one whose start is not found, or that is short, is left out.
+    """
     norm = T.collapsed(F.col("text"))
-    at = T.locate_marker(F.col("text"), F.lit(start))
-    rows = docs.select("doc_id", norm.alias("norm"), at.alias("place")).where("place >= 0")
-    rest = F.expr(f"substring(norm, place + 1 + {len(start)})")
-    stop = T.locate_marker(rest, F.lit(end))
-    chunk = F.when(stop >= 0, F.substring("norm", F.col("place") + 1, stop + len(start))).otherwise(F.expr("substring(norm, place + 1)"))
-    return rows.select("doc_id", "place", F.trim(chunk).alias("chunk")).where(F.length("chunk") > least)
+    at = T.locate_marker(F.col("text"), F.col("start_marker"))
+    rows = sections.withColumn("__norm", norm).withColumn("place", at).where("place >= 0")
+    stop = F.when(F.col("end_marker") != END, T.locate_marker(F.col("__norm"), F.col("end_marker"), F.col("place") + F.length("start_marker"))).otherwise(-1)
+    chunk = F.when(F.col("__stop") >= 0, F.expr("substring(__norm, place + 1, greatest(__stop - place, 0))")).otherwise(F.expr("substring(__norm, place + 1)"))
+    rows = rows.withColumn("__stop", stop).withColumn("chunk", F.trim(chunk))
+    return rows.where(F.length("chunk") > least).drop("text", "__norm", "__stop")
+
+
+def page_sections(sections: DataFrame, pages: DataFrame, least: int = 80) -> DataFrame:
+    """ord, title, chunk: the texts of each section's pages in order with a blank line between; short ones are left out.
+
+    ``sections``: ord, title, page, behind; ``pages``: page_no, text.
+    """
+    rows = page_ranges(sections, pages).groupBy("ord", "title").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
+    chunk = T.stripped(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n"))
+    return rows.select("ord", "title", chunk.alias("chunk")).where(F.length("chunk") > least)
 
 
 def batch_text(chunks: DataFrame) -> DataFrame:
     """Chunks as an extractor reads them: a title line and the text."""
     return chunks.select("ord", F.concat(F.lit("### Section: "), "title", F.lit("\n"), "text").alias("rendered"))
+
+
+def batch_texts(chunks: DataFrame, limit: int = BATCH, least: int = 80) -> DataFrame:
+    """source_id, batch, chunks, rendered: each batch of a source's chunks (source_id, ord, title, text) as one text."""
+    batch = packed(chunks, limit, least).select("source_id", "ord", "batch")
+    line = F.concat(F.lit("### Section: "), "title", F.lit("\n"), "text")
+    rows = batch.join(chunks.select("source_id", "ord", line.alias("line")), ["source_id", "ord"])
+    got = rows.groupBy("source_id", "batch").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("p"))
+    return got.select("source_id", "batch", F.size("p").alias("chunks"), F.array_join(F.transform("p", lambda x: x["line"]), "\n\n").alias("rendered"))
+
+
+#: text -> (title, section_id, start_marker, end_marker) of its sections; title and id may be empty
+Sectionizer = Callable[[str], list[tuple[str, str, str, str]]]
+
+
+def by_stride(text: str, stride: int = 4000, marker: int = 60) -> list[tuple[str, str, str, str]]:
+    """The offline sectionizer: a section each ``stride`` characters."""
+    starts = [text[at : at + marker] for at in range(0, len(text), stride)]
+    return [("", "", a, b) for a, b in zip(starts, [*starts[1:], END], strict=True)]
+
+
+def analysed(docs: DataFrame, sectionizer: Sectionizer = by_stride) -> DataFrame:
+    """doc_id, ord, title, section_id, start_marker, end_marker, error: the sections that a model finds in a sample of each text.
+
+    A sectionizer's exception becomes a row with ``error``. Titles and ids that it leaves
+    empty come from the start marker and the title.
+    """
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch["doc_id"], batch["sample"], strict=True):
+                try:
+                    rows += [(doc_id, k, *s, None) for k, s in enumerate(sectionizer(text or ""), 1)]
+                except Exception as e:  # one document's failure is a value, not the job's
+                    rows.append((doc_id, 0, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["doc_id", "ord", "title", "section_id", "start_marker", "end_marker", "error"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", T.sample(F.col("text")).alias("sample")).mapInPandas(work, f"doc_id {kind}, ord int, title string, section_id string, start_marker string, end_marker string, error string")
+    return titled(found)
+
+
+def titled(sections: DataFrame) -> DataFrame:
+    """Sections (title, section_id, start_marker, ord and others) with the titles and ids that are missing."""
+    failed = F.col("start_marker").isNull()
+    title = F.when(~failed, T.section_title(F.col("title"), F.col("start_marker"), F.col("ord")))
+    own = F.coalesce("section_id", F.lit("")) != ""
+    rows = sections.withColumn("title", title)
+    return rows.withColumn("section_id", F.when(own, F.col("section_id")).otherwise(T.section_id(F.col("title"), F.col("ord"))))

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import agent, catalog, consolidate, ingest, pages, search, sections
+from ..operators import agent, catalog, consolidate, ingest, pages, search, sections, tools
 from ..sources import adapters as A
+from ..sources import files, store
+from ..sources.adapters import TODAY
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 QUERY = "elle. ouai the"
-PATTERN = r"\bth[ae]n?d\b"
-TODAY = "2024-01-31"
+PATTERN = r"\bth[ae]n?d?\b"
+PHRASE = "the and"
 
 
 def query(sql: str | None):
@@ -49,7 +51,8 @@ scored AS (SELECT {table}.*, 0.0::DOUBLE + {" + ".join(part)} AS score FROM {tab
 TERMS = search.query_terms(QUERY)
 MICRO = "CAST(floor(score * 1e6) AS BIGINT)"
 CATALOG = f"WITH {NOTES}, {TOKENS}, {bm25_sql('toks', TERMS)}"
-HITS = f"hits AS (SELECT * FROM toks WHERE regexp_matches(content, '(?i){PATTERN}') ORDER BY path LIMIT 20)"
+HITS = f"hits AS (SELECT * FROM toks WHERE regexp_matches(content, '(?i){PHRASE}') ORDER BY path LIMIT 20)"
+FIRST = "list_filter(list_transform({0}, lambda t, i: CASE WHEN list_position({0}, t) = i THEN t END), lambda t: t IS NOT NULL)"
 
 
 @query(f"WITH {NOTES} SELECT type, count(*) AS n FROM notes GROUP BY type")
@@ -65,18 +68,18 @@ def q_tokenize_counts(spark, d):
 @query(f"WITH {NOTES}, {TOKENS} SELECT count(*) AS n_docs, CAST(sum(len(tokens)) AS BIGINT) AS total, CAST(floor(1e6 * sum(len(tokens)) / count(*)) AS BIGINT) AS mean_micro FROM toks")
 def q_corpus_stats(spark, d):
     size = F.size("tokens")
-    return A.search_text(A.notes(spark, d)).agg(F.count("*").alias("n_docs"), F.sum(size).alias("total"), F.floor(F.sum(size) * 1e6 / F.count("*")).cast("long").alias("mean_micro"))
+    return A.catalog(spark, d).agg(F.count("*").alias("n_docs"), F.sum(size).alias("total"), F.floor(F.sum(size) * 1e6 / F.count("*")).cast("long").alias("mean_micro"))
 
 
 @query(f"WITH {NOTES}, {TOKENS} SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(tokens) AS term FROM toks) GROUP BY term")
 def q_doc_freq(spark, d):
-    rows = A.search_text(A.notes(spark, d)).select(F.explode(F.array_distinct("tokens")).alias("term"))
+    rows = A.catalog(spark, d).select(F.explode(F.array_distinct("tokens")).alias("term"))
     return rows.groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(f"{CATALOG} SELECT path, title, {MICRO} AS score_micro FROM scored WHERE score > 0 ORDER BY score_micro DESC, path LIMIT 10")
 def q_bm25_catalog(spark, d):
-    return search.catalog_search(A.search_text(A.notes(spark, d)), QUERY).select("path", "title", "score_micro")
+    return search.catalog_search(A.catalog(spark, d), QUERY).select("path", "title", "score_micro")
 
 
 @query(f"WITH {NOTES} SELECT path FROM notes WHERE regexp_matches(content, '(?i){PATTERN}')")
@@ -84,22 +87,49 @@ def q_content_regex(spark, d):
     return search.content_matches(A.notes(spark, d), PATTERN).select("path")
 
 
-@query(f"WITH {NOTES}, {TOKENS}, {HITS}, {bm25_sql('hits', search.query_terms(PATTERN))} SELECT path, {MICRO} AS score_micro FROM scored ORDER BY score_micro DESC, path LIMIT 10")
+@query(f"WITH {NOTES}, {TOKENS}, {HITS}, {bm25_sql('hits', search.query_terms(PHRASE))} SELECT path, {MICRO} AS score_micro FROM scored ORDER BY score_micro DESC, path LIMIT 10")
 def q_content_search(spark, d):
-    return search.content_search(A.search_text(A.notes(spark, d)), PATTERN).select("path", "score_micro")
+    return search.content_search(A.catalog(spark, d), A.notes(spark, d), PHRASE).select("path", "score_micro")
 
 
-HYBRID = "th[ae]nd"
+HYBRID = f"""{NOTES}, {TOKENS}, {bm25_sql('toks', search.query_terms(PHRASE))},
+{HITS}, {bm25_sql('hits', search.query_terms(PHRASE)).replace("st AS", "hst AS").replace("scored AS", "hscored AS").replace("FROM hits, st", "FROM hits, hst")},
+cat AS (SELECT *, {MICRO} AS score_micro, 0 AS origin FROM scored WHERE score > 0 ORDER BY score_micro DESC, path LIMIT 10),
+con AS (SELECT *, {MICRO} AS score_micro, 1 AS origin FROM hscored ORDER BY score_micro DESC, path LIMIT 10),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY origin) AS turn FROM (SELECT * FROM cat UNION ALL SELECT * FROM con)) WHERE turn = 1 ORDER BY score_micro DESC, path LIMIT 10)"""
+
+
+@query(f"WITH {HYBRID} SELECT path, title, type, score_micro FROM best")
+def q_hybrid_search(spark, d):
+    return search.hybrid_search(A.catalog(spark, d), A.notes(spark, d), PHRASE).select("path", "title", "type", "score_micro")
+
+
+def result_lines(table: str, tag: str = "''") -> str:
+    """One text of the rows of ``table`` in the order of their scores."""
+    return f"""SELECT '## Wiki Search Results' || chr(10) || chr(10) || string_agg(k || '. **' || title || '** `[' || type || ']' || {tag} || '` _(score: ' || (m // 1000000) || '.' || lpad(CAST(m % 1000000 // 1000 AS VARCHAR), 3, '0') || ')_' || chr(10) ||
+'   Path: `' || path || '`' || chr(10) || '   Summary: ' || summary || chr(10) || '   Keywords: ' || array_to_string(keywords, ', ') || chr(10), chr(10) ORDER BY k) AS text FROM (SELECT *, score_micro AS m, row_number() OVER (ORDER BY score_micro DESC, path) AS k FROM {table})"""
+
+
+@query(f"WITH {HYBRID} {result_lines('best')}")
+def q_search_tool(spark, d):
+    return tools.search_wiki(A.catalog(spark, d), A.notes(spark, d), PHRASE)
 
 
 @query(
-    f"""WITH {NOTES}, {TOKENS}, hits AS (SELECT * FROM toks WHERE regexp_matches(content, '(?i){HYBRID}') ORDER BY path LIMIT 20), {bm25_sql('toks', [HYBRID])},
-cat AS (SELECT path, title, type, {MICRO} AS score_micro, 0 AS origin FROM scored WHERE score > 0 ORDER BY score_micro DESC, path LIMIT 10),
-con AS (SELECT path, title, type, CAST(0 AS BIGINT) AS score_micro, 1 AS origin FROM hits ORDER BY path LIMIT 10)
-SELECT path, title, type, score_micro FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY origin) AS turn FROM (SELECT * FROM cat UNION ALL SELECT * FROM con)) WHERE turn = 1 ORDER BY score_micro DESC, path LIMIT 10"""
+    f"""WITH {NOTES}, {TOKENS} SELECT path, title, type, summary, CAST(1 AS INTEGER) AS source_count, array_to_string(keywords, '|') AS keywords, '' AS links, '' AS backlinks, '{TODAY}' AS last_updated, CAST(len(tokens) AS INTEGER) AS n_tokens FROM toks"""
 )
-def q_hybrid_search(spark, d):
-    return search.hybrid_search(A.search_text(A.notes(spark, d)), HYBRID).select("path", "title", "type", "score_micro")
+def q_catalog_build(spark, d):
+    """Build the catalog, write it in place of the one before, and read it back."""
+    path = f"{store.root(spark)}/catalog-build"
+    catalog.save(catalog.entries(A.notes(spark, d)), path)
+    rows = catalog.load(spark, path)
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return rows.select("path", "title", "type", "summary", "source_count", joined("keywords"), joined("links"), joined("backlinks"), "last_updated", F.size("tokens").alias("n_tokens"))
+
+
+@query(f"WITH {NOTES} SELECT path, title, type FROM notes WHERE path = 'concepts/doc-1.md'")
+def q_entry(spark, d):
+    return catalog.entry(A.catalog(spark, d), "concepts/doc-1").select("path", "title", "type")
 
 
 SLUG = "regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\-]', '-', 'g'), '^-+|-+$', '', 'g')"
@@ -142,24 +172,57 @@ def q_related(spark, d):
 
 
 @query(
-    f"""WITH {NOTES} SELECT CASE type WHEN 'concept' THEN 1 WHEN 'entity' THEN 2 WHEN 'procedure' THEN 3 ELSE 4 END AS category, title, path,
-'| [' || title || '](' || regexp_replace(path, '\\.md$', '') || ') | ' || replace(summary, chr(10), ' ') || ' | ' || array_to_string(list_transform(keywords, lambda k: '`' || k || '`'), ', ') || ' |' AS line FROM notes"""
+    f"""WITH {PAGES}, bk AS (SELECT page_id, list_sort(list(DISTINCT CAST(src AS VARCHAR))) AS b FROM pg JOIN ed ON name = dst AND src <> page_id WHERE name <> '' GROUP BY page_id),
+r AS (SELECT page_id, unnest((links || list_filter(coalesce(b, []), lambda x: NOT list_contains(links, x)))[1:8]) AS rp, generate_subscripts((links || list_filter(coalesce(b, []), lambda x: NOT list_contains(links, x)))[1:8], 1) AS k FROM pg LEFT JOIN bk USING (page_id)),
+l AS (SELECT r.page_id, string_agg('  - ' || coalesce(pg.name, rp) || ' (`' || rp || '`)', chr(10) ORDER BY k) AS lines FROM r LEFT JOIN pg ON CAST(pg.page_id AS VARCHAR) = rp GROUP BY r.page_id)
+SELECT CAST(pg.page_id AS VARCHAR) AS path, CASE WHEN lines IS NULL THEN 'No related pages found for ' || chr(39) || pg.page_id || chr(39) || '.' ELSE 'Pages related to ' || chr(39) || pg.page_id || chr(39) || ':' || chr(10) || lines END AS text FROM pg LEFT JOIN l USING (page_id)"""
 )
-def q_index_rows(spark, d):
-    return catalog.index_rows(A.notes(spark, d))
+def q_related_text(spark, d):
+    linked = A.page_links(spark, d).withColumn("path", F.col("page_id").cast("string"))
+    back = catalog.backlinks(linked).select(F.col("page_id").cast("string").alias("path"), F.array_sort(F.transform("backlinks", lambda b: b.cast("string"))).alias("backlinks"))
+    rows = linked.join(back, "path", "left").withColumn("backlinks", F.coalesce("backlinks", F.array().cast("array<string>")))
+    return catalog.related_lines(catalog.related_notes(rows), linked.select("path", F.col("name").alias("title")))
+
+
+@query(
+    f"""WITH {PAGES}, n AS (SELECT CASE WHEN page_id % 2 = 0 THEN name || '-' || page_id || '.md' ELSE name || '.md' END AS path, links FROM pg WHERE name <> ''),
+e AS (SELECT DISTINCT path AS src, unnest(links) AS k FROM n), b AS (SELECT x.path, list_sort(list(DISTINCT src)) AS b FROM (SELECT DISTINCT path FROM n) x JOIN e ON e.k || '.md' = x.path AND src <> x.path GROUP BY x.path)
+SELECT n.path, array_to_string((links || list_filter(coalesce(b, []), lambda x: NOT list_contains(links, x)))[1:8], '|') AS related FROM n LEFT JOIN b USING (path)"""
+)
+def q_related_scan(spark, d):
+    """Backlinks of a catalog that has none, from the contents: links by path, in capitals here."""
+    n = A.page_notes(spark, d)
+    return catalog.related_notes(n, catalog.backlinks_by_scan(n)).select("path", F.array_join("related", "|").alias("related"))
 
 
-REFS = "see GEN  {n}.1, ENR {n}-2 and AD 2.{n}; again GEN {n}.1"
+@query(
+    f"""WITH {NOTES}, c AS (SELECT * FROM (VALUES (1, 'concepts', 'Concepts'), (2, 'entities', 'Entities'), (3, 'procedures', 'Procedures'), (4, 'synthesis', 'Synthesis')) t(category, folder, label)),
+n AS (SELECT *, CASE WHEN type IN ('concept', 'synthesis') THEN 1 WHEN type = 'entity' THEN 2 ELSE 3 END AS category, replace(path, 'synthesis/', 'concepts/') AS home FROM notes)
+SELECT CAST(category AS INTEGER) AS category, 1 AS part, '' AS title, '' AS path, '## ' || label AS line FROM c UNION ALL
+SELECT CAST(category AS INTEGER), 2, '', '', CASE WHEN category IN (SELECT category FROM n) THEN '| Title | Summary | Keywords | Last Updated |' || chr(10) || '| :--- | :--- | :--- | :--- |' ELSE '_No entries yet._' END FROM c UNION ALL
+SELECT category, 3, title, home, '| [[' || regexp_replace(home, '\\.md$', '') || chr(92) || '|' || title || ']] | ' || replace(summary, chr(10), ' ') || ' | ' || array_to_string(list_transform(keywords, lambda k: '`' || k || '`'), ', ') || ' | {TODAY} |' FROM n"""
+)
+def q_index_rows(spark, d):
+    """The index page, with the notes of one category filed under another, so that it is empty."""
+    return catalog.index_lines(A.notes(spark, d).withColumn("path", F.regexp_replace("path", "^synthesis/", "concepts/")))
 
 
 @query(
-    """SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(t, '\\b(?:GEN|ENR|AD)\\s+\\d+(?:[.\\-]\\d+)*'), lambda r: regexp_replace(r, '\\s+', ' ', 'g'))[1:3], '|') AS refs
-FROM (SELECT p_partkey, 'see GEN  ' || p_size || '.1, ENR ' || p_size || '-2 and AD 2.' || p_size || '; again GEN ' || p_size || '.1' AS t FROM part)"""
+    f"""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'see GEN  ' || p_size || '.1, ENR' || p_size || '.2 and AD 2-VHHH; again GEN ' || p_size || '.1'
+  WHEN 1 THEN 'GEN 3.5-HKO-EQ, ENR ' || p_size || chr(8211) || '4.' || p_size || ' then XGEN 9 and AD2 - A1' WHEN 2 THEN 'nothing in GEN or AD here'
+  ELSE 'GEN ' || p_size || '.1 GEN ' || p_size || '.2 ENR ' || p_size || '.3, AD ' || p_size || '.4 GEN ' || p_size || '.5 ENR ' || p_size || '.6' END AS t FROM part),
+r AS (SELECT p_partkey, list_transform(regexp_extract_all(t, '\\b(?:GEN|ENR|AD)\\s*\\d+(?:[.\\-\\x{{2013}}\\x{{2014}}]+\\d+)*(?:\\s*-\\s*[A-Z0-9]+)*'), lambda r: regexp_replace(r, '\\s+', ' ', 'g')) AS r FROM t)
+SELECT p_partkey, array_to_string({FIRST.format('r')}[1:5], '|') AS refs FROM r"""
 )
 def q_section_refs(spark, d):
     n = F.col("p_size").cast("string")
-    t = F.concat(F.lit("see GEN  "), n, F.lit(".1, ENR "), n, F.lit("-2 and AD 2."), n, F.lit("; again GEN "), n, F.lit(".1"))
-    return A.read(spark, d, "part").select("p_partkey", F.array_join(T.section_refs(t), "|").alias("refs"))
+    text = (
+        F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("see GEN  "), n, F.lit(".1, ENR"), n, F.lit(".2 and AD 2-VHHH; again GEN "), n, F.lit(".1")))
+        .when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("GEN 3.5-HKO-EQ, ENR "), n, F.lit("\u20134."), n, F.lit(" then XGEN 9 and AD2 - A1")))
+        .when(F.col("p_partkey") % 4 == 2, "nothing in GEN or AD here")
+        .otherwise(F.concat(F.lit("GEN "), n, F.lit(".1 GEN "), n, F.lit(".2 ENR "), n, F.lit(".3, AD "), n, F.lit(".4 GEN "), n, F.lit(".5 ENR "), n, F.lit(".6")))
+    )
+    return A.read(spark, d, "part").select("p_partkey", F.array_join(T.section_refs(text), "|").alias("refs"))
 
 
 RAW = """raw AS (SELECT source AS source_id, doc_id AS k, doc_id, text FROM documents),
@@ -250,13 +313,39 @@ def q_token_budget(spark, d):
     return pages.within_budget(A.read(spark, d, "documents").select("source", F.col("doc_id").alias("ord"), "text"), 3000)
 
 
+def large_page(path: str, text: str) -> str:
+    """A page of more than 4,000 tokens as it is read."""
+    w = f"list_filter(string_split_regex({text}, '\\s+'), lambda t: t <> '')"
+    cut = "array_to_string(list_filter(string_split_regex({0}, '\\s+'), lambda t: t <> '')[1:4000], ' ')"
+    parts = f"array_to_string(list_transform(range(0, len({w}), 2100)[1:3], lambda s: array_to_string({w}[s + 1:s + 2500], ' ')), chr(10) || chr(10) || '---' || chr(10) || chr(10))"
+    head = f"'[Large page: ' || {path} || ' ' || chr(8212) || ' ' || len(range(0, len({w}), 2100)) || ' sections, showing first 3 most relevant sections]' || chr(10) || chr(10)"
+    notice = "chr(10) || chr(10) || '[Truncated ' || chr(8212) || ' page exceeds token limit. Use read_page(path, max_tokens=N) to read more.]'"
+    return f"CASE WHEN len({w}) > 4000 THEN {cut.format(f'({head} || {cut.format(parts)})')} || {notice} ELSE {text} END"
+
+
 @query(
-    f"""WITH {NOTES}, want AS (SELECT path FROM notes UNION ALL SELECT path || '.bak' FROM notes)
-SELECT want.path, coalesce(CASE WHEN len({LOWER.format('content')}) > 4000 THEN array_to_string(list_filter(string_split_regex(content, '\\s+'), lambda t: t <> '')[1:4000], ' ') ELSE content END, '[Page not found: ' || want.path || ']') AS page FROM want LEFT JOIN notes ON notes.path = want.path"""
+    f"""WITH {NOTES}, want AS (SELECT path, path AS home FROM notes UNION ALL SELECT replace(path, '.md', ''), path FROM notes UNION ALL SELECT path || '.bak', path || '.bak.md' FROM notes)
+SELECT want.path, coalesce({large_page('home', 'content')}, '[Page not found: ' || want.path || ']') AS page FROM want LEFT JOIN notes ON notes.path = home"""
 )
 def q_page_read(spark, d):
     n = A.notes(spark, d)
-    return pages.read_page(n, n.select("path").union(n.select(F.concat("path", F.lit(".bak")))))
+    bare = n.select(F.regexp_replace("path", r"\.md$", "").alias("path"))
+    return pages.read_page(n, n.select("path").union(bare).union(n.select(F.concat("path", F.lit(".bak")))))
+
+
+@query(
+    f"""WITH p AS (SELECT source, doc_id, text, {WORDS} AS w FROM documents), b AS (SELECT *, len(w) AS n, coalesce(sum(len(w)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(len(w)) OVER (PARTITION BY source) AS total FROM p)
+SELECT source, string_agg(CASE WHEN before + n > 3000 THEN array_to_string(w[1:CAST(3000 - before AS BIGINT)], ' ') ELSE text END, chr(10) || chr(10) ORDER BY doc_id) || CASE WHEN max(total) > 3000 THEN chr(10) || chr(10) || '[... PDF truncated ' || chr(8212) || ' document is large ...]' ELSE '' END AS text
+FROM b WHERE before < 3000 GROUP BY source"""
+)
+def q_raw_read(spark, d):
+    return pages.read_raw(A.read(spark, d, "documents").select("source", F.col("doc_id").alias("ord"), "text"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS source, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id")
+def q_document_text(spark, d):
+    """Turns of a conversation as the pages of a document."""
+    return pages.whole_text(A.read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("source"), F.col("turn").alias("page"), "text"))
 
 
 @query("SELECT doc_id, contains(lower(text), 'entre') AS hit FROM documents")
@@ -264,9 +353,19 @@ def q_focus(spark, d):
     return pages.focused(A.read(spark, d, "documents").select("doc_id", "text"), "entre").select("doc_id", "hit")
 
 
-@query("SELECT doc_id, CASE WHEN length(text) < 12000 THEN 'single' ELSE 'llm' END AS strategy, CAST(CASE WHEN length(text) > 60000 THEN 25007 ELSE length(text) END AS INTEGER) AS sample_chars FROM documents")
+IS_HEADING = """length(trim(l)) >= 4 AND (regexp_matches(trim(l), '^[#]{0,3}\\s*(?:Chapter\\s+)?(\\d+(?:\\.\\d+)*)\\s+[A-Z].+$') OR regexp_matches(trim(l), '^([A-Z][A-Z\\s\\-]{10,})$') OR regexp_matches(trim(l), '^[MDCLXVI]+\\.\\s+[A-Z].+$'))"""
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN '1 Intro' || chr(10) || '2.1 Scope' || chr(10) || 'IV. Annex' || chr(10) || text ELSE text END AS text FROM documents),
+c AS (SELECT *, CASE WHEN doc_id % 3 = 2 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS listed, len(list_filter(string_split(text, chr(10)), lambda l: {IS_HEADING})) AS heads FROM d)
+SELECT doc_id, CASE WHEN length(text) < 12000 THEN 'single' WHEN listed >= 2 THEN 'toc' WHEN heads >= 3 THEN 'regex' ELSE 'llm' END AS strategy, CAST(CASE WHEN length(text) > 60000 THEN 25040 ELSE length(text) END AS INTEGER) AS sample_chars FROM c"""
+)
 def q_router(spark, d):
-    return sections.routed(A.read(spark, d, "documents"))
+    """A third of the documents get three headings, a third two entries of a table of contents on one level, a third one on each of two."""
+    docs = A.read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("1 Intro\n2.1 Scope\nIV. Annex\n"), "text")).otherwise(F.col("text")).alias("text"))
+    levels = F.when(F.col("doc_id") % 3 == 2, F.array(F.lit(1), F.lit(2), F.lit(2))).when(F.col("doc_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    return sections.routed(docs, docs.select("doc_id", F.explode(levels).alias("level")))
 
 
 RESOLVE = "the and of"
@@ -305,7 +404,7 @@ def q_resume(spark, d):
 
 @query(None)
 def q_consolidate(spark, d):
-    n = A.read(spark, d, "part").select(F.concat(F.lit("size"), F.col("p_size").cast("string")).alias("source"), F.lit("concept").alias("type"), F.col("p_name").alias("title"))
+    n = A.read(spark, d, "part").select(F.concat(F.lit("size"), F.col("p_size").cast("string")).alias("source"), F.lit("concept").alias("type"), F.col("p_name").alias("title"), F.col("p_partkey").alias("ord"))
     return consolidate.clusters(n)
 
 
@@ -325,12 +424,34 @@ def q_iterations(spark, d):
     return agent.capped(A.transcripts(spark, d), 2)
 
 
+MESSAGES = """ms AS (SELECT conv_id, turn, role, text, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS INTEGER) AS k, count(*) OVER (PARTITION BY conv_id, role) AS n FROM conversations WHERE role IN ('user', 'assistant')),
+cl AS (SELECT conv_id, turn AS seq, k AS call_id, n AS calls, CASE turn % 3 WHEN 0 THEN 'search_wiki' WHEN 1 THEN 'read_page' ELSE 'get_related' END AS tool, 'concepts/p' || turn % 4 || '.md' AS path, text FROM ms WHERE role = 'user'),
+rs AS (SELECT ms.conv_id, ms.turn AS result_seq, CAST(calls - k + 1 AS INTEGER) AS call_id, ms.text AS result FROM ms JOIN (SELECT DISTINCT conv_id, calls FROM cl) c USING (conv_id) WHERE role = 'assistant'),
+pr AS (SELECT cl.*, result_seq, CASE WHEN length(result) > 500 THEN substring(result, 1, 500) || '...' ELSE result END AS result_preview FROM cl LEFT JOIN rs USING (conv_id, call_id)),
+so AS (SELECT conv_id, string_agg(path, '|' ORDER BY seq) AS sources FROM (SELECT conv_id, path, min(seq) AS seq FROM cl WHERE tool = 'read_page' GROUP BY conv_id, path) GROUP BY conv_id)"""
+
+
+@query(f"WITH {MESSAGES} SELECT conv_id, call_id, seq, tool, path, result_seq, result_preview FROM pr")
+def q_call_pairs(spark, d):
+    """Results come in another order than the calls, so only their ids tell what they answer."""
+    return agent.call_pairs(A.messages(spark, d)).withColumn("path", F.col("args")["path"]).drop("args")
+
+
+@query(f"WITH {MESSAGES} SELECT * FROM so")
+def q_transcript_sources(spark, d):
+    return agent.read_sources(A.messages(spark, d)).withColumn("sources", F.array_join("sources", "|"))
+
+
 @query(
-    f"""WITH {TURNS}, w AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM tr)
-SELECT conv_id, turn, round, CAST(length(text) AS INTEGER) AS call_chars, CAST(CASE WHEN nr = 'assistant' THEN length(nt) END AS INTEGER) AS result_chars FROM w WHERE role = 'user'"""
+    f"""WITH {MESSAGES}, q AS (SELECT conv_id, text AS query FROM ms WHERE role = 'user' AND k = 1), a AS (SELECT conv_id, trim(text) AS answer FROM ms WHERE role = 'assistant' AND k = n),
+c AS (SELECT conv_id, string_agg(tool || ': ' || coalesce(result_preview, '-'), chr(10) ORDER BY seq) AS tool_calls FROM pr GROUP BY conv_id)
+SELECT conv_id, query, coalesce(answer, '') AS answer, tool_calls, coalesce(sources, '') AS sources FROM (SELECT DISTINCT conv_id FROM ms) LEFT JOIN q USING (conv_id) LEFT JOIN a USING (conv_id) LEFT JOIN c USING (conv_id) LEFT JOIN so USING (conv_id)"""
 )
-def q_call_pairs(spark, d):
-    return agent.call_pairs(A.transcripts(spark, d))
+def q_responses(spark, d):
+    """What a question gives as a whole: query, answer, calls with their results, and sources."""
+    calls = F.transform("tool_calls", lambda c: F.concat(c["tool"], F.lit(": "), F.coalesce(c["result_preview"], F.lit("-"))))
+    rows = agent.responses(A.messages(spark, d))
+    return rows.select("conv_id", "query", "answer", F.array_join(calls, "\n").alias("tool_calls"), F.array_join("sources", "|").alias("sources"))
 
 
 @query(
@@ -341,18 +462,48 @@ def q_agent_events(spark, d):
     return agent.events(A.transcripts(spark, d))
 
 
+JSON = "CAST(to_json({0}) AS VARCHAR)"
+
+
 @query(
-    f"""WITH {NOTES} SELECT path, '## Wiki-note' || chr(10) || chr(10) || '### Properties' || chr(10) || 'title: ' || title || chr(10) || 'type: ' || type || chr(10) || 'sources: ["' || sources[1] || '"]' || chr(10) || 'source_count: 1' || chr(10) ||
+    f"""WITH {NOTES} SELECT path, '## Wiki-note' || chr(10) || chr(10) || '### Properties' || chr(10) || 'title: ' || {JSON.format('title')} || chr(10) || 'type: ' || type || chr(10) || 'summary: ' || {JSON.format('summary')} || chr(10) || 'sources: ["' || sources[1] || '"]' || chr(10) || 'source_count: 1' || chr(10) ||
 'keywords: ' || CASE WHEN len(keywords) = 0 THEN '[]' ELSE '["' || array_to_string(list_transform(keywords, lambda k: replace(replace(k, chr(92), chr(92) || chr(92)), '"', chr(92) || '"')), '","') || '"]' END || chr(10) || 'last_updated: {TODAY}' || chr(10) || chr(10) || '## Content' || chr(10) || content AS markdown FROM notes"""
 )
 def q_render_notes(spark, d):
     return catalog.render(A.notes(spark, d), TODAY)
 
 
-@query(f"WITH {NOTES} SELECT path, type, sources[1] AS source, array_to_string(keywords, '|') AS keywords, 'No summary provided.' AS summary, '{TODAY}' AS last_updated FROM notes")
+@query(
+    f"""WITH {NOTES} SELECT path, title, type, sources[1] AS source, array_to_string(keywords, '|') AS keywords, summary, '{TODAY}' AS last_updated, regexp_replace('## Content' || chr(10) || content, '\\s+$', '') AS body FROM notes"""
+)
 def q_props_parse(spark, d):
-    parsed = catalog.parse(catalog.render(A.notes(spark, d).where("content is not null"), TODAY))
-    return parsed.select("path", "type", F.element_at("sources", 1).alias("source"), F.array_join("keywords", "|").alias("keywords"), "summary", "last_updated")
+    """All notes there and back: what was rendered is what is parsed, contents too."""
+    parsed = catalog.parse(catalog.render(A.notes(spark, d), TODAY), "")
+    return parsed.select("path", "title", "type", F.element_at("sources", 1).alias("source"), F.array_join("keywords", "|").alias("keywords"), "summary", "last_updated", "body")
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, doc_id % 5 AS k, CASE doc_id % 4 WHEN 0 THEN 'concept' WHEN 1 THEN 'entity' WHEN 2 THEN 'procedure' ELSE 'synthesis' END AS kind FROM documents)
+SELECT CASE kind WHEN 'entity' THEN 'entities' WHEN 'synthesis' THEN 'synthesis' ELSE kind || 's' END || '/some-name-' || doc_id || '.md' AS path,
+CASE k WHEN 2 THEN 'T ' || doc_id WHEN 3 THEN 'Quoted: ' || doc_id WHEN 4 THEN 'A "b" # ' || doc_id ELSE 'Some Name ' || doc_id END AS title, CASE k WHEN 1 THEN 'entity' ELSE kind END AS type,
+CASE k WHEN 3 THEN 'long line' WHEN 4 THEN '' ELSE 'No summary provided.' END AS summary, CASE k WHEN 1 THEN 'a, b' WHEN 2 THEN 's1' WHEN 3 THEN 'raw/one|two, three' ELSE '' END AS sources, CAST(CASE k WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS INTEGER) AS source_count,
+CASE k WHEN 1 THEN 'x|y' WHEN 2 THEN 'a|b' WHEN 3 THEN 'k1|k2' ELSE '' END AS keywords, CASE k WHEN 4 THEN '2020-02-02' ELSE '{TODAY}' END AS last_updated, CASE k WHEN 4 THEN 'A|B' ELSE '' END AS links,
+CASE k WHEN 0 THEN '# just text' WHEN 1 THEN '## Content' || chr(10) || 'body' WHEN 2 THEN 'front body' WHEN 3 THEN '## Content' || chr(10) || 'b' ELSE '## Content' || chr(10) || 'x [[B]] [[A]] [[B]]' END AS body FROM f"""
+)
+def q_props_defaults(spark, d):
+    """Notes without properties, with scalars for lists, with front matter, with lists in lines of their own, with escapes."""
+    k, number = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    text = (
+        F.when(k == 0, "# just text\n")
+        .when(k == 1, "### Properties\nsources: a, b\nkeywords: x, y # two\ntype: entity\n\n## Content\nbody\n")
+        .when(k == 2, F.concat(F.lit("---  \ntitle: T "), number, F.lit(" # note\nkeywords: [a, b]\nsources: [s1]\n--- \nfront body")))
+        .when(k == 3, F.concat(F.lit("### Properties\ntitle: 'Quoted: "), number, F.lit("'\nsources:\n  - raw/one\n  - \"two, three\"\nkeywords:\n- k1\n- k2\nsummary: long\n  line\n## Content\nb")))
+        .otherwise(F.concat(F.lit('### Properties\n# a comment\n\ntitle: "A \\"b\\" # '), number, F.lit('" # more\nlast_updated: 2020-02-02\nsummary: ""\n## Content\nx [[B]] [[A]] [[B]]')))
+    )
+    folder = F.element_at(F.array(*(F.lit(f) for f in catalog.FOLDERS.values())), (F.col("doc_id") % 4 + 1).cast("int"))
+    notes = A.read(spark, d, "documents").select(F.concat(folder, F.lit("/some-name-"), number, F.lit(".md")).alias("path"), text.alias("markdown"))
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return catalog.parse(notes, TODAY).select("path", "title", "type", "summary", joined("sources"), "source_count", joined("keywords"), "last_updated", joined("links"), "body")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
@@ -386,10 +537,29 @@ def q_normalize(spark, d):
     )
 
 
-@query(f"SELECT doc_id, CAST(instr({NORM.format('text')}, {NORM.format('substring(text, 41, 30)')}) - 1 AS INTEGER) AS place FROM documents WHERE length(text) >= 80")
+def located(norm: str, mark: str) -> str:
+    """Where a collapsed marker is in a collapsed text, from 0: whole, by its first longer words, by its last one."""
+    long = f"list_filter(string_split({mark}, ' '), lambda w: length(w) > 2)"
+    whole = f"nullif(CASE WHEN {mark} = '' THEN 0 ELSE instr({norm}, {mark}) END, 0) - 1"
+    firsts = [f"CASE WHEN len({long}) >= {n} THEN nullif(instr({norm}, array_to_string({long}[1:{n}], ' ')), 0) - 1 END" for n in (20, 12, 8, 5, 3)]
+    words = f"list_filter(list_transform(list_reverse({long}), lambda w: instr({norm}, w)), lambda p: p > 0)"
+    last = f"CASE WHEN len({words}) > 0 THEN greatest({words}[1] - 51, 0) END"
+    return f"CAST(coalesce({', '.join([whole, *firsts, last])}, -1) AS INTEGER)"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {NORM.format('text')} AS norm, {NORM.format("substring(text, 41, 90)")} AS piece, list_filter(string_split({NORM.format('text')}, ' '), lambda w: length(w) > 2) AS words FROM documents),
+m AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN piece WHEN 1 THEN piece || ' qqzz' WHEN 2 THEN 'xxqq ' || coalesce(words[len(words) // 2 + 1], '') || ' zzqq' ELSE 'qqzz xxqq' END AS mark FROM t)
+SELECT doc_id, {located('norm', 'mark')} AS place FROM m"""
+)
 def q_marker_locate(spark, d):
-    docs = A.read(spark, d, "documents").where(F.length("text") >= 80)
-    return docs.select("doc_id", T.locate_marker(F.col("text"), F.substring("text", 41, 30)).cast("int").alias("place"))
+    """A fourth of the documents each: a piece of the text, a piece with a strange end, one word of it among strange ones, none."""
+    docs = A.read(spark, d, "documents")
+    piece, k = T.collapsed(F.substring("text", 41, 90)), F.col("doc_id") % 4
+    words = F.filter(F.split(T.collapsed(F.col("text")), " "), lambda w: F.length(w) > 2)
+    one = F.coalesce(F.get(words, F.floor(F.size(words) / 2).cast("int")), F.lit(""))
+    mark = F.when(k == 0, piece).when(k == 1, F.concat(piece, F.lit(" qqzz"))).when(k == 2, F.concat(F.lit("xxqq "), one, F.lit(" zzqq"))).otherwise("qqzz xxqq")
+    return docs.select("doc_id", T.locate_marker(F.col("text"), mark).cast("int").alias("place"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 800 THEN substring(text, 1, 800) || '...' ELSE text END AS preview FROM documents")
@@ -397,9 +567,16 @@ def q_preview(spark, d):
     return A.read(spark, d, "documents").select("doc_id", T.preview(F.col("text"), 800).alias("preview"))
 
 
-@query(None)
+@query(
+    """WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS w FROM documents),
+k AS (SELECT *, list_distinct(list_transform(w, lambda t: lower(regexp_replace(t, '^[.,;:!?]+|[.,;:!?]+$', '', 'g')))) AS k FROM w),
+n AS (SELECT *, list_transform(list_sort(list_transform(k, lambda t: {'n': -length(t), 't': t}))[1:4], lambda x: x.t) AS keywords FROM k)
+SELECT doc_id, CASE WHEN len(w) > 0 THEN array_to_string(w[1:6], ' ') END AS title, CASE WHEN len(w) > 0 THEN 'concept' END AS type, CASE WHEN len(w) > 0 THEN substring(split_part(text, '. ', 1), 1, 200) END AS summary,
+CASE WHEN len(w) > 0 THEN array_to_string(keywords, '|') END AS keywords, CASE WHEN len(w) > 0 THEN text END AS content, CASE WHEN len(w) = 0 THEN 'no words' END AS error,
+len(w) > 0 AND len(keywords) BETWEEN 3 AND 5 AS keywords_ok, len(w) > 0 AS type_ok FROM n"""
+)
 def q_extract_offline(spark, d):
-    return ingest.checked(ingest.extract(A.read(spark, d, "documents")))
+    return ingest.checked(ingest.extract(A.read(spark, d, "documents"))).withColumn("keywords", F.array_join("keywords", "|"))
 
 
 @query(
@@ -430,7 +607,7 @@ def q_batch_text(spark, d):
 
 @query(
     f"""WITH {TOC}, m AS (SELECT ord FROM (SELECT *, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS key FROM toc) WHERE contains(key, 'nation1') ORDER BY key = 'nation1' DESC, 7 / greatest(length(key), 1) DESC, ord LIMIT 1)
-SELECT contains(lower(c_name), '5') AS hit, cp.page AS page_no, c_name AS text FROM bd JOIN m USING (ord) JOIN cp ON cp.page >= bd.page AND cp.page < greatest(bd.behind, bd.page + 1)"""
+SELECT CAST(row_number() OVER (ORDER BY contains(lower(c_name), '5') DESC, cp.page, c_name) AS INTEGER) AS place, contains(lower(c_name), '5') AS hit, cp.page AS page_no, c_name AS text, bd.title, bd.page FROM bd JOIN m USING (ord) JOIN cp ON cp.page >= bd.page AND cp.page < greatest(bd.behind, bd.page + 1)"""
 )
 def q_page_jump(spark, d):
     toc = A.toc(spark, d)
@@ -438,6 +615,47 @@ def q_page_jump(spark, d):
     return pages.page_jump(toc, low, "Nation 1", "5")
 
 
+PAGE_TEXTS = "pt AS (SELECT page AS page_no, string_agg(c_name, ' ' ORDER BY idx) AS text FROM cp GROUP BY page)"
+
+
+@query(
+    f"""WITH {TOC}, {PAGE_TEXTS}, m AS (SELECT ord FROM (SELECT *, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS key FROM toc) WHERE contains(key, 'nation1') ORDER BY key = 'nation1' DESC, 7 / greatest(length(key), 1) DESC, ord LIMIT 1),
+x AS (SELECT bd.title, bd.page, page_no, text FROM bd JOIN m USING (ord) JOIN pt ON page_no >= bd.page AND page_no < greatest(bd.behind, bd.page + 1))
+SELECT '[Jumped to page ' || max(page) || ' ' || chr(8212) || ' matched ' || chr(39) || max(title) || chr(39) || ', focus=' || chr(39) || '5' || chr(39) || ' (pages ' || min(page_no) || '-' || max(page_no) || ')]' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY contains(lower(text), '5') DESC, page_no) AS text FROM x"""
+)
+def q_jump_text(spark, d):
+    pages_ = A.toc_pages(spark, d).select(F.lit("atlas.pdf").alias("source"), F.col("page_no").alias("page"), "text")
+    return tools.read_raw_source(pages_, A.toc(spark, d), "atlas.pdf", "Nation 1", "5")
+
+
+@query("SELECT '[Search term ' || chr(39) || 'No Such Place' || chr(39) || ' not found in TOC index of atlas.pdf. Try without search, or use a different term.]' AS text FROM (SELECT count(*) FROM customer)")
+def q_jump_missed(spark, d):
+    pages_ = A.toc_pages(spark, d).select(F.lit("atlas.pdf").alias("source"), F.col("page_no").alias("page"), "text")
+    return tools.read_raw_source(pages_, A.toc(spark, d), "atlas.pdf", "No Such Place")
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT source, CAST(regexp_extract(source, '\\d+', 0) AS INTEGER) % 5 AS k FROM documents)
+SELECT '[Raw/Sources/' || source || '.pdf]' AS name, CASE k WHEN 0 THEN 'raw/pdf/' WHEN 1 THEN 'raw/sources/' WHEN 2 THEN 'raw/' ELSE 'raw/cache/' END || source || '.toc.json' AS path FROM s WHERE k < 4"""
+)
+def q_toc_paths(spark, d):
+    """Sidecars beside their file and in one, two or three of the other folders, or nowhere."""
+    s = A.read(spark, d, "documents").select("source").distinct().withColumn("k", (F.regexp_extract("source", r"\d+", 0).cast("int") % 5).cast("int"))
+    wanted = s.select(F.concat(F.lit("[Raw/Sources/"), "source", F.lit(".pdf]")).alias("name"), F.concat(F.lit("raw/pdf/"), "source", F.lit(".pdf")).alias("at"))
+    folders = F.array(*(F.lit(f) for f in ("raw/pdf/", "raw/sources/", "raw/", "raw/cache/")))
+    there = s.where("k < 4").select(F.explode(F.transform(F.slice(folders, F.col("k") + 1, 4 - F.col("k")), lambda f: F.concat(f, "source", F.lit(".toc.json")))).alias("path"))
+    return pages.toc_paths(wanted, there)
+
+
+@query(
+    f"""WITH {TOC} SELECT 'toc-' || ord % 7 || '.toc.json' AS path, '{{"source":"toc-' || ord % 7 || '.pdf","total_pages":1000,"entries":[' || string_agg('{{"level":' || level || ',"title":"' || title || '","page":' || page || '}}', ',' ORDER BY ord) || ']}}' AS content FROM toc GROUP BY ord % 7"""
+)
+def q_toc_sidecar(spark, d):
+    """The entries dealt to seven documents."""
+    toc = A.toc(spark, d).withColumn("source", F.concat(F.lit("toc-"), (F.col("ord") % 7).cast("string"), F.lit(".pdf"))).withColumn("total_pages", F.lit(1000))
+    return files.toc_documents(toc)
+
+
 @query(
     """WITH w AS (SELECT DISTINCT 'Raw/Sources/' || source AS name, source AS stem FROM documents UNION ALL SELECT DISTINCT '[' || source || '.md]', source FROM documents),
 f AS (SELECT DISTINCT stem, CASE WHEN ends_with(stem, '1') THEN ['.pdf', '.md'] WHEN ends_with(stem, '2') THEN ['.txt'] ELSE ['.md'] END AS e FROM w)
@@ -461,13 +679,30 @@ def q_resolved_read(spark, d):
     return pages.resolved_read(A.notes(spark, d), RESOLVE)
 
 
+@query(f"WITH {NOTES} SELECT content AS text FROM notes WHERE path = 'concepts/doc-1.md'")
+def q_page_by_path(spark, d):
+    return tools.read_page(A.notes(spark, d), "concepts/doc-1")
+
+
+MISSED = "zzz yyy xxx www the"
+
+
 @query(
-    f"""{CATALOG}, top AS (SELECT *, {MICRO} AS m FROM scored WHERE score > 0 ORDER BY m DESC, path LIMIT 10), nb AS (SELECT *, row_number() OVER (ORDER BY m DESC, path) AS k FROM top)
-SELECT '## Wiki Search Results' || chr(10) || chr(10) || string_agg(k || '. **' || title || '** `[' || type || ']` _(score: ' || (m // 1000000) || '.' || lpad(CAST(m % 1000000 // 1000 AS VARCHAR), 3, '0') || ')_' || chr(10) ||
-'   Path: `' || path || '`' || chr(10) || '   Summary: ' || summary || chr(10) || '   Keywords: ' || array_to_string(keywords, ', ') || chr(10), chr(10) ORDER BY k) AS text FROM nb"""
+    f"""WITH {NOTES}, c AS (SELECT path, title, len(list_intersect(list_distinct({LOWER.format('title')}), ['zzz', 'yyy', 'xxx', 'www', 'the'])) / 5.0 AS share FROM notes), t AS (SELECT * FROM c WHERE share > 0 ORDER BY share DESC, path LIMIT 5)
+SELECT '[Page not found: {MISSED}]' || chr(10) || 'Did you mean:' || chr(10) || string_agg('  - ' || title || ' (`' || path || '`)', chr(10) ORDER BY share DESC, path) AS text FROM t"""
 )
+def q_page_missed(spark, d):
+    """A title that no note is near enough to: the five nearest instead."""
+    return tools.read_page(A.notes(spark, d), MISSED)
+
+
+@query(f"{CATALOG}, best AS (SELECT *, {MICRO} AS score_micro FROM scored WHERE score > 0 ORDER BY score_micro DESC, path LIMIT 10) {result_lines('best', "CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || chr(167) || ' GEN ' || doc_id % 3 || CASE WHEN doc_id % 3 = 2 THEN ', ENR 1' ELSE '' END END")}")
 def q_format_results(spark, d):
-    return search.formatted(search.catalog_search(A.search_text(A.notes(spark, d)), QUERY))
+    """Results of notes with no, one and two section references."""
+    best = search.catalog_search(A.catalog(spark, d), QUERY)
+    k = F.regexp_extract("path", r"doc-(\d+)", 1).cast("long") % 3
+    refs = F.when(k == 1, F.array(F.lit("GEN 1"))).when(k == 2, F.array(F.lit("GEN 2"), F.lit("ENR 1"))).otherwise(F.array().cast("array<string>"))
+    return search.formatted(best.withColumn("sections", refs))
 
 
 @query(None)
@@ -508,3 +743,116 @@ def q_format_args(spark, d):
 @query(f"WITH {TOC} SELECT level, count(*) AS n, min(page) AS first_page, max(page) AS last_page FROM toc GROUP BY level")
 def q_toc_levels(spark, d):
     return A.toc(spark, d).groupBy("level").agg(F.count("*").alias("n"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+
+
+@query("""WITH n AS (SELECT doc_id AS id, md5(text) || '.md' AS path FROM documents), e AS (SELECT path FROM n WHERE id % 3 = 0),
+c AS (SELECT row_number() OVER (PARTITION BY path ORDER BY id) = 1 AND path NOT IN (SELECT path FROM e) AS created FROM n) SELECT count(*) FILTER (created) AS created, count(*) FILTER (NOT created) AS skipped FROM c""")
+def q_write_counts(spark, d):
+    return catalog.written(q_insert_absent(spark, d))
+
+
+@query("""WITH o AS (SELECT DISTINCT o_custkey % 100 AS source_id, o_orderkey AS batch_id, o_orderstatus = 'F' AS done FROM orders) SELECT source_id, batch_id, CASE WHEN done THEN 'kept ' ELSE 'made ' END || batch_id AS result, done AS stored FROM o""")
+def q_resume_results(spark, d):
+    """Batches of finished orders have stored results, the others are processed."""
+    o = A.read(spark, d, "orders").select((F.col("o_custkey") % 100).alias("source_id"), F.col("o_orderkey").alias("batch_id"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("failed").alias("status"))
+    progress = o.withColumn("result", F.concat(F.lit("kept "), F.col("batch_id").cast("string")))
+    return ingest.resumed(o.select("source_id", "batch_id").distinct(), progress, lambda b: b.withColumn("result", F.concat(F.lit("made "), F.col("batch_id").cast("string"))))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:%M:%S') AS moment FROM events")
+def q_timestamps(spark, d):
+    return A.read(spark, d, "events").select("event_id", T.day(F.col("ts")).alias("day"), T.moment(F.col("ts")).alias("moment"))
+
+
+STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(
+    f"""WITH m AS (SELECT doc_id, CAST(doc_id % 9 + 1 AS INTEGER) AS ord, CASE WHEN doc_id % 3 = 0 THEN 'Given ' || doc_id ELSE '' END AS given, CASE WHEN doc_id % 7 = 0 THEN ' ' || chr(10) WHEN doc_id % 3 = 2 THEN split_part(text, chr(10), 1) ELSE substring(text, 1, 150) END AS marker FROM documents),
+l AS (SELECT *, list_filter(string_split(marker, chr(10)), lambda x: {STRIP.format('x')} <> '') AS ls FROM m),
+t AS (SELECT doc_id, ord, CASE WHEN given <> '' THEN given WHEN len(ls) > 1 THEN {STRIP.format('ls[2]')} WHEN len(ls) = 1 THEN {STRIP.format('ls[1]')} ELSE 'Section ' || ord END AS title FROM l)
+SELECT doc_id, ord, title, CASE WHEN substring({SLUG.format('title')}, 1, 40) = '' THEN 'section-' || ord ELSE substring({SLUG.format('title')}, 1, 40) END AS section_id FROM t"""
+)
+def q_derive_sections(spark, d):
+    """Titles and ids of sections that a model left without: from the second line of the marker, the first, or the number."""
+    k = F.col("doc_id")
+    marker = F.when(k % 7 == 0, " \n").when(k % 3 == 2, F.split_part("text", F.lit("\n"), F.lit(1))).otherwise(F.substring("text", 1, 150))
+    rows = A.read(spark, d, "documents").select("doc_id", (k % 9 + 1).cast("int").alias("ord"), F.when(k % 3 == 0, F.concat(F.lit("Given "), k.cast("string"))).otherwise("").alias("title"), F.lit("").alias("section_id"), marker.alias("start_marker"))
+    return sections.titled(rows).select("doc_id", "ord", "title", "section_id")
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, CASE WHEN length(text) > 60000 THEN substring(text, 1, 15000) || chr(10) || chr(10) || '[... middle of document omitted ...]' || chr(10) || chr(10) || substring(text, length(text) - 9999) ELSE text END AS t FROM documents),
+x AS (SELECT doc_id, t, unnest(range(0, length(t), 4000)) AS spot FROM s), m AS (SELECT doc_id, CAST(spot // 4000 + 1 AS INTEGER) AS ord, substring(t, spot + 1, 60) AS start_marker, CASE WHEN spot + 4000 < length(t) THEN substring(t, spot + 4001, 60) ELSE 'END_OF_DOC' END AS end_marker FROM x),
+l AS (SELECT *, list_filter(string_split(start_marker, chr(10)), lambda x: {STRIP.format('x')} <> '') AS ls FROM m), t AS (SELECT *, CASE WHEN len(ls) > 1 THEN {STRIP.format('ls[2]')} WHEN len(ls) = 1 THEN {STRIP.format('ls[1]')} ELSE 'Section ' || ord END AS title FROM l)
+SELECT doc_id, ord, title, CASE WHEN substring({SLUG.format('title')}, 1, 40) = '' THEN 'section-' || ord ELSE substring({SLUG.format('title')}, 1, 40) END AS section_id, start_marker, end_marker FROM t"""
+)
+def q_sectionize_offline(spark, d):
+    return sections.analysed(A.read(spark, d, "documents")).drop("error")
+
+
+STRIDE = 600
+
+
+def packed_sql(chunks: str, limit: int) -> str:
+    """CTEs ``nu`` and ``pk`` (source_id, ord, batch) of greedy batches over ``chunks`` (source_id, ord, chunk)."""
+    return f"""nu AS (SELECT *, CAST(length(chunk) AS BIGINT) AS size, row_number() OVER (PARTITION BY source_id ORDER BY ord) AS k FROM {chunks}),
+pk AS (SELECT source_id, ord, k, 0 AS batch, size AS total FROM nu WHERE k = 1 UNION ALL
+  SELECT nu.source_id, nu.ord, nu.k, CASE WHEN pk.total + nu.size <= {limit} THEN pk.batch ELSE pk.batch + 1 END, CASE WHEN pk.total + nu.size <= {limit} THEN pk.total + nu.size ELSE nu.size END FROM pk JOIN nu ON nu.source_id = pk.source_id AND nu.k = pk.k + 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE t AS (SELECT doc_id, {NORM.format('text')} AS norm FROM documents), x AS (SELECT doc_id, norm, unnest(range(0, length(norm), {STRIDE})) AS spot FROM t),
+m AS (SELECT doc_id, norm, spot, spot // {STRIDE} + 1 AS ord, trim(substring(norm, spot + 1, 40)) AS a, length(substring(norm, spot + 1, 40)) AS la, CASE WHEN spot + {STRIDE} < length(norm) THEN trim(substring(norm, spot + {STRIDE + 1}, 40)) END AS b FROM x),
+p AS (SELECT *, instr(norm, a) - 1 AS place FROM m WHERE a <> ''), e AS (SELECT *, CASE WHEN b <> '' THEN instr(substring(norm, place + la + 1), b) END AS stop FROM p),
+ch AS (SELECT doc_id AS source_id, CAST(ord AS INTEGER) AS ord, trim(CASE WHEN stop > 0 THEN substring(norm, place + 1, la + stop - 1) ELSE substring(norm, place + 1) END) AS chunk FROM e),
+ok AS (SELECT * FROM ch WHERE length(chunk) > 80), {packed_sql('ok', 2000)}
+SELECT pk.source_id, CAST(batch AS INTEGER) AS batch, CAST(count(*) AS INTEGER) AS chunks, string_agg('### Section: Part ' || pk.ord || chr(10) || chunk, chr(10) || chr(10) ORDER BY pk.ord) AS rendered FROM pk JOIN ok ON ok.source_id = pk.source_id AND ok.ord = pk.ord GROUP BY pk.source_id, batch"""
+)
+def q_section_batches(spark, d):
+    """Sections by markers, one of them nowhere in the text, sliced, packed and rendered for an extractor."""
+    docs = A.read(spark, d, "documents").select("doc_id", "text", T.collapsed(F.col("text")).alias("norm")).where("norm <> ''")
+    starts = F.sequence(F.lit(0), F.length("norm") - 1, F.lit(STRIDE))
+    rows = docs.select("doc_id", "text", "norm", F.posexplode(starts).alias("k", "at"))
+    end = F.when(F.col("at") + STRIDE < F.length("norm"), F.substring("norm", F.col("at") + STRIDE + 1, F.lit(40))).otherwise(sections.END)
+    table = rows.select("doc_id", "text", (F.col("k") + 1).alias("ord"), F.substring("norm", F.col("at") + 1, F.lit(40)).alias("start_marker"), end.alias("end_marker"))
+    lost = docs.select("doc_id", "text", F.lit(0).alias("ord"), F.lit("qqzz xxqq 00").alias("start_marker"), F.lit(sections.END).alias("end_marker"))
+    chunks = sections.sliced(table.union(lost)).select(F.col("doc_id").alias("source_id"), "ord", F.concat(F.lit("Part "), F.col("ord").cast("string")).alias("title"), F.col("chunk").alias("text"))
+    return sections.batch_texts(chunks, 2000)
+
+
+@query(
+    f"""WITH RECURSIVE {TOC}, {PAGE_TEXTS}, ch AS (SELECT 'atlas' AS source_id, ord, bd.title, trim(string_agg(text, chr(10) || chr(10) ORDER BY page_no)) AS chunk FROM bd JOIN pt ON page_no >= bd.page AND page_no < greatest(bd.behind, bd.page + 1) WHERE level = 2 GROUP BY ord, bd.title),
+ok AS (SELECT * FROM ch WHERE length(chunk) > 80), {packed_sql('ok', 3000)}
+SELECT ok.ord, title, chunk, CAST(batch AS INTEGER) AS batch FROM ok JOIN pk USING (ord)"""
+)
+def q_page_sections(spark, d):
+    """The texts of the pages of each nation's section, packed in batches."""
+    chunks = sections.page_sections(sections.toc_bounds(A.toc(spark, d)).where("level = 2"), A.toc_pages(spark, d))
+    batch = sections.packed(chunks.select(F.lit("atlas").alias("source_id"), "ord", F.col("chunk").alias("text")), 3000).select("ord", "batch")
+    return chunks.join(batch, "ord")
+
+
+CLUSTERS = f"""{NOTES}, g AS (SELECT *, min(doc_id) OVER (PARTITION BY type, title) AS cluster FROM notes)"""
+
+
+def same_titles(spark, d) -> DataFrame:
+    """Notes in clusters of one type and title."""
+    n = A.notes(spark, d)
+    seed = n.groupBy("type", "title").agg(F.min("doc_id").alias("cluster"))
+    return n.join(seed, ["type", "title"]).select("cluster", F.col("doc_id").alias("ord"), "title", "type", "summary", "keywords", "content")
+
+
+@query(
+    f"""WITH {CLUSTERS} SELECT cluster, CAST(count(*) AS INTEGER) AS size, string_agg('Title: ' || title || chr(10) || 'Type: ' || type || chr(10) || 'Keywords: ' || array_to_string(keywords, ', ') || chr(10) || 'Content: ' || content, chr(10) || '---' || chr(10) ORDER BY doc_id) AS text FROM g GROUP BY cluster"""
+)
+def q_cluster_text(spark, d):
+    return consolidate.cluster_texts(same_titles(spark, d))
+
+
+@query(
+    f"""WITH {CLUSTERS}, x AS (SELECT cluster, count(*) AS n, arg_min(title, doc_id) AS title, arg_min(type, doc_id) AS type, arg_min(summary, doc_id) AS summary, flatten(list(keywords ORDER BY doc_id)) AS ks, list(content ORDER BY doc_id) AS cs FROM g GROUP BY cluster)
+SELECT cluster, title, type, summary, array_to_string(CASE WHEN n = 1 THEN ks ELSE {FIRST.format('ks')}[1:6] END, '|') AS keywords, array_to_string({FIRST.format('cs')}, chr(10) || chr(10)) AS content, CAST(n AS INTEGER) AS members FROM x"""
+)
+def q_merge_clusters(spark, d):
+    return consolidate.merged(same_titles(spark, d)).withColumn("keywords", F.array_join("keywords", "|"))

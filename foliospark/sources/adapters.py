@@ -11,6 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import catalog as C
+from . import store
+
+#: The day that stands for today, so that results can be compared.
+TODAY = "2024-01-31"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +23,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, title, type, summary, keywords, sources, content of each document as a note."""
-    d = read(spark, sf_dir, "documents")
+    """path, title, type, summary, keywords, sources, content, links, sections, last_updated of each document as a note."""
+    d = read(spark, sf_dir, "documents").withColumn("w", T.words(F.col("text")))  # a text is split once
     kind = F.when(F.col("lang") == "fr", "entity").when(F.col("lang") == "de", "procedure").when(F.col("lang") == "es", "synthesis").otherwise("concept")
     folder = F.when(F.col("lang") == "fr", "entities").when(F.col("lang") == "de", "procedures").when(F.col("lang") == "es", "synthesis").otherwise("concepts")
-    w = T.words(F.col("text"))
+    w = F.col("w")
     return d.select(
         "doc_id",
         F.concat(folder, F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
@@ -32,9 +37,18 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.slice(F.array_distinct(F.filter(w, lambda t: F.length(t) >= 5)), 1, 5).alias("keywords"),
         F.array("source").alias("sources"),
         F.col("text").alias("content"),
+        T.links(F.col("text")).alias("links"),
+        T.section_refs(F.col("text")).alias("sections"),
+        F.lit(TODAY).alias("last_updated"),
     )
 
 
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored catalog of the documents' notes; it is built again when the documents change."""
+    path = store.kept(spark, "catalog", [f"{sf_dir}/documents.parquet"], lambda: C.entries(notes(spark, sf_dir)))
+    return C.load(spark, path)
+
+
 def search_text(n: DataFrame) -> DataFrame:
     """Notes with the tokens that catalog search looks at."""
     text = F.concat_ws(" ", "title", "summary", F.array_join("keywords", " "))
@@ -75,8 +89,46 @@ def raw_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("source").alias("source_id"), F.col("doc_id").alias("k"), "doc_id", F.concat(number, F.lit(" Section "), number).alias("heading"), "text")
 
 
+def page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, title, content, links, backlinks of the pages as notes whose content links to others by name in capitals."""
+    p = page_links(spark, sf_dir).where("name <> ''")
+    none = F.array().cast("array<string>")
+    content = F.array_join(F.transform("links", lambda x: F.concat(F.lit("[["), F.upper(x), F.lit("]]"))), " ")
+    path = F.concat("name", F.lit("-"), F.col("page_id").cast("string"), F.lit(".md"))
+    return p.select(F.when(F.col("page_id") % 2 == 0, path).otherwise(F.concat("name", F.lit(".md"))).alias("path"), F.col("name").alias("title"), content.alias("content"), "links", none.alias("backlinks"))
+
+
+def toc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_no and text of the pages that the table of contents is about: the names of their customers."""
+    low = toc(spark, sf_dir).where("level = 3")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"])
+    return low.groupBy(F.col("page").alias("page_no")).agg(F.array_join(names, " ").alias("text"))
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as agent transcripts: user turns are calls, the next turn is the result."""
     c = read(spark, sf_dir, "conversations")
     w = W.partitionBy("conv_id").orderBy("turn")
     return c.select("conv_id", "turn", "role", "text", F.sum((F.col("role") == "user").cast("int")).over(w).cast("int").alias("round"))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, seq, kind (question, call, result, answer), call_id, tool, args, content of conversations as agent messages.
+
+    User turns call tools, other turns are results; the k-th result of a conversation answers
+    its k-th call from the end, as results of parallel calls may. The first user turn is the
+    question besides, the last assistant turn the answer besides.
+    """
+    t = read(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    w = W.partitionBy("conv_id", "role").orderBy("turn")
+    t = t.withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy("conv_id", "role")))
+    calls = t.where("role = 'user'")
+    n = calls.groupBy("conv_id").agg(F.count("*").alias("calls"))
+    tool = F.element_at(F.array(F.lit("search_wiki"), F.lit("read_page"), F.lit("get_related")), (F.col("turn") % 3 + 1).cast("int"))
+    args = F.create_map(F.lit("path"), F.concat(F.lit("concepts/p"), (F.col("turn") % 4).cast("string"), F.lit(".md")))
+    none = F.lit(None)
+    asked = calls.select("conv_id", "turn", F.lit("call").alias("kind"), F.col("k").alias("call_id"), tool.alias("tool"), args.alias("args"), F.col("text").alias("content"))
+    answered = t.where("role = 'assistant'").join(n, "conv_id").select("conv_id", "turn", F.lit("result"), (F.col("calls") - F.col("k") + 1).cast("int"), none.cast("string"), none.cast("map<string,string>"), "text")
+    first = calls.where("k = 1").select("conv_id", "turn", F.lit("question"), none.cast("int"), none.cast("string"), none.cast("map<string,string>"), "text")
+    last = t.where("role = 'assistant' and k = n").select("conv_id", "turn", F.lit("answer"), none.cast("int"), none.cast("string"), none.cast("map<string,string>"), "text")
+    return asked.union(answered).union(first).union(last).withColumnRenamed("turn", "seq")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,85 @@ def toc_sidecar(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("source", "total_pages", F.posexplode("entries").alias("ord", "e")).select("source", "ord", "e.level", "e.title", "e.page", "total_pages")
 
 
-def write_notes(rendered: DataFrame, root: str) -> None:
-    """Append rendered notes (path, markdown) as text, one folder for each kind."""
-    rendered.select(F.col("markdown").alias("value"), F.split_part("path", F.lit("/"), F.lit(1)).alias("kind")).write.mode("append").option("lineSep", "\n\u001e\n").partitionBy("kind").text(root)
+#: the bytes of a file -> the texts of its pages, and (level, title, page) of its table of contents
+PageDecoder = Callable[[bytes], tuple[list[str], list[tuple[int, str, int]]]]
+
+
+def form_feeds(data: bytes) -> tuple[list[str], list[tuple[int, str, int]]]:
+    """The decoder for texts whose pages end with a form feed, as text extractors write them; each page's first line is an entry."""
+    pages = data.decode(errors="replace").split("\f")
+    pages = pages[:-1] if len(pages) > 1 and not pages[-1].strip() else pages
+    return pages, [(1, p.strip().split("\n")[0].strip(), k) for k, p in enumerate(pages, 1) if p.strip()]
+
+
+def decoded(spark: SparkSession, decoder: PageDecoder, *paths: str) -> DataFrame:
+    """source, part (page or toc), page, ord, level, title, text, total_pages, error: what ``decoder`` finds in files of any format.
+
+    A file that it cannot read is one row with ``error``.
+    """
+    files = spark.read.format("binaryFile").load(list(paths)).select(F.element_at(F.split("path", "/"), -1).alias("source"), "content")
+    cols = ["source", "part", "page", "ord", "level", "title", "text", "total_pages", "error"]
+
+    def work(batches):
+        for batch in batches:
+            for source, content in zip(batch["source"], batch["content"], strict=True):
+                try:
+                    pages, toc = decoder(content)
+                    rows = [(source, "page", k, k - 1, None, None, t, len(pages), None) for k, t in enumerate(pages, 1)]
+                    rows += [(source, "toc", p, k, level, title.strip(), None, len(pages), None) for k, (level, title, p) in enumerate(toc)]
+                except Exception as e:  # one file's failure is a value, not the job's
+                    rows = [(source, "page", None, None, None, None, None, None, str(e) or type(e).__name__)]
+                frame = pd.DataFrame(rows, columns=cols)
+                yield frame.astype({c: "Int32" for c in ("page", "ord", "level", "total_pages")})
+
+    return files.mapInPandas(work, "source string, part string, page int, ord int, level int, title string, text string, total_pages int, error string")
+
+
+def toc_documents(toc: DataFrame) -> DataFrame:
+    """path and content (JSON) of the sidecar of each source's table of contents: source, ord, level, title, page, total_pages."""
+    got = toc.groupBy("source").agg(F.max("total_pages").alias("total_pages"), F.array_sort(F.collect_list(F.struct("ord", "level", "title", "page"))).alias("e"))
+    entries = F.transform("e", lambda x: F.struct(x["level"].alias("level"), x["title"].alias("title"), x["page"].alias("page")))
+    path = F.concat(F.regexp_replace("source", r"\.[^.]*$", ""), F.lit(".toc.json"))
+    return got.select(path.alias("path"), F.to_json(F.struct("source", "total_pages", entries.alias("entries"))).alias("content"))
+
+
+def write_files(rows: DataFrame, root: str, overwrite: bool = True) -> DataFrame:
+    """Write each row's ``content`` to ``root``/``path``, one file a row, in the tasks that hold the rows.
+
+    A file appears whole, by a rename, so a task that runs again does no harm. Without
+    ``overwrite`` files that are there stay. Returns path and created, one row a file.
+    """
+
+    def work(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            created = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                at = f"{base}/{path}"
+                there = store.get_file_info(at).type != fs.FileType.NotFound
+                created.append(not there)
+                if there and not overwrite:
+                    continue
+                store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                part = f"{at}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write((content or "").encode())
+                store.move(part, at)
+            yield pd.DataFrame({"path": batch["path"], "created": created})
+
+    return rows.select("path", "content").mapInPandas(work, "path string, created boolean")
+
+
+def write_notes(rendered: DataFrame, root: str) -> tuple[int, int]:
+    """Write rendered notes (path, markdown) below ``root`` as ``note_files`` reads them; of equal paths the least text counts.
+
+    Returns how many were created and how many were there already and stay as they are.
+    """
+    one = rendered.groupBy("path").agg(F.min("markdown").alias("content"), F.count("*").alias("n"))
+    done = write_files(one, root, overwrite=False)
+    created, total = done.agg(F.count_if("created"), F.count("*")).first()
+    return created, rendered.count() - created

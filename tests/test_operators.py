@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators import agent, catalog, consolidate, ingest, pages, search, sections
+from foliospark.operators import agent, catalog, consolidate, ingest, pages, search, sections, tools
 from foliospark.sources import files
 from foliospark.streaming.ingest import ingest_new
 
@@ -39,6 +39,8 @@ def test_bm25_of_nothing(three):
 def test_bad_pattern_matches_nothing(spark):
     n = spark.createDataFrame([note("a.md", "A", content="x(")], NOTE)
     assert search.content_matches(n, "x(").count() == 0
+    assert search.content_matches(n, "(?P<a>x)").count() == 0  # Python takes it, Java does not
+    assert search.content_matches(n, r"(?<a>x)").count() == 1
     assert search.content_matches(n, r"X\(").count() == 1
 
 
@@ -61,8 +63,8 @@ def test_slug_and_names(spark):
 def test_section_refs(spark):
     got = spark.sql("select 'GEN  1.2, ENR 3.1-4, GEN 1.2, AD 2, XGEN 9' as t").select(T.section_refs(F.col("t"))).first()[0]
     assert got == ["GEN 1.2", "ENR 3.1-4", "AD 2"]
-
-
+    more = spark.sql("select 'GEN3.1, AD 2-VHHH then GEN 3.5-HKO-EQ; ENR 1\u20132.3, GEN 1 ENR 2 AD 3' as t").select(T.section_refs(F.col("t"))).first()[0]
+    assert more == ["GEN3.1", "AD 2-VHHH", "GEN 3.5-HKO-EQ", "ENR 1\u20132.3", "GEN 1"]
 
 
 @pytest.mark.parametrize("line,yes", [("1 Intro", True), ("1.1 Xyz", True), ("1. Xyz", False), ("ALL CAPITALS HERE", True), ("SHORT", False), ("IV. Title", True), ("## 2 Title", True), ("text", False), ("", False)])
@@ -71,9 +73,11 @@ def test_heading_lines(spark, line, yes):
 
 
 def test_render_and_parse(spark):
-    n = spark.createDataFrame([("concepts/a-b.md", 'The "A"', "concept", ["s1", "s2"], ["k, 1", "k2"], "Body [[Other]] and [[X|y]] GEN 1.1\n## More")], "path string, title string, type string, sources array<string>, keywords array<string>, content string")
+    summary = 'In "two"\nlines: # not a comment \\ [x]'
+    n = spark.createDataFrame([("concepts/a-b.md", 'The "A"', "concept", summary, ["s1", "s2"], ["k, 1", "k2"], "Body [[Other]] and [[X|y]] GEN 1.1\n## More")], "path string, title string, type string, summary string, sources array<string>, keywords array<string>, content string")
     got = catalog.parse(catalog.render(n, "2024-01-31")).first()
-    assert (got.title, got.type, got.sources, got.keywords, got.links, got.sections) == ('The "A"', "concept", ["s1", "s2"], ["k, 1", "k2"], ["Other", "X|y"], ["GEN 1.1"])
+    assert (got.title, got.type, got.summary, got.sources, got.keywords, got.links, got.sections) == ('The "A"', "concept", summary, ["s1", "s2"], ["k, 1", "k2"], ["Other", "X|y"], ["GEN 1.1"])
+    assert (got.last_updated, got.source_count, got.body) == ("2024-01-31", 2, "## Content\nBody [[Other]] and [[X|y]] GEN 1.1\n## More")
 
 
 def test_parse_defaults(spark):
@@ -143,9 +147,46 @@ def test_marker(spark):
 
 
 def test_clusters_by_leader(spark):
-    n = spark.createDataFrame([("s", "concept", t) for t in ["red widget", "red widgets", "blue bolt", "blue bolts", "green nut"]] + [("s", "entity", "red widget"), ("u", "concept", "x")], "source string, type string, title string")
+    titles = ["red widgets", "red widget", "blue bolt", "blue bolts", "green nut"]
+    n = spark.createDataFrame([("s", "concept", t, i) for i, t in enumerate(titles)] + [("s", "entity", "red widget", 9), ("u", "concept", "x", 1)], "source string, type string, title string, ord long")
     got = {(r.type, r.title): r.seed for r in consolidate.clusters(n).collect()}
-    assert got["concept", "red widgets"] == "red widget" and got["concept", "green nut"] == "green nut" and got["entity", "red widget"] == "red widget"
+    assert got["concept", "red widget"] == "red widgets"  # the earlier note leads, not the lesser title
+    assert got["concept", "green nut"] == "green nut" and got["entity", "red widget"] == "red widget"
+
+
+def test_clusters_are_those_of_the_loop(spark):
+    """Against the plain loop over part names in note order, metrics and kept notes too."""
+    from difflib import SequenceMatcher
+
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").orderBy("p_partkey").collect()
+    n = spark.createDataFrame([(f"size{r.p_size % 7}", "concept", r.p_name, r.p_partkey) for r in parts], "source string, type string, title string, ord long")
+    plain = {}
+    for source in {f"size{r.p_size % 7}" for r in parts}:
+        titles = list(dict.fromkeys(r.p_name for r in parts if f"size{r.p_size % 7}" == source))
+        seeds: list[str] = []
+        for t in titles:
+            seed = next((s for s in seeds if SequenceMatcher(None, s.lower(), t.lower()).ratio() > 0.65), t)
+            seeds += [t] if seed == t else []
+            plain[source, t] = seed
+    found = consolidate.clusters(n)
+    assert {(r.source, r.title): r.seed for r in found.collect()} == plain
+    sizes = sorted((sum(1 for k, v in plain.items() if k[0] == s and v == t), t, s) for s, t in plain if plain[s, t] == t)
+    rows = consolidate.metrics(found).collect()
+    assert sorted((r["size"], r.seed, r.source) for r in rows) == sizes and all(r.removed == r["size"] - 1 for r in rows)
+    assert [r["size"] for r in rows] == sorted((r["size"] for r in rows), reverse=True)
+    kept = consolidate.kept_and_merged(found.select("source", "type", "title"), found).collect()
+    assert sorted((r.merged, r.title, r.source) for r in kept) == sizes
+
+
+def test_a_failed_merge_keeps_its_notes(spark):
+    rows = [(1, 1, "A", "concept", "s", ["k"], "x"), (1, 2, "B", "concept", "s", ["k", "l"], "y"), (2, 3, "C", "entity", "s", [], "z")]
+    n = spark.createDataFrame(rows, "cluster long, ord long, title string, type string, summary string, keywords array<string>, content string")
+    assert {(r.title, r.members, r.content) for r in consolidate.merged(n).collect()} == {("A", 2, "x\n\ny"), ("C", 1, "z")}
+
+    def broken(text, notes):
+        raise ValueError(text)
+
+    assert {(r.title, r.members) for r in consolidate.merged(n, broken).collect()} == {("A", 1), ("B", 1), ("C", 1)}
 
 
 def test_extraction_isolates_errors(spark):
@@ -164,11 +205,24 @@ def test_transcripts(spark):
     t = spark.createDataFrame([(1, 0, "user", "q", 1), (1, 1, "assistant", "a" * 600, 1), (1, 2, "user", "r", 2)], "conv_id long, turn long, role string, text string, round int")
     f = agent.folded(t).first()
     assert (f.calls, len(f.answer), len(f.preview)) == (2, 600, 503)
-    assert [(r.turn, r.result_chars) for r in agent.call_pairs(t).orderBy("turn").collect()] == [(0, 600), (2, None)]
     assert agent.capped(t, 1).first().stopped
     assert [r.type for r in agent.events(t).orderBy("turn").collect()] == ["tool_call", "answer", "tool_call"]
 
 
+def test_parallel_calls_pair_by_id(spark):
+    rows = [
+        (1, 0, "question", None, None, None, "q"), (1, 1, "call", "x", "read_page", {"path": "b.md"}, None), (1, 2, "call", "y", "read_page", {"path": "a.md"}, None),
+        (1, 3, "result", "y", None, None, "of y"), (1, 4, "result", "x", None, None, "of x"), (1, 5, "call", "z", "read_page", {"path": "b.md"}, None), (1, 6, "answer", None, None, None, " done "),
+        (2, 0, "question", None, None, None, "r"),
+    ]
+    m = spark.createDataFrame(rows, "conv_id long, seq long, kind string, call_id string, tool string, args map<string,string>, content string")
+    assert {(r.call_id, r.result_preview) for r in agent.call_pairs(m).collect()} == {("x", "of x"), ("y", "of y"), ("z", None)}
+    got = {r.conv_id: r for r in agent.responses(m).collect()}
+    assert (got[1].query, got[1].answer, got[1].sources) == ("q", "done", ["b.md", "a.md"])
+    assert [(c.tool, c.result_preview) for c in got[1].tool_calls] == [("read_page", "of x"), ("read_page", "of y"), ("read_page", None)]
+    assert (got[2].query, got[2].answer, got[2].sources, got[2].tool_calls) == ("r", "", [], None)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "concepts").mkdir()
     for k in ("entities", "procedures", "synthesis"):
@@ -182,6 +236,134 @@ def test_files(spark, tmp_path):
     assert (raw.source_id, raw.suffix) == ("a", "md")
 
 
+def test_notes_are_written_and_read_again(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    n = spark.createDataFrame([("concepts/a.md", "# a\nx"), ("entities/b-é.md", "b"), ("entities/b-é.md", "b2")], "path string, markdown string")
+    assert files.write_notes(n, root) == (2, 1)
+    for f in ("procedures", "synthesis"):
+        (tmp_path / f).mkdir()
+    back = lambda: sorted(tuple(r) for r in files.note_files(spark, root).collect())
+    assert back() == [("concepts/a.md", "# a\nx"), ("entities/b-é.md", "b")]
+    assert files.write_notes(n.withColumn("markdown", F.lit("new")), root) == (0, 3) and back()[0][1] == "# a\nx"
+
+
+def test_decoded_pages(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"One\nx\fTwo\f")
+    (tmp_path / "b.pdf").write_bytes(b"")
+    rows = files.decoded(spark, files.form_feeds, f"file://{tmp_path}/*.pdf").collect()
+    assert sorted((r.page, r.text, r.total_pages) for r in rows if r.source == "a.pdf" and r.part == "page") == [(1, "One\nx", 2), (2, "Two", 2)]
+    assert sorted((r.level, r.title, r.page) for r in rows if r.part == "toc") == [(1, "One", 1), (1, "Two", 2)]
+
+    def broken(data):
+        raise ValueError("no pages")
+
+    assert [r.error for r in files.decoded(spark, broken, f"file://{tmp_path}/a.pdf").collect()] == ["no pages"]
+
+
+def test_sidecars_are_written_and_read_again(spark, tmp_path):
+    toc = spark.createDataFrame([("x.pdf", 0, 1, "A \"b\"", 1, 9), ("x.pdf", 1, 2, "C", 4, 9)], "source string, ord int, level int, title string, page int, total_pages int")
+    assert files.write_files(files.toc_documents(toc), f"file://{tmp_path}").count() == 1
+    got = files.toc_sidecar(spark, f"file://{tmp_path}/x.toc.json").orderBy("ord").collect()
+    assert [(r.source, r.ord, r.level, r.title, r.page, r.total_pages) for r in got] == [("x.pdf", 0, 1, 'A "b"', 1, 9), ("x.pdf", 1, 2, "C", 4, 9)]
+
+
+def test_catalog_store(spark, tmp_path):
+    path = f"file://{tmp_path}/catalog"
+    assert catalog.load(spark, path).count() == 0  # nothing there
+    n = spark.createDataFrame([("a.md", "A", "concept", "s", ["x"], ["k"], ["B"], ["GEN 1"], "2024-01-31"), ("b.md", "B", "entity", None, [], [], ["A", "C"], [], "2024-01-31")], "path string, title string, type string, summary string, sources array<string>, keywords array<string>, links array<string>, sections array<string>, last_updated string")
+    for _ in range(2):
+        catalog.save(catalog.entries(n), path)
+        got = {r.path: r for r in catalog.load(spark, path).collect()}
+        assert got["a.md"].backlinks == ["b.md"] and got["b.md"].backlinks == ["a.md"] and got["b.md"].summary == ""
+    assert catalog.entry(catalog.load(spark, path), "a").first().title == "A"
+    (tmp_path / "bad").write_text("x")
+    assert catalog.load(spark, f"file://{tmp_path}/bad").count() == 0
+    spark.createDataFrame([("c.md",)], "path string").write.parquet(f"{path}-old")
+    old = catalog.load(spark, f"{path}-old").first()
+    assert (old.title, old.keywords, old.source_count) == ("", [], 0)
+
+
+def test_progress_is_kept_and_cleared(spark, tmp_path):
+    path = f"file://{tmp_path}/progress"
+    note = [("T", "concept", "s", ["k"], "c")]
+    ingest.save_progress(spark.createDataFrame([("s", 1, "failed", None, 1), ("s", 2, "done", note, 1)], ingest.PROGRESS), path)
+    ingest.save_progress(spark.createDataFrame([("s", 1, "done", note, 2)], ingest.PROGRESS), path)
+    got = {r.batch_id: (r.status, len(r.notes)) for r in ingest.load_progress(spark, path).collect()}
+    assert got == {1: ("done", 1), 2: ("done", 1)}
+    ingest.clear_progress(spark, path)
+    assert ingest.load_progress(spark, path).count() == 0
+
+
+def test_index_marks_empty_categories(spark):
+    n = spark.createDataFrame([("concepts/b.md", "B", "s", ["k"], "d"), ("concepts/a.md", "A", "s\nt", [], "d")], "path string, title string, summary string, keywords array<string>, last_updated string")
+    lines = [r.line for r in catalog.index_lines(n).collect()]
+    assert lines[0] == "## Concepts" and lines[2] == "| [[concepts/a\\|A]] | s t |  | d |" and lines[3] == "| [[concepts/b\\|B]] | s | `k` | d |"
+    assert lines[4:] == ["## Entities", "_No entries yet._", "## Procedures", "_No entries yet._", "## Synthesis", "_No entries yet._"]
+
+
+def test_agent_tools(spark):
+    n = spark.createDataFrame([("concepts/a.md", "Alpha Page", "concept", "sum", ["key"], "alpha text [[Beta]]", ["Beta"], []), ("entities/b.md", "Beta", "entity", "sum", [], "beta text", [], ["GEN 1"])], "path string, title string, type string, summary string, keywords array<string>, content string, links array<string>, sections array<string>")
+    n = n.withColumn("sources", F.array().cast("array<string>")).withColumn("last_updated", F.lit("d"))
+    c = catalog.entries(n)
+    text = lambda df: df.first().text
+    assert text(tools.search_wiki(c, n, "nothing")) == "No matching pages found in the wiki."
+    assert "1. **Beta** `[entity] \u00a7 GEN 1` _(score: " in text(tools.search_wiki(c, n, "beta"))
+    assert text(tools.read_page(n, "concepts/a")) == "alpha text [[Beta]]"
+    assert text(tools.read_page(n, "[[Beta|shown]]")) == "[Resolved '[[Beta|shown]]' \u2192 'entities/b.md']\n\nbeta text"
+    assert text(tools.read_page(n, "x y z alpha")) == "[Page not found: x y z alpha]\nDid you mean:\n  - Alpha Page (`concepts/a.md`)"
+    assert text(tools.read_page(n, "zzz")) == "[Page not found: zzz]\nDid you mean:\nNo similar pages found."
+    assert text(tools.get_related(c, "concepts/a")) == "Pages related to 'concepts/a.md':\n  - Beta (`Beta`)"
+    assert text(tools.get_related(c, "entities/b.md")) == "Pages related to 'entities/b.md':\n  - Alpha Page (`concepts/a.md`)"
+    assert text(tools.get_related(c, "none")) == "No related pages found for 'none'."
+    pages_ = spark.createDataFrame([("r", 1, "one two"), ("r", 2, "three four"), ("q", 1, "x")], "source string, page long, text string")
+    toc = spark.createDataFrame([(0, 1, "Two", 2)], "ord long, level int, title string, page int")
+    assert text(tools.read_raw_source(pages_, toc, "r", limit=3)) == "one two\n\nthree\n\n[... PDF truncated \u2014 document is large ...]"
+    assert text(tools.read_raw_source(pages_, toc, "r", limit=4)) == "one two\n\nthree four"
+    assert text(tools.read_raw_source(pages_, toc, "r", "two")) == "[Jumped to page 2 \u2014 matched 'Two' (pages 2-2)]\n\nthree four"
+    assert text(tools.read_raw_source(pages_, toc, "none")) == "[Raw source not found: none]"
+
+
+def test_large_pages(spark):
+    words = [f"w{i}" for i in range(6000)]
+    n = spark.createDataFrame([("a.md", " ".join(words)), ("b.md", "x y z")], "path string, content string")
+    got = {r.path: r.page for r in pages.read_page(n, spark.createDataFrame([("a.md",), ("b",), ("c",)], "path string")).collect()}
+    assert got["b"] == "x y z" and got["c"] == "[Page not found: c]"
+    head, body = got["a.md"].split(" w0 ", 1)
+    assert head == "[Large page: a.md \u2014 3 sections, showing first 3 most relevant sections]" and body.startswith("w1 w2 ")
+    assert got["a.md"].endswith("\n\n[Truncated \u2014 page exceeds token limit. Use read_page(path, max_tokens=N) to read more.]")
+    assert len(got["a.md"].split("\n\n[Truncated")[0].split()) == 4000
+
+
+def test_a_sectionizer_may_fail(spark):
+    def broken(text):
+        if "bad" in text:
+            raise ValueError("no sections")
+        return [("", "", "first\nSecond Line", "END_OF_DOC"), ("Own", "own-id", "x", "END_OF_DOC")]
+
+    got = sections.analysed(spark.createDataFrame([(1, "bad"), (2, "fine"), (3, None)], "doc_id long, text string"), broken).orderBy("doc_id", "ord").collect()
+    assert [(r.doc_id, r.title, r.section_id, r.error) for r in got if r.doc_id < 3] == [(1, None, None, "no sections"), (2, "Second Line", "second-line", None), (2, "Own", "own-id", None)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_in_blocks_is_the_loop(spark, seed, monkeypatch):
+    """Many blocks, chunks longer than a batch and longer than a block, against the plain loop."""
+    import random
+
+    rng = random.Random(seed)
+    sizes = [rng.randrange(1, 900) * (40 if seed % 2 and i % 17 == 5 else 1) for i in range(60 + 40 * seed)]
+    plain, batch, total = [], 0, 0
+    for s in sizes:
+        if total and total + s > 1000:
+            batch, total = batch + 1, 0
+        plain.append(batch)
+        total += s
+    monkeypatch.setattr(sections, "PACK_BLOCK", 4)
+    monkeypatch.setattr(pages, "SUM_BLOCK", 16)
+    df = spark.createDataFrame([("s", i * 3, "x" * n) for i, n in enumerate(sizes)] + [(None, 0, "y")], "source_id string, ord long, text string")
+    got = [r.batch for r in sections.packed(df, 1000, 0).where("source_id = 's'").orderBy("ord").collect()]
+    assert got == plain
+
+
 def test_stream_reads_only_new_files(spark, tmp_path):
     paths = [f"file://{tmp_path}/{n}" for n in ("in", "out", "progress")]
     spark.createDataFrame([(1, "one two")], "doc_id long, text string").write.parquet(paths[0])
