@@ -173,12 +173,16 @@ def property_source(value: Column) -> Column:
 
 
 def locate_marker(text: Column, marker: Column, start: Column | int = 0) -> Column:
-    """Place (from 0, in the collapsed text) of a section marker at or after ``start``, or -1.
+    """Place (from 0, in the collapsed text) of a section marker at or after ``start``, or -1."""
+    return locate_in(collapsed(text), collapsed(marker), start)
+
+
+def locate_in(norm: Column, mark: Column, start: Column | int = 0) -> Column:
+    """``locate_marker`` of a marker in a text that are collapsed already.
 
     The whole marker, else its first 20, 12, 8, 5 or 3 longer words, else the last such
     word that is found, less 50 characters.
     """
-    norm, mark = collapsed(text), collapsed(marker)
     long = F.filter(F.split(mark, " "), lambda w: F.length(w) > 2)
     origin = (F.lit(start) if isinstance(start, int) else start) + 1
 

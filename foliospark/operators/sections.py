@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import store
 from .pages import running_before
 
 SINGLE_PASS, SAMPLED, BATCH = 12_000, 60_000, 40_000
@@ -81,69 +82,79 @@ def packed(chunks: DataFrame, limit: int = BATCH, least: int = 80) -> DataFrame:
     Running sums deal its chunks to blocks of PACK_BLOCK batches' characters. In each block
     the chain of batches is followed from every chunk that a batch of an earlier block may
     end before: the place where it leaves the block, and how many batches it has. Only
-    those few rows a block meet in one task for each source, which strings the blocks
+    those few rows a block meet in one call for each source, which strings the blocks
     together; then each block numbers its chunks. Sizes travel, not texts.
     """
     span = limit * PACK_BLOCK
     kept = chunks.where(F.length(F.trim("text")) > least).select("source_id", "ord", F.length("text").cast("long").alias("size"))
-    rows = running_before(kept, "source_id", "ord", "size", "before").withColumn("block", F.floor(F.col("before") / span))
+    kept = store.written(kept, "sizes")
+    total = kept.agg(F.sum("size")).first()[0] or 0
+    # a call takes the blocks of a pool, which is about one block's characters
+    pools = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // span)
+    rows = running_before(kept, "source_id", "ord", "size", "before").withColumn("block", F.floor(F.col("before") / span)).withColumn("key", F.xxhash64("source_id"))
     # a block sees the chunks behind it that its last batches may take
     ahead = rows.where((F.col("before") % span < limit) & (F.col("block") > 0)).withColumn("block", F.col("block") - 1)
+    both = rows.withColumn("own", F.lit(True)).union(ahead.withColumn("own", F.lit(False)))
+    both = both.withColumn("pool", F.pmod(F.xxhash64("key", "block"), F.lit(pools)))
+
+    def blocks(group: pd.DataFrame):
+        """The blocks of a pool: places of their rows in order, then the values of before, size and own."""
+        cols = [group[c].to_numpy() for c in ("before", "block", "key")]
+        order = np.lexsort(cols)
+        cut = np.flatnonzero(np.r_[True, (np.diff(cols[1][order]) != 0) | (np.diff(cols[2][order]) != 0)])
+        for at in np.split(order, cut[1:]):
+            yield at, cols[0][at], group["size"].to_numpy()[at], group["own"].to_numpy()[at]
 
     def chains(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("before")
-        own = (group["own"] == 1).to_numpy()
-        before, size = group["before"].to_numpy(), group["size"].to_numpy()
-        n, border = int(own.sum()), (int(group["block"].iloc[0]) + 1) * span
-        source, block = group["source_id"].iloc[0], int(group["block"].iloc[0])
-        if not n:  # a chunk that is longer than the block lies over it
-            return pd.DataFrame({"source_id": group["source_id"].iloc[:0], "block": before[:0], "entry": before[:0], "leave": before[:0], "batches": before[:0]})
-        end = batch_ends(before, size, limit)[:n]
-        leave, count = end.copy(), np.ones(n, np.int64)
-        to = np.searchsorted(before[:n], end)
-        for i in range(n - 1, -1, -1):
-            if end[i] < border and to[i] < n:
-                leave[i], count[i] = leave[to[i]], count[to[i]] + 1
-        entry = np.flatnonzero((before[:n] - (border - span) < limit) | (np.arange(n) == 0))
-        return pd.DataFrame({"source_id": [source] * len(entry), "block": block, "entry": before[entry], "leave": leave[entry], "batches": count[entry]})
-
-    both = rows.withColumn("own", F.lit(1)).union(ahead.withColumn("own", F.lit(0))).select("source_id", "block", "ord", "before", "size", "own")
-    source = chunks.schema["source_id"].dataType.simpleString()
-    steps = both.drop("ord").groupBy("source_id", "block").applyInPandas(chains, f"source_id {source}, block long, entry long, leave long, batches long")
+        out = []
+        for at, before, size, own in blocks(group):
+            n, block = int(own.sum()), int(group["block"].iloc[at[0]])
+            border = (block + 1) * span
+            end = batch_ends(before, size, limit)[:n]  # other blocks' chunks come behind
+            leave, count = end.copy(), np.ones(n, np.int64)
+            to = np.searchsorted(before[:n], end)
+            for i in range(n - 1, -1, -1):
+                if end[i] < border and to[i] < n:
+                    leave[i], count[i] = leave[to[i]], count[to[i]] + 1
+            entry = np.flatnonzero((before[:n] - (border - span) < limit) | (np.arange(n) == 0))
+            key = np.full(len(entry), group["key"].iloc[at[0]])
+            out.append(np.c_[key, np.full(len(entry), block), before[:n][entry], leave[entry], count[entry]])
+        return pd.DataFrame(np.concatenate(out), columns=["key", "block", "entry", "leave", "batches"])
+
+    steps = both.select("pool", "key", "block", "before", "size", "own").groupBy("pool").applyInPandas(chains, "key long, block long, entry long, leave long, batches long")
 
     def strung(group: pd.DataFrame) -> pd.DataFrame:
-        at, base, out = 0, 0, []
-        step = {e: (b, leave, n) for b, e, leave, n in zip(group["block"], group["entry"], group["leave"], group["batches"], strict=True)}
-        while at in step:
-            block, leave, n = step[at]
-            out.append((block, at, base))
-            at, base = leave, base + n
-        # a last block in which no batch starts belongs to the last batch
-        out += [(b, 1 << 62, base) for b in sorted(set(group["block"]) - {b for b, _, _ in out})]
-        source = group["source_id"].iloc[0]
-        return pd.DataFrame([(*x, source) for x in out], columns=["block", "entry", "base", "source_id"])
-
-    entries = steps.groupBy("source_id").applyInPandas(strung, f"block long, entry long, base long, source_id {source}")
-
-    def numbered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("before")
-        own = left["own"].to_numpy() == 1
-        before, size = left["before"].to_numpy(), left["size"].to_numpy()
-        batch = np.zeros(len(left), np.int64)
-        if not own.any():
-            return pd.DataFrame({"source_id": left["source_id"].iloc[:0], "ord": left["ord"].iloc[:0], "batch": batch[:0], "size": size[:0]})
-        at, number = int(right["entry"].iloc[0]), int(right["base"].iloc[0])
-        end = batch_ends(before, size, limit)
-        batch[before < at] = number - 1  # what the last batch of an earlier block takes
-        while (i := int(np.searchsorted(before, at))) < len(before):
-            j = int(np.searchsorted(before, end[i]))
-            batch[i:j] = number
-            at, number = int(end[i]), number + 1
-        return pd.DataFrame({"source_id": [left["source_id"].iloc[0]] * int(own.sum()), "ord": left["ord"].to_numpy()[own], "batch": batch[own], "size": size[own]})
-
-    parts = both.groupBy("source_id", "block").cogroup(entries.groupBy("source_id", "block"))
-    kind = chunks.schema["ord"].dataType.simpleString()
-    return parts.applyInPandas(numbered, f"source_id {source}, ord {kind}, batch int, size int")
+        out = []
+        for key, own in group.groupby("key"):
+            at, base, met = 0, 0, set()
+            step = {e: (b, leave, n) for b, e, leave, n in zip(own["block"], own["entry"], own["leave"], own["batches"], strict=True)}
+            while at in step:
+                block, leave, n = step[at]
+                out.append((key, block, at, base))
+                met.add(block)
+                at, base = leave, base + n
+            # a last block in which no batch starts belongs to the last batch
+            out += [(key, b, 1 << 62, base) for b in sorted(set(own["block"]) - met)]
+        return pd.DataFrame(out, columns=["key", "block", "entry", "base"])
+
+    entries = steps.groupBy(F.pmod("key", F.lit(pools))).applyInPandas(strung, "key long, block long, entry long, base long")
+
+    def numbered(group: pd.DataFrame) -> pd.DataFrame:
+        batch, entries_, base = np.zeros(len(group), np.int64), group["entry"].to_numpy(), group["base"].to_numpy()
+        for at, before, size, _ in blocks(group):
+            start, number = int(entries_[at[0]]), int(base[at[0]])
+            end, mine = batch_ends(before, size, limit), np.zeros(len(at), np.int64)
+            mine[before < start] = number - 1  # what the last batch of an earlier block takes
+            while (i := int(np.searchsorted(before, start))) < len(before):
+                j = int(np.searchsorted(before, end[i]))
+                mine[i:j] = number
+                start, number = int(end[i]), number + 1
+            batch[at] = mine
+        own = group["own"].to_numpy()
+        return pd.DataFrame({"source_id": group["source_id"].to_numpy()[own], "ord": group["ord"].to_numpy()[own], "batch": batch[own], "size": group["size"].to_numpy()[own]})
+
+    source, kind = (chunks.schema[c].dataType.simpleString() for c in ("source_id", "ord"))
+    return both.join(entries, ["key", "block"]).groupBy("pool").applyInPandas(numbered, f"source_id {source}, ord {kind}, batch int, size int")
 
 
 def routed(docs: DataFrame, toc: DataFrame | None = None) -> DataFrame:
@@ -177,28 +188,42 @@ def toc_sections(toc: DataFrame, total_pages: int, least: int = 10) -> DataFrame
     first = rows.groupBy("block").agg(F.min_by(F.struct("page", "title"), "ord").alias("first"))
     later = first.withColumn("after", F.lead("first").over(W.orderBy("block"))).select("block", "after")
     rows = inside.join(later, "block").withColumn("next", F.coalesce("next", "after"))
-    return rows.select("level", "title", T.section_id(F.col("title"), F.col("ord") + 1).alias("section_id"), F.col("page").alias("page_start"), F.coalesce("next.page", F.lit(total_pages + 1)).alias("page_end"), F.coalesce("next.title", F.lit(END)).alias("end_marker"))
+    return rows.select("ord", "level", "title", T.section_id(F.col("title"), F.col("ord") + 1).alias("section_id"), F.col("page").alias("page_start"), F.coalesce("next.page", F.lit(total_pages + 1)).alias("page_end"), F.coalesce("next.title", F.lit(END)).alias("end_marker"))
 
 
 def marker_slices(docs: DataFrame, start: str, end: str, least: int = 80) -> DataFrame:
     """The part of each collapsed text between two markers; none where the start is not found or the part is short."""
-    rows = docs.select("doc_id", "text", F.lit(start).alias("start_marker"), F.lit(end).alias("end_marker"))
-    return sliced(rows, least).select("doc_id", F.col("place"), "chunk")
+    one = F.array(F.struct(F.lit(1).alias("ord"), F.lit("").alias("title"), F.lit(start).alias("start_marker"), F.lit(end).alias("end_marker")))
+    return cut_sections(docs.select("doc_id", T.collapsed(F.col("text")).alias("norm"), one.alias("sections")), least).select("doc_id", "place", "chunk")
 
 
-def sliced(sections: DataFrame, least: int = 80) -> DataFrame:
-    """Sections with their texts: the columns of ``sections`` (text, start_marker, end_marker and any others) but the text, place and chunk.
+def sliced(docs: DataFrame, sections: DataFrame, least: int = 80) -> DataFrame:
+    """Sections (doc_id, ord, title, start_marker, end_marker) of texts (doc_id, text) with their parts of them: doc_id, ord, title, place, chunk.
 
-    A section goes from its start marker to the next place of its end marker behind that,
-    or to the end of the text; one whose start is not found, or that is short, is left out.
+    A text is collapsed once for all its sections, which travel to it as one row.
     """
-    norm = T.collapsed(F.col("text"))
-    at = T.locate_marker(F.col("text"), F.col("start_marker"))
-    rows = sections.withColumn("__norm", norm).withColumn("place", at).where("place >= 0")
-    stop = F.when(F.col("end_marker") != END, T.locate_marker(F.col("__norm"), F.col("end_marker"), F.col("place") + F.length("start_marker"))).otherwise(-1)
-    chunk = F.when(F.col("__stop") >= 0, F.expr("substring(__norm, place + 1, greatest(__stop - place, 0))")).otherwise(F.expr("substring(__norm, place + 1)"))
-    rows = rows.withColumn("__stop", stop).withColumn("chunk", F.trim(chunk))
-    return rows.where(F.length("chunk") > least).drop("text", "__norm", "__stop")
+    listed = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "title", "start_marker", "end_marker"))).alias("sections"))
+    return cut_sections(docs.select("doc_id", T.collapsed(F.col("text")).alias("norm")).join(listed, "doc_id"), least)
+
+
+def cut_sections(rows: DataFrame, least: int) -> DataFrame:
+    """``rows``: doc_id, norm (the collapsed text), sections. A section goes from its start marker to the next place of
+    its end marker behind that, or to the end of the text; one whose start is not found, or that is short, is left out."""
+    norm = F.col("norm")
+
+    def cut(s):
+        at = T.locate_in(norm, T.collapsed(s["start_marker"]))
+        return F.struct(s["ord"].alias("ord"), s["title"].alias("title"), at.alias("place"), F.length(s["start_marker"]).alias("n"), s["end_marker"].alias("end"))
+
+    def ended(s):
+        stop = F.when(s["end"] != END, T.locate_in(norm, T.collapsed(s["end"]), s["place"] + s["n"])).otherwise(F.lit(-1))
+        size = F.when(stop >= 0, F.greatest(stop - s["place"], F.lit(0))).otherwise(F.length(norm))
+        return F.struct(s["ord"].alias("ord"), s["title"].alias("title"), s["place"].alias("place"), F.trim(F.substring(norm, s["place"] + 1, size)).alias("chunk"))
+
+    found = F.filter(F.transform("sections", cut), lambda s: s["place"] >= 0)
+    # the outer form, since Spark would compute the array again to leave out empty ones
+    parts = rows.select("doc_id", F.explode_outer(F.transform(found, ended)).alias("s")).select("doc_id", "s.*")
+    return parts.where(F.length("chunk") > least)
 
 
 def page_sections(sections: DataFrame, pages: DataFrame, least: int = 80) -> DataFrame:

@@ -554,12 +554,12 @@ SELECT doc_id, {located('norm', 'mark')} AS place FROM m"""
 )
 def q_marker_locate(spark, d):
     """A fourth of the documents each: a piece of the text, a piece with a strange end, one word of it among strange ones, none."""
-    docs = A.read(spark, d, "documents")
+    docs = A.read(spark, d, "documents").withColumn("norm", T.collapsed(F.col("text")))
     piece, k = T.collapsed(F.substring("text", 41, 90)), F.col("doc_id") % 4
-    words = F.filter(F.split(T.collapsed(F.col("text")), " "), lambda w: F.length(w) > 2)
+    words = F.filter(F.split("norm", " "), lambda w: F.length(w) > 2)
     one = F.coalesce(F.get(words, F.floor(F.size(words) / 2).cast("int")), F.lit(""))
     mark = F.when(k == 0, piece).when(k == 1, F.concat(piece, F.lit(" qqzz"))).when(k == 2, F.concat(F.lit("xxqq "), one, F.lit(" zzqq"))).otherwise("qqzz xxqq")
-    return docs.select("doc_id", T.locate_marker(F.col("text"), mark).cast("int").alias("place"))
+    return docs.select("doc_id", "norm", T.collapsed(mark).alias("mark")).select("doc_id", T.locate_in(F.col("norm"), F.col("mark")).cast("int").alias("place"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 800 THEN substring(text, 1, 800) || '...' ELSE text END AS preview FROM documents")
@@ -585,7 +585,7 @@ s AS (SELECT toc.*, lead(page) OVER (ORDER BY ord) AS np, lead(title) OVER (ORDE
 SELECT level, title, CASE WHEN sg = '' THEN 'section-' || (ord + 1) ELSE sg END AS section_id, page AS page_start, coalesce(np, 100001) AS page_end, coalesce(nt, 'END_OF_DOC') AS end_marker FROM x"""
 )
 def q_toc_sections(spark, d):
-    return sections.toc_sections(A.toc(spark, d), 100_000)
+    return sections.toc_sections(A.toc(spark, d), 100_000).drop("ord")
 
 
 SLICE = ("the", "with")
@@ -811,24 +811,28 @@ SELECT pk.source_id, CAST(batch AS INTEGER) AS batch, CAST(count(*) AS INTEGER)
 )
 def q_section_batches(spark, d):
     """Sections by markers, one of them nowhere in the text, sliced, packed and rendered for an extractor."""
-    docs = A.read(spark, d, "documents").select("doc_id", "text", T.collapsed(F.col("text")).alias("norm")).where("norm <> ''")
-    starts = F.sequence(F.lit(0), F.length("norm") - 1, F.lit(STRIDE))
-    rows = docs.select("doc_id", "text", "norm", F.posexplode(starts).alias("k", "at"))
+    docs = A.read(spark, d, "documents").select("doc_id", "text")
+    norm = docs.select("doc_id", T.collapsed(F.col("text")).alias("norm")).where("norm <> ''")
+    rows = norm.select("doc_id", "norm", F.posexplode(F.sequence(F.lit(0), F.length("norm") - 1, F.lit(STRIDE))).alias("k", "at"))
     end = F.when(F.col("at") + STRIDE < F.length("norm"), F.substring("norm", F.col("at") + STRIDE + 1, F.lit(40))).otherwise(sections.END)
-    table = rows.select("doc_id", "text", (F.col("k") + 1).alias("ord"), F.substring("norm", F.col("at") + 1, F.lit(40)).alias("start_marker"), end.alias("end_marker"))
-    lost = docs.select("doc_id", "text", F.lit(0).alias("ord"), F.lit("qqzz xxqq 00").alias("start_marker"), F.lit(sections.END).alias("end_marker"))
-    chunks = sections.sliced(table.union(lost)).select(F.col("doc_id").alias("source_id"), "ord", F.concat(F.lit("Part "), F.col("ord").cast("string")).alias("title"), F.col("chunk").alias("text"))
+    table = rows.select("doc_id", (F.col("k") + 1).alias("ord"), F.substring("norm", F.col("at") + 1, F.lit(40)).alias("start_marker"), end.alias("end_marker"))
+    lost = docs.select("doc_id", F.lit(0).alias("ord"), F.lit("qqzz xxqq 00").alias("start_marker"), F.lit(sections.END).alias("end_marker"))
+    named = table.union(lost).withColumn("title", F.concat(F.lit("Part "), F.col("ord").cast("string")))
+    chunks = sections.sliced(docs, named).select(F.col("doc_id").alias("source_id"), "ord", "title", F.col("chunk").alias("text"))
     return sections.batch_texts(chunks, 2000)
 
 
 @query(
-    f"""WITH RECURSIVE {TOC}, {PAGE_TEXTS}, ch AS (SELECT 'atlas' AS source_id, ord, bd.title, trim(string_agg(text, chr(10) || chr(10) ORDER BY page_no)) AS chunk FROM bd JOIN pt ON page_no >= bd.page AND page_no < greatest(bd.behind, bd.page + 1) WHERE level = 2 GROUP BY ord, bd.title),
+    f"""WITH RECURSIVE {TOC}, {PAGE_TEXTS}, se AS (SELECT ord, title, page, coalesce(lead(page) OVER (ORDER BY ord), (SELECT max(page) + 1 FROM toc)) AS behind FROM toc WHERE level = 2),
+ch AS (SELECT 'atlas' AS source_id, ord, title, trim(string_agg(text, chr(10) || chr(10) ORDER BY page_no)) AS chunk FROM se JOIN pt ON page_no >= page AND page_no < greatest(behind, page + 1) GROUP BY ord, title),
 ok AS (SELECT * FROM ch WHERE length(chunk) > 80), {packed_sql('ok', 3000)}
 SELECT ok.ord, title, chunk, CAST(batch AS INTEGER) AS batch FROM ok JOIN pk USING (ord)"""
 )
 def q_page_sections(spark, d):
     """The texts of the pages of each nation's section, packed in batches."""
-    chunks = sections.page_sections(sections.toc_bounds(A.toc(spark, d)).where("level = 2"), A.toc_pages(spark, d))
+    toc = A.toc(spark, d)
+    found = sections.toc_sections(toc.where("level = 2"), toc.agg(F.max("page")).first()[0])
+    chunks = sections.page_sections(found.select("ord", "title", F.col("page_start").alias("page"), F.col("page_end").alias("behind")), A.toc_pages(spark, d))
     batch = sections.packed(chunks.select(F.lit("atlas").alias("source_id"), "ord", F.col("chunk").alias("text")), 3000).select("ord", "batch")
     return chunks.join(batch, "ord")
 

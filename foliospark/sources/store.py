@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from hashlib import sha256
 
@@ -46,3 +47,22 @@ def kept(spark: SparkSession, name: str, inputs: list[str], build: Callable[[],
     if not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return path
+
+
+#: Paths of the tables that queries have written for themselves.
+WRITTEN: list[str] = []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of its own, for what is read more than once: it is computed here, and read from there."""
+    spark = df.sparkSession
+    path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that queries have written for themselves; their results must have been taken before."""
+    while WRITTEN:
+        delete(spark, WRITTEN.pop())
