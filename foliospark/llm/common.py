@@ -26,7 +26,7 @@ BATCH_ROWS = 1000
 #: Bytes of text worked on at once in a task, unless one text is longer: what is made of them stays in a cache.
 PIECE_BYTES = 1 << 17
 #: Rows, and bytes of the corpus, for each task that writes a narrow table.
-TASK_ROWS, TASK_BYTES = 1 << 19, 64 << 20
+TASK_ROWS, TASK_BYTES = 1 << 17, 32 << 20
 #: Paths of the tables stored by this process that are not deleted yet.
 STORED: list[str] = []
 

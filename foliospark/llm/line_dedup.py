@@ -9,8 +9,8 @@ component stays.
 
 Recall of one pair at similarity s is ``1 - (1 - s**ROWS)**BANDS``: 0.985 at 0.8, 0.998
 at 0.85. All lines with one band key are compared with each other: up to FEW as pairs. The
-lines of a hot key, which has more, are dealt to blocks, and a task for each block and pair
-of blocks finds links that connect what all its similar pairs connect.
+lines of a hot key, which has more, are compared with one of them first and then in blocks
+(see ``blocks``), whose tasks find links that connect what all similar pairs connect.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .common import GOLD, SPACES, bucket_count, buffers, cut_spans, materialise, mix, pack_rows, packed_texts, pieces, runs, same_document, span_hashes, text_bytes, tidied, unpack_rows, unpacked, with_text_hash, words8, writers
 from .components import components
 
@@ -290,40 +291,39 @@ def group_links(sets: list[np.ndarray], left: int = 0) -> list[tuple[int, int]]:
 
 def hot_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges a, b: they connect what all similar pairs of lines of one hot key connect. ``members``: key, h, size."""
-    lines_of = F.ceil(F.col("n") / BLOCK_LINES)
-    bytes_of = F.ceil(F.col("bytes") / BLOCK_BYTES)
-    each = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
-    # keys with the same lines are one; stored, so that the join stands alone between its exchanges and a hot key can be split
-    keys = each.groupBy("n", "bytes", "x", "y").agg(F.min("key").alias("key")).where("n > 1")
-    keys = materialise(keys.select("key", "bytes", F.greatest(lines_of, bytes_of).cast("int").alias("blocks")), "hot-keys", writers(members.sparkSession, rows=members.count()))
-    pools = max(1, (keys.where("blocks = 1").agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES)
-    mine = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
-    placed = (
-        members.join(keys, "key")
-        .select("key", "h", "blocks", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("key", "h", "blocks", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    )
+    each = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
+    # keys with the same lines are one
+    keys = each.groupBy("n", "x", "y").agg(F.min("key").alias("key")).where("n > 1")
+    rows = writers(members.sparkSession, rows=members.count())
+    own = materialise(members.join(materialise(keys.select("key"), "hot-keys", rows), "key").select(F.col("key").alias("g"), F.col("h").alias("item"), F.col("size").cast("long").alias("size")), "hot-lines", rows)
+
+    def similar(x: bytes, y: bytes) -> bool:
+        return alike(*shingle_sets([x, y]))
+
+    edges, placed = blocks.placed(own, texts.select(F.col("h").alias("item"), F.col("line").alias("value")), similar, BLOCK_LINES, BLOCK_BYTES)
+    pools = max(1, (own.agg(F.sum("size")).first()[0] or 0) // BLOCK_BYTES)
     # keys of one block share a task's call; a pair of blocks has its own
-    pool = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(pools))).otherwise(F.xxhash64("key", "i", "j"))
+    pool = F.when(F.col("i") < 0, F.pmod(F.xxhash64("g"), F.lit(pools))).otherwise(F.xxhash64("g", "i", "j"))
 
     def join(group: pa.Table) -> pa.Table:
-        key, i, j, mine, h = (group[c].to_numpy() for c in ("key", "i", "j", "mine", "h"))
+        key, i, j, side, h = (group[c].to_numpy() for c in ("g", "i", "j", "side", "item"))
         text = group["line"]
         a, b = [], []
-        order = np.lexsort((h, mine, j, i, key))
+        order = np.lexsort((h, side, j, i, key))
         start = runs(key[order], i[order], j[order])
         for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(order)], strict=True):
             at = order[lo:hi]
-            left = int((mine[at] == i[at]).sum()) if i[at[0]] != j[at[0]] else 0
-            if len(at) < 2 or i[at[0]] != j[at[0]] and left in (0, len(at)):
+            left = int((side[at] == 0).sum())
+            if len(at) < 2 or left == len(at):
                 continue
             for x, y in group_links(shingle_sets([text[k].as_py() for k in at.tolist()]), left):
                 a.append(h[at[x]])
                 b.append(h[at[y]])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = placed.withColumn("pool", pool).join(texts, "h")
-    return rows.select("pool", "key", "i", "j", "mine", "h", "line").groupBy("pool").applyInArrow(join, "a long, b long")
+    rows = placed.withColumn("pool", pool).join(texts.withColumnRenamed("h", "item"), "item")
+    found = rows.select("pool", "g", "i", "j", "side", "item", "line").groupBy("pool").applyInArrow(join, "a long, b long")
+    return edges.union(found)
 
 
 def similar_lines(docs: DataFrame, found: DataFrame, total: int) -> DataFrame:

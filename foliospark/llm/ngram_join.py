@@ -12,8 +12,9 @@ class and are linked as such. For different sets:
    class joins the groups of its shingles' leaders. Linked sets share a tenth of the
    smaller one's size at least in these prefixes, so a class leaves the groups that only a
    few of its shingles (4 % of its size together) are for: any two linked classes are
-   still together in at least one group. Large groups are split in blocks, and each
-   pair of blocks is a task of its own.
+   still together in at least one group. In a large group all classes are compared with
+   one of them, and only those that it is not linked with meet all others, in blocks (see
+   ``blocks``).
 3. Join. A task stores its sets in a radix tree, most common shingle first, and sends
    sets down it level by level; sets with a common path share the partial overlap, and a
    subtree goes once the lengths that remain cannot give the overlap that is needed. A
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import blocks
 from .common import GOLD, bucket_count, buffers, materialise, mix, pack_rows, packed_texts, pieces, runs, same_document, shuffle_parts, text_bytes, tidied, unpack_rows, unpacked, with_text_hash, word_spans, writers
 from .components import components
 
@@ -327,21 +329,26 @@ def class_links(docs: DataFrame, members: DataFrame, shares: DataFrame, total_by
     found = materialise(groups(sets), "groups", writers(spark, text_bytes=total_bytes))
     total = found.count()
     block = min(MOST_BLOCK, max(LEAST_BLOCK, total // (4 * shuffle_parts(spark))))
-    count = found.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1").select("leader", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    placed = (
-        found.join(count, "leader")
-        .select("leader", "cls", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("leader", "cls", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    )
+    members = found.select(F.col("leader").alias("g"), F.col("cls").alias("item"), F.lit(0).cast("long").alias("size"))
+
+    def linked(x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 5 * both >= 4 * (len(a) + len(b) - both)
+
+    edges, placed = blocks.placed(members, sets.select(F.col("cls").alias("item"), F.col("set").alias("value")), linked, block)
 
     def join(group: pa.Table) -> pa.Table:
-        cls = group["cls"].to_numpy()
-        links = links_in([np.frombuffer(s.as_py(), np.uint64) for s in group["set"]])
+        order = np.unique(group["item"].to_numpy(), return_index=True)[1]  # an item may be on both sides
+        cls = group["item"].to_numpy()[order]
+        links = links_in([np.frombuffer(group["set"][k].as_py(), np.uint64) for k in order.tolist()])
         a, b = (pa.array(cls[[x[k] for x in links]] if links else np.zeros(0, np.int64)) for k in (0, 1))
         return pa.table([a, b], ["a", "b"])
 
-    return placed.join(sets, "cls").groupBy("leader", "i", "j").applyInArrow(join, "a long, b long")
+    rows = placed.join(sets.withColumnRenamed("cls", "item"), "item").select("g", "i", "j", "item", "set")
+    return edges.union(rows.groupBy("g", "i", "j").applyInArrow(join, "a long, b long"))
 
 
 def linked_groups(docs: DataFrame) -> DataFrame:

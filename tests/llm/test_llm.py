@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import ann, components, line_dedup, mixing, ngram_join, quality, queries, sharding, sp_codec, substring_dedup, suffix_dedup, tiff
+from foliospark.llm import ann, blocks, components, line_dedup, mixing, ngram_join, quality, queries, sharding, sp_codec, substring_dedup, suffix_dedup, tiff
 
 from . import brute
 
@@ -124,9 +124,10 @@ def test_line_dedup_of_a_large_family(spark, lines, monkeypatch):
     assert collected(got, rows, CUT) == expected(rows, plain)
 
 
-@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуф", "日本語文字列行書化物語"])
-def test_line_dedup_inside_a_template(spark, letters):
-    """Pairs of near-duplicates among lines of one template: recall as of lines alone, whatever the partitions."""
+@pytest.mark.parametrize("letters,lines", [("abcdefghijklmnopqrstuvwxyz", 512), ("abcdefghijklmnopqrstuvwxyz", 30), ("абвгдежзиклмнопрстуф", 512), ("日本語文字列行書化物語", 50)])
+def test_line_dedup_inside_a_template(spark, letters, lines, monkeypatch):
+    """Pairs of near-duplicates among lines of one template: recall as of lines alone, whatever the partitions and blocks."""
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", lines)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice(letters) for _ in range(8))
     frame_ = [word() for _ in range(40)]
@@ -196,6 +197,32 @@ def test_ngram_join_of_a_large_family(spark, block, monkeypatch):
     assert got == expected(rows, brute.jaccard_groups(rows))
 
 
+@pytest.mark.parametrize("block", [3, 7, 1000])
+def test_blocks_cover_all_pairs_but_a_stars(spark, block):
+    """Every linked pair of a group meets in a block, or both are linked with the centre."""
+    rng = random.Random(block)
+    value = {i: rng.randrange(40) for i in range(90)}
+    linked = lambda a, b: abs(a[0] - b[0]) <= 2
+    rows = [(g, i, 1) for g in range(4) for i in value if rng.random() < (0.02, 0.3, 0.6, 1)[g]]
+    members = spark.createDataFrame(rows, "g long, item long, size long")
+    values = spark.createDataFrame([(i, bytes([v])) for i, v in value.items()], "item long, value binary")
+    edges, placed = blocks.placed(members, values, linked, block)
+    star = {(r.a, r.b) for r in edges.collect()}
+    met: dict = {}
+    for r in placed.collect():
+        met.setdefault((r.g, r.i, r.j), ([], []))[r.side].append(r.item)
+    assert all(len(x) <= 6 * block and len(y) <= 6 * block for x, y in met.values())
+    together = {(g, a, b) for (g, i, _), (x, y) in met.items() for a in (y if i < 0 else x) for b in y}
+    for g in range(4):
+        items = [i for h, i, _ in rows if h == g]
+        for a in items:
+            for b in items:
+                if a < b and linked([value[a]], [value[b]]):
+                    centre = min(items)
+                    joined = all(x == centre or (x, centre) in star for x in (a, b))
+                    assert joined or (g, a, b) in together or (g, b, a) in together
+
+
 def test_tree_overlaps():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, rng.integers(5, 50))) for _ in range(40)]
