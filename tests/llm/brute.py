@@ -55,8 +55,8 @@ def shingles(text):
     return frozenset({tuple(words)}) if words else frozenset()
 
 
-def jaccard_groups(rows):
-    """For each row n_shingles and component_id."""
+def groups(rows):
+    """For each row the least place of its group of linked rows."""
     sets = [shingles(t) for _, t in rows]
     by_gram = collections.defaultdict(list)
     for i, s in enumerate(sets):
@@ -64,7 +64,12 @@ def jaccard_groups(rows):
             by_gram[g].append(i)
     shared = collections.Counter((a, b) for at in by_gram.values() for k, b in enumerate(at) for a in at[:k])
     links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
-    root = components(range(len(rows)), links)
+    return components(range(len(rows)), links)
+
+
+def jaccard_groups(rows):
+    """For each row n_shingles and component_id."""
+    root, sets = groups(rows), [shingles(t) for _, t in rows]
     ids = collections.defaultdict(list)
     for i, (d, _) in enumerate(rows):
         if d is not None:
@@ -81,7 +86,12 @@ def line_spans(text: str):
 
 
 def fuzzy_lines(rows, k, similarity):
-    """For each row n_bytes, n_removed, n_spans, kept digest. Lines of k characters or more are sets of
+    """For each row n_bytes, n_removed, n_spans, kept digest."""
+    return [cut((t or "").encode(), spans) for (_, t), spans in zip(rows, line_cuts(rows, k, similarity))]
+
+
+def line_cuts(rows, k, similarity):
+    """For each row the spans of its repeated lines. Lines of k characters or more are sets of
     shingles, shorter ones their own shingle; blank ones (under k bytes of white space) are left alone."""
     places = [(order(d), s, e, line, i) for i, (d, t) in enumerate(rows) for s, e, line in line_spans(t) if e - s >= k or line.strip(b" \t\n\v\f\r")]
     different = sorted({p[3] for p in places})
@@ -96,7 +106,7 @@ def fuzzy_lines(rows, k, similarity):
     for d, s, e, line, i in places:
         if (d, s) > first[root[line]]:
             spans[i].append((s, e + 1))
-    return [cut((t or "").encode(), spans[i]) for i, (_, t) in enumerate(rows)]
+    return [spans[i] for i in range(len(rows))]
 
 
 def gear_chunks(raw: bytes, values, reach, longest):
