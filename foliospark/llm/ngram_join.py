@@ -395,3 +395,18 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     turn = F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy(F.lit(0)))
     kept = found.withColumn("turn", turn).where("turn = 1 or not once")
     return kept.select(*((F.col("text") if c == "text" else F.col("rest")[c]).alias(c) for c in docs.columns))
+
+
+def oracle() -> str:
+    """``linked_documents`` in DuckDB's SQL, for tables of different ids."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) END AS g FROM words),
+sizes AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM sets), grams AS (SELECT doc_id, unnest(g) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT reach.doc_id, ways.y FROM reach JOIN ways ON ways.x = reach.other)
+SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
+"""

@@ -81,4 +81,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_media_tiff": op10_media_tiff,
 }
-ORACLES: dict[str, str] = {"op9_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {"op4_suffix_dedup": suffix_dedup.oracle(), "op5_ngram_join": ngram_join.oracle(), "op9_mixing": mixing.oracle()}

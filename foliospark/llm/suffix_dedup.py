@@ -374,3 +374,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     result = texts.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(cut, schema)
     return result if keep_text else digests(result)
+
+
+def oracle() -> str:
+    """``dedup`` in DuckDB's SQL, for tables of different ids: bytes as pairs of hexadecimal digits."""
+    return f"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, i, substring(h, 2 * i + 1, {2 * LENGTH}) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM docs)),
+least AS (SELECT g, min(doc_id) AS d FROM strings GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM strings JOIN least USING (g) WHERE d < doc_id),
+marks AS (SELECT *, sum(CASE WHEN p IS NULL OR i > p + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM gone),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + {LENGTH} AS b FROM marks GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+kept AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM cuts JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE head || substring(h, 2 * last + 1) END)) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)
+"""

@@ -404,14 +404,13 @@ def test_counts(spark):
     assert sum(r[1][c] for c in quality.COUNTS) == 0
 
 
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
-def test_mixing_is_its_sql(spark, sf):
+@pytest.mark.parametrize("name,sf", [("op9_mixing", "sf0.001"), ("op9_mixing", "sf0.01"), ("op4_suffix_dedup", "sf0.01"), ("op5_ngram_join", "sf0.01")])
+def test_queries_are_their_sql(spark, name, sf):
     d = f"/root/testdata/{sf}"
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
-    assert sorted(map(tuple, queries.op9_mixing(spark, d).collect())) == sorted(c.sql(queries.ORACLES["op9_mixing"]).fetchall())
-
-
+    found = c.sql(queries.ORACLES[name])
+    assert sorted(map(tuple, queries.QUERIES[name](spark, d).select(*found.columns).collect())) == sorted(found.fetchall())
 
 
 def test_mixing_redistributes(spark):
