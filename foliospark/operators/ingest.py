@@ -28,19 +28,22 @@ def extractive(text: str) -> tuple[str, str, str, list[str], str]:
 
 
 def extract(docs: DataFrame, extractor: Extractor = extractive) -> DataFrame:
-    """One note for each document; an extractor's exception becomes the row's ``error``."""
+    """One note for each document; an extractor's exception becomes the row's ``error``. ``doc_id`` may be of any type."""
+    key = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches):
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for text in batch["text"]:
                 try:
-                    rows.append((doc_id, *extractor(text or ""), None))
+                    rows.append((*extractor(text or ""), None))
                 except Exception as e:  # one document's failure is a value, not the job's
-                    rows.append((doc_id, None, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["doc_id", "title", "type", "summary", "keywords", "content", "error"])
+                    rows.append((None, None, None, None, None, str(e)))
+            found = pd.DataFrame(rows, columns=["title", "type", "summary", "keywords", "content", "error"])
+            found.insert(0, "doc_id", batch["doc_id"].reset_index(drop=True) if not isinstance(batch["doc_id"], pd.DataFrame) else batch["doc_id"].to_dict("records"))
+            yield found
 
-    return docs.select("doc_id", "text").mapInPandas(work, SCHEMA)
+    return docs.select("doc_id", "text").mapInPandas(work, SCHEMA.replace("doc_id long", f"doc_id {key}"))
 
 
 def pending(batches: DataFrame, progress: DataFrame) -> DataFrame:

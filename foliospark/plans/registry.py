@@ -10,6 +10,7 @@ from ..operators import agent, catalog, consolidate, ingest, pages, search, sect
 from ..sources import adapters as A
 from ..sources import files, store
 from ..sources.adapters import TODAY
+from . import flow
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -860,3 +861,11 @@ SELECT cluster, title, type, summary, array_to_string(CASE WHEN n = 1 THEN ks EL
 )
 def q_merge_clusters(spark, d):
     return consolidate.merged(same_titles(spark, d)).withColumn("keywords", F.array_join("keywords", "|"))
+
+
+@query(None)
+def q_ingest_flow(spark, d):
+    """All steps from documents to notes; a third of the documents have headings. Batches are small, so that documents have several notes to consolidate."""
+    headed = F.concat(F.lit("1 Intro\n"), "text", F.lit("\n2.1 Scope\n"), "text", F.lit("\nIV. Annex\n"), "text")
+    docs = A.read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 1, headed).otherwise(F.col("text")).alias("text"))
+    return flow.ingested(docs, TODAY, 5_000, 2).drop("links", "sections").withColumn("keywords", F.array_join("keywords", "|")).withColumn("sources", F.array_join("sources", "|"))

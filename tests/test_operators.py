@@ -364,6 +364,64 @@ def test_packing_in_blocks_is_the_loop(spark, seed, monkeypatch):
     assert got == plain
 
 
+def test_flow_is_its_steps_by_hand(spark, tmp_path):
+    """Documents to notes against a plain version of the flow, and the notes to files and a catalog."""
+    import re
+    from difflib import SequenceMatcher
+
+    from foliospark.plans import flow
+
+    norm = lambda t: re.sub(r"\s+", " ", t).strip(" ").lower()
+    body = "alpha beta gamma delta. " * 300
+    docs = [(1, "short text of one note"), (2, "1 Intro\n" + body + "\n2.1 Scope\n" + body[::-1] + "\nIV. Annex\n" + "end words here " * 20), (3, "".join(f"part {i} of the long one. " for i in range(800))), (4, "")]
+
+    def chunks(text):
+        heads = [x.strip() for x in text.split("\n") if re.match(r"^(\d+(\.\d+)*\s+[A-Z].+|[IVX]+\.\s+[A-Z].+)$", x.strip())]
+        if len(text) < 12_000:
+            return [("", text)]
+        starts = [text[i : i + 60] for i in range(0, len(text), 4000)]
+        lines = [[x.strip() for x in a.split("\n") if x.strip()] for a in starts]
+        titles = [x[1] if len(x) > 1 else x[0] for x in lines]
+        marks = [(h, h, n) for h, n in zip(heads, [*heads[1:], None])] if len(heads) >= 3 else [*zip(titles, starts, [*starts[1:], None])]
+        out = []
+        for title, a, b in marks:
+            at = norm(text).find(norm(a))
+            stop = norm(text).find(norm(b), at + len(a)) if b else -1
+            out.append((title, norm(text)[at : stop if stop >= 0 else None].strip(" ")))
+        return out
+
+    plain = []
+    for doc_id, text in docs:
+        batches, size = [], 0
+        for title, chunk in chunks(text):
+            if len(chunk.strip(" ")) <= 80:
+                continue
+            if batches and size + len(chunk) <= 5000:
+                batches[-1].append((title, chunk))
+                size += len(chunk)
+            else:
+                batches.append([(title, chunk)])
+                size = len(chunk)
+        notes = [ingest.extractive("\n\n".join(f"### Section: {t or f'Document {doc_id}'}\n{c}" for t, c in b)) for b in batches]
+        seeds: list = []
+        for n in notes:
+            seed = next((s for s in seeds if len(notes) >= 2 and SequenceMatcher(None, s[0][0].lower(), n[0].lower()).ratio() > 0.65), None)
+            if seed:
+                seed.append(n)
+            else:
+                seeds.append([n])
+        for s in seeds:
+            title, kind, summary, keywords, content = s[0]
+            keywords = list(dict.fromkeys(k for n in s for k in n[3]))[:6] if len(s) > 1 else keywords
+            plain.append((str(doc_id), title, len(s), summary, keywords, "\n\n".join(dict.fromkeys(n[4] for n in s))))
+    found = flow.ingested(spark.createDataFrame(docs, "doc_id long, text string"), "2024-01-31", 5000, 2)
+    got = sorted((r.source, r.title, r.members, r.summary, r.keywords, r.content) for r in found.collect())
+    assert got == sorted(plain) and any(r[2] > 1 for r in got) and len({r[0] for r in got}) == 2
+    root = f"file://{tmp_path}"
+    assert files.write_notes(catalog.render(found, "2024-01-31"), root) == (len(plain), 0)
+    assert catalog.entries(found).count() == len(plain)
+
+
 def test_stream_reads_only_new_files(spark, tmp_path):
     paths = [f"file://{tmp_path}/{n}" for n in ("in", "out", "progress")]
     spark.createDataFrame([(1, "one two")], "doc_id long, text string").write.parquet(paths[0])
