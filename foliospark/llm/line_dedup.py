@@ -101,7 +101,6 @@ def band_keys(values: np.ndarray, count: np.ndarray) -> np.ndarray:
     values = np.empty_like(x)
     for k in range(BANDS * ROWS):
         np.multiply(x, factors[k], out=values)
-        values ^= values >> np.uint32(15)
         keys[k // ROWS] = mix(keys[k // ROWS] * GOLD + np.minimum.reduceat(values, first) + np.uint64(k // ROWS + 1))
     return keys
 
