@@ -147,17 +147,21 @@ def raw_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files, "path").groupBy("name").agg(F.min_by("path", "priority").alias("path"))
 
 
-def resolved_read(notes: DataFrame, query: str, limit: int = PAGE_TOKENS) -> DataFrame:
-    """One row, text: the page of that path; else the page that the title means, under a line that says so; else the titles that are nearest."""
+def resolved_read(notes: DataFrame, query: str, limit: int = PAGE_TOKENS, catalog: DataFrame | None = None) -> DataFrame:
+    """One row, text: the page of that path; else the page that the title means, under a line that says so; else the titles that are nearest.
+
+    Titles come from the ``catalog`` if it is given, and only the page's content from ``notes`` (path, content).
+    """
     from .search import resolve_title, suggestions
 
     direct = notes.where(F.col("path").isin(query, f"{query}.md")).orderBy(F.col("path") != query).limit(1)
     named = direct.select(page_text(F.col("path"), F.col("content"), limit).alias("text"), F.lit(0).alias("origin"))
-    hit = resolve_title(notes, query)
+    titles = notes if catalog is None else catalog
+    hit = notes.join(F.broadcast(resolve_title(titles, query).select("path")), "path")  # one row
     page = F.concat(F.lit(f"[Resolved '{query}' \u2192 '"), "path", F.lit("']\n\n"), page_text(F.col("path"), F.col("content"), limit))
     found = hit.select(page.alias("text"), F.lit(1).alias("origin"))
     line = F.concat(F.lit("  - "), "title", F.lit(" (`"), "path", F.lit("`)"))
-    near = suggestions(notes, query).agg(F.array_sort(F.collect_list(F.struct(-F.col("share"), "path", line.alias("line")))).alias("t"))  # five rows
+    near = suggestions(titles, query).agg(F.array_sort(F.collect_list(F.struct(-F.col("share"), "path", line.alias("line")))).alias("t"))  # five rows
     lines = F.array_join(F.transform("t", lambda x: x["line"]), "\n")
     other = near.select(F.concat(F.lit(f"[Page not found: {query}]\nDid you mean:\n"), F.when(lines == "", F.lit("No similar pages found.")).otherwise(lines)).alias("text"), F.lit(2).alias("origin"))
     return named.union(found).union(other).orderBy("origin").limit(1).select("text")

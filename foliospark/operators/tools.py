@@ -17,9 +17,9 @@ def search_wiki(catalog: DataFrame, notes: DataFrame, query: str, k: int = 10) -
     return search.formatted(search.hybrid_search(catalog, notes, query, k))
 
 
-def read_page(notes: DataFrame, path_or_title: str, limit: int = pages.PAGE_TOKENS) -> DataFrame:
+def read_page(catalog: DataFrame, notes: DataFrame, path_or_title: str, limit: int = pages.PAGE_TOKENS) -> DataFrame:
     """A page by its path or title."""
-    return pages.resolved_read(notes, path_or_title, limit)
+    return pages.resolved_read(notes, path_or_title, limit, catalog)
 
 
 def get_related(catalog: DataFrame, path: str) -> DataFrame:

@@ -58,7 +58,7 @@ FIRST = "list_filter(list_transform({0}, lambda t, i: CASE WHEN list_position({0
 
 @query(f"WITH {NOTES} SELECT type, count(*) AS n FROM notes GROUP BY type")
 def q_catalog_stats(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.type_counts(A.notes(spark, d))
+    return catalog.type_counts(A.catalog(spark, d))
 
 
 @query(f"SELECT doc_id, len({LOWER.format('text')}) AS n_tokens, length(text) AS chars FROM documents")
@@ -378,14 +378,14 @@ CASE WHEN lower(title) = '{RESOLVE}' THEN 1 WHEN path IN ('{RESOLVE}', '{RESOLVE
 SELECT path, title, stage FROM (SELECT *, coalesce(st, CASE WHEN share >= 0.35 THEN 5 END) AS stage FROM c) WHERE stage IS NOT NULL ORDER BY stage, CASE WHEN stage = 5 THEN -share ELSE 0 END, path LIMIT 1"""
 )
 def q_resolve_title(spark, d):
-    return search.resolve_title(A.notes(spark, d), RESOLVE).select("path", "title", "stage")
+    return search.resolve_title(A.catalog(spark, d), RESOLVE).select("path", "title", "stage")
 
 
 @query(
     f"""WITH {NOTES}, c AS (SELECT path, title, len(list_intersect(list_distinct({LOWER.format('title')}), ['the', 'and', 'of'])) AS shared FROM notes) SELECT path, title, CAST(shared AS INTEGER) AS shared FROM c WHERE shared > 0 ORDER BY shared DESC, path LIMIT 5"""
 )
 def q_suggest(spark, d):
-    return search.suggestions(A.notes(spark, d), RESOLVE).select("path", "title", F.round(F.col("share") * 3).cast("int").alias("shared"))
+    return search.suggestions(A.catalog(spark, d), RESOLVE).select("path", "title", F.round(F.col("share") * 3).cast("int").alias("shared"))
 
 
 @query(
@@ -677,12 +677,12 @@ SELECT '[Resolved ' || chr(39) || '{RESOLVE}' || chr(39) || ' → ' || chr(39) |
 FROM (SELECT *, coalesce(st, CASE WHEN share >= 0.35 THEN 5 END) AS stage FROM c) WHERE stage IS NOT NULL ORDER BY stage, CASE WHEN stage = 5 THEN -share ELSE 0 END, path LIMIT 1"""
 )
 def q_resolved_read(spark, d):
-    return pages.resolved_read(A.notes(spark, d), RESOLVE)
+    return pages.resolved_read(A.notes(spark, d), RESOLVE, catalog=A.catalog(spark, d))
 
 
 @query(f"WITH {NOTES} SELECT content AS text FROM notes WHERE path = 'concepts/doc-1.md'")
 def q_page_by_path(spark, d):
-    return tools.read_page(A.notes(spark, d), "concepts/doc-1")
+    return tools.read_page(A.catalog(spark, d), A.notes(spark, d), "concepts/doc-1")
 
 
 MISSED = "zzz yyy xxx www the"
@@ -694,7 +694,7 @@ SELECT '[Page not found: {MISSED}]' || chr(10) || 'Did you mean:' || chr(10) ||
 )
 def q_page_missed(spark, d):
     """A title that no note is near enough to: the five nearest instead."""
-    return tools.read_page(A.notes(spark, d), MISSED)
+    return tools.read_page(A.catalog(spark, d), A.notes(spark, d), MISSED)
 
 
 @query(f"{CATALOG}, best AS (SELECT *, {MICRO} AS score_micro FROM scored WHERE score > 0 ORDER BY score_micro DESC, path LIMIT 10) {result_lines('best', "CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || chr(167) || ' GEN ' || doc_id % 3 || CASE WHEN doc_id % 3 = 2 THEN ', ENR 1' ELSE '' END END")}")

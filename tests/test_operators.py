@@ -308,10 +308,10 @@ def test_agent_tools(spark):
     text = lambda df: df.first().text
     assert text(tools.search_wiki(c, n, "nothing")) == "No matching pages found in the wiki."
     assert "1. **Beta** `[entity] \u00a7 GEN 1` _(score: " in text(tools.search_wiki(c, n, "beta"))
-    assert text(tools.read_page(n, "concepts/a")) == "alpha text [[Beta]]"
-    assert text(tools.read_page(n, "[[Beta|shown]]")) == "[Resolved '[[Beta|shown]]' \u2192 'entities/b.md']\n\nbeta text"
-    assert text(tools.read_page(n, "x y z alpha")) == "[Page not found: x y z alpha]\nDid you mean:\n  - Alpha Page (`concepts/a.md`)"
-    assert text(tools.read_page(n, "zzz")) == "[Page not found: zzz]\nDid you mean:\nNo similar pages found."
+    assert text(tools.read_page(c, n, "concepts/a")) == "alpha text [[Beta]]"
+    assert text(tools.read_page(c, n, "[[Beta|shown]]")) == "[Resolved '[[Beta|shown]]' \u2192 'entities/b.md']\n\nbeta text"
+    assert text(tools.read_page(c, n, "x y z alpha")) == "[Page not found: x y z alpha]\nDid you mean:\n  - Alpha Page (`concepts/a.md`)"
+    assert text(tools.read_page(c, n, "zzz")) == "[Page not found: zzz]\nDid you mean:\nNo similar pages found."
     assert text(tools.get_related(c, "concepts/a")) == "Pages related to 'concepts/a.md':\n  - Beta (`Beta`)"
     assert text(tools.get_related(c, "entities/b.md")) == "Pages related to 'entities/b.md':\n  - Alpha Page (`concepts/a.md`)"
     assert text(tools.get_related(c, "none")) == "No related pages found for 'none'."
