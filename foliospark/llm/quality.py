@@ -156,12 +156,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
     itself: repeated rows, ties and null ids need no rule; an empty table gives an empty
     result. The counts are stored once in the shared folder and read for both passes.
     """
-    stats = materialise(statistics(docs, id_col, text_col, carry), "quality", writers(docs.sparkSession, rows=docs.count()))
+    carry = carry or []
+    # carried columns travel as one struct, so that they may be called as counts are
+    rows = docs.withColumn("__carry", F.struct(*(F.col(f"`{c}`").alias(c) for c in carry))) if carry else docs
+    extra = ["__carry"] if carry else []
+    stats = materialise(statistics(rows, id_col, text_col, extra), "quality", writers(docs.sparkSession, rows=docs.count()))
     model = fit(stats, labels)
     xs = [f"__x{i}" for i in range(len(FEATURES))]
-    with_x = stats.select("doc_id", *(carry or []), *(c.alias(x) for c, x in zip(model.features(), xs, strict=True)))
+    with_x = stats.select("doc_id", *extra, *(c.alias(x) for c, x in zip(model.features(), xs, strict=True)))
     scored = with_x.withColumn("score", model.score(xs))
-    return scored.select("doc_id", *(carry or []), held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    more = [F.col("__carry")[c].alias(c) for c in carry]
+    return scored.select("doc_id", *more, held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

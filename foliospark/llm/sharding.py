@@ -126,9 +126,11 @@ def shard_rows(
     if not stable_input:
         df = materialise(df, "shard-input")
     spark = df.sparkSession
-    df = df.drop(shard_col, slot_col)
-    # the upper bits are the partition, the lower 33 the place in it
-    placed = df.withColumn("__at", F.monotonically_increasing_id())
+    kept = [c for c in df.columns if c not in (shard_col, slot_col)]
+    # rows travel as one struct, so that no column of theirs meets a name used here; the upper
+    # bits of the place are the partition, the lower 33 the place in it
+    row = F.struct(*(F.col(f"`{c}`").alias(c) for c in kept)) if kept else F.lit(0)
+    placed = df.select(row.alias("__row"), F.monotonically_increasing_id().alias("__at"))
     part, place = F.shiftright("__at", 33).cast("int"), F.col("__at").bitwiseAND((1 << 33) - 1)
 
     counted = placed.select(part.alias("__part")).groupBy("__part").count().collect()  # one number for each partition
@@ -164,7 +166,7 @@ def shard_rows(
         .withColumn("__pre", F.col("__sent")[F.col("__shard")] + F.col("__local") - F.col("__cut")[F.col("__shard")])
         .withColumn("__slot", permuted(F.col("__pre"), size_of.cast("long"), F.xxhash64(F.lit(seed), F.lit("shard"), F.col("__shard"))))
         .repartition("__shard", F.floor(F.col("__slot") / block_rows))
-        .select(*df.columns, F.col("__shard").alias(shard_col), F.col("__slot").alias(slot_col))
+        .select(*(F.col("__row")[c].alias(c) for c in kept), F.col("__shard").alias(shard_col), F.col("__slot").alias(slot_col))
     )
 
 

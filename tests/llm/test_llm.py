@@ -267,6 +267,22 @@ def test_sharding_folds_blocks_and_stores_input(spark):
     assert got.groupBy("shard").count().agg(F.min("count"), F.max("count")).first()[:] == (71, 72)
 
 
+def test_sharding_of_clashing_names(spark, tmp_path):
+    df = spark.range(100, numPartitions=4).select("id", *(F.col("id").alias(c) for c in ("__at", "__part", "__rows", "__row", "__shard", "a.b", "shard", "slot")))
+    got = sharding.shard_rows(df, 7, seed=2)
+    assert got.columns == ["id", "__at", "__part", "__rows", "__row", "__shard", "a.b", "shard", "slot"]
+    rows = got.collect()
+    assert sorted(r.id for r in rows) == list(range(100)) and all(r["a.b"] == r["__at"] == r["__row"] == r.id for r in rows)
+    assert [len([r for r in rows if r.shard == s]) for s in range(7)] == [15, 15, 14, 14, 14, 14, 14]
+    # written, each shard is a folder with its rows in slot order inside each file
+    sharding.write_shards(got.select("id", "shard", "slot"), f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert sorted((r.id, r.shard, r.slot) for r in back.collect()) == sorted((r.id, r.shard, r.slot) for r in rows)
+    for file in tmp_path.glob("shards/shard=*/*.parquet"):
+        slots = [r.slot for r in spark.read.parquet(f"file://{file}").collect()]
+        assert slots == sorted(slots)
+
+
 def test_hypergeometric_law():
     rng = random.Random(1)
     for good, bad, draws in [(300, 700, 200), (5, 5, 5), (40, 2000, 900), (10**10, 10**11, 10**9)]:
@@ -392,6 +408,13 @@ def test_quality_scores_plainly(spark, awkward):
         assert r.s == pytest.approx(1 / (1 + math.exp(-max(-500, min(500, z)))), abs=1e-9)
 
 
+def test_quality_carries_clashing_names(spark):
+    docs = frame(spark, [(1, "one two"), (None, None), (3, "")]).withColumn("words", F.lit("w")).withColumn("capitals", F.lit(None).cast("string"))
+    got = quality.classify(docs, spark.createDataFrame([], "doc_id long, quality int"), carry=["words", "capitals", "n", "score"])
+    assert got.columns == ["doc_id", "words", "capitals", "n", "score", "held_out", "score", "predicted"]
+    assert [tuple(r)[1:5] for r in got.collect()] == [("w", None, 2, 0.5)] * 3
+
+
 def test_quality_without_labels(spark, awkward):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.classify(frame(spark, awkward), none).where("score between 0 and 1").count() == len(awkward)
