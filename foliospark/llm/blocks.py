@@ -1,6 +1,7 @@
 """Groups of items that are compared with each other: large groups by a star, then in blocks.
 
-A small group is one block. Of a large one each item is compared with the centre, the least
+A small group is one block. One of a few blocks goes to the pairs of them. Of a large one, of
+more than STAR_BLOCKS, each item is compared with the centre, the least
 item: one row an item, however large the group is. Items that are linked with the centre
 are in its component, so two of them need no comparison; only the rest, dealt to blocks, meets all items of the
 group, dealt to blocks too. A family of copies of one text is done after the star.
@@ -16,13 +17,17 @@ from pyspark.sql import functions as F
 
 from .common import materialise, tidied, writers
 
+#: Blocks of a group up to which their pairs are compared at once; an item is copied as often.
+STAR_BLOCKS = 8
+
 
 def placed(members: DataFrame, values: DataFrame, linked: Callable[[bytes, bytes], bool], block_items: int, block_bytes: int = 1 << 62) -> tuple[DataFrame, DataFrame]:
     """Edges a, b of the stars, and the blocks: g, item, i, j, side.
 
-    ``members``: g, item, size (bytes), stored; ``values``: item, value (binary). A block (g, i, j) of a
-    large group has items of its rest (side 0) and of all its items (side 1), which are to be compared
-    across; that of a small group (i and j are -1) has them all on side 1, to be compared with each other.
+    ``members``: g, item, size (bytes), stored; ``values``: item, value (binary). A block (g, i, j) with
+    i and j from 0 on has items on side 0 and on side 1, which are to be compared across: two blocks
+    of a group, or a large group's rest and all its items. One with i and j below 0 has them all on
+    side 1, to be compared with each other.
     """
     spark = members.sparkSession
 
@@ -33,7 +38,17 @@ def placed(members: DataFrame, values: DataFrame, linked: Callable[[bytes, bytes
     each = members.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("item").alias("centre")).where("n > 1")
     # stored, so that joins on a group stand alone between their exchanges and a hot one can be split
     each = materialise(each.select("g", "centre", blocks("n", "bytes").alias("blocks")), "groups-each", parts)
-    small = members.join(each.where("blocks = 1").select("g"), "g").select("g", "item", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(1).alias("side"))
+    few = members.join(each.where(F.col("blocks") <= STAR_BLOCKS).select("g", "blocks"), "g")
+    mine = F.pmod(F.xxhash64("item", F.lit(2)), F.col("blocks")).cast("int")
+    few = few.select("g", "item", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    alone, low, high = F.col("mine") == F.col("other"), F.least("mine", "other"), F.greatest("mine", "other")
+    paired = few.select(
+        "g", "item", F.when(alone, -1 - low).otherwise(low).alias("i"), F.when(alone, -1 - low).otherwise(high).alias("j"),
+        F.when(~alone & (F.col("mine") == low), 0).otherwise(1).alias("side"),
+    )
+    large = each.where(F.col("blocks") > STAR_BLOCKS)
+    if large.isEmpty():
+        return spark.createDataFrame([], "a long, b long"), paired
 
     def compare(batches):
         for batch in batches:
@@ -41,7 +56,6 @@ def placed(members: DataFrame, values: DataFrame, linked: Callable[[bytes, bytes
             same = [a == b or linked(a, b) for a, b in zip(values_, centres, strict=True)]
             yield pa.record_batch([*batch.columns[:5], pa.array(same, pa.bool_())], ["g", "item", "size", "centre", "blocks", "linked"])
 
-    large = each.where("blocks > 1")
     centres = large.join(values.select(F.col("item").alias("centre"), F.col("value").alias("middle")), "centre")
     rows = members.join(large.select("g"), "g", "left_semi").join(values, "item")
     both = rows.join(centres, "g").select("g", "item", "size", "centre", "blocks", "value", "middle")
@@ -60,4 +74,4 @@ def placed(members: DataFrame, values: DataFrame, linked: Callable[[bytes, bytes
 
     left = rest.join(left_over, "g").select("g", "item", own("rests", 1).alias("i"), other("blocks").alias("j"), F.lit(0).alias("side"))
     right = star.join(left_over, "g").select("g", "item", other("rests").alias("i"), own("blocks", 2).alias("j"), F.lit(1).alias("side"))
-    return edges, small.union(left).union(right)
+    return edges, paired.union(left).union(right)

@@ -160,9 +160,14 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
 
 def words8(buf: np.ndarray, pad: int = 64) -> np.ndarray:
     """The eight bytes from each position on as one little-endian number; zeros follow the end."""
-    padded = np.zeros(len(buf) + pad, np.uint8)
+    size = len(buf) + pad - 8
+    steps = -(-size // 8)
+    padded = np.zeros(8 * steps + 8, np.uint8)
     padded[: len(buf)] = buf
-    return np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(buf) + pad - 8, 8), (1, 1)).copy().view("<u8").ravel()
+    out = np.empty(8 * steps, np.uint64)
+    for k in range(8):
+        out[k::8] = padded[k : k + 8 * steps].view("<u8")
+    return out[:size]
 
 
 def spans_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

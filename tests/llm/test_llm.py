@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import ann, blocks, components, line_dedup, mixing, ngram_join, quality, queries, sharding, sp_codec, substring_dedup, suffix_dedup, tiff
+from foliospark.llm import ann, blocks, common, components, line_dedup, mixing, ngram_join, quality, queries, sharding, sp_codec, substring_dedup, suffix_dedup, tiff
 
 from . import brute
 
@@ -106,7 +106,7 @@ def test_line_recall(spark):
     assert pairs > 100 and got >= 0.95 * pairs
 
 
-@pytest.mark.parametrize("lines", [512, 40])
+@pytest.mark.parametrize("lines", [512, 70, 20])
 def test_line_dedup_of_a_large_family(spark, lines, monkeypatch):
     """A base line with hundreds of copies that each have their own edit: each is like the base, not like the others."""
     monkeypatch.setattr(line_dedup, "BLOCK_LINES", lines)
@@ -178,7 +178,7 @@ def test_ngram_join(spark, awkward):
     assert collected(got, awkward, ["n_shingles", "component_id"]) == expected(awkward, brute.jaccard_groups(awkward)) or sorted(map(repr, collected(got, awkward, ["n_shingles", "component_id"]))) == sorted(map(repr, expected(awkward, brute.jaccard_groups(awkward))))
 
 
-@pytest.mark.parametrize("block", [4, 128])
+@pytest.mark.parametrize("block", [4, 16, 128])
 def test_ngram_join_of_a_large_family(spark, block, monkeypatch):
     """Copies of one text with edits: many links to the first one, few among the others; split in blocks."""
     monkeypatch.setattr(ngram_join, "LEAST_BLOCK", block)
@@ -197,9 +197,10 @@ def test_ngram_join_of_a_large_family(spark, block, monkeypatch):
     assert got == expected(rows, brute.jaccard_groups(rows))
 
 
-@pytest.mark.parametrize("block", [3, 7, 1000])
-def test_blocks_cover_all_pairs_but_a_stars(spark, block):
+@pytest.mark.parametrize("block,stars", [(3, 8), (7, 8), (7, 1), (1000, 8)])
+def test_blocks_cover_all_pairs_but_a_stars(spark, block, stars, monkeypatch):
     """Every linked pair of a group meets in a block, or both are linked with the centre."""
+    monkeypatch.setattr(blocks, "STAR_BLOCKS", stars)
     rng = random.Random(block)
     value = {i: rng.randrange(40) for i in range(90)}
     linked = lambda a, b: abs(a[0] - b[0]) <= 2
@@ -283,6 +284,15 @@ def test_sharding_of_clashing_names(spark, tmp_path):
         assert slots == sorted(slots)
 
 
+def test_words8():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 7, 8, 9, 63, 200):
+        for pad in (64, 72):
+            raw = rng.integers(0, 256, n, dtype=np.uint8)
+            plain = [int.from_bytes((raw.tobytes() + bytes(pad))[i : i + 8], "little") for i in range(n + pad - 8)]
+            assert common.words8(raw, pad).tolist() == plain
+
+
 def test_hypergeometric_law():
     rng = random.Random(1)
     for good, bad, draws in [(300, 700, 200), (5, 5, 5), (40, 2000, 900), (10**10, 10**11, 10**9)]:
