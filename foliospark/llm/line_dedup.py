@@ -353,7 +353,7 @@ def similar_lines(docs: DataFrame, found: DataFrame, total: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, end (with the line end) of each line that is not the first of its component."""
-    found = lines(docs)
+    found = materialise(lines(docs), "lines")  # narrow beside the texts, and read twice
     total = text_bytes(docs)
     parts = writers(docs.sparkSession, text_bytes=total)
     root = components(similar_lines(docs, found, total), parts).withColumnRenamed("node", "h")
