@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, mixing, ngram_join, quality, sharding, sp_codec, substring_dedup, suffix_dedup, tiff
+from . import ann, bpe_stream, line_dedup, mixing, ngram_join, quality, sharding, sp_codec, substring_dedup, suffix_dedup, tiff
 from .common import table
 
 SHARDS = 40
@@ -18,6 +18,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -69,6 +75,10 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op13_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.encode_texts(table(spark, sf_dir, "documents"), word_vocabulary_path())
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
@@ -80,5 +90,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_media_tiff": op10_media_tiff,
+    "op13_bpe_stream": op13_bpe_stream,
 }
 ORACLES: dict[str, str] = {"op4_suffix_dedup": suffix_dedup.oracle(), "op5_ngram_join": ngram_join.oracle(), "op9_mixing": mixing.oracle()}
