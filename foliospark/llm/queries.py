@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_stream, line_dedup, mixing, ngram_join, quality, sharding, sp_codec, substring_dedup, suffix_dedup, tiff
+from . import ann, bpe_stream, line_dedup, merkle, mixing, ngram_join, quality, sharding, sp_codec, substring_dedup, suffix_dedup, tiff
 from .common import table
 
 SHARDS = 40
@@ -75,6 +75,10 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), changed=merkle.lowered)
+
+
 def op13_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.encode_texts(table(spark, sf_dir, "documents"), word_vocabulary_path())
 
@@ -90,6 +94,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_media_tiff": op10_media_tiff,
+    "op11_merkle": op11_merkle,
     "op13_bpe_stream": op13_bpe_stream,
 }
-ORACLES: dict[str, str] = {"op4_suffix_dedup": suffix_dedup.oracle(), "op5_ngram_join": ngram_join.oracle(), "op9_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {"op4_suffix_dedup": suffix_dedup.oracle(), "op5_ngram_join": ngram_join.oracle(), "op9_mixing": mixing.oracle(), "op11_merkle": merkle.oracle()}
