@@ -215,13 +215,13 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * GOLD)
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start, end and 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, in order; no word crosses a row."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, outside: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start, end and 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, or of bytes that are not ``outside``, in order; no word crosses a row."""
     n = len(buf)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
-    inside = ~SPACES[buf]
+    inside = ~outside[buf]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

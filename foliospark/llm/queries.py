@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_stream, line_dedup, merkle, mixing, ngram_join, quality, sharding, sp_codec, substring_dedup, suffix_dedup, tiff
+from . import ann, bpe_stream, line_dedup, merkle, mixing, ngram_join, quality, ranked, sharding, sp_codec, substring_dedup, suffix_dedup, tiff
 from .common import table
 
 SHARDS = 40
@@ -79,6 +79,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), changed=merkle.lowered)
 
 
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.encode_texts(table(spark, sf_dir, "documents"), word_vocabulary_path())
 
@@ -95,6 +99,13 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_media_tiff": op10_media_tiff,
     "op11_merkle": op11_merkle,
+    "op12_ranked": op12_ranked,
     "op13_bpe_stream": op13_bpe_stream,
 }
-ORACLES: dict[str, str] = {"op4_suffix_dedup": suffix_dedup.oracle(), "op5_ngram_join": ngram_join.oracle(), "op9_mixing": mixing.oracle(), "op11_merkle": merkle.oracle()}
+ORACLES: dict[str, str] = {
+    "op4_suffix_dedup": suffix_dedup.oracle(),
+    "op5_ngram_join": ngram_join.oracle(),
+    "op9_mixing": mixing.oracle(),
+    "op11_merkle": merkle.oracle(),
+    "op12_ranked": ranked.oracle(),
+}
