@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, tidied, writers
+from .common import digests, materialise, tidied, writers
 
 #: Children of a node, and levels of a builder, which has FANOUT**LEVELS leaves.
 FANOUT, LEVELS = 8, 4
@@ -97,16 +97,15 @@ def leaf_digest(values: list[Column]) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def indexed(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+def indexed(rows: DataFrame, order: list[str], name: str, parts: int) -> DataFrame:
     """``rows`` (with a text ``k``) with ``idx``, their place in their group by ``order``, nulls first, and ``total``, the group's size.
 
     Rows are dealt by range, so that a group may go over many tasks; a task counts its rows, and the
     counts of each group and task, as many as tasks and groups, give the place of its first one.
-    ``order`` must be strict.
+    ``order`` must be strict; ``parts`` tasks sort and write.
     """
-    spark = rows.sparkSession
     keys = [F.col(c).asc_nulls_first() for c in ("k", *order)]
-    ranged = rows.repartitionByRange(writers(spark, rows=rows.count()), *keys).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*keys)
+    ranged = rows.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*keys)
     at = rows.columns.index("k")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,11 +118,12 @@ def indexed(rows: DataFrame, order: list[str], name: str) -> DataFrame:
             yield pa.record_batch([*batch.columns, pa.array(places, pa.int64())], [*batch.schema.names, "place"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
-    placed = materialise(ranged.mapInArrow(tidied(count), kinds + ", place long"), f"{name}-placed")
+    placed = materialise(ranged.mapInArrow(tidied(count), kinds + ", place long"), f"{name}-placed", parts)
     counts = placed.groupBy("k", "part").agg(F.count("*").alias("n"))
     by_part = Window.partitionBy("k").orderBy("part")
     first = counts.select("k", "part", (F.sum("n").over(by_part) - F.col("n")).alias("first"), F.sum("n").over(Window.partitionBy("k")).alias("total"))
-    return placed.join(first, ["k", "part"]).select(*rows.columns, (F.col("first") + F.col("place")).alias("idx"), "total")
+    found = placed.join(first, ["k", "part"]).select(*rows.columns, (F.col("first") + F.col("place")).alias("idx"), "total")
+    return materialise(found, f"{name}-indexed", parts)
 
 
 def levels_of(total: int, levels: int) -> int:
@@ -215,48 +215,56 @@ def manifest(
     name = F.col(f"`{group}`").cast("string")
     key = F.coalesce(F.concat(F.lit("="), name), F.lit(""))
     leaves = docs.select(key.alias("k"), F.col(f"`{order}`").alias("o"), leaf.alias("digest"), now.alias("now"), F.monotonically_increasing_id().alias("row"))
-    leaves = materialise(indexed(materialise(leaves, "merkle-leaves"), ["o", "digest", "row"], "merkle").drop("row"), "merkle-indexed")
+    parts = writers(docs.sparkSession, rows=docs.count())
+    leaves = indexed(materialise(leaves, "merkle-leaves", parts), ["o", "digest", "row"], "merkle", parts)
     rounds, subroots = build(leaves, "merkle", levels)
     # the groups' tops are the leaves of the last tree, in the order of their names
-    tops = materialise(subroots.select(F.lit("").alias("k"), F.col("k").alias("name"), "digest"), "merkle-tops")
-    tops = materialise(indexed(tops, ["name"], "merkle-tops"), "merkle-tops-indexed")
+    parts = writers(docs.sparkSession, rows=subroots.count())
+    tops = materialise(subroots.select(F.lit("").alias("k"), F.col("k").alias("name"), "digest"), "merkle-tops", parts)
+    tops = indexed(tops, ["name"], "merkle-tops", parts)
     root_rounds, roots = build(tops, "merkle-root", levels)
     none = F.array().cast(PATH)
     root_logs = with_paths(root_rounds, roots.select("k", none.alias("path")), levels)
     above = proved(root_logs, levels, tops.select("k", "idx", "total", "digest", F.col("digest").alias("now"), F.col("name").alias("o")), "o string", keep_path=True)
-    above = materialise(above.select(F.col("o").alias("k"), "path", "root", F.col("leaf").alias("subroot")), "merkle-above")
-    logs = with_paths(rounds, above.select("k", "path"), levels)
+    above = materialise(above.select(F.col("o").alias("k"), "path", "root", F.col("leaf").alias("subroot")), "merkle-above", parts)
+    logs = with_paths(rounds, above.select("k", "path"), levels).join(above.select("k", "subroot", "root"), "k")
     kind = docs.schema[order].dataType.simpleString()
-    done = proved(logs, levels, leaves, f"o {kind}").join(above.select("k", "subroot", F.col("root").alias("whole")), "k")
+    done = digests(proved(logs, levels, leaves, f"o {kind}"))
     shown = F.when(F.col("k") != "", F.expr("substring(k, 2)"))
     return done.select(
-        F.col("o").alias(order), "leaf", "subroot", F.col("whole").alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == F.col("whole")).alias("verified"), shown.alias(group), "idx",
+        F.col("o").alias(order), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), shown.alias(group), "idx",
     )
 
 
 def proved(logs: DataFrame, levels: int, leaves: DataFrame, order: str, keep_path: bool = False) -> DataFrame:
-    """Proofs of ``leaves`` (k, idx, total, digest, now, o) from the builders' logs with their ways up."""
+    """Proofs of ``leaves`` (k, idx, total, digest, now, o) from the builders' logs with their ways up.
+
+    With ``keep_path`` for the last tree, whose tops are roots; without, ``logs`` has subroot and root.
+    """
 
     def prove(key: tuple, mine: pa.Table, log: pa.Table) -> pa.Table:
         held, total = opened(log["log"][0].as_py()), log["total"][0].as_py()
         way = [(p["before"], p["after"]) for p in log["path"][0].as_py()]
         count, up = min(total - key[1].as_py() * size, size), levels_of(total, levels)
-        out = []
-        for place, now in zip(mine["idx"].to_pylist(), mine["now"].to_pylist(), strict=True):
+        leaf, proof, now, paths = [], [], [], []
+        for place, value in zip(mine["idx"].to_pylist(), mine["now"].to_pylist(), strict=True):
             path = siblings(held, count, up, place % size) + way
-            proof = sha256("".join(b + a for b, a in path).encode()).hexdigest()
-            leaf = held[position(0, place % size + 1)]
-            out.append((proof, folded(now, path), leaf, [{"before": b, "after": a} for b, a in path] if keep_path else None))
-        cols = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-        return pa.table([mine["k"], mine["o"], mine["idx"], *cols], ["k", "o", "idx", "proof_sha256", "folded_root", "leaf", "path"])
+            leaf.append(held[position(0, place % size + 1)])
+            proof.append(sha256("".join(b + a for b, a in path).encode()).hexdigest())
+            now.append(folded(value, path))
+            paths.append([{"before": b, "after": a} for b, a in path] if keep_path else None)
+        roots = [leaf, now] if keep_path else [[log[c][0].as_py()] * len(leaf) for c in ("subroot", "root")]
+        cols = [pa.array(c, pa.string()) for c in (leaf, *roots, proof, now)]
+        return pa.table([mine["k"], mine["o"], mine["idx"], *cols, pa.array(paths, kind)], names)
 
     size = FANOUT**levels
-    kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))]
+    names = ["k", "o", "idx", "leaf", "subroot", "root", "proof_sha256", "folded_root", "path"]
+    kind = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
     block = F.expr(f"idx div {size}").alias("block")
     mine = leaves.select("k", "o", "idx", "now", block).groupBy("k", "block")
-    held = logs.select("k", "block", "total", "log", "path").groupBy("k", "block")
-    found = mine.cogroup(held).applyInArrow(prove, f"k string, {order}, idx long, proof_sha256 string, folded_root string, leaf string, path {PATH}")
-    return found.withColumn("root", F.col("folded_root")) if keep_path else found.drop("path")
+    held = logs.groupBy("k", "block")
+    schema = f"k string, {order}, idx long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, path {PATH}"
+    return mine.cogroup(held).applyInArrow(prove, schema)
 
 
 def lowered(docs: DataFrame) -> tuple[Column, dict[str, Column]]:

@@ -84,8 +84,7 @@ def test_places_of_nodes():
                 level = [H(*level[j : j + 8]) for j in range(0, len(level), 8)]
 
 
-@pytest.mark.parametrize("levels", [4, 1, 2])
-@pytest.mark.parametrize("langs", [["en"], ["en", None, "", "é", "z"], [f"l{i}" for i in range(12)]])
+@pytest.mark.parametrize(("levels", "langs"), [(4, ["en", None, "", "é", "z"]), (2, ["en"]), (1, ["en", None, "", "é", "z"]), (1, [f"l{i}" for i in range(12)])])
 def test_manifest(spark, awkward, levels, langs):  # noqa: F811
     """With builders of 8 and 64 leaves a tree has several rounds."""
     rows = rows_of(awkward, langs) * 3 + [(7, None, None, None, None), (0, "a", "lone", 1, "ABC")]
