@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import line_dedup, mixing, ngram_join, quality, sp_codec
-from foliospark.llm.common import STORED, digests, forget, materialise, table
+from foliospark.llm.common import digests, forget, stored, stored_tables, table
 from foliospark.llm.queries import tokenizer_path
 
 
@@ -50,10 +50,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A stage's own tables, and the documents before it, are deleted once its result is written.
     """
-    docs, start = table(spark, sf_dir, "documents"), len(STORED)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage{k}")
-            forget(spark, STORED[start:-1])
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        with stored_tables() as mine:
+            docs, path = stored(stage(spark, docs, sf_dir), "stage")
+            forget(spark, before + [p for p in mine if p != path])
+        before = [path]
+    return STAGES[-1][1](spark, docs, sf_dir)

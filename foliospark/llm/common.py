@@ -11,6 +11,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ BATCH_ROWS = 1000
 PIECE_BYTES = 1 << 17
 #: Rows, and bytes of the corpus, for each task that writes a narrow table.
 TASK_ROWS, TASK_BYTES = 1 << 17, 32 << 20
-#: Paths of the tables stored by this process that are not deleted yet.
-STORED: list[str] = []
+#: Paths of the tables stored in the innermost ``stored_tables`` of this thread, if it is in one.
+_TABLES: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +53,22 @@ def writers(spark: SparkSession, rows: int = 0, text_bytes: int = 0) -> int:
     return max(1, min(shuffle_parts(spark), max(-(-rows // TASK_ROWS), -(-text_bytes // TASK_BYTES))))
 
 
-def materialise(df: DataFrame, name: str, parts: int = 0) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back.
+@contextlib.contextmanager
+def stored_tables() -> Iterator[list[str]]:
+    """Paths of the tables that this thread stores inside, for ``forget``; those still listed at the end are the outer one's."""
+    found: list[str] = []
+    token = _TABLES.set(found)
+    try:
+        yield found
+    finally:
+        _TABLES.reset(token)
+        outer = _TABLES.get()
+        if outer is not None:
+            outer += found
+
+
+def stored(df: DataFrame, name: str, parts: int = 0) -> tuple[DataFrame, str]:
+    """Cut the lineage: write ``df`` to the shared folder and read it back; its path too.
 
     ``parts`` tasks write it, or as many as ``df`` has: many rounds over small tables do not
     leave thousands of tiny files, and large ones are written by many tasks.
@@ -61,16 +76,25 @@ def materialise(df: DataFrame, name: str, parts: int = 0) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
     (df.repartition(parts) if parts else df).write.parquet(path)
-    STORED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    mine = _TABLES.get()
+    if mine is not None:
+        mine.append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str, parts: int = 0) -> DataFrame:
+    """``stored`` without the path."""
+    return stored(df, name, parts)[0]
 
 
 def forget(spark: SparkSession, paths: list[str]) -> None:
     """Delete stored tables that nothing reads any more."""
+    mine = _TABLES.get()
     for path in list(paths):
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        STORED.remove(path)
+        if mine is not None and path in mine:
+            mine.remove(path)
 
 
 def small_batches(df: DataFrame) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STORED, forget, materialise, writers
+from .common import forget, stored, writers
 
 
 def components(edges: DataFrame, parts: int = 0, max_rounds: int = 60) -> DataFrame:
@@ -24,7 +24,7 @@ def components(edges: DataFrame, parts: int = 0, max_rounds: int = 60) -> DataFr
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialise(e, "edges", parts)
+    e, path = stored(e, "edges", parts)
     mark = marked(e)
     for _ in range(max_rounds):
         if not mark[0]:
@@ -34,8 +34,8 @@ def components(edges: DataFrame, parts: int = 0, max_rounds: int = 60) -> DataFr
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        old = STORED[-1]
-        e = materialise(small.distinct(), "edges", writers(spark, rows=mark[0]))
+        old = path
+        e, path = stored(small.distinct(), "edges", writers(spark, rows=mark[0]))
         forget(spark, [old])
         before, mark = mark, marked(e)
         if mark == before:

@@ -41,7 +41,7 @@ PIECE = 1 << 16
 
 
 def line_places(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end (without the line end) of each line but blank ones: empty, or spaces shorter than a shingle."""
+    """Row, start and end (without the line end) of each line but blank ones, which have white space alone."""
     n = len(buf)
     breaks = np.flatnonzero(buf == 10)
     starts = np.union1d(np.r_[breaks + 1, offsets[:-1]], [])
@@ -49,11 +49,8 @@ def line_places(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     row = np.searchsorted(offsets, starts, "right") - 1
     nxt = np.searchsorted(breaks, starts)
     ends = np.minimum(np.r_[breaks, n][nxt], offsets[row + 1])
-    keep = ends - starts >= SHINGLE
-    short = np.flatnonzero(~keep)
-    for k in range(SHINGLE - 1):
-        short = short[starts[short] + k < ends[short]]
-        keep[short] |= ~SPACES[buf[starts[short] + k]]
+    inked = np.r_[0, np.cumsum(~SPACES[buf], dtype=np.int64)]
+    keep = inked[ends] > inked[starts]
     return row[keep], starts[keep], ends[keep]
 
 
@@ -372,7 +369,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept; with ``rest`` a
     struct of the other columns). One row for each input row. Lines end at a line feed,
     which goes with a removed line. A null text is empty. Lines of fewer than SHINGLE
-    characters are like equal lines only; blank ones (empty, or under SHINGLE bytes of white space) stay.
+    characters are like equal lines only; blank ones (white space alone, or nothing) stay, however long.
     Rows with the same doc_id and text are one document; a null doc_id comes last, and of
     lines at the same place of null ids all stay. An empty table gives an empty result.
     """

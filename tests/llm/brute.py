@@ -92,8 +92,8 @@ def fuzzy_lines(rows, k, similarity):
 
 def line_cuts(rows, k, similarity):
     """For each row the spans of its repeated lines. Lines of k characters or more are sets of
-    shingles, shorter ones their own shingle; blank ones (under k bytes of white space) are left alone."""
-    places = [(order(d), s, e, line, i) for i, (d, t) in enumerate(rows) for s, e, line in line_spans(t) if e - s >= k or line.strip(b" \t\n\v\f\r")]
+    shingles, shorter ones their own shingle; blank ones are left alone."""
+    places = [(order(d), s, e, line, i) for i, (d, t) in enumerate(rows) for s, e, line in line_spans(t) if line.strip(b" \t\n\v\f\r")]
     different = sorted({p[3] for p in places})
     grams = {x: {c[i : i + k] for i in range(len(c) - k + 1)} or {c} for x in different for c in [x.decode()]}
     links = [(a, b) for i, a in enumerate(different) for b in different[:i] if len(grams[a] & grams[b]) >= similarity * len(grams[a] | grams[b])]

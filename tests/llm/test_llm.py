@@ -593,3 +593,33 @@ def test_op5_on_given_tables(spark):
     d = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert collected(queries.op5_ngram_join(spark, d), rows, ["n_shingles", "component_id"]) == expected(rows, brute.jaccard_groups(rows))
+
+
+def test_operators_beside_each_other(spark):
+    """Union-finds and line dedups in several threads of one session: each has tables of its own."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(k):
+        edges = spark.createDataFrame([(k * 100 + i, k * 100 + i + 1) for i in range(12)], "a long, b long")
+        rows = [(i, f"line {k} of the text\nand another one {i % 2} of {k}") for i in range(4)]
+        return {r.root for r in components.components(edges).collect()}, collected(line_dedup.dedup(frame(spark, rows)), rows, CUT) == expected(rows, brute.fuzzy_lines(rows, line_dedup.SHINGLE, line_dedup.SIMILARITY))
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(one, range(4))) == [({k * 100}, True) for k in range(4)]
+
+
+def test_tables_are_those_of_their_block(spark):
+    df = spark.range(3)
+    with common.stored_tables() as outer:
+        _, first = common.stored(df, "t")
+        with common.stored_tables() as inner:
+            _, second = common.stored(df, "t")
+            _, third = common.stored(df, "t")
+            common.forget(spark, [second])
+            assert inner == [third]
+        assert outer == [first, third]
+
+
+def test_blank_lines_stay_whatever_their_length(spark):
+    rows = [(1, " " * n + "\n" + "\t" * n + "\n" + " " * n) for n in (1, 7, 8, 9, 40)] * 2
+    assert all(r.n_removed == 0 for r in line_dedup.dedup(frame(spark, rows)).collect())
