@@ -50,8 +50,9 @@ def clean_link(link: Column) -> Column:
 
 
 def raw_name(name: Column) -> Column:
-    """A raw file's name without brackets and its first folder prefix."""
-    return F.regexp_replace(F.regexp_replace(F.trim(name), r"^\[+|\]+$", ""), "^(?i)(raw/sources/|raw/|sources/)", "")
+    """A raw file's name without brackets and white space around it, its first folder prefix, and leading slashes."""
+    bare = F.regexp_replace(name, r"\A[\s\[]+|[\s\]]+\z", "")
+    return F.regexp_replace(F.regexp_replace(bare, "^(?i)(raw/sources/|raw/|sources/)", ""), "^/+", "")
 
 
 def day(stamp: Column) -> Column:

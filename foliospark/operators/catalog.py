@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import store
 
 FOLDERS = {"concept": "concepts", "entity": "entities", "procedure": "procedures", "synthesis": "synthesis"}
 
@@ -16,6 +19,10 @@ FOLDERS = {"concept": "concepts", "entity": "entities", "procedure": "procedures
 ENTRY = "path string, title string, type string, summary string, sources array<string>, source_count int, keywords array<string>, links array<string>, sections array<string>, last_updated string, backlinks array<string>, tokens array<string>"
 
 
+#: The folder of a version.
+VERSION = re.compile(r"/v(\d{8})-[0-9a-f]{12}$")
+
+
 def render(notes: DataFrame, today: str) -> DataFrame:
     """path and the Markdown of each note; title and summary are quoted, with escapes."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -74,15 +81,31 @@ def entries(notes: DataFrame) -> DataFrame:
     return out.select(*(c.split()[0] for c in ENTRY.split(", ")))
 
 
-def save(found: DataFrame, path: str) -> None:
-    """Write the catalog in place of the one before."""
-    found.write.mode("overwrite").parquet(path)
+def save(found: DataFrame, path: str, keep: int = 2) -> str:
+    """Write the catalog as a new version below ``path``, and return where.
+
+    A version counts once its ``_SUCCESS`` file is there, the last thing that is written, so readers see the version
+    before or this one and never none. The ``keep`` newest stay, for those who still read the one before.
+    """
+    spark = found.sparkSession
+    numbers = [int(VERSION.search(v).group(1)) for v in versions(spark, path)]
+    at = f"{path}/v{max(numbers, default=0) + 1:08d}-{uuid.uuid4().hex[:12]}"
+    found.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(at)
+    for old in versions(spark, path)[:-keep]:
+        store.delete(spark, old)
+    return at
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete versions of the catalog at ``path``, the newest last."""
+    return [f for f in store.folders(spark, path) if VERSION.search(f) and store.exists(spark, f"{f}/_SUCCESS")]
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The catalog at ``path`` with the defaults of missing fields; an empty one where there is none that can be read."""
+    """The newest version of the catalog at ``path``, or the table that is there, with the defaults of missing fields; an empty one where there is none that can be read."""
     try:
-        rows = spark.read.parquet(path)
+        found = versions(spark, path)
+        rows = spark.read.parquet(found[-1] if found else path)
     except (AnalysisException, Py4JJavaError):
         rows = spark.createDataFrame([], ENTRY)
     default = {"title": F.lit(""), "summary": F.lit(""), "last_updated": F.lit(""), "type": F.lit("concept"), "source_count": F.lit(0)}
@@ -94,6 +117,29 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*cols).where("path is not null")
 
 
+def updated(before: DataFrame, changed: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """The catalog ``before`` with the ``changed`` notes (as ``entries`` takes them) and without the ``removed`` paths.
+
+    Only backlinks that can be others are made again: those of notes whose title is the name of a link of
+    a changed note, as it was or as it is, or whose own title is new. All others, with their tokens, stay as stored.
+    """
+    gone = changed.select("path")
+    if removed is not None:
+        gone = gone.union(removed.select("path"))
+    gone = gone.distinct()
+    fresh = entries(changed)
+    stays = before.join(gone, "path", "left_anti")
+    cols = [c.split()[0] for c in ENTRY.split(", ")]
+    rows = stays.select(*cols).union(fresh.select(*cols))
+    was = before.join(gone, "path", "left_semi").select(F.explode("links").alias("name"))
+    names = was.union(fresh.select(F.explode("links"))).union(fresh.select("title")).where("name <> ''").distinct()
+    back = rows.select("path", F.explode("links").alias("name")).join(names, "name", "left_semi")
+    hit = rows.select("path", F.col("title").alias("name")).join(names, "name", "left_semi")
+    again = hit.join(back.withColumnRenamed("path", "src"), "name", "left").groupBy("path").agg(F.array_sort(F.collect_set(F.when(F.col("src") != F.col("path"), F.col("src")))).alias("again"))
+    out = rows.join(again, "path", "left").withColumn("backlinks", F.coalesce("again", "backlinks"))
+    return out.select(*cols)
+
+
 def entry(found: DataFrame, path: str) -> DataFrame:
     """The entry of a path, with or without its ``.md``."""
     return found.where(F.col("path").isin(path, f"{path}.md")).orderBy(F.col("path") != path).limit(1)
@@ -185,10 +231,11 @@ def related_lines(rows: DataFrame, titles: DataFrame) -> DataFrame:
     return lines.select(F.col("of").alias("path"), F.when(F.size("lines") > 0, head).otherwise(F.concat(F.lit("No related pages found for '"), "of", F.lit("'."))).alias("text"))
 
 
-def index_lines(notes: DataFrame) -> DataFrame:
+def index_lines(notes: DataFrame, today: str | None = None) -> DataFrame:
     """Lines of the index page: under each of the four headings a table sorted by title, or a note that it is empty.
 
-    category (1 to 4), part (1 heading, 2 table head or empty mark, 3 rows), title, path, line; in order.
+    category (1 to 4), part (1 heading, 2 table head or empty mark, 3 rows), title, path, line; in order. With
+    ``today`` the page's head, with the day of this sync, comes first as category 0. ``files.write_lines`` writes the page.
     """
     spark = notes.sparkSession
     heads = spark.createDataFrame([(i, f, f.title()) for i, f in enumerate(FOLDERS.values(), 1)], "category int, folder string, name string")
@@ -203,6 +250,9 @@ def index_lines(notes: DataFrame) -> DataFrame:
     top = heads.select("category", F.lit(1).alias("part"), F.lit("").alias("title"), F.lit("").alias("path"), F.concat(F.lit("## "), "name").alias("line"))
     table = F.when(F.col("n") > 0, "| Title | Summary | Keywords | Last Updated |\n| :--- | :--- | :--- | :--- |").otherwise("_No entries yet._")
     second = heads.join(full, "folder", "left").select("category", F.lit(2), F.lit(""), F.lit(""), table)
+    if today is not None:
+        said = [(0, 1, "", "", "# Wiki Knowledge Index"), (0, 2, "", "", f"*Last Index Sync: {today}*"), (0, 3, "", "", "")]
+        top = top.union(spark.createDataFrame(said, "category int, part int, title string, path string, line string"))
     lines = top.union(second).union(rows.select("category", F.lit(3), "title", "path", "line"))
     return lines.orderBy("category", "part", "title", "path")  # a range-partitioned sort
 
@@ -214,11 +264,14 @@ def dangling_links(linked: DataFrame) -> DataFrame:
 
 
 def insert_absent(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """New rows whose path is not there yet, the first by id of each path; ``created`` tells which."""
-    first = F.row_number().over(W.partitionBy("path").orderBy("id"))
+    """New rows whose path is not there yet, the first by id of each path; ``created`` tells which.
+
+    The first id of a path is aggregated before it is exchanged, so many rows of one path are no hot key; ids of a path differ.
+    """
     there = existing.select("path").distinct().withColumn("there", F.lit(True))
-    rows = new.withColumn("turn", first).join(there, "path", "left")
-    return rows.withColumn("created", (F.col("turn") == 1) & F.col("there").isNull()).drop("turn", "there")
+    first = new.groupBy("path").agg(F.min("id").alias("first")).join(there, "path", "left")
+    rows = new.join(first, "path")
+    return rows.withColumn("created", (F.col("id") == F.col("first")) & F.col("there").isNull()).drop("first", "there")
 
 
 def written(found: DataFrame) -> DataFrame:

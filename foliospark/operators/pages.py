@@ -128,6 +128,27 @@ def jump_text(toc: DataFrame, pages: DataFrame, query: str, focus: str = "", lim
     return found.union(missed).orderBy("origin").limit(1).select("text")
 
 
+def jump_texts(toc: DataFrame, pages: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ("doc_id",), focus: str = "", limit: int = 3000) -> DataFrame:
+    """``wanted`` (by, query) with text: the pages of the section that each query means in its document, as ``jump_text`` gives them.
+
+    One job for all: only the pages of sections that are asked for are joined, and those of one section meet.
+    """
+    from .sections import toc_bounds, toc_meant
+
+    hit = toc_meant(toc, wanted, by).select(*by, "query", "ord")
+    bounds = toc_bounds(toc, by=by).join(hit, [*by, "ord"])
+    asked = bounds.select(*by, "query", "title", "page", F.explode(F.sequence("page", F.greatest(F.col("behind") - 1, F.col("page")))).alias("page_no"))
+    rows = asked.join(pages, [*by, "page_no"])
+    order = F.when(F.contains(F.lower("text"), F.lit(focus.lower())), 0).otherwise(1) if focus else F.lit(0)
+    got = rows.groupBy(*by, "query", "title", "page").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "page_no", "text"))).alias("parts"), F.min("page_no").alias("a"), F.max("page_no").alias("b"))
+    said = F.lit(f", focus='{focus}'" if focus else "")
+    head = F.concat(F.lit("[Jumped to page "), F.col("page").cast("string"), F.lit(" \u2014 matched '"), "title", F.lit("'"), said, F.lit(" (pages "), F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string"), F.lit(")]\n\n"))
+    found = got.select(*by, "query", trimmed(F.concat(head, F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")), max(limit, 5000)).alias("text"))
+    name = F.concat_ws(" ", *(F.col(c).cast("string") for c in by))
+    missed = F.concat(F.lit("[Search term '"), "query", F.lit("' not found in TOC index of "), name, F.lit(". Try without search, or use a different term.]"))
+    return wanted.distinct().join(found, [*by, "query"], "left").select(*by, "query", F.coalesce("text", missed).alias("text"))
+
+
 def toc_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """The table-of-contents sidecar of each wanted file (name, and ``at``, where the file is): beside it, in raw/sources, in raw, in raw/cache."""
     stem = F.regexp_replace(F.element_at(F.split(T.raw_name(F.col("name")), "/"), -1), r"\.[^.]*$", "")
@@ -138,13 +159,19 @@ def toc_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def raw_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """The file that each wanted name means: itself, or with .pdf, .md or .txt; in raw/sources before raw."""
+    """The file that each wanted name means: itself, or with .pdf, .md or .txt; in raw/sources before raw before raw/cache.
+
+    ``files``: path, and size if it is known; cached files without a byte do not count.
+    """
     name = T.raw_name(F.col("name"))
-    endings = F.when(F.contains(name, F.lit(".")), F.array(F.lit(""))).otherwise(F.array(*(F.lit(e) for e in (".pdf", ".md", ".txt"))))
-    folders = F.array(F.lit("raw/sources/"), F.lit("raw/"))
+    bare = F.element_at(F.split(name, "/"), -1)
+    endings = F.when(F.contains(bare, F.lit(".")), F.array(F.lit(""))).otherwise(F.array(*(F.lit(e) for e in (".pdf", ".md", ".txt"))))
+    folders = F.array(F.lit("raw/sources/"), F.lit("raw/"), F.lit("raw/cache/"))
     tries = F.flatten(F.transform(folders, lambda f: F.transform(endings, lambda e: F.concat(f, name, e))))
+    if "size" in files.columns:
+        files = files.where((F.col("size") > 0) | ~F.startswith("path", F.lit("raw/cache/")))
     rows = wanted.select("name", F.posexplode(tries).alias("priority", "path"))
-    return rows.join(files, "path").groupBy("name").agg(F.min_by("path", "priority").alias("path"))
+    return rows.join(files.select("path"), "path").groupBy("name").agg(F.min_by("path", "priority").alias("path"))
 
 
 def resolved_read(notes: DataFrame, query: str, limit: int = PAGE_TOKENS, catalog: DataFrame | None = None) -> DataFrame:

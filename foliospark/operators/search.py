@@ -121,7 +121,8 @@ def suggestions(notes: DataFrame, query: str, k: int = 5) -> DataFrame:
 def formatted(results: DataFrame) -> DataFrame:
     """Results in order as one text; a fixed sentence where there are none. ``results`` is a top-k list."""
     place = F.row_number().over(W.orderBy(F.desc("score_micro"), "path"))
-    milli = F.format_string("%d.%03d", F.floor(F.col("score_micro") / 1000000), F.floor(F.col("score_micro") % 1000000 / 1000))
+    thousandths = F.floor((F.col("score_micro") + 500) / 1000)  # half a thousandth goes up, as in print
+    milli = F.format_string("%d.%03d", F.floor(thousandths / 1000), thousandths % 1000)
     section = F.when(F.size("sections") > 0, F.concat(F.lit(" \u00a7 "), F.array_join("sections", ", "))).otherwise("")
     line = F.concat(
         place.cast("string"), F.lit(". **"), "title", F.lit("** `["), "type", F.lit("]"), section, F.lit("` _(score: "), milli, F.lit(")_\n   Path: `"), "path",

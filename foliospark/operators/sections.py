@@ -1,4 +1,7 @@
-"""Sectioning: tables of contents, headings, page ranges, packing and routing."""
+"""Sectioning: tables of contents, headings, page ranges, packing and routing.
+
+Operators over tables of contents take ``by``, the columns that tell documents apart; without, all rows are one document's.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +9,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import offsets
 from ..functions import text as T
 from ..sources import store
 from .pages import running_before
@@ -20,24 +24,43 @@ PACK_BLOCK = 256
 END = "END_OF_DOC"
 
 
-def toc_depth(toc: DataFrame, least: int = 10) -> DataFrame:
+def toc_depth(toc: DataFrame, least: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """The finest level with ``least`` entries, else the deepest."""
-    n = toc.groupBy("level").agg(F.count("*").alias("n"))
-    return n.agg(F.coalesce(F.max(F.when(F.col("n") >= least, F.col("level"))), F.max("level")).alias("depth"))
+    n = toc.groupBy(*by, "level").agg(F.count("*").alias("n"))
+    return n.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("n") >= least, F.col("level"))), F.max("level")).alias("depth"))
+
 
+#: Pages, and ordinals, in a block of a document whose next entries are found by themselves.
+PAGE_BLOCK, ORD_BLOCK = 1024, 4096
 
-def toc_bounds(toc: DataFrame, forward: int = 6) -> DataFrame:
-    """First page, and the first page behind, of each entry: the next distinct page, else six more.
 
-    The next page is a lead over the distinct pages, which are dealt by range for it: a
-    join on the page, and on the least page of the following block where a block ends.
+def following(rows: DataFrame, order: str, value: Column, size: int, by: tuple[str, ...]) -> DataFrame:
+    """``rows`` with ``next``, ``value`` of the document's next row by ``order``, which is strict.
+
+    A document is dealt to blocks of ``size`` values of ``order``: a lead inside a block, and at its end the first
+    row of the document's next block, from a window over a row a block. A long document is many tasks.
     """
-    pages = toc.select("page").distinct().withColumn("block", F.floor(F.col("page") / 1024))
-    inside = pages.withColumn("next", F.lead("page").over(W.partitionBy("block").orderBy("page")))
-    starts = pages.groupBy("block").agg(F.min("page").alias("first"))
-    ahead = starts.withColumn("after", F.lead("first").over(W.orderBy("block"))).select("block", "after")  # a row for 1,024 pages
-    nxt = inside.join(ahead, "block").select("page", F.coalesce("next", "after").alias("next"))
-    return toc.join(nxt, "page").select("ord", "level", "title", "page", F.coalesce("next", F.col("page") + forward).alias("behind"))
+    rows = rows.withColumn("block", F.floor(F.col(order) / size))
+    inside = rows.withColumn("next", F.lead(value).over(W.partitionBy(*by, "block").orderBy(order)))
+    first = rows.groupBy(*by, "block").agg(F.min_by(value, order).alias("first"))
+    ahead = first.withColumn("after", F.lead("first").over(W.partitionBy(*by).orderBy("block"))).select(*by, "block", "after")
+    return inside.join(ahead, [*by, "block"]).withColumn("next", F.coalesce("next", "after")).drop("block", "after")
+
+
+def toc_bounds(toc: DataFrame, forward: int = 6, by: tuple[str, ...] = ()) -> DataFrame:
+    """First page, and the first page behind, of each entry: the document's next distinct page, else six more."""
+    nxt = following(toc.select(*by, "page").distinct(), "page", F.col("page"), PAGE_BLOCK, by)
+    return toc.join(nxt, [*by, "page"]).select(*by, "ord", "level", "title", "page", F.coalesce("next", F.col("page") + forward).alias("behind"))
+
+
+def toc_meant(toc: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The entry that each ``query`` means in its document: ``wanted`` (by, query) with ord, level, title, page; none where none holds it."""
+    key = T.toc_key(F.col("query"))
+    rows = wanted.distinct().join(toc, [*by]).withColumn("key", T.toc_key(F.col("title"))).where(F.contains("key", key))
+    ratio = F.length(key) / F.greatest(F.length("key"), F.lit(1))
+    best = F.struct((F.col("key") == key).alias("same"), ratio.alias("ratio"), (-F.col("ord")).alias("first"))
+    found = rows.groupBy(*by, "query").agg(F.max_by(F.struct("ord", "level", "title", "page"), best).alias("e"))
+    return found.select(*by, "query", "e.*")
 
 
 def toc_match(toc: DataFrame, query: str) -> DataFrame:
@@ -56,16 +79,16 @@ def headings(lines: DataFrame, least: int = 3) -> DataFrame:
 
 
 def section_bounds(found: DataFrame) -> DataFrame:
-    """Each heading with the next one as its end marker."""
-    w = W.partitionBy("source_id").orderBy("k")
-    ordinal = F.row_number().over(w)
-    return found.select("source_id", "k", F.trim("line").alias("title"), T.section_id(F.trim("line"), ordinal).alias("section_id"), F.lead(F.trim("line"), 1, END).over(w).alias("end_marker"))
+    """Each heading with the next one as its end marker; ordinals and next ones come from blocks of lines, so no window holds a source."""
+    rows = running_before(found.select("source_id", "k", "line", F.lit(1).alias("one")), "source_id", "k", "one", "before")
+    rows = following(rows, "k", F.trim("line"), ORD_BLOCK, ("source_id",))
+    return rows.select("source_id", "k", F.trim("line").alias("title"), T.section_id(F.trim("line"), F.col("before") + 1).alias("section_id"), F.coalesce("next", F.lit(END)).alias("end_marker"))
 
 
-def page_ranges(sections: DataFrame, pages: DataFrame) -> DataFrame:
+def page_ranges(sections: DataFrame, pages: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Pages of each section, ``page`` up to but not ``behind`` (one page at least): an equi-join on exploded pages."""
-    wanted = sections.select("ord", "title", F.explode(F.sequence("page", F.greatest(F.col("behind") - 1, F.col("page")))).alias("p"))
-    return wanted.join(pages, F.col("p") == F.col("page_no")).select("ord", "title", "page_no", "text")
+    wanted = sections.select(*by, "ord", "title", F.explode(F.sequence("page", F.greatest(F.col("behind") - 1, F.col("page")))).alias("page_no"))
+    return wanted.join(pages, [*by, "page_no"]).select(*by, "ord", "title", "page_no", "text")
 
 
 def batch_ends(before: np.ndarray, size: np.ndarray, limit: int) -> np.ndarray:
@@ -163,6 +186,7 @@ def routed(docs: DataFrame, toc: DataFrame | None = None) -> DataFrame:
     ``toc``: doc_id, level of the entries of all tables of contents, if there are any. A
     document has two sections of it where a level has two entries, as ``toc_sections`` chooses.
     """
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     listed = F.lit(0)
     if toc is not None:
         levels = toc.groupBy("doc_id", "level").agg(F.count("*").alias("n"))
@@ -173,67 +197,67 @@ def routed(docs: DataFrame, toc: DataFrame | None = None) -> DataFrame:
     return docs.select("doc_id", strategy.alias("strategy"), F.length(T.sample(F.col("text"))).alias("sample_chars"))
 
 
-def toc_sections(toc: DataFrame, total_pages: int, least: int = 10) -> DataFrame:
-    """Sections from the entries of the chosen level, each up to the next one's page; none where no level has two.
+def toc_sections(toc: DataFrame, total_pages: int | None = None, least: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sections from the entries of each document's chosen level, each up to the next one's page; none where no level has two.
 
-    The next entry comes from ordinals in blocks of ``ord``: a lead inside a block, and the
-    first entry of a later block (a row for each block) at its end.
+    The last one goes to ``total_pages``, or to the column of that name.
     """
-    n = toc.groupBy("level").agg(F.count("*").alias("n"))
+    n = toc.groupBy(*by, "level").agg(F.count("*").alias("n"))
     fine = F.max(F.when(F.col("n") >= least, F.col("level")))
-    depth = n.where("n >= 2").agg(F.coalesce(fine, F.when(F.max_by("n", "level") >= 2, F.max("level")), F.min("level")).alias("level"))
-    rows = toc.join(F.broadcast(depth), "level").withColumn("block", F.floor(F.col("ord") / 4096))
-    w = W.partitionBy("block").orderBy("ord")
-    inside = rows.withColumn("next", F.lead(F.struct("page", "title")).over(w))
-    first = rows.groupBy("block").agg(F.min_by(F.struct("page", "title"), "ord").alias("first"))
-    later = first.withColumn("after", F.lead("first").over(W.orderBy("block"))).select("block", "after")
-    rows = inside.join(later, "block").withColumn("next", F.coalesce("next", "after"))
-    return rows.select("ord", "level", "title", T.section_id(F.col("title"), F.col("ord") + 1).alias("section_id"), F.col("page").alias("page_start"), F.coalesce("next.page", F.lit(total_pages + 1)).alias("page_end"), F.coalesce("next.title", F.lit(END)).alias("end_marker"))
+    depth = n.where("n >= 2").groupBy(*by).agg(F.coalesce(fine, F.when(F.max_by("n", "level") >= 2, F.max("level")), F.min("level")).alias("level"))
+    rows = toc.join(depth, [*by, "level"])
+    rows = following(rows, "ord", F.struct("page", "title"), ORD_BLOCK, by)
+    last = (F.col("total_pages") if total_pages is None else F.lit(total_pages)) + 1
+    return rows.select(
+        *by, "ord", "level", "title", T.section_id(F.col("title"), F.col("ord") + 1).alias("section_id"), F.col("page").alias("page_start"),
+        F.coalesce("next.page", last).alias("page_end"), F.coalesce("next.title", F.lit(END)).alias("end_marker"),
+    )
 
 
 def marker_slices(docs: DataFrame, start: str, end: str, least: int = 80) -> DataFrame:
-    """The part of each collapsed text between two markers; none where the start is not found or the part is short."""
+    """The part of each text between two markers, as it stands; none where the start is not found or the part is short."""
     one = F.array(F.struct(F.lit(1).alias("ord"), F.lit("").alias("title"), F.lit(start).alias("start_marker"), F.lit(end).alias("end_marker")))
-    return cut_sections(docs.select("doc_id", T.collapsed(F.col("text")).alias("norm"), one.alias("sections")), least).select("doc_id", "place", "chunk")
+    return cut_sections(docs.select("doc_id", "text", one.alias("sections")), least).select("doc_id", "place", "chunk")
 
 
 def sliced(docs: DataFrame, sections: DataFrame, least: int = 80) -> DataFrame:
     """Sections (doc_id, ord, title, start_marker, end_marker) of texts (doc_id, text) with their parts of them: doc_id, ord, title, place, chunk.
 
-    A text is collapsed once for all its sections, which travel to it as one row.
+    ``place`` is where the part starts in the collapsed text, ``chunk`` the part as it stands in the text. A text
+    is collapsed once for all its sections, which travel to it as one row.
     """
     listed = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "title", "start_marker", "end_marker"))).alias("sections"))
-    return cut_sections(docs.select("doc_id", T.collapsed(F.col("text")).alias("norm")).join(listed, "doc_id"), least)
+    return cut_sections(docs.select("doc_id", "text").join(listed, "doc_id"), least)
 
 
 def cut_sections(rows: DataFrame, least: int) -> DataFrame:
-    """``rows``: doc_id, norm (the collapsed text), sections. A section goes from its start marker to the next place of
-    its end marker behind that, or to the end of the text; one whose start is not found, or that is short, is left out."""
+    """``rows``: doc_id, text, sections. A section goes from its start marker to the next place of its end
+    marker behind that, or to the end of the text; one whose start is not found, or that is short, is left out.
+    Markers are found in the collapsed text; an offset map cuts the text itself."""
+    rows = rows.withColumn("norm", T.collapsed(F.col("text")))
     norm = F.col("norm")
 
     def cut(s):
         at = T.locate_in(norm, T.collapsed(s["start_marker"]))
-        return F.struct(s["ord"].alias("ord"), s["title"].alias("title"), at.alias("place"), F.length(s["start_marker"]).alias("n"), s["end_marker"].alias("end"))
+        return F.struct(s["ord"].alias("ord"), s["title"].alias("title"), at.cast("int").alias("place"), F.length(s["start_marker"]).alias("n"), s["end_marker"].alias("end"))
 
     def ended(s):
         stop = F.when(s["end"] != END, T.locate_in(norm, T.collapsed(s["end"]), s["place"] + s["n"])).otherwise(F.lit(-1))
-        size = F.when(stop >= 0, F.greatest(stop - s["place"], F.lit(0))).otherwise(F.length(norm))
-        return F.struct(s["ord"].alias("ord"), s["title"].alias("title"), s["place"].alias("place"), F.trim(F.substring(norm, s["place"] + 1, size)).alias("chunk"))
+        stop = F.when(stop >= 0, F.greatest(stop, s["place"])).otherwise(F.length(norm))
+        return F.struct(s["ord"].alias("ord"), s["title"].alias("title"), s["place"].alias("place"), stop.cast("int").alias("stop"))
 
     found = F.filter(F.transform("sections", cut), lambda s: s["place"] >= 0)
-    # the outer form, since Spark would compute the array again to leave out empty ones
-    parts = rows.select("doc_id", F.explode_outer(F.transform(found, ended)).alias("s")).select("doc_id", "s.*")
-    return parts.where(F.length("chunk") > least)
+    return offsets.raw_parts(rows.select("doc_id", "text", F.transform(found, ended).alias("spots")), least)
 
 
-def page_sections(sections: DataFrame, pages: DataFrame, least: int = 80) -> DataFrame:
+def page_sections(sections: DataFrame, pages: DataFrame, least: int = 80, by: tuple[str, ...] = ()) -> DataFrame:
     """ord, title, chunk: the texts of each section's pages in order with a blank line between; short ones are left out.
 
     ``sections``: ord, title, page, behind; ``pages``: page_no, text.
     """
-    rows = page_ranges(sections, pages).groupBy("ord", "title").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
+    rows = page_ranges(sections, pages, by).groupBy(*by, "ord", "title").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
     chunk = T.stripped(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n"))
-    return rows.select("ord", "title", chunk.alias("chunk")).where(F.length("chunk") > least)
+    return rows.select(*by, "ord", "title", chunk.alias("chunk")).where(F.length("chunk") > least)
 
 
 def batch_text(chunks: DataFrame) -> DataFrame:

@@ -1,18 +1,22 @@
 """The ingestion flow from documents to a stored catalog, composed of the operators; each step is a DataFrame.
 
-Short documents are one chunk. Longer ones are cut at their headings where there are enough, else at
-the sections that a sectionizer finds; chunks are packed in batches, an extractor makes a
-note of each batch, similar notes of a document are merged.
+Short documents are read in a single pass. Longer ones are cut at the pages of their table of
+contents if they have one, at their headings where there are enough, else at the sections that a sectionizer finds; one of
+which nothing can be cut is read in a single pass too. Chunks are parts of the text as it
+stands; they are packed in batches, an extractor makes a note of each batch, similar notes of a
+document are merged. Every document has a note, or a pending row that says why not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, consolidate, ingest, sections
-from ..sources import store
+from ..sources import files, store
 
 
 def heading_sections(docs: DataFrame) -> DataFrame:
@@ -22,27 +26,54 @@ def heading_sections(docs: DataFrame) -> DataFrame:
     return found.select(F.col("source_id").alias("doc_id"), F.col("k").cast("int").alias("ord"), "title", F.col("title").alias("start_marker"), "end_marker")
 
 
-def chunks(docs: DataFrame, sectionizer: sections.Sectionizer = sections.by_stride) -> DataFrame:
-    """source_id, ord, title, text: the chunks of each document (doc_id, text), by the strategy that its length and headings call for."""
-    way = sections.routed(docs).select("doc_id", "strategy")
-    told = docs.select("doc_id", "text").join(way, "doc_id")
-    single = told.where("strategy = 'single'").select(F.col("doc_id").alias("source_id"), F.lit(1).alias("ord"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), "text")
-    by_heading = heading_sections(told.where("strategy = 'regex'"))
-    by_model = sections.analysed(told.where("strategy = 'llm'"), sectionizer).where("error is null").select("doc_id", "ord", "title", "start_marker", "end_marker")
-    cut = sections.sliced(docs, by_heading.union(by_model))
-    return single.union(cut.select(F.col("doc_id").alias("source_id"), "ord", "title", F.col("chunk").alias("text")))
+def page_chunks(docs: DataFrame, toc: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, ord, title, chunk of the documents' sections by the pages of their tables of contents."""
+    own = toc.join(docs.select("doc_id"), "doc_id", "left_semi")
+    total = pages.groupBy("doc_id").agg(F.max("page_no").alias("total_pages"))
+    found = sections.toc_sections(own.join(total, "doc_id"), by=("doc_id",))
+    bounds = found.select("doc_id", F.col("ord").cast("int").alias("ord"), "title", F.col("page_start").alias("page"), F.col("page_end").alias("behind"))
+    return sections.page_sections(bounds, pages, by=("doc_id",))
+
+
+def chunks(docs: DataFrame, sectionizer: sections.Sectionizer = sections.by_stride, toc: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """source_id, ord, title, text, why: the chunks of each document (doc_id, text), by the strategy that its length, table of contents and headings call for.
+
+    ``toc``: doc_id, ord, level, title, page; ``pages``: doc_id, page_no, text. A document that is read in a single
+    pass is one chunk of ord -1, whole, with ``why``: it is short, its sectionizer failed, or no section of it was found.
+    """
+    way = sections.routed(docs, toc).select("doc_id", "strategy")
+    told = store.written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(way, "doc_id"), "told")
+    by_model = store.written(sections.analysed(told.where("strategy = 'llm'"), sectionizer), "analysed")
+    marked = heading_sections(told.where("strategy = 'regex'")).union(by_model.where("error is null").select("doc_id", "ord", "title", "start_marker", "end_marker"))
+    cut = sections.sliced(told, marked).select("doc_id", "ord", "title", "chunk")
+    if toc is not None and pages is not None:
+        cut = cut.union(page_chunks(told.where("strategy = 'toc'"), toc, pages))
+    cut = store.written(cut, "cut")
+    failed = by_model.where("error is not null").groupBy("doc_id").agg(F.concat(F.lit("sectionizer failed: "), F.min("error")).alias("failed"))
+    whole = told.join(cut.select("doc_id").distinct(), "doc_id", "left_anti").join(failed, "doc_id", "left")
+    why = F.when(F.col("strategy") == "single", "short").otherwise(F.coalesce("failed", F.lit("no section found")))
+    title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
+    single = whole.select(F.col("doc_id").alias("source_id"), F.lit(-1).alias("ord"), title.alias("title"), "text", why.alias("why"))
+    return single.union(cut.select(F.col("doc_id").alias("source_id"), "ord", "title", F.col("chunk").alias("text"), F.lit(None).cast("string")))
+
+
+def batches(parts: DataFrame, batch_chars: int = sections.BATCH) -> DataFrame:
+    """source_id, batch, rendered: what an extractor reads. A document in a single pass is its own batch, as it stands."""
+    single = parts.where("ord = -1").select("source_id", F.lit(0).alias("batch"), F.col("text").alias("rendered"))
+    return single.union(sections.batch_texts(parts.where("ord >= 0"), batch_chars, -1).select("source_id", "batch", "rendered"))
 
 
 def extracted(batches: DataFrame, extractor: ingest.Extractor = ingest.extractive) -> DataFrame:
-    """source, ord, title, type, summary, keywords, content: the note of each batch (source_id, batch, rendered); failed ones are left out, to be tried again."""
+    """source, ord, title, type, summary, keywords, content, error: the note of each batch (source_id, batch, rendered), or why there is none."""
     rows = batches.select(F.struct("source_id", "batch").alias("doc_id"), F.col("rendered").alias("text"))
-    notes = ingest.extract(rows, extractor).where("error is null")
-    return notes.select(F.col("doc_id.source_id").cast("string").alias("source"), F.col("doc_id.batch").alias("ord"), "title", "type", "summary", "keywords", "content")
+    notes = ingest.extract(rows, extractor)
+    error = F.when(F.col("error").isNull() & (F.col("title").isNull() | F.col("type").isNull()), F.lit("a note without title or type")).otherwise(F.col("error"))
+    return notes.select(F.col("doc_id.source_id").cast("string").alias("source"), F.col("doc_id.batch").alias("ord"), "title", "type", "summary", "keywords", "content", error.alias("error"))
 
 
 def consolidated(notes: DataFrame, merger: consolidate.Merger = consolidate.first_and_all, least: int = 5) -> DataFrame:
     """source, title, type, summary, keywords, content, members: notes of a document with similar titles are merged."""
-    seeds = consolidate.clusters(notes, least=least)
+    seeds = consolidate.clusters(notes, least=least).drop("n")
     found = notes.join(seeds, ["source", "type", "title"])
     key = F.to_json(F.struct("source", "type", "seed"))
     out = consolidate.merged(found.select(key.alias("cluster"), "ord", "title", "type", "summary", "keywords", "content"), merger)
@@ -50,7 +81,7 @@ def consolidated(notes: DataFrame, merger: consolidate.Merger = consolidate.firs
 
 
 def as_notes(found: DataFrame, today: str) -> DataFrame:
-    """Notes with their paths, as the catalog takes them; of equal paths the one of the least source stays."""
+    """Notes with their paths, as the catalog takes them; of equal paths the one of the least source stays, and ``same_path`` counts the others."""
     folder = F.lit("concepts")
     for kind, name in catalog.FOLDERS.items():
         folder = F.when(F.col("type") == kind, name).otherwise(folder)
@@ -59,11 +90,64 @@ def as_notes(found: DataFrame, today: str) -> DataFrame:
         F.array(F.concat(F.lit("[[raw/sources/"), "source", F.lit("]]"))).alias("sources"), T.links(F.col("content")).alias("links"), T.section_refs(F.col("content")).alias("sections"), F.lit(today).alias("last_updated"),
     )
     first = F.min(F.struct("source", "title", "type", "summary", "keywords", "content", "members", "sources", "links", "sections", "last_updated"))
-    return rows.groupBy("path").agg(first.alias("n")).select("path", "n.*")
-
-
-def ingested(docs: DataFrame, today: str, batch_chars: int = sections.BATCH, least: int = 5) -> DataFrame:
-    """The notes of documents (doc_id long, text) with the offline sectionizer, extractor and merger, ready for ``catalog.entries`` and ``files.write_notes``."""
-    parts = store.written(chunks(docs), "chunks")
-    notes = store.written(extracted(sections.batch_texts(parts, batch_chars)), "notes")
-    return as_notes(consolidated(notes, least=least), today)
+    return rows.groupBy("path").agg(first.alias("n"), (F.count("*") - 1).alias("same_path")).select("path", "n.*", "same_path")
+
+
+class Ingested(NamedTuple):
+    """``notes``, ready for ``catalog.entries`` and ``files.write_notes``, and ``pending``: source, ord, error of the batches that gave none."""
+
+    notes: DataFrame
+    pending: DataFrame
+
+
+def ingested(
+    docs: DataFrame, today: str, batch_chars: int = sections.BATCH, least: int = 5, sectionizer: sections.Sectionizer = sections.by_stride,
+    extractor: ingest.Extractor = ingest.extractive, merger: consolidate.Merger = consolidate.first_and_all, toc: DataFrame | None = None, pages: DataFrame | None = None,
+) -> Ingested:
+    """The notes of documents (doc_id, text). A null text is an empty one."""
+    parts = store.written(chunks(docs, sectionizer, toc, pages), "chunks")
+    found = store.written(extracted(batches(parts, batch_chars), extractor), "notes")
+    notes = as_notes(consolidated(found.where("error is null").drop("error"), merger, least), today)
+    return Ingested(notes, found.where("error is not null").select("source", "ord", "error"))
+
+
+LEDGER = "source string, ord int, digest string, title string, type string, summary string, keywords array<string>, content string, error string, stamp long"
+
+
+def resumed(
+    docs: DataFrame, root: str, today: str, batch_chars: int = sections.BATCH, least: int = 5, stamp: int = 0,
+    sectionizer: sections.Sectionizer = sections.by_stride, extractor: ingest.Extractor = ingest.extractive, merger: consolidate.Merger = consolidate.first_and_all,
+    toc: DataFrame | None = None, pages: DataFrame | None = None,
+) -> Ingested:
+    """``ingested`` that goes on where an earlier run stopped, writes the notes below ``root`` and saves the catalog.
+
+    The ledger at ``root``/.ledger has a row for each batch that was tried, under the digest of its text.
+    Batches with a note there are not extracted again; failed ones, and those whose text is another now, are.
+    Notes of a document are those of the batches that it has now. A run that is cut off before the ledger's append
+    changes nothing, one after it only has the files and the catalog left, which take no second copy.
+    """
+    spark = docs.sparkSession
+    at = f"{root}/.ledger"
+    text = batches(store.written(chunks(docs, sectionizer, toc, pages), "chunks"), batch_chars)
+    wanted = store.written(text.select("source_id", "batch", "rendered", F.sha2("rendered", 256).alias("digest")), "wanted")
+    keys = [F.col("source_id").cast("string").alias("source"), F.col("batch").cast("int").alias("ord"), "digest"]
+    done = ledger(spark, at).where("error is null").select("source", "ord", "digest")
+    todo = wanted.select("source_id", "batch", "rendered", *keys).join(done, ["source", "ord", "digest"], "left_anti")
+    new = extracted(todo.select("source_id", "batch", "rendered"), extractor).join(wanted.select(*keys), ["source", "ord"])
+    new.select("source", "ord", "digest", "title", "type", "summary", "keywords", "content", "error", F.lit(stamp).cast("long").alias("stamp")).write.mode("append").parquet(at)
+    have = ledger(spark, at).join(wanted.select(*keys), ["source", "ord", "digest"], "left_semi")
+    found = store.written(have, "notes")
+    notes = store.written(as_notes(consolidated(found.where("error is null").drop("error", "digest", "stamp"), merger, least), today), "ingested")
+    files.write_notes(catalog.render(notes, today), root)
+    catalog.save(catalog.entries(notes), f"{root}/.catalog")
+    return Ingested(notes, found.where("error is not null").select("source", "ord", "error"))
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of each batch in the ledger, one with a note before one without; none where there is no ledger."""
+    if not store.exists(spark, path):
+        return spark.createDataFrame([], LEDGER)
+    rows = spark.read.schema(LEDGER).parquet(path)
+    names = [c.split()[0] for c in LEDGER.split(", ")]
+    best = F.max_by(F.struct(*names), F.struct(F.col("error").isNull().alias("ok"), "stamp"))
+    return rows.groupBy("source", "ord", "digest").agg(best.alias("r")).select("r.*")

@@ -107,8 +107,8 @@ def q_hybrid_search(spark, d):
 
 def result_lines(table: str, tag: str = "''") -> str:
     """One text of the rows of ``table`` in the order of their scores."""
-    return f"""SELECT '## Wiki Search Results' || chr(10) || chr(10) || string_agg(k || '. **' || title || '** `[' || type || ']' || {tag} || '` _(score: ' || (m // 1000000) || '.' || lpad(CAST(m % 1000000 // 1000 AS VARCHAR), 3, '0') || ')_' || chr(10) ||
-'   Path: `' || path || '`' || chr(10) || '   Summary: ' || summary || chr(10) || '   Keywords: ' || array_to_string(keywords, ', ') || chr(10), chr(10) ORDER BY k) AS text FROM (SELECT *, score_micro AS m, row_number() OVER (ORDER BY score_micro DESC, path) AS k FROM {table})"""
+    return f"""SELECT '## Wiki Search Results' || chr(10) || chr(10) || string_agg(k || '. **' || title || '** `[' || type || ']' || {tag} || '` _(score: ' || (m // 1000) || '.' || lpad(CAST(m % 1000 AS VARCHAR), 3, '0') || ')_' || chr(10) ||
+'   Path: `' || path || '`' || chr(10) || '   Summary: ' || summary || chr(10) || '   Keywords: ' || array_to_string(keywords, ', ') || chr(10), chr(10) ORDER BY k) AS text FROM (SELECT *, (score_micro + 500) // 1000 AS m, row_number() OVER (ORDER BY score_micro DESC, path) AS k FROM {table})"""
 
 
 @query(f"WITH {HYBRID} {result_lines('best')}")
@@ -116,18 +116,6 @@ def q_search_tool(spark, d):
     return tools.search_wiki(A.catalog(spark, d), A.notes(spark, d), PHRASE)
 
 
-@query(
-    f"""WITH {NOTES}, {TOKENS} SELECT path, title, type, summary, CAST(1 AS INTEGER) AS source_count, array_to_string(keywords, '|') AS keywords, '' AS links, '' AS backlinks, '{TODAY}' AS last_updated, CAST(len(tokens) AS INTEGER) AS n_tokens FROM toks"""
-)
-def q_catalog_build(spark, d):
-    """Build the catalog, write it in place of the one before, and read it back."""
-    path = f"{store.root(spark)}/catalog-build"
-    catalog.save(catalog.entries(A.notes(spark, d)), path)
-    rows = catalog.load(spark, path)
-    joined = lambda c: F.array_join(c, "|").alias(c)
-    return rows.select("path", "title", "type", "summary", "source_count", joined("keywords"), joined("links"), joined("backlinks"), "last_updated", F.size("tokens").alias("n_tokens"))
-
-
 @query(f"WITH {NOTES} SELECT path, title, type FROM notes WHERE path = 'concepts/doc-1.md'")
 def q_entry(spark, d):
     return catalog.entry(A.catalog(spark, d), "concepts/doc-1").select("path", "title", "type")
@@ -208,6 +196,12 @@ def q_index_rows(spark, d):
     return catalog.index_lines(A.notes(spark, d).withColumn("path", F.regexp_replace("path", "^synthesis/", "concepts/")))
 
 
+@query(ORACLES["q_index_rows"] + f" UNION ALL SELECT 0, 1, '', '', '# Wiki Knowledge Index' UNION ALL SELECT 0, 2, '', '', '*Last Index Sync: {TODAY}*' UNION ALL SELECT 0, 3, '', '', ''")
+def q_index_page(spark, d):
+    """The lines of the whole index page under its head with the day of the sync."""
+    return catalog.index_lines(A.notes(spark, d).withColumn("path", F.regexp_replace("path", "^synthesis/", "concepts/")), TODAY)
+
+
 @query(
     f"""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'see GEN  ' || p_size || '.1, ENR' || p_size || '.2 and AD 2-VHHH; again GEN ' || p_size || '.1'
   WHEN 1 THEN 'GEN 3.5-HKO-EQ, ENR ' || p_size || chr(8211) || '4.' || p_size || ' then XGEN 9 and AD2 - A1' WHEN 2 THEN 'nothing in GEN or AD here'
@@ -261,6 +255,119 @@ toc AS (SELECT 3 AS level, c_name AS title, page, idx * 4 + 3 AS ord FROM cp UNI
 bd AS (SELECT ord, level, title, page, coalesce((SELECT min(p.page) FROM (SELECT DISTINCT page FROM toc) p WHERE p.page > toc.page), page + 6) AS behind FROM toc)"""
 
 
+LINKED = f"""{PAGES}, ln AS (SELECT page_id, ['concepts', 'entities', 'procedures', 'synthesis'][page_id % 4 + 1] || '/page-' || page_id || '.md' AS path, name AS title,
+  ['concept', 'entity', 'procedure', 'synthesis'][page_id % 4 + 1] AS type, 'About ' || name AS summary, links[1:5] AS keywords, links FROM pg),
+bk AS (SELECT t.page_id, list_sort(list(DISTINCT s.path)) AS backlinks FROM ln t JOIN ed ON t.title = dst AND src <> t.page_id JOIN ln s ON s.page_id = src WHERE t.title <> '' GROUP BY t.page_id)"""
+BUILT = f"""WITH {LINKED} SELECT path, title, type, summary, CAST(1 AS INTEGER) AS source_count, array_to_string(keywords, '|') AS keywords, array_to_string(links, '|') AS links,
+  coalesce(array_to_string(backlinks, '|'), '') AS backlinks, '{TODAY}' AS last_updated,
+  CAST(len({LOWER.format("title || ' ' || summary || ' ' || array_to_string(keywords, ' ')")}) AS INTEGER) AS n_tokens FROM ln LEFT JOIN bk USING (page_id)"""
+
+
+def catalog_folder(spark, d: str, name: str) -> str:
+    """A catalog's folder for the present state of the pages."""
+    return f"{store.root(spark)}/{name}-{store.version(spark, f'{d}/pages.parquet')[:24]}"
+
+
+def catalog_rows(rows):
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return rows.select("path", "title", "type", "summary", "source_count", joined("keywords"), joined("links"), joined("backlinks"), "last_updated", F.size("tokens").alias("n_tokens"))
+
+
+@query(BUILT)
+def q_catalog_build(spark, d):
+    """Build the catalog of linked notes as a new version, and read it back."""
+    path = catalog_folder(spark, d, "catalog-build")
+    catalog.save(catalog.entries(A.linked_notes(spark, d)), path)
+    return catalog_rows(catalog.load(spark, path))
+
+
+@query(BUILT)
+def q_catalog_update(spark, d):
+    """A catalog of an earlier state, brought up to date by what changed: a third of the notes had other titles or links, some were not there, some that are gone were."""
+    now, path = A.linked_notes(spark, d), catalog_folder(spark, d, "catalog-update")
+    k = F.pmod(F.xxhash64("path"), F.lit(6))
+    early = now.where(k != 5).withColumn("links", F.when(k < 2, F.array(F.lit("index"), F.col("title"))).otherwise(F.col("links")))
+    early = early.withColumn("title", F.when(k == 1, F.lit("old")).otherwise(F.col("title")))
+    gone = early.where(k == 3).withColumn("path", F.concat(F.lit("gone/"), "path"))
+    catalog.save(catalog.entries(early.union(gone)), path)
+    before = catalog.load(spark, path)
+    catalog.save(catalog.updated(before, now.where(k.isin(0, 1, 5)), gone.select("path")), path)
+    return catalog_rows(catalog.load(spark, path))
+
+
+TOCS = "tocs AS (SELECT CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 + o_custkey % 39 END AS INTEGER) AS doc_id, CAST(o_orderkey AS INTEGER) AS ord, CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS level, 'Order ' || o_orderkey AS title, CAST(1 + o_orderkey // 12 AS INTEGER) AS page FROM orders)"
+TOCS_BOUNDS = f"{TOCS}, bd AS (SELECT doc_id, ord, level, title, page, coalesce(lead_page, page + 6) AS behind FROM tocs JOIN (SELECT doc_id, page, lead(page) OVER (PARTITION BY doc_id ORDER BY page) AS lead_page FROM (SELECT DISTINCT doc_id, page FROM tocs)) USING (doc_id, page))"
+TOCS_SECTIONS = f"""{TOCS}, tn AS (SELECT doc_id, level, count(*) AS n FROM tocs GROUP BY ALL HAVING count(*) >= 2), td AS (SELECT doc_id, coalesce(max(level) FILTER (n >= 10), max(level)) AS level FROM tn GROUP BY doc_id),
+se AS (SELECT doc_id, ord, level, title, page AS page_start, lead(page) OVER w AS np, lead(title) OVER w AS nt FROM tocs JOIN td USING (doc_id, level) WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+tp AS (SELECT doc_id, max(page) AS total FROM tocs GROUP BY doc_id), sx AS (SELECT doc_id, ord, level, title, page_start, coalesce(np, total + 1) AS page_end, coalesce(nt, 'END_OF_DOC') AS end_marker FROM se JOIN tp USING (doc_id))"""
+TOCS_PAGES = "pt AS (SELECT doc_id, page AS page_no, string_agg(title, ' ' ORDER BY ord) AS text FROM tocs GROUP BY doc_id, page)"
+BY_DOC = ("doc_id",)
+
+
+def tocs_sections(spark, d):
+    toc = A.tocs(spark, d)
+    return sections.toc_sections(toc.join(toc.groupBy("doc_id").agg(F.max("page").alias("total_pages")), "doc_id"), by=BY_DOC)
+
+
+@query(f"WITH {TOCS} SELECT doc_id, coalesce(max(level) FILTER (n >= 10), max(level)) AS depth FROM (SELECT doc_id, level, count(*) AS n FROM tocs GROUP BY ALL) GROUP BY doc_id")
+def q_tocs_depth(spark, d):
+    return sections.toc_depth(A.tocs(spark, d), by=BY_DOC)
+
+
+@query(f"WITH {TOCS_BOUNDS} SELECT * FROM bd")
+def q_tocs_bounds(spark, d):
+    return sections.toc_bounds(A.tocs(spark, d), by=BY_DOC)
+
+
+@query(f"WITH {TOCS_SECTIONS} SELECT doc_id, ord, level, title, substring({SLUG.format('title')}, 1, 40) AS section_id, page_start, page_end, end_marker FROM sx")
+def q_tocs_sections(spark, d):
+    """Sections of many documents at once, each up to its own next entry or last page."""
+    return tocs_sections(spark, d)
+
+
+@query(f"WITH {TOCS_SECTIONS}, {TOCS_PAGES} SELECT doc_id, ord, sx.title, page_no, text FROM sx JOIN pt USING (doc_id) WHERE page_no >= page_start AND page_no < greatest(page_end, page_start + 1)")
+def q_tocs_page_ranges(spark, d):
+    bounds = tocs_sections(spark, d).select("doc_id", "ord", "title", F.col("page_start").alias("page"), F.col("page_end").alias("behind"))
+    return sections.page_ranges(bounds, A.tocs_pages(spark, d), BY_DOC)
+
+
+@query(
+    f"""WITH {TOCS_SECTIONS}, {TOCS_PAGES}, ch AS (SELECT doc_id, ord, sx.title, trim(string_agg(text, chr(10) || chr(10) ORDER BY page_no)) AS chunk FROM sx JOIN pt USING (doc_id)
+WHERE page_no >= page_start AND page_no < greatest(page_end, page_start + 1) GROUP BY doc_id, ord, sx.title) SELECT * FROM ch WHERE length(chunk) > 80"""
+)
+def q_tocs_page_sections(spark, d):
+    bounds = tocs_sections(spark, d).select("doc_id", "ord", "title", F.col("page_start").alias("page"), F.col("page_end").alias("behind"))
+    return sections.page_sections(bounds, A.tocs_pages(spark, d), by=BY_DOC)
+
+
+def tocs_wanted(spark, d):
+    """Two queries a document: the number of its first entry, which other entries hold too, and one that none has."""
+    first = A.tocs(spark, d).groupBy("doc_id").agg(F.min("ord").alias("o"))
+    return first.select("doc_id", F.explode(F.array(F.concat(F.lit("ORDER-"), F.col("o").cast("string")), F.lit("nowhere"))).alias("query"))
+
+
+TOCS_MEANT = f"""{TOCS_BOUNDS}, fi AS (SELECT doc_id, min(ord) AS o FROM tocs GROUP BY doc_id), wa AS (SELECT doc_id, 'ORDER-' || o AS query FROM fi UNION ALL SELECT doc_id, 'nowhere' FROM fi),
+wk AS (SELECT *, regexp_replace(lower(query), '[^a-z0-9]', '', 'g') AS qk FROM wa), mk AS (SELECT wk.doc_id, query, qk, ord, level, title, page, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS key FROM wk JOIN tocs USING (doc_id)),
+me AS (SELECT * FROM mk WHERE contains(key, qk) QUALIFY row_number() OVER (PARTITION BY doc_id, query ORDER BY key = qk DESC, length(qk) / greatest(length(key), 1) DESC, ord) = 1)"""
+
+
+@query(f"WITH {TOCS_MEANT} SELECT doc_id, query, ord, level, title, page FROM me")
+def q_tocs_meant(spark, d):
+    """The entry that each query means in its document, in one job."""
+    return sections.toc_meant(A.tocs(spark, d), tocs_wanted(spark, d))
+
+
+@query(
+    f"""WITH {TOCS_MEANT}, {TOCS_PAGES}, jp AS (SELECT me.doc_id, query, me.title, me.page, min(page_no) AS a, max(page_no) AS b, string_agg(text, chr(10) || chr(10) ORDER BY page_no) AS t
+FROM me JOIN bd USING (doc_id, ord) JOIN pt ON pt.doc_id = me.doc_id AND page_no >= me.page AND page_no < greatest(behind, me.page + 1) GROUP BY me.doc_id, query, me.title, me.page)
+SELECT wa.doc_id, wa.query, coalesce('[Jumped to page ' || page || ' — matched ''' || title || ''' (pages ' || a || '-' || b || ')]' || chr(10) || chr(10) || t,
+'[Search term ''' || wa.query || ''' not found in TOC index of ' || wa.doc_id || '. Try without search, or use a different term.]') AS text FROM wa LEFT JOIN jp ON jp.doc_id = wa.doc_id AND jp.query = wa.query"""
+)
+def q_tocs_jumps(spark, d):
+    """The pages of the sections that many queries mean in their documents."""
+    return pages.jump_texts(A.tocs(spark, d), A.tocs_pages(spark, d), tocs_wanted(spark, d))
+
+
 @query(f"WITH {TOC} SELECT coalesce(max(level) FILTER (n >= 10), max(level)) AS depth FROM (SELECT level, count(*) AS n FROM toc GROUP BY level)")
 def q_toc_depth(spark, d):
     return sections.toc_depth(A.toc(spark, d))
@@ -592,10 +699,28 @@ def q_toc_sections(spark, d):
 SLICE = ("the", "with")
 
 
+RAW = f"SELECT *, {NORM.format('text')} AS norm, list_transform(regexp_extract_all(text, '\\s+'), lambda g: length(g)) AS gaps, CASE WHEN regexp_matches(text, '^\\s') THEN 1 ELSE 0 END AS lead_gap FROM documents"
+
+
+def raw_cut(start: str, stop: str) -> str:
+    """The part of ``text`` that ``norm`` has from ``start`` to before ``stop`` (from 0), without outer blanks.
+
+    The blanks before a place, and the gaps that they stand for, give its place in the text.
+    """
+
+    def place(p: str) -> str:
+        blanks = f"(length(substring(norm, 1, {p})) - length(replace(substring(norm, 1, {p}), ' ', '')))"
+        return f"({p} - {blanks} + coalesce(list_sum(gaps[1:{blanks} + lead_gap]), 0))"
+
+    a = f"({start} + CASE WHEN substring(norm, {start} + 1, 1) = ' ' THEN 1 ELSE 0 END)"
+    b = f"({stop} - CASE WHEN substring(norm, {stop}, 1) = ' ' THEN 1 ELSE 0 END)"
+    return f"CASE WHEN {b} > {a} THEN substring(text, CAST({place(a)} + 1 AS BIGINT), CAST({place(f'({b} - 1)')} + 1 - {place(a)} AS BIGINT)) ELSE '' END"
+
+
 @query(
-    f"""WITH t AS (SELECT doc_id, {NORM.format('text')} AS norm FROM documents), a AS (SELECT *, CAST(instr(norm, 'the') - 1 AS INTEGER) AS place FROM t WHERE contains(norm, 'the')),
-b AS (SELECT *, instr(substring(norm, place + 4), 'with') - 1 AS stop FROM a), c AS (SELECT doc_id, place, trim(CASE WHEN stop >= 0 THEN substring(norm, place + 1, stop + 3) ELSE substring(norm, place + 1) END) AS chunk FROM b)
-SELECT * FROM c WHERE length(chunk) > 80"""
+    f"""WITH t AS ({RAW}), a AS (SELECT *, CAST(instr(norm, 'the') - 1 AS INTEGER) AS place FROM t WHERE contains(norm, 'the')),
+b AS (SELECT *, CASE WHEN contains(substring(norm, place + 4), 'with') THEN place + 2 + instr(substring(norm, place + 4), 'with') ELSE length(norm) END AS stop FROM a),
+c AS (SELECT doc_id, place, {raw_cut('place', 'stop')} AS chunk FROM b) SELECT * FROM c WHERE length(chunk) > 80"""
 )
 def q_marker_slices(spark, d):
     return sections.marker_slices(A.read(spark, d, "documents"), *SLICE)
@@ -660,13 +785,15 @@ def q_toc_sidecar(spark, d):
 @query(
     """WITH w AS (SELECT DISTINCT 'Raw/Sources/' || source AS name, source AS stem FROM documents UNION ALL SELECT DISTINCT '[' || source || '.md]', source FROM documents),
 f AS (SELECT DISTINCT stem, CASE WHEN ends_with(stem, '1') THEN ['.pdf', '.md'] WHEN ends_with(stem, '2') THEN ['.txt'] ELSE ['.md'] END AS e FROM w)
-SELECT name, 'raw/sources/' || stem || CASE WHEN ends_with(name, '.md]') THEN '.md' ELSE e[1] END AS path FROM w JOIN f USING (stem) WHERE NOT ends_with(name, '.md]') OR list_contains(e, '.md')"""
+SELECT name, CASE WHEN ends_with(stem, '3') THEN 'raw/cache/' ELSE 'raw/sources/' END || stem || CASE WHEN ends_with(name, '.md]') THEN '.md' ELSE e[1] END AS path FROM w JOIN f USING (stem)
+WHERE (NOT ends_with(name, '.md]') OR list_contains(e, '.md')) AND NOT ends_with(stem, '4')"""
 )
 def q_raw_paths(spark, d):
     s = A.read(spark, d, "documents").select("source").distinct()
     wanted = s.select(F.concat(F.lit("Raw/Sources/"), "source").alias("name")).union(s.select(F.concat(F.lit("["), "source", F.lit(".md]"))))
     ends = F.when(F.endswith("source", F.lit("1")), F.array(F.lit(".pdf"), F.lit(".md"))).when(F.endswith("source", F.lit("2")), F.array(F.lit(".txt"))).otherwise(F.array(F.lit(".md")))
-    files = s.select(F.explode(F.transform(ends, lambda e: F.concat(F.lit("raw/sources/"), "source", e))).alias("path"))
+    folder = F.when(F.col("source").rlike("[34]$"), "raw/cache/").otherwise("raw/sources/")  # some are in the cache only, and of these some are empty
+    files = s.select(F.explode(F.transform(ends, lambda e: F.concat(folder, "source", e))).alias("path"), F.when(F.endswith("source", F.lit("4")), 0).otherwise(9).alias("size"))
     return pages.raw_paths(wanted, files)
 
 
@@ -803,10 +930,11 @@ pk AS (SELECT source_id, ord, k, 0 AS batch, size AS total FROM nu WHERE k = 1 U
 
 
 @query(
-    f"""WITH RECURSIVE t AS (SELECT doc_id, {NORM.format('text')} AS norm FROM documents), x AS (SELECT doc_id, norm, unnest(range(0, length(norm), {STRIDE})) AS spot FROM t),
+    f"""WITH RECURSIVE t AS ({RAW}), x AS (SELECT doc_id, norm, unnest(range(0, length(norm), {STRIDE})) AS spot FROM t),
 m AS (SELECT doc_id, norm, spot, spot // {STRIDE} + 1 AS ord, trim(substring(norm, spot + 1, 40)) AS a, length(substring(norm, spot + 1, 40)) AS la, CASE WHEN spot + {STRIDE} < length(norm) THEN trim(substring(norm, spot + {STRIDE + 1}, 40)) END AS b FROM x),
 p AS (SELECT *, instr(norm, a) - 1 AS place FROM m WHERE a <> ''), e AS (SELECT *, CASE WHEN b <> '' THEN instr(substring(norm, place + la + 1), b) END AS stop FROM p),
-ch AS (SELECT doc_id AS source_id, CAST(ord AS INTEGER) AS ord, trim(CASE WHEN stop > 0 THEN substring(norm, place + 1, la + stop - 1) ELSE substring(norm, place + 1) END) AS chunk FROM e),
+f AS (SELECT t.*, ord, place, CASE WHEN stop > 0 THEN place + la + stop - 1 ELSE length(t.norm) END AS behind FROM e JOIN t USING (doc_id)),
+ch AS (SELECT doc_id AS source_id, CAST(ord AS INTEGER) AS ord, {raw_cut('place', 'behind')} AS chunk FROM f),
 ok AS (SELECT * FROM ch WHERE length(chunk) > 80), {packed_sql('ok', 2000)}
 SELECT pk.source_id, CAST(batch AS INTEGER) AS batch, CAST(count(*) AS INTEGER) AS chunks, string_agg('### Section: Part ' || pk.ord || chr(10) || chunk, chr(10) || chr(10) ORDER BY pk.ord) AS rendered FROM pk JOIN ok ON ok.source_id = pk.source_id AND ok.ord = pk.ord GROUP BY pk.source_id, batch"""
 )
@@ -872,4 +1000,4 @@ def q_ingest_flow(spark, d):
     """All steps from documents to notes; a third of the documents have headings. Batches are small, so that documents have several notes to consolidate."""
     headed = F.concat(F.lit("1 Intro\n"), "text", F.lit("\n2.1 Scope\n"), "text", F.lit("\nIV. Annex\n"), "text")
     docs = A.read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 1, headed).otherwise(F.col("text")).alias("text"))
-    return flow.ingested(docs, TODAY, 5_000, 2).drop("links", "sections").withColumn("keywords", F.array_join("keywords", "|")).withColumn("sources", F.array_join("sources", "|"))
+    return flow.ingested(docs, TODAY, 5_000, 2).notes.drop("links", "sections", "same_path").withColumn("keywords", F.array_join("keywords", "|")).withColumn("sources", F.array_join("sources", "|"))

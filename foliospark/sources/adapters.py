@@ -98,6 +98,20 @@ def page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.when(F.col("page_id") % 2 == 0, path).otherwise(F.concat("name", F.lit(".md"))).alias("path"), F.col("name").alias("title"), content.alias("content"), "links", none.alias("backlinks"))
 
 
+def linked_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as notes of all columns, with the links that their hrefs are: what a catalog with backlinks is made of."""
+    p = page_links(spark, sf_dir)
+    kinds = F.array(*(F.lit(k) for k in C.FOLDERS))
+    kind = F.element_at(kinds, (F.col("page_id") % 4 + 1).cast("int"))
+    folder = F.element_at(F.array(*(F.lit(f) for f in C.FOLDERS.values())), (F.col("page_id") % 4 + 1).cast("int"))
+    path = F.concat(folder, F.lit("/page-"), F.col("page_id").cast("string"), F.lit(".md"))
+    content = F.array_join(F.transform("links", lambda x: F.concat(F.lit("[["), x, F.lit("]]"))), " ")
+    return p.select(
+        path.alias("path"), F.col("name").alias("title"), kind.alias("type"), F.concat(F.lit("About "), "name").alias("summary"), F.array(F.lit("pages")).alias("sources"),
+        F.slice("links", 1, 5).alias("keywords"), "links", F.array().cast("array<string>").alias("sections"), F.lit(TODAY).alias("last_updated"), content.alias("content"),
+    )
+
+
 def toc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_no and text of the pages that the table of contents is about: the names of their customers."""
     low = toc(spark, sf_dir).where("level = 3")
@@ -105,6 +119,21 @@ def toc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return low.groupBy(F.col("page").alias("page_no")).agg(F.array_join(names, " ").alias("text"))
 
 
+def tocs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ord, level, title, page of the tables of contents of forty documents: orders on the levels of their priorities. The first one has a third of all."""
+    o = read(spark, sf_dir, "orders")
+    doc = F.when(F.col("o_orderkey") % 3 == 0, F.lit(0)).otherwise(1 + F.col("o_custkey") % 39)
+    level = F.substring("o_orderpriority", 1, 1).cast("int")
+    title = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))
+    return o.select(doc.cast("int").alias("doc_id"), F.col("o_orderkey").cast("int").alias("ord"), level.alias("level"), title.alias("title"), (1 + F.floor(F.col("o_orderkey") / 12)).cast("int").alias("page"))
+
+
+def tocs_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page_no, text of the pages that those tables of contents are about: the titles on them."""
+    got = tocs(spark, sf_dir).groupBy("doc_id", F.col("page").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("t"))
+    return got.select("doc_id", "page_no", F.array_join(F.transform("t", lambda x: x["title"]), " ").alias("text"))
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as agent transcripts: user turns are calls, the next turn is the result."""
     c = read(spark, sf_dir, "conversations")

@@ -78,8 +78,13 @@ def write_files(rows: DataFrame, root: str, overwrite: bool = True) -> DataFrame
     """Write each row's ``content`` to ``root``/``path``, one file a row, in the tasks that hold the rows.
 
     A file appears whole, by a rename, so a task that runs again does no harm. Without
-    ``overwrite`` files that are there stay. Returns path and created, one row a file.
+    ``overwrite`` files that are there stay; which are is listed before the first is written, so a
+    task that runs again gives the same rows. Returns path and created, one row a file.
     """
+    there = F.lit(False)
+    if not overwrite:
+        old = listed(rows.sparkSession, root).withColumn("there", F.lit(True))
+        rows, there = rows.join(old, "path", "left"), F.col("there").isNotNull()
 
     def work(batches):
         import uuid
@@ -88,21 +93,33 @@ def write_files(rows: DataFrame, root: str, overwrite: bool = True) -> DataFrame
 
         store, base = fs.FileSystem.from_uri(root)
         for batch in batches:
-            created = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content, there in zip(batch["path"], batch["content"], batch["there"], strict=True):
                 at = f"{base}/{path}"
-                there = store.get_file_info(at).type != fs.FileType.NotFound
-                created.append(not there)
-                if there and not overwrite:
+                if there:
                     continue
                 store.create_dir(at.rsplit("/", 1)[0], recursive=True)
                 part = f"{at}.{uuid.uuid4().hex}.part"
                 with store.open_output_stream(part) as out:
                     out.write((content or "").encode())
                 store.move(part, at)
-            yield pd.DataFrame({"path": batch["path"], "created": created})
+            yield pd.DataFrame({"path": batch["path"], "created": ~batch["there"]})
 
-    return rows.select("path", "content").mapInPandas(work, "path string, created boolean")
+    return rows.select("path", "content", there.alias("there")).mapInPandas(work, "path string, created boolean")
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path (below ``root``) of each note file that is there now; names are listed, contents are not read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "path string")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
+    below = len(at.toUri().getPath().rstrip("/")) + 2
+    return rows.select(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", "").alias("path")).select(F.expr(f"substring(path, {below})").alias("path"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Write the column ``line`` of a sorted frame as text below ``path``: the parts by name are the page, each written by the task that sorted it."""
+    lines.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
 def write_notes(rendered: DataFrame, root: str) -> tuple[int, int]:
@@ -110,7 +127,6 @@ def write_notes(rendered: DataFrame, root: str) -> tuple[int, int]:
 
     Returns how many were created and how many were there already and stay as they are.
     """
-    one = rendered.groupBy("path").agg(F.min("markdown").alias("content"), F.count("*").alias("n"))
-    done = write_files(one, root, overwrite=False)
-    created, total = done.agg(F.count_if("created"), F.count("*")).first()
-    return created, rendered.count() - created
+    one = rendered.groupBy("path").agg(F.min("markdown").alias("content"))
+    created = write_files(one, root, overwrite=False).agg(F.count_if("created")).first()[0]
+    return created, rendered.select("path").count() - created

@@ -10,8 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder: the checkpoint folder if the session names one, else the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The shared folder: the checkpoint folder if the session names one, else the warehouse of a local session; a cluster must name it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir")
     return f"{found.rstrip('/')}/foliospark"
 
 
@@ -30,23 +35,42 @@ def delete(spark: SparkSession, path: str) -> None:
     store.delete(at, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders right below ``path`` in the order of their names; none where there is no such folder."""
+    store, at = status(spark, path)
+    if not store.exists(at):
+        return []
+    return sorted(f.getPath().toString() for f in store.listStatus(at) if f.isDirectory())
+
+
 def version(spark: SparkSession, path: str) -> str:
-    """Changes when the file or folder at ``path`` does."""
+    """Changes when the file at ``path``, or any file below that folder, does: names, times and lengths of all."""
     store, at = status(spark, path)
-    found, summary = store.getFileStatus(at), store.getContentSummary(at)
-    return f"{found.getModificationTime()}:{summary.getLength()}:{summary.getFileCount()}"
+    found, files = sha256(), []
+    listed = store.listFiles(at, True)
+    while listed.hasNext():
+        f = listed.next()
+        files.append(f"{f.getPath()}:{f.getModificationTime()}:{f.getLen()}")
+    for line in sorted(files):
+        found.update(line.encode() + b"\n")
+    return found.hexdigest()
 
 
 def kept(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> str:
     """Path of the table ``name`` over ``inputs``; it is built where it is not there for their present state.
 
-    A table is complete when its ``_SUCCESS`` file is there, so a build that was cut off is made again.
+    Each build has a folder of its own and counts when its ``_SUCCESS`` file is there, so one that was
+    cut off is made again, and two sessions that build at once do not meet.
     """
     key = sha256("\n".join(f"{p}={version(spark, p)}" for p in inputs).encode()).hexdigest()[:24]
     path = f"{root(spark)}/{name}-{key}"
-    if not exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return path
+
+    def built() -> list[str]:
+        return [f for f in folders(spark, path) if exists(spark, f"{f}/_SUCCESS")]
+
+    if not built():
+        build().write.parquet(f"{path}/build-{uuid.uuid4().hex}")
+    return built()[0]
 
 
 #: Paths of the tables that queries have written for themselves.

@@ -154,23 +154,29 @@ def test_clusters_by_leader(spark):
     assert got["concept", "green nut"] == "green nut" and got["entity", "red widget"] == "red widget"
 
 
-def test_clusters_are_those_of_the_loop(spark):
-    """Against the plain loop over part names in note order, metrics and kept notes too."""
+@pytest.mark.parametrize(("front", "part"), [(512, 4096), (5, 7)])
+def test_clusters_are_those_of_the_loop(spark, monkeypatch, front, part):
+    """Against the plain loop over part names in note order, metrics and kept notes too; with small fronts there are many rounds."""
     from difflib import SequenceMatcher
 
-    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").orderBy("p_partkey").collect()
-    n = spark.createDataFrame([(f"size{r.p_size % 7}", "concept", r.p_name, r.p_partkey) for r in parts], "source string, type string, title string, ord long")
-    plain = {}
-    for source in {f"size{r.p_size % 7}" for r in parts}:
-        titles = list(dict.fromkeys(r.p_name for r in parts if f"size{r.p_size % 7}" == source))
-        seeds: list[str] = []
-        for t in titles:
-            seed = next((s for s in seeds if SequenceMatcher(None, s.lower(), t.lower()).ratio() > 0.65), t)
-            seeds += [t] if seed == t else []
-            plain[source, t] = seed
+    monkeypatch.setattr(consolidate, "FRONT", front)
+    monkeypatch.setattr(consolidate, "PART", part)
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").orderBy("p_partkey").limit(200).collect()
+    source = lambda r: "hot" if r.p_partkey % 3 else f"size{r.p_size % 7}"
+    named = [(source(r), "concept", f"{r.p_name} {r.p_type}".title()[: 10 + r.p_partkey % 20], r.p_partkey) for r in parts]
+    named += [("odd", "concept", t, i) for i, t in enumerate(["", "", "İstanbul", "istanbul", "i", None, "x" * 300 + "y", "x" * 290])] + [("few", "t", "same", 1), ("few", "t", "same", 2), (None, "t", "a", 1)]
+    n = spark.createDataFrame(named, "source string, type string, title string, ord long")
+    plain, count = {}, {}
+    for s, k, t, o in sorted((r for r in named if r[0] and r[2] is not None), key=lambda r: (r[3], r[2])):
+        count[s, t] = count.get((s, t), 0) + 1
+        if (s, t) in plain:
+            continue
+        seeds = [x for (a, x), y in plain.items() if a == s and x == y]
+        few = sum(1 for r in named if r[0] == s and r[2] is not None) < 5
+        plain[s, t] = next((x for x in seeds if not few and SequenceMatcher(None, x.lower(), t.lower()).ratio() > 0.65), t)
     found = consolidate.clusters(n)
-    assert {(r.source, r.title): r.seed for r in found.collect()} == plain
-    sizes = sorted((sum(1 for k, v in plain.items() if k[0] == s and v == t), t, s) for s, t in plain if plain[s, t] == t)
+    assert {(r.source, r.title): (r.seed, r.n) for r in found.collect()} == {k: (v, count[k]) for k, v in plain.items()}
+    sizes = sorted((sum(count[k] for k, v in plain.items() if k[0] == s and v == t), t, s) for s, t in plain if plain[s, t] == t)
     rows = consolidate.metrics(found).collect()
     assert sorted((r["size"], r.seed, r.source) for r in rows) == sizes and all(r.removed == r["size"] - 1 for r in rows)
     assert [r["size"] for r in rows] == sorted((r["size"] for r in rows), reverse=True)
@@ -364,48 +370,65 @@ def test_packing_in_blocks_is_the_loop(spark, seed, monkeypatch):
     assert got == plain
 
 
-def test_flow_is_its_steps_by_hand(spark, tmp_path):
-    """Documents to notes against a plain version of the flow, and the notes to files and a catalog."""
+def flow_by_hand(docs, batch_chars, least, sectionizer=None):
+    """Documents to notes, one after the other, over the texts as they stand: (doc_id, title, members, summary, keywords, content), and the ids without a note."""
     import re
     from difflib import SequenceMatcher
 
-    from foliospark.plans import flow
-
     norm = lambda t: re.sub(r"\s+", " ", t).strip(" ").lower()
-    body = "alpha beta gamma delta. " * 300
-    docs = [(1, "short text of one note"), (2, "1 Intro\n" + body + "\n2.1 Scope\n" + body[::-1] + "\nIV. Annex\n" + "end words here " * 20), (3, "".join(f"part {i} of the long one. " for i in range(800))), (4, "")]
+
+    def cut(text, start, stop):
+        """Place by place: the parts of the text whose collapsed characters are from start to before stop."""
+        at, blank = [], True
+        for i, c in enumerate(text):
+            if c in " \t\n\r\f\v":
+                if not blank:
+                    at.append(i)
+                blank = True
+            else:
+                at.append(i)
+                blank = False
+        return text[at[start] : at[min(stop, len(at)) - 1] + 1].strip()
 
     def chunks(text):
         heads = [x.strip() for x in text.split("\n") if re.match(r"^(\d+(\.\d+)*\s+[A-Z].+|[IVX]+\.\s+[A-Z].+)$", x.strip())]
         if len(text) < 12_000:
-            return [("", text)]
-        starts = [text[i : i + 60] for i in range(0, len(text), 4000)]
-        lines = [[x.strip() for x in a.split("\n") if x.strip()] for a in starts]
-        titles = [x[1] if len(x) > 1 else x[0] for x in lines]
-        marks = [(h, h, n) for h, n in zip(heads, [*heads[1:], None])] if len(heads) >= 3 else [*zip(titles, starts, [*starts[1:], None])]
+            return []
+        if len(heads) >= 3:
+            marks = [(h, h, n) for h, n in zip(heads, [*heads[1:], None])]
+        else:
+            try:
+                found = sectionizer(text)
+            except Exception:
+                return []
+            lines = [[x.strip() for x in m[2].split("\n") if x.strip()] for m in found]
+            marks = [(x[1] if len(x) > 1 else x[0], m[2], m[3] if m[3] != "END_OF_DOC" else None) for m, x in zip(found, lines)]
         out = []
         for title, a, b in marks:
             at = norm(text).find(norm(a))
             stop = norm(text).find(norm(b), at + len(a)) if b else -1
-            out.append((title, norm(text)[at : stop if stop >= 0 else None].strip(" ")))
+            part = cut(text, at, stop if stop >= 0 else len(text)) if at >= 0 else ""
+            if len(part) > 80:
+                out.append((title, part))
         return out
 
-    plain = []
+    plain, without = [], []
     for doc_id, text in docs:
-        batches, size = [], 0
-        for title, chunk in chunks(text):
-            if len(chunk.strip(" ")) <= 80:
-                continue
-            if batches and size + len(chunk) <= 5000:
+        parts, batches, size = chunks(text or ""), [], 0
+        for title, chunk in parts:
+            if batches and size + len(chunk) <= batch_chars:
                 batches[-1].append((title, chunk))
                 size += len(chunk)
             else:
                 batches.append([(title, chunk)])
                 size = len(chunk)
-        notes = [ingest.extractive("\n\n".join(f"### Section: {t or f'Document {doc_id}'}\n{c}" for t, c in b)) for b in batches]
+        said = ["\n\n".join(f"### Section: {t}\n{c}" for t, c in b) for b in batches] or [text or ""]
+        notes = [ingest.extractive(x) for x in said if x.split()]
+        if not notes:
+            without.append(str(doc_id))
         seeds: list = []
         for n in notes:
-            seed = next((s for s in seeds if len(notes) >= 2 and SequenceMatcher(None, s[0][0].lower(), n[0].lower()).ratio() > 0.65), None)
+            seed = next((s for s in seeds if len(notes) >= least and SequenceMatcher(None, s[0][0].lower(), n[0].lower()).ratio() > 0.65), None)
             if seed:
                 seed.append(n)
             else:
@@ -414,12 +437,171 @@ def test_flow_is_its_steps_by_hand(spark, tmp_path):
             title, kind, summary, keywords, content = s[0]
             keywords = list(dict.fromkeys(k for n in s for k in n[3]))[:6] if len(s) > 1 else keywords
             plain.append((str(doc_id), title, len(s), summary, keywords, "\n\n".join(dict.fromkeys(n[4] for n in s))))
-    found = flow.ingested(spark.createDataFrame(docs, "doc_id long, text string"), "2024-01-31", 5000, 2)
-    got = sorted((r.source, r.title, r.members, r.summary, r.keywords, r.content) for r in found.collect())
-    assert got == sorted(plain) and any(r[2] > 1 for r in got) and len({r[0] for r in got}) == 2
+    return sorted(plain), without
+
+
+BODY = "Alpha  beta\tGAMMA delta.\n" * 300
+FLOW_DOCS = [
+    (1, "Short  Text\nof one note"), (2, "1 Intro\n" + BODY + "\n2.1 Scope\n" + BODY[::-1] + "\nIV. Annex\n" + "End Words\nHERE " * 20), (3, "".join(f"Part {i} of\nthe LONG one.  " for i in range(800))),
+    (4, ""), (5, None), (6, "FAIL " + "".join(f"word{i} " for i in range(3000))), (7, "NOTHING " + "".join(f"Item{i}\n" for i in range(3000))), (8, "tiny"),
+]
+
+
+@pytest.fixture
+def moody():
+    """A sectionizer that fails on one document and finds only what is not there in another."""
+
+    def cut(text):
+        if text.startswith("FAIL"):
+            raise ValueError("no sections today")
+        if text.startswith("NOTHING"):
+            return [("", "", "qqzz", "zzqq")]
+        return sections.by_stride(text)
+
+    return cut
+
+
+def test_flow_is_its_steps_by_hand(spark, tmp_path, moody):
+    """Every document has its notes, cut from the text as it stands, or a pending row; the notes go to files and a catalog."""
+    from foliospark.plans import flow
+
+    docs = spark.createDataFrame(FLOW_DOCS, "doc_id long, text string")
+    plain, without = flow_by_hand(FLOW_DOCS, 5000, 2, moody)
+    found = flow.ingested(docs, "2024-01-31", 5000, 2, sectionizer=moody)
+    got = sorted((r.source, r.title, r.members, r.summary, r.keywords, r.content) for r in found.notes.collect())
+    assert got == plain and any(r[2] > 1 for r in got)
+    pending = {r.source: r.error for r in found.pending.collect()}
+    assert sorted(pending) == without == ["4", "5"] and all(pending.values())
+    assert {r[0] for r in got} | set(pending) == {str(d) for d, _ in FLOW_DOCS}
+    assert "Short  Text\nof one note" in {r[5] for r in got}
+    why = {r.source_id: r.why for r in flow.chunks(docs, moody).where("ord = -1").collect()}
+    assert why == {1: "short", 4: "short", 5: "short", 6: "sectionizer failed: no sections today", 7: "no section found", 8: "short"}
     root = f"file://{tmp_path}"
-    assert files.write_notes(catalog.render(found, "2024-01-31"), root) == (len(plain), 0)
-    assert catalog.entries(found).count() == len(plain)
+    assert files.write_notes(catalog.render(found.notes, "2024-01-31"), root) == (len(plain), 0)
+    assert catalog.entries(found.notes).count() == len(plain)
+
+
+def test_flow_takes_tables_of_contents(spark, moody):
+    """Two long documents with tables of contents are cut at their own pages."""
+    from foliospark.plans import flow
+
+    pages = [(d, p, f"Doc {d} Page {p}. " + f"Text{d}x{p} " * 150) for d in (1, 2) for p in range(1, 8)]
+    docs = [(d, "\n\n".join(t for e, _, t in pages if e == d)) for d in (1, 2)]
+    toc = [(1, 0, 1, "One", 1), (1, 1, 1, "Two", 4), (2, 0, 1, "Uno", 2), (2, 1, 2, "Inner", 2), (2, 2, 1, "Due", 6), (2, 3, 1, "Tre", 7)]
+    parts = flow.chunks(
+        spark.createDataFrame([(d, t + " " * 8000) for d, t in docs], "doc_id long, text string"), moody,
+        spark.createDataFrame(toc, "doc_id long, ord int, level int, title string, page int"), spark.createDataFrame(pages, "doc_id long, page_no int, text string"),
+    )
+    text = lambda d, a, b: "\n\n".join(t for e, p, t in pages if e == d and a <= p < b).strip()
+    assert sorted((r.source_id, r.title, r.text) for r in parts.collect()) == sorted(
+        [(1, "One", text(1, 1, 4)), (1, "Two", text(1, 4, 8)), (2, "Uno", text(2, 2, 6)), (2, "Due", text(2, 6, 7)), (2, "Tre", text(2, 7, 8))]
+    )
+
+
+def test_flow_goes_on_where_it_stopped(spark, tmp_path):
+    """Batches with a note are not extracted again, failed and changed ones are; nothing is written twice."""
+    from foliospark.plans import flow
+
+    root = f"file://{tmp_path}/wiki"
+    mark = tmp_path / "calls"
+    mark.mkdir()
+
+    def extractor(text):
+        import uuid
+
+        (mark / uuid.uuid4().hex).write_text(text[:8])
+        if "tiny" in text and not (mark / "well").exists():
+            raise ValueError("not now")
+        return ingest.extractive(text)
+
+    calls = lambda: sorted(p.read_text() for p in mark.iterdir() if p.name != "well")
+    docs = [(1, "first text"), (2, "second text"), (8, "tiny")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first = flow.resumed(frame(docs), root, "2024-01-31", stamp=1, extractor=extractor)
+    assert sorted(r.source for r in first.notes.collect()) == ["1", "2"] and [r.source for r in first.pending.collect()] == ["8"]
+    assert calls() == ["first te", "second t", "tiny"]
+    (mark / "well").write_text("")
+    docs[1] = (2, "second text, other words")
+    again = flow.resumed(frame(docs), root, "2024-01-31", stamp=2, extractor=extractor)
+    assert calls() == ["first te", "second t", "second t", "tiny", "tiny"]
+    assert sorted((r.source, r.content) for r in again.notes.collect()) == [("1", "first text"), ("2", "second text, other words"), ("8", "tiny")] and again.pending.count() == 0
+    flow.resumed(frame(docs), root, "2024-01-31", stamp=3, extractor=extractor)
+    assert len(calls()) == 5 and catalog.load(spark, f"{root}/.catalog").count() == 3
+    assert {r.path for r in files.listed(spark, root).collect()} == {"concepts/first-text.md", "concepts/second-text.md", "concepts/second-text--other-words.md", "concepts/tiny.md"}
+
+
+def test_offset_map(spark):
+    """Every part that a collapsed text has is the collapsed form of the raw part."""
+    import random
+    import re
+
+    from foliospark.functions import offsets
+
+    rng = random.Random(4)
+    norm = lambda t: re.sub(r"[ \t\n\v\f\r]+", " ", t).strip(" ").lower()
+    for _ in range(300):
+        text = "".join(rng.choice(["A", "b", "É", "İ", " ", "  ", "\n", "\t ", "Zz", "\u00a0", "汉"]) for _ in range(rng.randrange(30)))
+        at, flat = offsets.offset_map(text), norm(text)
+        assert len(at) == len(flat)
+        for start in range(len(flat)):
+            stop = rng.randrange(start, len(flat) + 1)
+            if "İ" not in text:
+                assert norm(offsets.raw_part(text, at, start, stop)) == flat[start:stop].strip(" ")
+    rows = spark.createDataFrame([(1, "Say  Hello\nWorld ABC and  More"), (2, None)], "doc_id long, text string")
+    assert [tuple(r) for r in sections.marker_slices(rows, "hello", "and", 3).collect()] == [(1, 4, "Hello\nWorld ABC")]
+
+
+def test_catalogs_of_two_sizes_do_not_meet(spark):
+    from foliospark.plans import registry
+
+    small = registry.QUERIES["q_catalog_build"](spark, "/root/testdata/sf0.001")
+    other = registry.QUERIES["q_catalog_build"](spark, "/root/testdata/sf0.01")
+    assert small.count() < other.count() and small.count() > 0
+
+
+def test_catalog_versions(spark, tmp_path):
+    """Readers keep the version that they have; one that is cut off does not count; the update is the build."""
+    path = f"file://{tmp_path}/c"
+    none = "array<string>"
+    kind = f"path string, title string, type string, summary string, sources {none}, keywords {none}, links {none}, sections {none}, last_updated string"
+    note = lambda p, t, ls: (p, t, "concept", f"About {t}", ["s"], ["k"], ls, [], "d")
+    frame = lambda rows: spark.createDataFrame(rows, kind)
+    first = [note("a", "A", ["B", "C"]), note("b", "B", ["A"]), note("c", "C", ["A", "C"]), note("d", "B", [])]
+    catalog.save(catalog.entries(frame(first)), path)
+    held = catalog.load(spark, path)
+    then = [note("a", "A", ["C"]), note("b", "B", ["A"]), note("c", "New", ["A", "B"]), note("e", "C", ["New"])]
+    changed = [n for n in then if n not in first]
+    newer = catalog.updated(held, frame(changed), spark.createDataFrame([("d",)], "path string"))
+    catalog.save(newer, path)
+    (tmp_path / "c" / "v00000009-0123456789ab").mkdir()  # a build without its mark
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(catalog.load(spark, path)) == rows(catalog.entries(frame(then)))
+    assert {r.path: r.backlinks for r in catalog.load(spark, path).collect()} == {"a": ["b", "c"], "b": ["c"], "c": ["e"], "e": ["a"]}
+    assert rows(held) == rows(catalog.entries(frame(first)))
+    catalog.save(newer, path)
+    assert len(catalog.versions(spark, path)) == 2
+
+
+def test_small_answers(spark):
+    """Scores go up from half a thousandth, metrics count notes, names lose what the brackets hold, cached files count if they have bytes."""
+    one = spark.createDataFrame([("p", "T", "concept", "s", ["k"], ["x"], 1590850)], "path string, title string, type string, summary string, keywords array<string>, sections array<string>, score_micro long")
+    assert "(score: 1.591)" in search.formatted(one).first().text
+    notes = spark.createDataFrame([("s", "concept", t, k) for k, t in enumerate(["alpha one", "alpha one", "alpha one", "alpha ones", "beta", "alpha one"])], "source string, type string, title string, ord int")
+    found = consolidate.clusters(notes)
+    assert [(r.seed, r.size, r.removed) for r in consolidate.metrics(found).collect()] == [("alpha one", 5, 4), ("beta", 1, 0)]
+    names = spark.createDataFrame([("[[ raw/sources/x ]]",), ("raw//x",), ("/raw/x",), (" [x] ",)], "name string")
+    assert [r[0] for r in names.select(T.raw_name(F.col("name"))).collect()] == ["x", "x", "raw/x", "x"]
+    held = spark.createDataFrame([("raw/cache/x.md", 5), ("raw/cache/x.pdf", 0), ("raw/y.txt", 0)], "path string, size long")
+    wanted = spark.createDataFrame([("x",), ("y",), ("z",)], "name string")
+    assert {r.name: r.path for r in pages.raw_paths(wanted, held).collect()} == {"x": "raw/cache/x.md", "y": "raw/y.txt"}
+
+
+def test_an_index_page_is_written_in_order(spark, tmp_path):
+    n = spark.createDataFrame([(f"concepts/n{i}.md", f"T{i:02d}", "s", ["k"], "d") for i in range(30)], "path string, title string, summary string, keywords array<string>, last_updated string")
+    files.write_lines(catalog.index_lines(n, "2024-01-31"), f"file://{tmp_path}/index")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "index").glob("part-*")))
+    assert text.startswith("# Wiki Knowledge Index\n*Last Index Sync: 2024-01-31*\n\n## Concepts\n| Title |") and text.count("| [[concepts/n") == 30
+    assert text.index("T00") < text.index("T29") < text.index("## Entities")
 
 
 def test_stream_reads_only_new_files(spark, tmp_path):
