@@ -1,4 +1,7 @@
-"""Reading pages: token windows, budgets, focus."""
+"""Reading pages: token windows, budgets, focus.
+
+Operators that count tokens take a ``tokenizer`` (``functions.tokens``); without one tokens are white-space tokens.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import tokens
+from ..functions.tokens import Tokenizer
+from ..sources import store
 
 PAGE_TOKENS, WINDOW, OVERLAP = 4000, 2500, 400
 
@@ -20,8 +26,21 @@ def windows(docs: DataFrame, size: int = WINDOW, overlap: int = OVERLAP) -> Data
     return rows.select("doc_id", "window", "start", F.size(part).alias("n"), F.element_at(part, 1).alias("first"), F.element_at(part, -1).alias("last"))
 
 
-def trimmed(text: Column, limit: int | Column = PAGE_TOKENS) -> Column:
+def token_windows(docs: DataFrame, tokenizer: Tokenizer, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """Overlapping windows of a tokenizer's tokens of each text: doc_id, window, start, n, text."""
+    rows = docs.select("doc_id", F.posexplode(tokens.windows(tokenizer, F.col("text"), size, overlap)).alias("window", "w"))
+    return rows.select("doc_id", "window", "w.*")
+
+
+def counted(text: Column, tokenizer: Tokenizer | None = None) -> Column:
+    """Tokens of a text."""
+    return F.size(T.words(text)) if tokenizer is None else tokens.count(tokenizer, text)
+
+
+def trimmed(text: Column, limit: int | Column = PAGE_TOKENS, tokenizer: Tokenizer | None = None) -> Column:
     """The first ``limit`` tokens of a longer text."""
+    if tokenizer is not None:
+        return tokens.trim(tokenizer, text, F.lit(limit) if isinstance(limit, int) else limit)
     w = T.words(text)
     return F.when(F.size(w) > limit, F.array_join(F.slice(w, 1, F.lit(limit) if isinstance(limit, int) else limit), " ")).otherwise(text)
 
@@ -29,11 +48,13 @@ def trimmed(text: Column, limit: int | Column = PAGE_TOKENS) -> Column:
 TRUNCATED = "\n\n[Truncated \u2014 page exceeds token limit. Use read_page(path, max_tokens=N) to read more.]"
 
 
-def page_text(path: Column, text: Column, limit: int = PAGE_TOKENS, shown: int = 3) -> Column:
+def page_text(path: Column, text: Column, limit: int = PAGE_TOKENS, shown: int = 3, tokenizer: Tokenizer | None = None) -> Column:
     """A page as it is read: whole up to ``limit`` tokens, else its first windows under a head that counts them, cut to ``limit``.
 
     The head's tokens count too, so a cut page ends with a notice.
     """
+    if tokenizer is not None:
+        return tokens.page(tokenizer, path, text, limit, WINDOW, OVERLAP, shown, TRUNCATED)
     w = T.words(text)
     starts = F.sequence(F.lit(0), F.size(w) - 1, F.lit(WINDOW - OVERLAP))
     parts = F.transform(F.slice(starts, 1, shown), lambda at: F.array_join(F.slice(w, at + 1, WINDOW), " "))
@@ -44,12 +65,12 @@ def page_text(path: Column, text: Column, limit: int = PAGE_TOKENS, shown: int =
     return F.when(F.size(w) <= limit, text).otherwise(large)
 
 
-def read_page(notes: DataFrame, wanted: DataFrame, limit: int = PAGE_TOKENS) -> DataFrame:
+def read_page(notes: DataFrame, wanted: DataFrame, limit: int = PAGE_TOKENS, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Content of the wanted paths (with or without ``.md``), or the message that there is no such page."""
     here = notes.select(F.col("path").alias("at"), "content")
     full = F.when(F.endswith("path", F.lit(".md")), F.col("path")).otherwise(F.concat("path", F.lit(".md")))
     rows = wanted.withColumn("at", full).join(here, "at", "left")
-    return rows.select("path", F.coalesce(page_text(F.col("at"), F.col("content"), limit), F.concat(F.lit("[Page not found: "), "path", F.lit("]"))).alias("page"))
+    return rows.select("path", F.coalesce(page_text(F.col("at"), F.col("content"), limit, tokenizer=tokenizer), F.concat(F.lit("[Page not found: "), "path", F.lit("]"))).alias("page"))
 
 
 #: Values of ``ord`` that are summed together where running sums are built in two levels.
@@ -71,24 +92,27 @@ def running_before(rows: DataFrame, source: str, ord_: str, value: str, name: st
     return rows.withColumn("__inside", inside).join(base, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__at"))).withColumn(name, F.col("__base") + F.col("__inside")).drop("__block", "__base", "__inside", "__source", "__at")
 
 
-def within_budget(pages: DataFrame, budget: int) -> DataFrame:
+def within_budget(pages: DataFrame, budget: int, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Pages of each source up to a token budget, the last one cut: source, ord, n, taken."""
-    rows = running_before(pages.select("source", "ord", F.size(T.words(F.col("text"))).alias("n")), "source", "ord", "n", "before").where(F.col("before") < budget)
+    sized = pages.select("source", "ord", counted(F.col("text"), tokenizer).alias("n"))
+    if tokenizer is not None:
+        sized = store.written(sized, "token-counts")  # tokens are counted once for the two levels of the sums
+    rows = running_before(sized, "source", "ord", "n", "before").where(F.col("before") < budget)
     return rows.select("source", "ord", "n", F.least(F.col("n").cast("long"), budget - F.col("before")).alias("taken"))
 
 
 CUT_OFF = "[... PDF truncated \u2014 document is large ...]"
 
 
-def read_raw(pages: DataFrame, budget: int = 3000) -> DataFrame:
+def read_raw(pages: DataFrame, budget: int = 3000, tokenizer: Tokenizer | None = None) -> DataFrame:
     """source and text: each source's pages up to the budget, the last one cut to what is left, with a mark where more follows.
 
     Only the pages within the budget meet in a row.
     """
-    taken = within_budget(pages, budget)
-    size = pages.groupBy("source").agg(F.sum(F.size(T.words(F.col("text")))).alias("all"))
+    taken = within_budget(pages, budget, tokenizer)
+    size = pages.groupBy("source").agg(F.sum(counted(F.col("text"), tokenizer)).alias("all"))
     rows = taken.join(pages.select("source", "ord", "text"), ["source", "ord"]).join(size, "source")
-    part = F.when(F.col("taken") < F.col("n"), trimmed(F.col("text"), F.col("taken").cast("int"))).otherwise(F.col("text"))
+    part = F.when(F.col("taken") < F.col("n"), trimmed(F.col("text"), F.col("taken").cast("int"), tokenizer)).otherwise(F.col("text"))
     got = rows.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ord", part.alias("part")))).alias("parts"), F.first("all").alias("all"))
     texts = F.transform("parts", lambda p: p["part"])
     return got.select("source", F.array_join(F.when(F.col("all") > budget, F.concat(texts, F.array(F.lit(CUT_OFF)))).otherwise(texts), "\n\n").alias("text"))
@@ -116,19 +140,19 @@ def page_jump(toc: DataFrame, pages: DataFrame, query: str, focus: str = "") ->
     return rows.select(place.alias("place"), "hit", "page_no", "text", "title", "page")
 
 
-def jump_text(toc: DataFrame, pages: DataFrame, query: str, focus: str = "", limit: int = 3000, name: str = "") -> DataFrame:
+def jump_text(toc: DataFrame, pages: DataFrame, query: str, focus: str = "", limit: int = 3000, name: str = "", tokenizer: Tokenizer | None = None) -> DataFrame:
     """One row, text: those pages under a head that says where they are, cut to ``limit`` tokens (5,000 at least); or that no entry matches."""
     rows = page_jump(toc, pages, query, focus)
     got = rows.groupBy("title", "page").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("parts"), F.min("page_no").alias("a"), F.max("page_no").alias("b"))
     said = F.lit(f", focus='{focus}'" if focus else "")
     head = F.concat(F.lit("[Jumped to page "), F.col("page").cast("string"), F.lit(" \u2014 matched '"), "title", F.lit("'"), said, F.lit(" (pages "), F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string"), F.lit(")]\n\n"))
     text = F.concat(head, F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n"))
-    found = got.select(trimmed(text, max(limit, 5000)).alias("text"), F.lit(0).alias("origin"))
+    found = got.select(trimmed(text, max(limit, 5000), tokenizer).alias("text"), F.lit(0).alias("origin"))
     missed = toc.sparkSession.range(1).select(F.lit(f"[Search term '{query}' not found in TOC index of {name}. Try without search, or use a different term.]").alias("text"), F.lit(1).alias("origin"))
     return found.union(missed).orderBy("origin").limit(1).select("text")
 
 
-def jump_texts(toc: DataFrame, pages: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ("doc_id",), focus: str = "", limit: int = 3000) -> DataFrame:
+def jump_texts(toc: DataFrame, pages: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ("doc_id",), focus: str = "", limit: int = 3000, tokenizer: Tokenizer | None = None) -> DataFrame:
     """``wanted`` (by, query) with text: the pages of the section that each query means in its document, as ``jump_text`` gives them.
 
     One job for all: only the pages of sections that are asked for are joined, and those of one section meet.
@@ -143,7 +167,7 @@ def jump_texts(toc: DataFrame, pages: DataFrame, wanted: DataFrame, by: tuple[st
     got = rows.groupBy(*by, "query", "title", "page").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "page_no", "text"))).alias("parts"), F.min("page_no").alias("a"), F.max("page_no").alias("b"))
     said = F.lit(f", focus='{focus}'" if focus else "")
     head = F.concat(F.lit("[Jumped to page "), F.col("page").cast("string"), F.lit(" \u2014 matched '"), "title", F.lit("'"), said, F.lit(" (pages "), F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string"), F.lit(")]\n\n"))
-    found = got.select(*by, "query", trimmed(F.concat(head, F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")), max(limit, 5000)).alias("text"))
+    found = got.select(*by, "query", trimmed(F.concat(head, F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")), max(limit, 5000), tokenizer).alias("text"))
     name = F.concat_ws(" ", *(F.col(c).cast("string") for c in by))
     missed = F.concat(F.lit("[Search term '"), "query", F.lit("' not found in TOC index of "), name, F.lit(". Try without search, or use a different term.]"))
     return wanted.distinct().join(found, [*by, "query"], "left").select(*by, "query", F.coalesce("text", missed).alias("text"))
@@ -174,7 +198,7 @@ def raw_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files.select("path"), "path").groupBy("name").agg(F.min_by("path", "priority").alias("path"))
 
 
-def resolved_read(notes: DataFrame, query: str, limit: int = PAGE_TOKENS, catalog: DataFrame | None = None) -> DataFrame:
+def resolved_read(notes: DataFrame, query: str, limit: int = PAGE_TOKENS, catalog: DataFrame | None = None, tokenizer: Tokenizer | None = None) -> DataFrame:
     """One row, text: the page of that path; else the page that the title means, under a line that says so; else the titles that are nearest.
 
     Titles come from the ``catalog`` if it is given, and only the page's content from ``notes`` (path, content).
@@ -182,10 +206,10 @@ def resolved_read(notes: DataFrame, query: str, limit: int = PAGE_TOKENS, catalo
     from .search import resolve_title, suggestions
 
     direct = notes.where(F.col("path").isin(query, f"{query}.md")).orderBy(F.col("path") != query).limit(1)
-    named = direct.select(page_text(F.col("path"), F.col("content"), limit).alias("text"), F.lit(0).alias("origin"))
+    named = direct.select(page_text(F.col("path"), F.col("content"), limit, tokenizer=tokenizer).alias("text"), F.lit(0).alias("origin"))
     titles = notes if catalog is None else catalog
     hit = notes.join(F.broadcast(resolve_title(titles, query).select("path")), "path")  # one row
-    page = F.concat(F.lit(f"[Resolved '{query}' \u2192 '"), "path", F.lit("']\n\n"), page_text(F.col("path"), F.col("content"), limit))
+    page = F.concat(F.lit(f"[Resolved '{query}' \u2192 '"), "path", F.lit("']\n\n"), page_text(F.col("path"), F.col("content"), limit, tokenizer=tokenizer))
     found = hit.select(page.alias("text"), F.lit(1).alias("origin"))
     line = F.concat(F.lit("  - "), "title", F.lit(" (`"), "path", F.lit("`)"))
     near = suggestions(titles, query).agg(F.array_sort(F.collect_list(F.struct(-F.col("share"), "path", line.alias("line")))).alias("t"))  # five rows

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import Tokenizer
 from . import catalog as C
 from . import pages, search
 
@@ -17,9 +18,9 @@ def search_wiki(catalog: DataFrame, notes: DataFrame, query: str, k: int = 10) -
     return search.formatted(search.hybrid_search(catalog, notes, query, k))
 
 
-def read_page(catalog: DataFrame, notes: DataFrame, path_or_title: str, limit: int = pages.PAGE_TOKENS) -> DataFrame:
+def read_page(catalog: DataFrame, notes: DataFrame, path_or_title: str, limit: int = pages.PAGE_TOKENS, tokenizer: Tokenizer | None = None) -> DataFrame:
     """A page by its path or title."""
-    return pages.resolved_read(notes, path_or_title, limit, catalog)
+    return pages.resolved_read(notes, path_or_title, limit, catalog, tokenizer)
 
 
 def get_related(catalog: DataFrame, path: str) -> DataFrame:
@@ -30,14 +31,14 @@ def get_related(catalog: DataFrame, path: str) -> DataFrame:
     return said.union(none).orderBy("origin").limit(1).select("text")
 
 
-def read_raw_source(pages_: DataFrame, toc: DataFrame, source: str, query: str = "", focus: str = "", limit: int = 3000) -> DataFrame:
+def read_raw_source(pages_: DataFrame, toc: DataFrame, source: str, query: str = "", focus: str = "", limit: int = 3000, tokenizer: Tokenizer | None = None) -> DataFrame:
     """An excerpt of a raw source: the section that ``query`` means, or its first pages.
 
     ``pages_``: source, page, text; ``toc``: the source's table of contents.
     """
     own = pages_.where(F.col("source") == source)
     if query:
-        return pages.jump_text(toc, own.select(F.col("page").alias("page_no"), "text"), query, focus, limit, source)
-    said = pages.read_raw(own.select("source", F.col("page").alias("ord"), "text"), limit).select("text", F.lit(0).alias("origin"))
+        return pages.jump_text(toc, own.select(F.col("page").alias("page_no"), "text"), query, focus, limit, source, tokenizer)
+    said = pages.read_raw(own.select("source", F.col("page").alias("ord"), "text"), limit, tokenizer).select("text", F.lit(0).alias("origin"))
     none = toc.sparkSession.range(1).select(F.lit(f"[Raw source not found: {source}]").alias("text"), F.lit(1).alias("origin"))
     return said.union(none).orderBy("origin").limit(1).select("text")

@@ -295,6 +295,39 @@ def q_catalog_update(spark, d):
     return catalog_rows(catalog.load(spark, path))
 
 
+def model_tokens():
+    """Tokens of a public vocabulary of 50,256; its file's place and the pattern that splits texts come with it."""
+    import public_tokenizers
+    from ..functions.tokens import RankedPairs
+
+    return RankedPairs(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query(None)
+def q_model_tokens(spark, d):
+    """Tokens of each document as a model counts them."""
+    return A.read(spark, d, "documents").select("doc_id", pages.counted(F.col("text"), model_tokens()).alias("n"))
+
+
+@query(None)
+def q_model_windows(spark, d):
+    return pages.token_windows(A.read(spark, d, "documents"), model_tokens(), 500, 80)
+
+
+@query(None)
+def q_model_pages(spark, d):
+    """Every note as it is read with 4,000 tokens."""
+    n = A.notes(spark, d).select("path", "content")
+    return pages.read_page(n, n.select("path"), tokenizer=model_tokens())
+
+
+@query(None)
+def q_model_raw_read(spark, d):
+    """Each source's documents up to 3,000 tokens, the last one cut at the end of a token."""
+    docs = A.read(spark, d, "documents").select("source", F.col("doc_id").alias("ord"), "text")
+    return pages.read_raw(docs, tokenizer=model_tokens())
+
+
 TOCS = "tocs AS (SELECT CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 + o_custkey % 39 END AS INTEGER) AS doc_id, CAST(o_orderkey AS INTEGER) AS ord, CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS level, 'Order ' || o_orderkey AS title, CAST(1 + o_orderkey // 12 AS INTEGER) AS page FROM orders)"
 TOCS_BOUNDS = f"{TOCS}, bd AS (SELECT doc_id, ord, level, title, page, coalesce(lead_page, page + 6) AS behind FROM tocs JOIN (SELECT doc_id, page, lead(page) OVER (PARTITION BY doc_id ORDER BY page) AS lead_page FROM (SELECT DISTINCT doc_id, page FROM tocs)) USING (doc_id, page))"
 TOCS_SECTIONS = f"""{TOCS}, tn AS (SELECT doc_id, level, count(*) AS n FROM tocs GROUP BY ALL HAVING count(*) >= 2), td AS (SELECT doc_id, coalesce(max(level) FILTER (n >= 10), max(level)) AS level FROM tn GROUP BY doc_id),
