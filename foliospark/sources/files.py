@@ -43,6 +43,16 @@ def form_feeds(data: bytes) -> tuple[list[str], list[tuple[int, str, int]]]:
     return pages, [(1, p.strip().split("\n")[0].strip(), k) for k, p in enumerate(pages, 1) if p.strip()]
 
 
+def decoded_rows(source: str, content: bytes, decoder: PageDecoder) -> list[tuple]:
+    """Rows of a file: its pages, then its entries; or one with an error."""
+    try:
+        pages, toc = decoder(content)
+    except Exception as e:  # one file's failure is a value, not the job's
+        return [(source, "page", None, None, None, None, None, None, str(e) or type(e).__name__)]
+    rows = [(source, "page", k, k - 1, None, None, t, len(pages), None) for k, t in enumerate(pages, 1)]
+    return rows + [(source, "toc", p, k, level, title.strip(), None, len(pages), None) for k, (level, title, p) in enumerate(toc)]
+
+
 def decoded(spark: SparkSession, decoder: PageDecoder, *paths: str) -> DataFrame:
     """source, part (page or toc), page, ord, level, title, text, total_pages, error: what ``decoder`` finds in files of any format.
 
@@ -54,13 +64,7 @@ def decoded(spark: SparkSession, decoder: PageDecoder, *paths: str) -> DataFrame
     def work(batches):
         for batch in batches:
             for source, content in zip(batch["source"], batch["content"], strict=True):
-                try:
-                    pages, toc = decoder(content)
-                    rows = [(source, "page", k, k - 1, None, None, t, len(pages), None) for k, t in enumerate(pages, 1)]
-                    rows += [(source, "toc", p, k, level, title.strip(), None, len(pages), None) for k, (level, title, p) in enumerate(toc)]
-                except Exception as e:  # one file's failure is a value, not the job's
-                    rows = [(source, "page", None, None, None, None, None, None, str(e) or type(e).__name__)]
-                frame = pd.DataFrame(rows, columns=cols)
+                frame = pd.DataFrame(decoded_rows(source, content, decoder), columns=cols)
                 yield frame.astype({c: "Int32" for c in ("page", "ord", "level", "total_pages")})
 
     return files.mapInPandas(work, "source string, part string, page int, ord int, level int, title string, text string, total_pages int, error string")
