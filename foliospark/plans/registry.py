@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import agent, catalog, consolidate, ingest, pages, search, sections, tools
+from ..operators import agent, catalog, consolidate, ingest, pages, postings, search, sections, tools
 from ..sources import adapters as A
 from ..sources import files, store
 from ..sources.adapters import TODAY
@@ -295,6 +295,27 @@ def q_catalog_update(spark, d):
     return catalog_rows(catalog.load(spark, path))
 
 
+@query(f"{CATALOG} SELECT CAST(row_number() OVER (ORDER BY {MICRO} DESC, path) AS INTEGER) AS rank, path, {MICRO} AS score_micro FROM scored WHERE score > 0 ORDER BY score_micro DESC, path LIMIT 10")
+def q_bm25_postings(spark, d):
+    """The catalog search by stored postings: the same rows from the blocks of the query's terms."""
+    asked = A.read(spark, d, "region").limit(1).select(F.lit(1).alias("qid"), F.lit(QUERY).alias("query"))
+    return postings.search(A.term_postings(spark, d), asked).drop("qid")
+
+
+@query(
+    f"""WITH {NOTES}, {TOKENS}, tk AS (SELECT path, unnest(tokens) AS term, len(tokens) AS size FROM toks), tf AS MATERIALIZED (SELECT path, term, size, count(*) AS tf FROM tk GROUP BY ALL),
+st AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM toks), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+qw AS (SELECT item_id AS qid, list_distinct({LOWER.format('text')}) AS u, {LOWER.format('text')} AS w FROM benchmark), qt AS (SELECT qid, term, list_position(w, term) AS pos FROM (SELECT qid, w, unnest(u) AS term FROM qw)),
+ad AS (SELECT qid, path, pos, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean)) AS a FROM qt JOIN tf USING (term) JOIN df USING (term) CROSS JOIN st),
+scored AS (SELECT qid, path, list_reduce(list(a ORDER BY pos), lambda x, y: x + y) AS score FROM ad GROUP BY qid, path)
+SELECT qid, rank, path, score_micro FROM (SELECT qid, path, {MICRO} AS score_micro, CAST(row_number() OVER (PARTITION BY qid ORDER BY {MICRO} DESC, path) AS INTEGER) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
+)
+def q_bm25_many(spark, d):
+    """Every benchmark item as a query of the catalog, all in one job."""
+    asked = A.read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return postings.search(A.term_postings(spark, d), asked)
+
+
 def model_tokens():
     """Tokens of a public vocabulary of 50,256; its file's place and the pattern that splits texts come with it."""
     import public_tokenizers

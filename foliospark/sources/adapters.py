@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog as C
+from ..operators import postings
 from . import store
 
 #: The day that stands for today, so that results can be compared.
@@ -49,6 +50,12 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.load(spark, path)
 
 
+def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored postings of the catalog's terms."""
+    path = store.kept(spark, "postings", [f"{sf_dir}/documents.parquet"], lambda: postings.blocks(catalog(spark, sf_dir)), ("bucket",))
+    return spark.read.parquet(path)
+
+
 def search_text(n: DataFrame) -> DataFrame:
     """Notes with the tokens that catalog search looks at."""
     text = F.concat_ws(" ", "title", "summary", F.array_join("keywords", " "))

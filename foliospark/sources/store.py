@@ -56,8 +56,8 @@ def version(spark: SparkSession, path: str) -> str:
     return found.hexdigest()
 
 
-def kept(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> str:
-    """Path of the table ``name`` over ``inputs``; it is built where it is not there for their present state.
+def kept(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame], by: tuple[str, ...] = ()) -> str:
+    """Path of the table ``name`` over ``inputs``, in folders by ``by``; it is built where it is not there for their present state.
 
     Each build has a folder of its own and counts when its ``_SUCCESS`` file is there, so one that was
     cut off is made again, and two sessions that build at once do not meet.
@@ -69,7 +69,7 @@ def kept(spark: SparkSession, name: str, inputs: list[str], build: Callable[[],
         return [f for f in folders(spark, path) if exists(spark, f"{f}/_SUCCESS")]
 
     if not built():
-        build().write.parquet(f"{path}/build-{uuid.uuid4().hex}")
+        build().write.partitionBy(*by).parquet(f"{path}/build-{uuid.uuid4().hex}")
     return built()[0]
 
 
