@@ -32,6 +32,9 @@ NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 OLD_DEFLATE = 32946
 CLEAR_CODE, END_CODE = 256, 257
 FIELD = {1: "B", 3: "H", 4: "L"}
+FILL_ORDER_TAG, PLANAR_TAG, FORMAT_TAG = 266, 284, 339
+#: Each byte with its bits the other way round.
+FLIPPED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8)[:, ::-1], axis=1).ravel()
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
 
 WIDTH = 192
@@ -56,12 +59,20 @@ class Page:
     predictor: int
     tiled: bool
     samples: bytes
+    channels: int = 1
+    bits: int = 8
 
 
-def packbits(data: bytes) -> bytes:
-    """PackBits code: runs of three or more equal bytes, and literals between them."""
+def packbits(data: bytes, width: int) -> bytes:
+    """PackBits code of rows of ``width`` bytes: runs of three or more equal bytes, and literals between them; none crosses a row."""
     a = np.frombuffer(data, np.uint8)
-    out = bytearray()
+    edge = np.ones(len(a) + 1, bool)
+    edge[1:-1] = a[1:] != a[:-1]
+    edge[::width] = True
+    edge = np.flatnonzero(edge)
+    size = np.diff(edge)
+    long = size >= 3
+    out, todo = bytearray(), list(zip(edge[:-1][long].tolist(), size[long].tolist(), strict=True))[::-1]
 
     def literal(lo: int, hi: int) -> None:
         for at in range(lo, hi, 128):
@@ -69,20 +80,19 @@ def packbits(data: bytes) -> bytes:
             out.append(end - at - 1)
             out.extend(data[at:end])
 
-    edge = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True]) if len(a) else np.zeros(1, int)
-    size = np.diff(edge)
-    done = 0
-    for k in np.flatnonzero(size >= 3):
-        at, n = int(edge[k]), int(size[k])
-        literal(done, at)
-        done = at + n
-        while n > 1:
-            part = min(n, 128)
-            out += bytes((257 - part, data[at]))
-            n -= part
-        if n:
-            out += bytes((0, data[at]))
-    literal(done, len(data))
+    for done in range(0, len(data), width):
+        stop = done + width
+        while todo and todo[-1][0] < stop:
+            at, n = todo.pop()
+            literal(done, at)
+            done = at + n
+            while n > 1:
+                part = min(n, 128)
+                out += bytes((257 - part, data[at]))
+                n -= part
+            if n:
+                out += bytes((0, data[at]))
+        literal(done, stop)
     return bytes(out)
 
 
@@ -101,73 +111,106 @@ def unpackbits(data: bytes, size: int) -> bytes:
     return bytes(out[:size])
 
 
+#: Width of the k-th code after a clear: it grows one code early, up to twelve bits.
+CODE_WIDTH = np.array([min((END_CODE + 1 + k).bit_length(), 12) for k in range(4096)], np.int64)
+CODE_PLACE = np.r_[0, np.cumsum(CODE_WIDTH)]
+SINGLES = [bytes((i,)) for i in range(256)] + [b"", b""]
+
+
 def lzw(data: bytes) -> bytes:
-    """LZW with the most significant bit first; code width grows one code early."""
-    singles = {bytes((i,)): i for i in range(256)}
-    table, width, acc, held = dict(singles), 9, CLEAR_CODE, 9
-    next_code, word = END_CODE + 1, b""
-    out = bytearray()
-
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
+    """LZW with the most significant bit first; code width grows one code early.
+
+    A string of the table is its prefix's code and its last byte in one number. Codes are gathered
+    first: where a code stands after a clear is its width, so all are put into bits at once.
+    """
+    if not data:
+        return codes_in_bits([CLEAR_CODE, END_CODE])
+    codes, table = [CLEAR_CODE], {}
+    add, find, next_code, prefix = codes.append, table.get, END_CODE + 1, data[0]
+    for byte in data[1:]:
+        key = prefix << 8 | byte
+        code = find(key)
+        if code is not None:
+            prefix = code
             continue
-        acc, held = acc << width | table[word], held + width
-        table[longer] = next_code
+        add(prefix)
+        table[key] = next_code
         next_code += 1
-        word = data[i : i + 1]
         if next_code == 4095:
-            acc, held = acc << width | CLEAR_CODE, held + width
-            table, width, next_code = dict(singles), 9, END_CODE + 1
-        elif next_code + 1 > 1 << width:
-            width += 1
-        if held > 512:
-            keep = held & 7
-            out += (acc >> keep).to_bytes((held - keep) // 8, "big")
-            acc, held = acc & (1 << keep) - 1, keep
-    if word:
-        acc, held = acc << width | table[word], held + width
-        next_code += 1
-        if next_code + 1 > 1 << width and width < 12:
-            width += 1
-    acc, held = acc << width | END_CODE, held + width
-    fill = -held % 8
-    return bytes(out + (acc << fill).to_bytes((held + fill) // 8, "big"))
+            add(CLEAR_CODE)
+            table.clear()
+            next_code = END_CODE + 1
+        prefix = byte
+    return codes_in_bits([*codes, prefix, END_CODE])
+
+
+def codes_in_bits(codes: list[int]) -> bytes:
+    """Codes from a clear on as bits; the first one has nine."""
+    code = np.array(codes, np.uint16)
+    clear = np.flatnonzero(code == CLEAR_CODE)
+    place = np.arange(len(code)) - np.repeat(clear, np.diff(np.r_[clear, len(code)])) - 1
+    after = np.repeat(np.diff(np.r_[0, clear])[: len(clear)], np.diff(np.r_[clear, len(code)]))
+    place = np.where(place < 0, after - 1, place)  # a clear is the last code of the table before it
+    width = CODE_WIDTH[np.maximum(place, 0)]
+    bits = np.unpackbits(code.astype(">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - width[:, None]]).tobytes()
+
+
+def code_runs(data: bytes) -> Iterator[list[int]]:
+    """The codes of an LZW stream up to each clear or the end; widths follow from their places, so a run is read at once."""
+    raw, at, end = np.frombuffer(data + bytes(4), np.uint8).astype(np.int64), 0, 8 * len(data)
+    while True:
+        run: list[int] = []
+        special = -1
+        while special < 0:
+            first = min(len(run), 4095)
+            places = at + (CODE_PLACE[first:-1] - CODE_PLACE[first] if first < 4095 else 12 * np.arange(4096))
+            width = CODE_WIDTH[first:] if first < 4095 else np.full(4096, 12)
+            count = int(np.searchsorted(places + width[: len(places)], end, "right"))
+            if not count:
+                yield run
+                return
+            places, width = places[:count], width[:count]
+            byte = places >> 3
+            code = (raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - (places & 7) - width) & (1 << width) - 1
+            marks = np.flatnonzero((code == CLEAR_CODE) | (code == END_CODE))
+            stop = int(marks[0]) if len(marks) else count
+            run += code[:stop].tolist()
+            at = int(places[stop] + width[stop]) if len(marks) else int(places[-1] + width[-1])
+            special = int(code[stop]) if len(marks) else -1
+        yield run
+        if special == END_CODE:
+            return
 
 
 def unlzw(data: bytes, size: int) -> bytes:
-    table: list[bytes] = [bytes((i,)) for i in range(256)] + [b"", b""]
-    out, width, last = bytearray(), 9, b""
-    acc = held = at = 0
-    while len(out) < size:
-        while held < width:
-            if at >= len(data):
-                return bytes(out)
-            acc, held, at = acc << 8 | data[at], held + 8, at + 1
-        held -= width
-        code = acc >> held
-        acc &= (1 << held) - 1
-        if code == END_CODE:
-            break
-        if code == CLEAR_CODE:
-            del table[END_CODE + 1 :]
-            width, last = 9, b""
+    out, length = [], 0
+    for run in code_runs(data):
+        if not run:
             continue
-        if code < len(table):
-            word = table[code]
-        elif code == len(table) and last:
-            word = last + last[:1]
-        else:
+        if run[0] > END_CODE:
             raise TiffError("LZW code out of range")
-        out += word
-        if last:
-            table.append(last + word[:1])
-        last = word
-        # the encoder is one entry ahead of the decoder
-        if len(table) + 2 > 1 << width and width < 12:
-            width += 1
-    return bytes(out[:size])
+        table = [*SINGLES]
+        last = table[run[0]]
+        add, put = table.append, out.append
+        put(last)
+        length += len(last)
+        for code in run[1:]:
+            if code < len(table):
+                word = table[code]
+            elif code == len(table):
+                word = last + last[:1]
+            else:
+                raise TiffError("LZW code out of range")
+            put(word)
+            length += len(word)
+            if length >= size:
+                break
+            add(last + word[:1])
+            last = word
+        if length >= size:
+            break
+    return b"".join(out)[:size]
 
 
 def pack(block: np.ndarray, compression: int, predictor: int) -> bytes:
@@ -179,16 +222,20 @@ def pack(block: np.ndarray, compression: int, predictor: int) -> bytes:
     if compression == DEFLATE:
         return zlib.compress(raw, 6)
     if compression == PACKBITS:
-        return b"".join(packbits(raw[i : i + block.shape[1]]) for i in range(0, len(raw), block.shape[1]))
+        return packbits(raw, block.shape[1])
     return raw
 
 
-def unpack(data: bytes, rows: int, width: int, compression: int, predictor: int) -> np.ndarray:
-    size = rows * width
+def unpack(data: bytes, rows: int, width: int, compression: int, predictor: int, channels: int = 1, kind: str = "u1", flipped: bool = False) -> np.ndarray:
+    """Samples of a strip or tile by row, pixel and channel. ``kind``: their type and byte order; ``flipped``: the first bit of a byte is its least."""
+    size = rows * width * channels
     if not 0 < size <= MOST_PIXELS:
         raise TiffError("a strip or tile has no pixels or too many")
+    size *= np.dtype(kind).itemsize
     if predictor not in (1, 2):
         raise TiffError(f"predictor {predictor} is not read")
+    if flipped:
+        data = FLIPPED[np.frombuffer(data, np.uint8)].tobytes()
     if compression == LZW:
         raw = unlzw(data, size)
     elif compression in (DEFLATE, OLD_DEFLATE):
@@ -201,9 +248,9 @@ def unpack(data: bytes, rows: int, width: int, compression: int, predictor: int)
         raise TiffError(f"compression {compression} is not read")
     if len(raw) < size:
         raise TiffError("a strip or tile is too short")
-    block = np.frombuffer(raw, np.uint8, size).reshape(rows, width)
+    block = np.frombuffer(raw[:size], kind).reshape(rows, width, channels).astype(np.dtype(kind).newbyteorder("<"))
     if predictor == 2:
-        block = np.cumsum(block, axis=1, dtype=np.uint8)
+        block = np.cumsum(block, axis=1, dtype=block.dtype)
     return block
 
 
@@ -249,7 +296,11 @@ def encode(payload: bytes, compression: int = DEFLATE, predictor: int = 1, tiled
 
 
 def decode_pages(data: bytes) -> Iterator[Page]:
-    """The pages of a TIFF file of one 8-bit sample a pixel, in the order of its directories."""
+    """The pages of a TIFF file of samples of 8 or 16 bits, in the order of its directories.
+
+    Samples stand by row, pixel and channel, those of 16 bits with the low byte first, whether the file holds its channels
+    together or apart; grey where white is zero is turned, so that black is.
+    """
     if len(data) < 8 or data[:4] not in (b"II*\0", b"MM\0*"):
         raise TiffError("no TIFF header")
     order = "<" if data[:2] == b"II" else ">"
@@ -277,36 +328,46 @@ def decode_pages(data: bytes) -> Iterator[Page]:
 
         width, height = one(WIDTH_TAG, 0), one(HEIGHT_TAG, 0)
         compression, predictor = one(COMPRESSION_TAG, NONE), one(PREDICTOR_TAG, 1)
-        if one(BITS_TAG, 1) != 8 or one(SAMPLES_TAG, 1) != 1:
-            raise TiffError("only one 8-bit sample a pixel is read")
-        if not 0 < width * height <= MOST_PIXELS:
+        channels, bits, photometric = one(SAMPLES_TAG, 1), set(tags.get(BITS_TAG) or (1,)), one(PHOTOMETRIC_TAG, 1)
+        if bits not in ({8}, {16}) or not 0 < channels <= 64 or one(FORMAT_TAG, 1) != 1 or photometric not in (0, 1, 2, 5):
+            raise TiffError("only samples of 8 or 16 bits, grey or of separate colours, are read")
+        if not 0 < width * height * channels <= MOST_PIXELS:
             raise TiffError("a page has no pixels or too many")
-        image = np.zeros((height, width), np.uint8)
+        kind = "u1" if bits == {8} else f"{order}u2"
+        planes = channels if one(PLANAR_TAG, 1) == 2 else 1
+        each, flipped = channels // planes, one(FILL_ORDER_TAG, 1) == 2
+        image = np.zeros((height, width, channels), np.dtype(kind).newbyteorder("<"))
         if tiled := TILE_OFFSETS_TAG in tags:
             tw, th = one(TILE_WIDTH_TAG, 0), one(TILE_HEIGHT_TAG, 0)
             across = -(-width // tw)
-            if len(tags[TILE_OFFSETS_TAG]) < across * -(-height // th):
+            count = across * -(-height // th)
+            if len(tags[TILE_OFFSETS_TAG]) < count * planes:
                 raise TiffError("tiles are missing")
             for k, (o, size) in enumerate(zip(tags[TILE_OFFSETS_TAG], tags[TILE_BYTES_TAG], strict=True)):
-                y, x = k // across * th, k % across * tw
-                block = unpack(data[o : o + size], th, tw, compression, predictor)
-                part = image[y : y + th, x : x + tw]
+                plane, at_tile = divmod(k, count) if planes > 1 else (0, k)
+                y, x = at_tile // across * th, at_tile % across * tw
+                block = unpack(data[o : o + size], th, tw, compression, predictor, each, kind, flipped)
+                part = image[y : y + th, x : x + tw, plane * each : (plane + 1) * each]
                 part[:] = block[: part.shape[0], : part.shape[1]]
         else:
             step = one(ROWS_PER_STRIP_TAG, height)
-            if len(tags[STRIP_OFFSETS_TAG]) * step < height:
+            count = -(-height // step)
+            if len(tags[STRIP_OFFSETS_TAG]) < count * planes:
                 raise TiffError("strips are missing")
             for k, (o, size) in enumerate(zip(tags[STRIP_OFFSETS_TAG], tags[STRIP_BYTES_TAG], strict=True)):
-                rows = min(step, height - k * step)
-                image[k * step : k * step + rows] = unpack(data[o : o + size], rows, width, compression, predictor)
-        yield Page(number, width, height, compression, predictor, tiled, image.tobytes())
+                plane, strip = divmod(k, count) if planes > 1 else (0, k)
+                rows = min(step, height - strip * step)
+                image[strip * step : strip * step + rows, :, plane * each : (plane + 1) * each] = unpack(data[o : o + size], rows, width, compression, predictor, each, kind, flipped)
+        if photometric == 0:
+            image = ~image
+        yield Page(number, width, height, compression, predictor, tiled, image.tobytes(), channels, max(bits))
         number += 1
 
 
 def layout_for(payload: bytes) -> tuple[int, int, bool]:
     """Compression, predictor and tiling, which only the payload's checksum decides, at every size."""
     crc = zlib.crc32(payload)
-    compression = (DEFLATE, PACKBITS, LZW, NONE)[crc >> 1 & 3]
+    compression = (DEFLATE, PACKBITS, LZW)[(crc >> 8) % 3]  # the predictor goes with the codes that have tables
     return compression, 1 + (crc >> 3 & 1 if compression in (LZW, DEFLATE) else 0), bool(crc >> 4 & 1)
 
 
@@ -317,7 +378,7 @@ def payload_of(text: bytes) -> bytes:
 def pages(df: DataFrame, media_col: str = "media", id_col: str = "id") -> DataFrame:
     """One row for each page of each TIFF file in ``media_col``.
 
-    Columns id, page, width, height, compression, predictor, tiled, samples, error. A null
+    Columns id, page, width, height, channels, bits, compression, predictor, tiled, samples, error. A null
     file gives no row; bytes that are no readable TIFF give one row with ``error`` set and
     the rest null: cut off files, empty fields, sides over MOST_PIXELS, data that would
     expand beyond its strip or tile, unknown codes. Repeated rows give repeated pages.
@@ -331,22 +392,22 @@ def pages(df: DataFrame, media_col: str = "media", id_col: str = "id") -> DataFr
                     continue
                 try:
                     for p in decode_pages(data):
-                        out.append((key, p.number, p.width, p.height, NAMES[p.compression], p.predictor, p.tiled, p.samples, None))
+                        out.append((key, p.number, p.width, p.height, p.channels, p.bits, NAMES[p.compression], p.predictor, p.tiled, p.samples, None))
                 except (TiffError, struct.error, zlib.error, ValueError, ArithmeticError, LookupError, MemoryError) as e:
-                    out.append((key, *[None] * 7, str(e) or type(e).__name__))
-                if sum(len(r[7] or b"") for r in out) > 8 << 20:
+                    out.append((key, *[None] * 9, str(e) or type(e).__name__))
+                if sum(len(r[9] or b"") for r in out) > 8 << 20:
                     yield as_batch(out)
                     out = []
             yield as_batch(out)
 
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
-    names = ["id", "page", "width", "height", "compression", "predictor", "tiled", "samples", "error"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
+    names = ["id", "page", "width", "height", "channels", "bits", "compression", "predictor", "tiled", "samples", "error"]
 
     def as_batch(rows):
         return pa.record_batch([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
     chosen = df.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("media"))
-    return chosen.mapInArrow(tidied(read), "id long, page int, width int, height int, compression string, predictor int, tiled boolean, samples binary, error string")
+    return chosen.mapInArrow(tidied(read), "id long, page int, width int, height int, channels int, bits int, compression string, predictor int, tiled boolean, samples binary, error string")
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:

@@ -485,12 +485,12 @@ def test_tiff_layouts_at_every_size():
     """Long payloads meet LZW as short ones do, in strips and in tiles, and come back whole."""
     rng = random.Random(8)
     met = set()
-    for k in range(16):
+    for k in range(40):
         text = prose(rng, 2000 + k).encode()
         met.add(tiff.layout_for(tiff.payload_of(text))[::2])
         row = tiff.describe(text)
         assert row[:3] == (len(text), len(tiff.payload_of(text)), sha256(tiff.payload_of(text)).hexdigest())
-    assert {(tiff.LZW, False), (tiff.LZW, True)} <= met
+    assert {(code, tiled) for code in (tiff.DEFLATE, tiff.PACKBITS, tiff.LZW) for tiled in (False, True)} == met  # nothing is stored as it is
 
 
 def test_tiff_of_other_writers():
@@ -504,6 +504,102 @@ def test_tiff_of_other_writers():
     assert page.samples == b"\x07\x07\x07\x09"
 
 
+def tiff_file(order, fields, blocks):
+    """A file of one directory by hand: ``fields`` tag: (type, values); the blocks' places and sizes come under tags 273 and 279."""
+    import struct
+
+    out = struct.pack(order + "2sHL", b"II" if order == "<" else b"MM", 42, 0)
+    places = []
+    for b in blocks:
+        places.append(len(out))
+        out += b + b"\0" * (len(b) & 1)
+    fields = fields | {273: (4, places), 279: (4, [len(b) for b in blocks])}
+    entries = b""
+    for tag, (kind, values) in sorted(fields.items()):
+        body = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'L'}", *values)
+        if len(body) > 4:
+            body, at = struct.pack(order + "L", len(out)), body
+            out += at
+        entries += struct.pack(order + "HHL", tag, kind, len(values)) + body.ljust(4, b"\0")
+    return out[:4] + struct.pack(order + "L", len(out)) + out[8:] + struct.pack(order + "H", len(fields)) + entries + struct.pack(order + "L", 0)
+
+
+def nine_bits(codes):
+    bits = "".join(f"{c:09b}" for c in codes)
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+
+def test_lzw_by_hand():
+    """Codes written bit by bit: the specification's example, a string that needs its own end, a clear in between, no end code."""
+    example = nine_bits([256, 7, 258, 8, 8, 258, 6, 6, 257])
+    grey = {256: (3, [9]), 257: (3, [1]), 258: (3, [8]), 259: (3, [5]), 262: (3, [1]), 277: (3, [1]), 278: (3, [1])}
+    (page,) = tiff.decode_pages(tiff_file(">", grey, [example]))
+    assert page.samples == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]) and tiff.lzw(page.samples) == example
+    twice = nine_bits([256, 65, 258, 259, 256, 66, 66, 258])
+    (page,) = tiff.decode_pages(tiff_file("<", grey | {256: (3, [10])}, [twice]))
+    assert page.samples == b"AAAAAABBBB"
+    with pytest.raises(tiff.TiffError):
+        tiff.unlzw(nine_bits([256, 65, 300]), 9)
+    with pytest.raises(tiff.TiffError):
+        tiff.unlzw(nine_bits([256, 258]), 9)
+
+
+def test_lzw_of_all_lengths():
+    """Against a plain decoder that takes code after code; tables fill up and are cleared."""
+    rng = random.Random(12)
+
+    def plain(data):
+        bits, at, width, table, last, out = "".join(f"{b:08b}" for b in data), 0, 9, {}, None, b""
+        while True:
+            code, at = int(bits[at : at + width], 2), at + width
+            if code == 257:
+                return out
+            if code == 256:
+                table, width, last = {i: bytes([i]) for i in range(256)}, 9, None
+                continue
+            word = table.get(code) or last + last[:1]
+            out += word
+            if last is not None:
+                table[len(table) + 2] = last + word[:1]
+            last = word
+            width = min(12, max(9, (len(table) + 2 + 1).bit_length()))
+
+    for n in (0, 1, 2, 3, 255, 256, 257, 5000, 20_000):
+        for letters in (1, 3, 256):
+            data = bytes(rng.randrange(letters) for _ in range(n))
+            packed = tiff.lzw(data)
+            assert plain(packed) == data == tiff.unlzw(packed, n)
+
+
+def test_colours_and_wide_samples(spark):
+    """Three channels together and apart, sixteen bits, white as zero, bits the other way round, in strips with and without predictor."""
+    rng = np.random.default_rng(5)
+    turned = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+    for order, channels, bits, apart, predictor, code, flip in ((o, c, b, a, p, z, f) for o in "<>" for c in (1, 3) for b in (8, 16) for a in (1, 2) for p in (1, 2) for z in (1, 5, 8, 32773) for f in (1, 2)):
+        if predictor == 2 and code not in (5, 8):
+            continue
+        image = rng.integers(0, 1 << bits, (5, 7, channels)).astype(f"<u{bits // 8}")
+        blocks = []
+        for plane in range(channels) if apart == 2 else [slice(None)]:
+            for y in range(0, 5, 2):
+                part = image[y : y + 2, :, plane].reshape(min(2, 5 - y), 7, -1)
+                if predictor == 2:
+                    part = np.diff(part, axis=1, prepend=np.zeros_like(part[:, :1]))
+                raw = part.astype(f"{order}u{bits // 8}").tobytes()
+                row = len(raw) // len(part)
+                raw = {1: lambda r: r, 5: tiff.lzw, 8: zlib.compress, 32773: lambda r: tiff.packbits(r, row)}[code](raw)
+                blocks.append(raw.translate(turned) if flip == 2 else raw)
+        fields = {256: (3, [7]), 257: (3, [5]), 258: (3, [bits] * channels), 259: (3, [code]), 262: (3, [2 if channels == 3 else 1]), 266: (3, [flip]), 277: (3, [channels]), 278: (3, [2]), 284: (3, [apart]), 317: (3, [predictor])}
+        (page,) = tiff.decode_pages(tiff_file(order, fields, blocks))
+        assert (page.channels, page.bits, page.samples) == (channels, bits, image.tobytes())
+        if channels == 1:
+            (page,) = tiff.decode_pages(tiff_file(order, fields | {262: (3, [0])}, blocks))
+            assert page.samples == (~image).tobytes()
+    row = tiff.pages(spark.createDataFrame([(1, bytearray(tiff_file(order, fields, blocks)))], "id long, media binary")).first()
+    assert (row.channels, row.bits, row.error) == (channels, bits, None)
+
+
 def test_pages_report_errors(spark):
     good = tiff.encode(tiff.payload_of(b"abc"))
     rows = [(1, good), (2, b"no tiff"), (3, None), (4, good[:40]), (1, good), (5, b"")]
