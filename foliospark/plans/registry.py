@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import agent, catalog, consolidate, ingest, pages, postings, search, sections, tools
+from ..operators import agent, catalog, consolidate, ingest, pages, postings, search, sections, tools, trigrams
 from ..sources import adapters as A
 from ..sources import files, store
 from ..sources.adapters import TODAY
@@ -316,6 +316,18 @@ def q_bm25_many(spark, d):
     return postings.search(A.term_postings(spark, d), asked)
 
 
+#: A word that few have, either of two phrases, a class between letters, and one without three letters in a row.
+PATTERNS = ["thinou", "(ouai the|ciónñ)\\s", "eth[aeiou]nd", "q.z"]
+
+
+@query(f"WITH {NOTES} SELECT CAST(k AS INTEGER) AS k, path FROM notes JOIN (VALUES {', '.join(f'''({k}, '{p}')''' for k, p in enumerate(PATTERNS))}) p(k, pattern) ON regexp_matches(content, '(?i)' || pattern)")
+def q_regex_index(spark, d):
+    """The notes that hold each of some patterns, through the index of trigrams."""
+    stored, index = A.indexed_contents(spark, d)
+    found = [trigrams.matches(stored, index, p).select(F.lit(k).alias("k"), "path") for k, p in enumerate(PATTERNS)]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
 def model_tokens():
     """Tokens of a public vocabulary of 50,256; its file's place and the pattern that splits texts come with it."""
     import public_tokenizers

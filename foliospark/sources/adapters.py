@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog as C
-from ..operators import postings
+from ..operators import postings, trigrams
 from . import store
 
 #: The day that stands for today, so that results can be compared.
@@ -56,6 +56,13 @@ def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def indexed_contents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored contents of the documents' notes and the index of their trigrams."""
+    inputs = [f"{sf_dir}/documents.parquet"]
+    stored = spark.read.parquet(store.kept(spark, "contents", inputs, lambda: trigrams.contents(notes(spark, sf_dir).select("path", "content")), ("shelf",)))
+    return stored, spark.read.parquet(store.kept(spark, "grams", inputs, lambda: trigrams.grams(stored), ("bucket",)))
+
+
 def search_text(n: DataFrame) -> DataFrame:
     """Notes with the tokens that catalog search looks at."""
     text = F.concat_ws(" ", "title", "summary", F.array_join("keywords", " "))
