@@ -111,11 +111,11 @@ def ingested(
     return Ingested(notes, found.where("error is not null").select("source", "ord", "error"))
 
 
-LEDGER = "source string, ord int, digest string, title string, type string, summary string, keywords array<string>, content string, error string, stamp long"
+LEDGER = "source string, ord int, digest string, title string, type string, summary string, keywords array<string>, content string, error string, rendered string, stamp long"
 
 
 def resumed(
-    docs: DataFrame, root: str, today: str, batch_chars: int = sections.BATCH, least: int = 5, stamp: int = 0,
+    docs: DataFrame, root: str, today: str, batch_chars: int = sections.BATCH, least: int = 5, stamp: int = 0, others: bool = False,
     sectionizer: sections.Sectionizer = sections.by_stride, extractor: ingest.Extractor = ingest.extractive, merger: consolidate.Merger = consolidate.first_and_all,
     toc: DataFrame | None = None, pages: DataFrame | None = None,
 ) -> Ingested:
@@ -124,22 +124,39 @@ def resumed(
     The ledger at ``root``/.ledger has a row for each batch that was tried, under the digest of its text.
     Batches with a note there are not extracted again; failed ones, and those whose text is another now, are.
     Notes of a document are those of the batches that it has now. A run that is cut off before the ledger's append
-    changes nothing, one after it only has the files and the catalog left, which take no second copy.
+    changes nothing, one after it only has the files and the catalog left, which take no second copy. With ``others`` the
+    notes of documents that are not in ``docs`` stay in the catalog, and their failed batches are tried again too;
+    a note whose path another document's has is left out. ``stamp`` grows from run to run.
     """
-    spark = docs.sparkSession
-    at = f"{root}/.ledger"
+    spark, at = docs.sparkSession, f"{root}/.ledger"
     text = batches(store.written(chunks(docs, sectionizer, toc, pages), "chunks"), batch_chars)
-    wanted = store.written(text.select("source_id", "batch", "rendered", F.sha2("rendered", 256).alias("digest")), "wanted")
-    keys = [F.col("source_id").cast("string").alias("source"), F.col("batch").cast("int").alias("ord"), "digest"]
-    done = ledger(spark, at).where("error is null").select("source", "ord", "digest")
-    todo = wanted.select("source_id", "batch", "rendered", *keys).join(done, ["source", "ord", "digest"], "left_anti")
-    new = extracted(todo.select("source_id", "batch", "rendered"), extractor).join(wanted.select(*keys), ["source", "ord"])
-    new.select("source", "ord", "digest", "title", "type", "summary", "keywords", "content", "error", F.lit(stamp).cast("long").alias("stamp")).write.mode("append").parquet(at)
-    have = ledger(spark, at).join(wanted.select(*keys), ["source", "ord", "digest"], "left_semi")
+    key = [F.col("source_id").cast("string").alias("source_id"), F.col("batch").cast("int").alias("batch")]
+    wanted = store.written(text.select(*key, "rendered", F.sha2("rendered", 256).alias("digest")), "wanted")
+    before = store.written(ledger(spark, at), "ledger")
+    names = [F.col("source").alias("source_id"), F.col("ord").alias("batch"), "digest"]
+    todo = wanted.join(before.where("error is null").select(*names), ["source_id", "batch", "digest"], "left_anti").select("source_id", "batch", "rendered", "digest")
+    again = before.where("error is not null").select("source", "ord", "rendered", "digest").join(wanted.select(F.col("source_id").alias("source")).distinct(), "source", "left_anti")
+    if others:
+        todo = todo.union(again)
+    todo = store.written(todo, "todo")
+    tried = extracted(todo.select("source_id", "batch", "rendered"), extractor)
+    tried = tried.join(todo.select(F.col("source_id").alias("source"), F.col("batch").alias("ord"), "digest", "rendered"), ["source", "ord"])
+    columns = [c.split()[0] for c in LEDGER.split(", ")]
+    tried = tried.withColumn("rendered", F.when(F.col("error").isNotNull(), F.col("rendered"))).withColumn("stamp", F.lit(stamp).cast("long"))
+    tried.select(*columns).write.mode("append").parquet(at)
+    now = store.written(ledger(spark, at), "ledger")
+    have = now.join(wanted.select(F.col("source_id").alias("source"), F.col("batch").alias("ord"), "digest"), ["source", "ord", "digest"], "left_semi")
+    if others:  # all batches of the documents that were tried again
+        have = have.unionByName(now.join(again.select("source").distinct(), "source", "left_semi"))
     found = store.written(have, "notes")
-    notes = store.written(as_notes(consolidated(found.where("error is null").drop("error", "digest", "stamp"), merger, least), today), "ingested")
+    notes = as_notes(consolidated(found.where("error is null").drop("error", "digest", "rendered", "stamp"), merger, least), today)
+    if others:
+        theirs = catalog.load(spark, f"{root}/.catalog").select("path", F.col("sources").alias("theirs"))
+        notes = notes.join(theirs, "path", "left").where(F.col("theirs").isNull() | (F.col("theirs") == F.col("sources"))).drop("theirs")
+    notes = store.written(notes, "ingested")
     files.write_notes(catalog.render(notes, today), root)
-    catalog.save(catalog.entries(notes), f"{root}/.catalog")
+    entries = catalog.updated(catalog.load(spark, f"{root}/.catalog"), notes) if others else catalog.entries(notes)
+    catalog.save(entries, f"{root}/.catalog")
     return Ingested(notes, found.where("error is not null").select("source", "ord", "error"))
 
 

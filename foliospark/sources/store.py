@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,8 +75,22 @@ def kept(spark: SparkSession, name: str, inputs: list[str], build: Callable[[],
     return built()[0]
 
 
-#: Paths of the tables that queries have written for themselves.
+#: Paths of the tables that queries have written for themselves, and those of the innermost ``passing`` of this thread.
 WRITTEN: list[str] = []
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread writes for itself inside are deleted at the end; what is taken from them must be taken before."""
+    mine: list[str] = []
+    token = _PASSING.set(mine)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in mine:
+            delete(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -82,7 +98,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    WRITTEN.append(path)
+    mine = _PASSING.get()
+    (WRITTEN if mine is None else mine).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -613,6 +613,72 @@ def test_stream_reads_only_new_files(spark, tmp_path):
     assert sorted(r.doc_id for r in spark.read.parquet(paths[1]).collect()) == [1, 2]
 
 
+def test_streamed_flow_after_a_kill(spark, tmp_path):
+    """A run that dies after the ledger's append, and a failed extraction: notes and catalog are those of one run, and nothing is extracted twice."""
+    from foliospark.plans import flow
+    from foliospark.streaming.ingest import ingest_documents
+
+    at = lambda n: f"file://{tmp_path}/{n}"
+    calls, state = tmp_path / "calls", tmp_path / "state"
+    calls.mkdir()
+    state.mkdir()
+
+    def extractor(text):
+        import uuid
+
+        (calls / uuid.uuid4().hex).write_text(text)
+        if "moody" in text and not (state / "well").exists():
+            raise ValueError("not now")
+        return ingest.extractive(text)
+
+    def merger(text, notes):
+        return consolidate.first_and_all(text, notes)
+
+    def put(rows):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(at("in"))
+
+    def run(**more):
+        query = ingest_documents(spark, at("in"), at("wiki"), at("progress"), "2024-01-31", files=1, extractor=extractor, merger=merger, **more)
+        query.awaitTermination()
+
+    first, second = [(1, "first text"), (2, "moody text")], [(3, "third [[first text]] text"), (4, "fourth text")]
+    put(first)
+    run()
+    kept = files.write_notes
+
+    def dies(*a):
+        raise RuntimeError("killed")
+
+    files.write_notes = dies
+    put(second)
+    try:
+        with pytest.raises(Exception, match="killed"):
+            run()
+    finally:
+        files.write_notes = kept
+    (state / "well").write_text("")
+    run()
+    found = {r.title: r.backlinks for r in catalog.load(spark, f"{at('wiki')}/.catalog").collect()}
+    texts = sorted(p.read_text() for p in calls.iterdir())
+    assert texts == sorted(["first text", "moody text", "moody text", "third [[first text]] text", "fourth text", "moody text"])
+    flow.resumed(spark.createDataFrame(first + second, "doc_id long, text string"), at("one"), "2024-01-31")
+    whole = lambda name: sorted(map(repr, catalog.load(spark, f"{at(name)}/.catalog").collect()))
+    assert whole("wiki") == whole("one") and found["first text"] == ["concepts/third---first-text---text.md"]
+    read = lambda name: sorted(map(repr, files.note_files(spark, at(name)).collect()))
+    for name in ("wiki", "one"):
+        for folder in files.FOLDERS:
+            (tmp_path / name / folder).mkdir(exist_ok=True)
+    assert read("wiki") == read("one")
+    from foliospark.sources import store
+
+    before = set(store.folders(spark, store.root(spark)))
+    run()
+    put([(9, "ninth text")])
+    run()
+    assert len(list(calls.iterdir())) == len(texts) + 1
+    assert set(store.folders(spark, store.root(spark))) == before  # a batch leaves none of its tables
+
+
 def test_router_takes_all_four_ways(spark):
     body = "x" * 12_000
     headings = "1 Intro\n2.1 Scope\nIV. Annex\n"
