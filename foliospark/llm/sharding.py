@@ -18,10 +18,11 @@ numbers; with the defaults the broadcast matrix is below 6 MB at any input size.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -101,6 +102,13 @@ def permuted(index: Column, n: Column, key: Column) -> Column:
     return F.when(last < n, last).otherwise(F.raise_error(F.lit("permutation did not return to its range")).cast("long"))
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], kinds: dict[str, str]) -> DataFrame:
+    """Rows that the driver has, as a table that the JVM reads from a literal: one row for each partition or block."""
+    listed = json.dumps([dict(zip(kinds, r, strict=True)) for r in rows])
+    struct = ", ".join(f"{name}: {kind}" for name, kind in kinds.items())
+    return spark.range(1).select(F.inline(F.from_json(F.lit(listed), f"array<struct<{struct}>>")))
+
+
 def shard_rows(
     df: DataFrame,
     shards: int,
@@ -151,8 +159,8 @@ def shard_rows(
             cut.append(cut[-1] + c)
         rows.append((b, blocks[b], cut, list(sent)))
         sent = [x + y for x, y in zip(sent, counts_row, strict=True)]
-    part_of = spark.createDataFrame(parts, "__part int, __block int, __base long")
-    row_of = spark.createDataFrame(rows, "__block int, __rows long, __cut array<long>, __sent array<long>")
+    part_of = literal_table(spark, parts, {"__part": "int", "__block": "int", "__base": "bigint"})
+    row_of = literal_table(spark, rows, {"__block": "int", "__rows": "bigint", "__cut": "array<bigint>", "__sent": "array<bigint>"})
 
     local = permuted(F.col("__base") + place, F.col("__rows"), F.xxhash64(F.lit(seed), F.col("__block")))
     size_of = F.when(F.col("__shard") < total % shards, total // shards + 1).otherwise(total // shards)

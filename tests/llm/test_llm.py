@@ -719,3 +719,9 @@ def test_tables_are_those_of_their_block(spark):
 def test_blank_lines_stay_whatever_their_length(spark):
     rows = [(1, " " * n + "\n" + "\t" * n + "\n" + " " * n) for n in (1, 7, 8, 9, 40)] * 2
     assert all(r.n_removed == 0 for r in line_dedup.dedup(frame(spark, rows)).collect())
+
+
+def test_sharding_stays_in_the_jvm(spark):
+    """No Python, pandas, Arrow or RDD on the way: the lookup tables are literals."""
+    plan = sharding.shard_rows(spark.range(50).withColumn("text", F.lit("x")), 4)._jdf.queryExecution().executedPlan().toString()
+    assert not any(name in plan for name in ("ExistingRDD", "Python", "Arrow", "Pandas"))
