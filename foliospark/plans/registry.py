@@ -328,6 +328,14 @@ def q_regex_index(spark, d):
     return found[0].union(found[1]).union(found[2]).union(found[3])
 
 
+@query("SELECT qid, path, title, score_micro FROM (" + ORACLES["q_bm25_many"] + ") JOIN (SELECT path AS p, title FROM " + f"(WITH {NOTES} SELECT path, title FROM notes)" + ") ON p = path")
+def q_tool_functions(spark, d):
+    """Every benchmark item is asked of the search tool as a table function of SQL, by a lateral join."""
+    tools.register(spark, A.catalog(spark, d), A.term_postings(spark, d), A.notes(spark, d).select("path", "content"))
+    asked = A.read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return spark.sql("SELECT qid, s.path, s.title, s.score_micro FROM {asked}, LATERAL search_wiki(text) s", asked=asked)
+
+
 def model_tokens():
     """Tokens of a public vocabulary of 50,256; its file's place and the pattern that splits texts come with it."""
     import public_tokenizers

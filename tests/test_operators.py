@@ -329,6 +329,28 @@ def test_agent_tools(spark):
     assert text(tools.read_raw_source(pages_, toc, "none")) == "[Raw source not found: none]"
 
 
+def test_tools_as_table_functions(spark):
+    """One question, a table of questions by lateral joins, and what the functions of Python say."""
+    from foliospark.operators import postings
+
+    none = "array<string>"
+    kind = f"path string, title string, type string, summary string, sources {none}, keywords {none}, links {none}, sections {none}, last_updated string, content string"
+    rows = [("c/a.md", "Alpha beta", "concept", "on alpha", ["s"], ["k"], ["Beta"], [], "d", "text of a"), ("c/b.md", "Beta", "concept", "beta beta", ["s"], [], ["c/a.md", "raw/x"], [], "d", "text of b"), ("c/c.md", "Gamma", "entity", "", [], [], [], [], "d", None)]
+    notes = spark.createDataFrame(rows, kind)
+    found = catalog.entries(notes)
+    tools.register(spark, found, postings.blocks(found), notes.select("path", "content"), spark.createDataFrame([("s", 1, "raw text"), ("s", 2, "more")], "source string, page int, text string"), "try")
+    sql = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    assert sql("SELECT path, score_micro FROM search_wiki('BETA alpha beta')") == [(r.path, r.score_micro) for r in search.catalog_search(found, "BETA alpha beta").collect()]
+    asked = spark.createDataFrame([(1, "alpha"), (2, "beta on"), (3, "zzz"), (4, ""), (5, None)], "id int, q string")
+    asked.createOrReplaceTempView("asked")
+    plain = [(i, r.path, r.score_micro) for i, q in asked.collect() if q for r in search.catalog_search(found, q).collect()]
+    assert sorted(sql("SELECT id, path, score_micro FROM asked, LATERAL search_wiki(q)")) == sorted(plain)
+    assert sql("SELECT path, text FROM read_page('c/b')") == [("c/b.md", "text of b")] and sql("SELECT * FROM read_page('none')") == []
+    assert sorted(sql("SELECT path, title FROM get_related('c/b.md')")) == [("c/a.md", "Alpha beta")]
+    assert sorted(sql("SELECT path, title FROM get_related('c/a')")) == [("Beta", "Beta")]  # a link by title is no path
+    assert sql("SELECT text FROM read_raw_source('s')") == [("raw text\n\nmore",)]
+
+
 def test_large_pages(spark):
     words = [f"w{i}" for i in range(6000)]
     n = spark.createDataFrame([("a.md", " ".join(words)), ("b.md", "x y z")], "path string, content string")
