@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import nested
 from ..functions import text as T
 from ..sources import store
 
@@ -46,7 +47,8 @@ def parse(files: DataFrame, today: str = "") -> DataFrame:
     A scalar source is the only one, scalar keywords are separated by commas; a title is the
     file's name in capitals, a type that of the folder, ``last_updated`` is ``today``.
     """
-    p = files.select("path", "markdown", T.property_map(T.properties_block(F.col("markdown"))).alias("p"))
+    block = T.properties_block(F.col("markdown"))
+    p = files.select("path", "markdown", F.coalesce(nested.nested_map(block), T.property_map(block)).alias("p"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
     folder = F.split_part("path", F.lit("/"), F.lit(1))
     kind = F.lit(None).cast("string")
