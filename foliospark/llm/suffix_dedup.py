@@ -4,7 +4,7 @@ Wanted: every byte covered by a string of LENGTH bytes that also starts in a doc
 with a smaller doc_id. A corpus-wide suffix array would show it as runs of suffixes that
 agree in LENGTH bytes; prefix-free parsing gets those runs from a dictionary instead.
 
-Parse. A rolling hash over GRAM bytes sets triggers: the least hash of any LENGTH-byte
+Parse. A hash of GRAM bytes, made at every place for itself, sets triggers: the least hash of any LENGTH-byte
 string. Each string has exactly one, which only its own bytes decide. The strings with
 one trigger form a phrase; phrases overlap by LENGTH - 1 bytes, so every string lies in
 one phrase, none crosses a phrase's end, and LENGTH bytes are all that order suffixes.
