@@ -13,14 +13,17 @@ from . import catalog as C
 from . import pages, search
 
 
+#: Ranges of postings that a task scores; their notes' matches with all questions lie in its memory.
+TASK_RANGES = 4
+
 #: Table functions of SQL over the views of ``register``; ``{p}`` is the name that they share.
 FUNCTIONS = (
     r"""search_wiki(q STRING) RETURNS TABLE(path STRING, title STRING, type STRING, summary STRING, score_micro BIGINT) RETURN
     SELECT c.path, c.title, c.type, c.summary, s.score_micro FROM (
         SELECT note AS path, CAST(floor(aggregate(array_sort(collect_list(struct(pos, adds))), 0D, (a, x) -> a + x.adds) * 1e6D) AS BIGINT) AS score_micro
-        FROM (SELECT t.pos, p.note, ln(1 + (p.notes - p.df + 0.5D) / (p.df + 0.5D)) * p.tf * 2.5D / (p.tf + 1.5D * (0.25D + 0.75D * p.size / greatest(p.mean, 1e-12D))) AS adds
+        FROM (SELECT t.pos, p.range, p.note, ln(1 + (p.notes - p.df + 0.5D) / (p.df + 0.5D)) * p.tf * 2.5D / (p.tf + 1.5D * (0.25D + 0.75D * p.size / greatest(p.mean, 1e-12D))) AS adds
             FROM (SELECT posexplode(array_distinct(filter(split(lower(search_wiki.q), '\\s+'), x -> x <> ''))) AS (pos, term)) t JOIN {p}_postings p ON p.term = t.term)
-        GROUP BY note ORDER BY score_micro DESC, path LIMIT 10) s JOIN {p}_catalog c ON c.path = s.path WHERE s.score_micro >= 0""",
+        GROUP BY range, note ORDER BY score_micro DESC, path LIMIT 10) s JOIN {p}_catalog c ON c.path = s.path WHERE s.score_micro >= 0""",
     "read_page(page STRING) RETURNS TABLE(path STRING, text STRING) RETURN SELECT n.path, n.text FROM {p}_pages n WHERE n.path = CASE WHEN read_page.page LIKE '%.md' THEN read_page.page ELSE read_page.page || '.md' END",
     "get_related(page STRING) RETURNS TABLE(path STRING, title STRING) RETURN SELECT r.related, r.title FROM {p}_related r WHERE r.path = CASE WHEN get_related.page LIKE '%.md' THEN get_related.page ELSE get_related.page || '.md' END",
     "read_raw_source(name STRING) RETURNS TABLE(text STRING) RETURN SELECT r.text FROM {p}_raw r WHERE r.source = read_raw_source.name",
@@ -35,8 +38,11 @@ def register(spark: SparkSession, catalog: DataFrame, postings: DataFrame, notes
     table of ``postings.blocks``; ``notes``: path, content; ``raw``: source, page, text.
     """
     catalog.createOrReplaceTempView(f"{name}_catalog")
-    each = postings.select("term", "df", "notes", "mean", F.inline(F.arrays_zip("paths", "tfs", "sizes")))
-    each.select("term", "df", "notes", "mean", F.col("paths").alias("note"), F.col("tfs").cast("double").alias("tf"), F.col("sizes").alias("size")).createOrReplaceTempView(f"{name}_postings")
+    # a note's postings lie in one task before they meet the questions: scores are summed, and all but a question's best left out, where they are made
+    ranges = postings.agg(F.max("range")).first()[0]
+    dealt = postings.repartition(1 + (ranges or 0) // TASK_RANGES, "range")
+    each = dealt.select("term", "range", "df", "notes", "mean", F.inline(F.arrays_zip("paths", "tfs", "sizes")))
+    each.select("term", "range", "df", "notes", "mean", F.col("paths").alias("note"), F.col("tfs").cast("double").alias("tf"), F.col("sizes").alias("size")).createOrReplaceTempView(f"{name}_postings")
     notes.select("path", pages.page_text(F.col("path"), F.col("content"), tokenizer=tokenizer).alias("text")).createOrReplaceTempView(f"{name}_pages")
     one = C.related_notes(catalog).select("path", F.posexplode("related").alias("place", "related"))
     titles = catalog.select(F.col("path").alias("related"), "title")
