@@ -67,9 +67,8 @@ def usable(spark: SparkSession, pattern: str) -> bool:
 
 def content_matches(notes: DataFrame, pattern: str) -> DataFrame:
     """Notes whose content holds the pattern, whatever the case; a bad pattern matches nothing."""
-    if not usable(notes.sparkSession, f"(?i){pattern}"):
-        return notes.where(F.lit(False))
-    return notes.where(F.col("content").rlike(f"(?i){pattern}"))
+    whole = f"(?iu){pattern}"  # letters beyond A-Z too
+    return notes.where(F.col("content").rlike(whole) if usable(notes.sparkSession, whole) else F.lit(False))
 
 
 def content_search(catalog: DataFrame, notes: DataFrame, query: str, k: int = 10) -> DataFrame:

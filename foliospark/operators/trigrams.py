@@ -1,7 +1,7 @@
 """Regular expressions over stored contents through an index of three-character substrings.
 
 Notes are dealt to shelves of 64 ranges each by a hash of their paths. The index has, for each trigram
-and shelf, a number whose bits are the ranges in which a note has it, A-Z in lower case. A pattern
+and shelf, a number whose bits are the ranges in which a note has it, letters folded. A pattern
 gives a condition on trigrams that every match fulfils; the ranges that fulfil it come
 from the bits, only their shelves are read, and the pattern itself decides. Patterns without a trigram, and those
 of a syntax that Python does not share with Java, scan.
@@ -24,7 +24,11 @@ RANGE_NOTES, RANGES = 64, 64
 BUCKETS = 64
 #: Trigrams of a pattern that are asked for, and shelves whose folders are named in the plan; more are joined.
 MOST_GRAMS, MOST_SHELVES = 48, 4096
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def folded(text: str) -> str:
+    """A text whose letters that a pattern takes for one, whatever the case, are one; character by character."""
+    return text.replace("\u0130", "i").replace("\u0131", "i").casefold()
 
 
 def contents(notes: DataFrame) -> DataFrame:
@@ -46,7 +50,7 @@ def grams(stored: DataFrame) -> DataFrame:
         for batch in batches:
             found: dict[tuple[int, int], set[str]] = {}
             for shelf, range_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                text = (text.as_py() or "").translate(LOWER)
+                text = folded(text.as_py() or "")
                 found.setdefault((shelf, range_), set()).update(map("".join, zip(text, text[1:], text[2:])))
             for (shelf, range_), own in found.items():
                 mask = 1 << range_ if range_ < 63 else -(1 << 63)
@@ -67,7 +71,7 @@ def both(parts: list[Condition]) -> Condition:
 
 
 def run_of(text: str) -> Condition:
-    text = text.translate(LOWER)
+    text = folded(text)
     return both(list(dict.fromkeys(text[i : i + 3] for i in range(len(text) - 2))))
 
 
@@ -142,7 +146,7 @@ def matches(stored: DataFrame, index: DataFrame, pattern: str) -> DataFrame:
 
     ``stored`` and ``index``: the tables of ``contents`` and ``grams``.
     """
-    whole = f"(?i){pattern}"
+    whole = f"(?iu){pattern}"
     if not usable(stored.sparkSession, whole):
         return stored.select("path", "content").where(F.lit(False))
     condition = needed(pattern)

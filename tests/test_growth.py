@@ -52,3 +52,11 @@ def test_a_page_by_its_path_is_whole_or_no_row(spark, tmp_path, lang, found):
     text = " ".join(f"w{i}" for i in range(5000))
     spark.createDataFrame([(1, text, lang, "s", len(text)), (2, "the other", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
     assert [r.text for r in registry.QUERIES["q_page_by_path"](spark, f"file://{tmp_path}").collect()] == [text] * found
+
+
+def test_patterns_take_letters_beyond_ascii_whatever_the_case(spark):
+    notes = spark.createDataFrame([("a", "x CI\u00d3N\u00d1 y"), ("b", "x ci\u00f3n\u00f1 y"), ("c", "nothing")], "path string, content string")
+    stored = trigrams.contents(notes)
+    for p in ("ci\u00f3n\u00f1\\s", "CI\u00d3N\u00d1"):
+        assert sorted(r.path for r in trigrams.matches(stored, trigrams.grams(stored), p).collect()) == ["a", "b"]
+        assert sorted(r.path for r in search.content_matches(notes, p).collect()) == ["a", "b"]
