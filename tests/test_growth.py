@@ -40,6 +40,39 @@ def test_searches_by_table_function_exchange_no_scored_pairs(spark):
     assert records < 50 * 600 / 2  # each question matches each note
 
 
+def test_backlinks_exchange_no_pairs(spark):
+    """A thousand pages of one name, and a thousand that link to it: two million pairs of eight bytes."""
+    linked = spark.range(2000).select(F.col("id").alias("page_id"), F.when(F.col("id") < 1000, "a").otherwise("b").alias("name"), F.when(F.col("id") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a b"), F.lit("x"))).alias("links"))
+    every = [i for i in range(2000) if i % 2 == 0]
+    rows, _, size = shuffled(spark, catalog.backlinks(linked))
+    assert {r.page_id: r.backlinks for r in rows} == {i: [s for s in every if s != i] for i in range(1000)}
+    assert size < 200_000
+    rows, _, size = shuffled(spark, catalog.backlinks_within(linked))
+    got = {r.page_id: r.backlinks for r in rows}
+    assert len(got) == 2000 and all(got[i] == [s for s in range(2000) if s != i] for i in range(1000)) and got[1001] == [i for i in range(2000) if i % 2 and i != 1001]
+    assert size < 400_000
+
+
+def test_entries_and_updates_exchange_no_lists(spark, tmp_path):
+    notes = spark.createDataFrame([entry(f"c/{i:04d}.md", "a", ["a"]) for i in range(1000)], NOTE)
+    rows, _, size = shuffled(spark, catalog.entries(notes))
+    assert all(len(r.backlinks) == 999 and r.path not in r.backlinks for r in rows) and size < 1_000_000
+    catalog.save(catalog.entries(notes), f"file://{tmp_path}/c")
+    changed = spark.createDataFrame([entry("c/0007.md", "a", [])], NOTE)
+    rows, _, size = shuffled(spark, catalog.updated(catalog.load(spark, f"file://{tmp_path}/c"), changed))
+    assert len(rows) == 1000 and all("c/0007.md" not in r.backlinks for r in rows) and size < 1_000_000
+
+
+def test_related_pages_of_a_common_name(spark):
+    """Eight sources behind the links, whatever their number; one of them is the page itself, some are links already."""
+    linked = spark.createDataFrame([(i, "a", ["1", "3", "raw/x", "a"]) for i in range(200)], "page_id long, name string, links array<string>")
+    rows, _, size = shuffled(spark, catalog.related(linked))
+    for r in rows:
+        plain = ["1", "3", "a"] + [str(i) for i in range(200) if i != r.page_id and i not in (1, 3)]
+        assert r.related == plain[:8]
+    assert len(rows) == 200 and size < 60_000
+
+
 def test_a_page_of_two_sections_as_the_sql_reads_it(spark):
     n = spark.createDataFrame([("a.md", " ".join(f"w{i}" for i in range(4100)))], "path string, content string")
     head = lambda **k: pages.read_page(n, n.select("path"), **k).first().page.split("]")[0] + "]"
