@@ -71,12 +71,13 @@ def search(table: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     first = sums.withColumn("place", place).where(F.col("place") <= k).select("qid", "range")
 
     def scores(ranges: DataFrame) -> DataFrame:
-        rows = held.join(ranges, ["qid", "range"]).select("qid", "pos", idf.alias("idf"), "mean", F.explode(F.arrays_zip("paths", "tfs", "sizes")).alias("n"))
+        # a query's blocks of a range meet in one task, which scores its notes there: no single posting is exchanged
+        rows = held.join(ranges.hint("merge"), ["qid", "range"]).select("qid", "range", "pos", idf.alias("idf"), "mean", F.explode(F.arrays_zip("paths", "tfs", "sizes")).alias("n"))
         tf = F.col("n.tfs").cast("double")
         # the terms are added from the left, each as the scan computes it
         adds = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n.sizes") / F.greatest("mean", F.lit(1e-12))))
-        each = rows.select("qid", F.col("n.paths").alias("path"), "pos", adds.alias("adds"))
-        got = each.groupBy("qid", "path").agg(F.array_sort(F.collect_list(F.struct("pos", "adds"))).alias("a"))
+        each = rows.select("qid", "range", F.col("n.paths").alias("path"), "pos", adds.alias("adds"))
+        got = each.groupBy("qid", "range", "path").agg(F.array_sort(F.collect_list(F.struct("pos", "adds"))).alias("a"))
         return got.select("qid", "path", F.aggregate("a", F.lit(0.0), lambda s, x: s + x["adds"]).alias("score")).where("score > 0").select("qid", "path", micro(F.col("score")).alias("score_micro"))
 
     best = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score_micro"), "path"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from foliospark.operators import catalog, pages, postings, search, tools, trigrams
+from foliospark.operators import catalog, consolidate, pages, postings, search, sections, tools, trigrams
 from foliospark.plans import registry
 from foliospark.sources import adapters
 from pyspark.sql import functions as F
@@ -102,3 +102,49 @@ def test_names_that_capitals_do_not_give_back_are_linked(spark, tmp_path):
     got = {r.path: r.related for r in registry.QUERIES["q_related_scan"](spark, f"file://{tmp_path}").collect()}
     assert got["ie\u00df.md"] == "other.md" and got["caf\u00e9.md"] == "other.md"
     assert "CAF\u00c9" in adapters.page_notes(spark, f"file://{tmp_path}").where("path = 'other.md'").first().content
+
+
+def test_many_searches_exchange_no_single_postings(spark):
+    notes = spark.createDataFrame([entry(f"c/{i}.md", f"common word{i % 7} t{i}", []) for i in range(600)], NOTE)
+    table = postings.blocks(catalog.entries(notes)).localCheckpoint()
+    asked = spark.createDataFrame([(q, f"common word{q % 7} q{q}") for q in range(50)], "qid int, query string")
+    rows, records, _ = shuffled(spark, postings.search(table, asked))
+    assert len(rows) == 500
+    assert records < 50 * 600 / 2
+
+
+def letters(path: str):
+    """A tokenizer of single characters; each call leaves a line in a file."""
+
+    class Letters:  # inside, so that it travels by value
+        def ends(self, text: str) -> list[int]:
+            with open(path, "a") as f:
+                f.write("call\n")
+            return list(range(1, len(text) + 1))
+
+    return Letters()
+
+
+def test_a_raw_read_counts_each_page_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    rows = spark.createDataFrame([("s", i, "abcdefghij") for i in range(40)], "source string, ord int, text string")
+    assert pages.read_raw(rows, 25, letters(str(calls))).first().text == f"abcdefghij\n\nabcdefghij\n\nabcde\n\n{pages.CUT_OFF}"
+    assert len(calls.read_text().split()) <= 40 + 3
+
+
+@pytest.mark.parametrize("use", ["pages", "sections", "clusters"])
+def test_batches_of_texts_are_small(spark, use):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        rows = spark.createDataFrame([(1, "text")], "doc_id int, text string")
+        if use == "pages":
+            pages.counted(F.col("text"), letters("none"))
+        elif use == "sections":
+            sections.analysed(rows)
+        else:
+            consolidate.merged(rows.select(F.lit(1).alias("cluster"), F.lit(1).alias("ord"), F.lit("t").alias("title"), F.lit("k").alias("type"), F.lit("s").alias("summary"), F.array(F.lit("k")).alias("keywords"), F.col("text").alias("content")))
+        assert int(spark.conf.get(name)) <= 256
+    finally:
+        spark.conf.set(name, before)
