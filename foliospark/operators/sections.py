@@ -301,6 +301,7 @@ def analysed(docs: DataFrame, sectionizer: Sectionizer = by_stride) -> DataFrame
                     rows.append((doc_id, 0, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["doc_id", "ord", "title", "section_id", "start_marker", "end_marker", "error"])
 
+    store.small_batches()
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", T.sample(F.col("text")).alias("sample")).mapInPandas(work, f"doc_id {kind}, ord int, title string, section_id string, start_marker string, end_marker string, error string")
     return titled(found)
