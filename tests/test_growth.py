@@ -70,7 +70,7 @@ def test_related_pages_of_a_common_name(spark):
     for r in rows:
         plain = ["1", "3", "a"] + [str(i) for i in range(200) if i != r.page_id and i not in (1, 3)]
         assert r.related == plain[:8]
-    assert len(rows) == 200 and size < 60_000
+    assert len(rows) == 200 and size < 15_000
 
 
 def test_a_page_of_two_sections_as_the_sql_reads_it(spark):
