@@ -231,23 +231,24 @@ def sliced(docs: DataFrame, sections: DataFrame, least: int = 80) -> DataFrame:
 
 
 def cut_sections(rows: DataFrame, least: int) -> DataFrame:
-    """``rows``: doc_id, text, sections. A section goes from its start marker to the next place of its end
+    """doc_id, ord, title, place, chunk of the sections of each row of ``rows``: doc_id, text, sections."""
+    return with_parts(rows, least).select("doc_id", F.explode("parts").alias("p")).select("doc_id", "p.*")
+
+
+def with_parts(rows: DataFrame, least: int) -> DataFrame:
+    """``rows`` (text, sections) with ``parts``: an array of ord, title, place, chunk, null where there is none.
+
+    A section goes from its start marker to the next place of its end
     marker behind that, or to the end of the text; one whose start is not found, or that is short, is left out.
     Markers are found in the collapsed text; an offset map cuts the text itself."""
-    rows = rows.withColumn("norm", T.collapsed(F.col("text")))
-    norm = F.col("norm")
-
-    def cut(s):
-        at = T.locate_in(norm, T.collapsed(s["start_marker"]))
-        return F.struct(s["ord"].alias("ord"), s["title"].alias("title"), at.cast("int").alias("place"), F.length(s["start_marker"]).alias("n"), s["end_marker"].alias("end"))
 
-    def ended(s):
-        stop = F.when(s["end"] != END, T.locate_in(norm, T.collapsed(s["end"]), s["place"] + s["n"])).otherwise(F.lit(-1))
-        stop = F.when(stop >= 0, F.greatest(stop, s["place"])).otherwise(F.length(norm))
-        return F.struct(s["ord"].alias("ord"), s["title"].alias("title"), s["place"].alias("place"), stop.cast("int").alias("stop"))
+    def mark(s):
+        end = F.when(s["end_marker"] != END, T.collapsed(s["end_marker"]))
+        return F.struct(s["ord"].alias("ord"), s["title"].alias("title"), T.collapsed(s["start_marker"]).alias("start"), F.length(s["start_marker"]).alias("n"), end.alias("end"))
 
-    found = F.filter(F.transform("sections", cut), lambda s: s["place"] >= 0)
-    return offsets.raw_parts(rows.select("doc_id", "text", F.transform(found, ended).alias("spots")), least)
+    ordinal = rows.schema["sections"].dataType.elementType["ord"].dataType.simpleString()
+    norm = F.when(F.col("sections").isNotNull(), T.collapsed(F.col("text")))
+    return rows.withColumn("parts", offsets.raw_parts(F.col("text"), norm, F.transform("sections", mark), ordinal, least))
 
 
 def page_sections(sections: DataFrame, pages: DataFrame, least: int = 80, by: tuple[str, ...] = ()) -> DataFrame:
@@ -267,6 +268,7 @@ def batch_text(chunks: DataFrame) -> DataFrame:
 
 def batch_texts(chunks: DataFrame, limit: int = BATCH, least: int = 80) -> DataFrame:
     """source_id, batch, chunks, rendered: each batch of a source's chunks (source_id, ord, title, text) as one text."""
+    chunks = store.written(chunks.select("source_id", "ord", "title", "text"), "texts")  # read for their sizes, and again as texts
     batch = packed(chunks, limit, least).select("source_id", "ord", "batch")
     line = F.concat(F.lit("### Section: "), "title", F.lit("\n"), "text")
     rows = batch.join(chunks.select("source_id", "ord", line.alias("line")), ["source_id", "ord"])

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from foliospark.functions import offsets
+from foliospark.functions import text as T
 from foliospark.operators import catalog, consolidate, pages, postings, search, sections, tools, trigrams
 from foliospark.plans import registry
 from foliospark.sources import adapters
@@ -148,3 +152,48 @@ def test_batches_of_texts_are_small(spark, use):
         assert int(spark.conf.get(name)) <= 256
     finally:
         spark.conf.set(name, before)
+
+
+def test_chunks_are_made_once_for_their_batches(spark, tmp_path):
+    """A chunk is cut out of its text for its size and its batch at once; each making leaves a line in a file."""
+    path = str(tmp_path / "made")
+
+    @F.udf("string")
+    def made(i):
+        with open(path, "a") as f:
+            f.write("made\n")
+        return "word " * (i + 20)
+
+    chunks = spark.range(40).select((F.col("id") % 2).alias("source_id"), F.col("id").cast("int").alias("ord"), F.lit("T").alias("title"), made.asNondeterministic()("id").alias("text"))
+    rows = sections.batch_texts(chunks, 1000).collect()
+    assert sum(r.chunks for r in rows) == 40
+    with open(path) as f:
+        assert len(f.read().split()) == 40
+
+
+def test_markers_are_found_as_spark_finds_them(spark):
+    """Whole markers, their first long words, their last one, none; from all kinds of places, and in characters of all widths."""
+    rng = random.Random(7)
+    words = ["ab", "abc", "caf\u00e9", "\u6c49\u5b57\u6c49", "\U0001f600x\U0001f600", "na", "delta", "q"]
+    rows = []
+    for _ in range(400):
+        text = [rng.choice(words) for _ in range(rng.randrange(60))]
+        a = rng.randrange(len(text) + 1)
+        mark = text[a : a + rng.randrange(25)]
+        if rng.random() < 0.5:
+            mark.insert(rng.randrange(len(mark) + 1), rng.choice(["lost", "gone", "x"]))
+        rows.append((" ".join(text), " ".join(mark), rng.randrange(120) if rng.random() < 0.5 else 0))
+    got = spark.createDataFrame(rows, "norm string, mark string, start int").select("*", T.locate_in(F.col("norm"), F.col("mark"), F.col("start")).alias("place")).collect()
+    assert [offsets.located(r.norm, r.mark, r.start) for r in got] == [r.place for r in got]
+    assert sum(r.place < 0 for r in got) > 20 and sum(r.place > 0 for r in got) > 100
+
+
+def test_parts_of_texts_travel_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        sections.marker_slices(spark.createDataFrame([(1, "text")], "doc_id int, text string"), "a", "b")
+        assert int(spark.conf.get(name)) <= 256
+    finally:
+        spark.conf.set(name, before)
