@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -180,21 +181,25 @@ def packed(chunks: DataFrame, limit: int = BATCH, least: int = 80) -> DataFrame:
     return both.join(entries, ["key", "block"]).groupBy("pool").applyInPandas(numbered, f"source_id {source}, ord {kind}, batch int, size int")
 
 
-def routed(docs: DataFrame, toc: DataFrame | None = None) -> DataFrame:
-    """The strategy for each document, from its length and the sections that cheap ways find.
+def with_strategy(docs: DataFrame, toc: DataFrame | None = None) -> DataFrame:
+    """``docs`` (doc_id, text) with ``strategy``, from a document's length and the sections that cheap ways find; texts move only to meet a ``toc``.
 
     ``toc``: doc_id, level of the entries of all tables of contents, if there are any. A
     document has two sections of it where a level has two entries, as ``toc_sections`` chooses.
     """
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    listed = F.lit(0)
+    docs, listed = docs.withColumn("text", F.coalesce("text", F.lit(""))), F.lit(0)
     if toc is not None:
         levels = toc.groupBy("doc_id", "level").agg(F.count("*").alias("n"))
         docs = docs.join(levels.groupBy("doc_id").agg(F.max("n").alias("toc_sections")), "doc_id", "left")
         listed = F.coalesce("toc_sections", F.lit(0))
     found = F.size(F.filter(F.split("text", "\n"), T.is_heading))
     strategy = F.when(F.length("text") < SINGLE_PASS, "single").when(listed >= 2, "toc").when(found >= 3, "regex").otherwise("llm")
-    return docs.select("doc_id", strategy.alias("strategy"), F.length(T.sample(F.col("text"))).alias("sample_chars"))
+    return docs.withColumn("strategy", strategy).drop("toc_sections")
+
+
+def routed(docs: DataFrame, toc: DataFrame | None = None) -> DataFrame:
+    """The strategy for each document, and how much of it a sectionizer reads."""
+    return with_strategy(docs, toc).select("doc_id", "strategy", F.length(T.sample(F.col("text"))).alias("sample_chars"))
 
 
 def toc_sections(toc: DataFrame, total_pages: int | None = None, least: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
@@ -276,6 +281,28 @@ def batch_texts(chunks: DataFrame, limit: int = BATCH, least: int = 80) -> DataF
     return got.select("source_id", "batch", F.size("p").alias("chunks"), F.array_join(F.transform("p", lambda x: x["line"]), "\n\n").alias("rendered"))
 
 
+def batched(parts: Column, limit: int = BATCH) -> Column:
+    """An array of texts: the batches of a document's chunks as ``batch_texts`` has them, where the chunks (an array of title and chunk, in order) are one row's."""
+
+    def packs(chunks: list[dict]) -> list[str]:
+        out, size = [], 0
+        for c in chunks:
+            line, n = f"### Section: {c['title']}\n{c['chunk']}", len(c["chunk"])
+            if out and size + n <= limit:
+                out[-1].append(line)
+                size += n
+            else:
+                out.append([line])
+                size = n
+        return ["\n\n".join(lines) for lines in out]
+
+    def work(parts: pa.Array) -> pa.Array:
+        return pa.array([packs(p.as_py()) if p.is_valid else None for p in parts], pa.list_(pa.string()))
+
+    store.small_batches()
+    return F.arrow_udf(work, "array<string>").asNondeterministic()(parts)
+
+
 #: text -> (title, section_id, start_marker, end_marker) of its sections; title and id may be empty
 Sectionizer = Callable[[str], list[tuple[str, str, str, str]]]
 
@@ -286,27 +313,38 @@ def by_stride(text: str, stride: int = 4000, marker: int = 60) -> list[tuple[str
     return [("", "", a, b) for a, b in zip(starts, [*starts[1:], END], strict=True)]
 
 
+FOUND = "array<struct<ord:int,title:string,section_id:string,start_marker:string,end_marker:string,error:string>>"
+
+
+def sections_found(text: Column, sectionizer: Sectionizer = by_stride) -> Column:
+    """An array of ord, title, section_id, start_marker, end_marker, error: what a model finds in a sample of a text; null where the text is.
+
+    A sectionizer's exception becomes one item with ``error``. Titles and ids are as the sectionizer gives them.
+    """
+    names = ["ord", "title", "section_id", "start_marker", "end_marker", "error"]
+
+    def listed(sample: str) -> list[dict]:
+        try:
+            return [dict(zip(names, (k, *s, None), strict=True)) for k, s in enumerate(sectionizer(sample), 1)]
+        except Exception as e:  # one document's failure is a value, not the job's
+            return [{"ord": 0, "error": str(e)}]
+
+    def work(samples: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([(n, pa.int32() if n == "ord" else pa.string()) for n in names]))
+        return pa.array([None if t is None else listed(t) for t in samples.to_pylist()], kind)
+
+    store.small_batches()
+    return F.arrow_udf(work, FOUND).asNondeterministic()(T.sample(text))
+
+
 def analysed(docs: DataFrame, sectionizer: Sectionizer = by_stride) -> DataFrame:
     """doc_id, ord, title, section_id, start_marker, end_marker, error: the sections that a model finds in a sample of each text.
 
     A sectionizer's exception becomes a row with ``error``. Titles and ids that it leaves
     empty come from the start marker and the title.
     """
-
-    def work(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["sample"], strict=True):
-                try:
-                    rows += [(doc_id, k, *s, None) for k, s in enumerate(sectionizer(text or ""), 1)]
-                except Exception as e:  # one document's failure is a value, not the job's
-                    rows.append((doc_id, 0, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["doc_id", "ord", "title", "section_id", "start_marker", "end_marker", "error"])
-
-    store.small_batches()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", T.sample(F.col("text")).alias("sample")).mapInPandas(work, f"doc_id {kind}, ord int, title string, section_id string, start_marker string, end_marker string, error string")
-    return titled(found)
+    found = docs.select("doc_id", sections_found(F.coalesce("text", F.lit("")), sectionizer).alias("found"))
+    return titled(found.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.*"))
 
 
 def titled(sections: DataFrame) -> DataFrame:

@@ -19,11 +19,26 @@ from ..operators import catalog, consolidate, ingest, sections
 from ..sources import files, store
 
 
-def heading_sections(docs: DataFrame) -> DataFrame:
-    """doc_id, ord, title, start_marker, end_marker from the heading lines of texts."""
-    lines = docs.select(F.col("doc_id").alias("source_id"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    found = sections.section_bounds(sections.headings(lines.select("source_id", F.col("k").cast("long").alias("k"), "line")))
-    return found.select(F.col("source_id").alias("doc_id"), F.col("k").cast("int").alias("ord"), "title", F.col("title").alias("start_marker"), "end_marker")
+def with_sections(docs: DataFrame, sectionizer: sections.Sectionizer) -> DataFrame:
+    """``docs`` (text, strategy) with ``sections``: an array of ord, title, start_marker, end_marker, from the heading lines of a text or a sectionizer; and ``failed``, why that found none.
+
+    A text's sections stay in its row, so that they need not be brought to it.
+    """
+    line = lambda x, k: F.struct(k.alias("ord"), F.trim(x).alias("title"), T.is_heading(x).alias("is_heading"))
+    heads = F.filter(F.transform(F.split("text", "\n"), line), lambda x: x["is_heading"])
+    found = sections.sections_found(F.when(F.col("strategy") == "llm", F.col("text")), sectionizer)
+    rows = docs.withColumn("heads", F.when(F.col("strategy") == "regex", heads)).withColumn("found", found)
+
+    def headed(x, k):
+        behind = F.coalesce(F.get("heads", k + 1)["title"], F.lit(sections.END))
+        return F.struct(x["ord"].alias("ord"), x["title"].alias("title"), x["title"].alias("start_marker"), behind.alias("end_marker"))
+
+    def told(x):
+        return F.struct(x["ord"].alias("ord"), T.section_title(x["title"], x["start_marker"], x["ord"]).alias("title"), x["start_marker"].alias("start_marker"), x["end_marker"].alias("end_marker"))
+
+    by_model = F.transform(F.filter("found", lambda x: x["error"].isNull()), told)
+    failed = F.array_min(F.transform("found", lambda x: x["error"]))
+    return rows.withColumn("sections", F.coalesce(F.transform("heads", headed), by_model)).withColumn("failed", failed).drop("heads", "found")
 
 
 def page_chunks(docs: DataFrame, toc: DataFrame, pages: DataFrame) -> DataFrame:
@@ -35,49 +50,80 @@ def page_chunks(docs: DataFrame, toc: DataFrame, pages: DataFrame) -> DataFrame:
     return sections.page_sections(bounds, pages, by=("doc_id",))
 
 
+class Cut(NamedTuple):
+    """``documents``: doc_id, text, why, parts (an array of ord, title, chunk and place, null for a single pass), and ``paged``: doc_id, ord, title, chunk of those that are cut at their pages, if any."""
+
+    documents: DataFrame
+    paged: DataFrame | None
+
+
+def cut(docs: DataFrame, sectionizer: sections.Sectionizer, toc: DataFrame | None, pages: DataFrame | None) -> Cut:
+    """Documents with their chunks, by the strategy that the length, table of contents and headings of each call for.
+
+    A text is cut in its row and not exchanged; only what has a table of contents meets its pages.
+    """
+    told = sections.with_strategy(docs.select("doc_id", "text").where("doc_id is not null"), toc)
+    rows = sections.with_parts(with_sections(told, sectionizer), 80)
+    why = F.when(F.col("strategy") == "single", "short").otherwise(F.coalesce(F.concat(F.lit("sectionizer failed: "), "failed"), F.lit("no section found")))
+    rows = rows.select("doc_id", "text", "strategy", why.alias("why"), "parts")
+    if toc is None or pages is None:
+        return Cut(rows.drop("strategy"), None)
+    rows = store.written(rows, "told")
+    listed = rows.where("strategy = 'toc'")
+    paged = store.written(page_chunks(listed, toc, pages), "paged")
+    rest = listed.join(paged.select("doc_id").distinct(), "doc_id", "left_anti")
+    return Cut(rows.where("strategy <> 'toc'").unionByName(rest).drop("strategy"), paged)
+
+
 def chunks(docs: DataFrame, sectionizer: sections.Sectionizer = sections.by_stride, toc: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
-    """source_id, ord, title, text, why: the chunks of each document (doc_id, text), by the strategy that its length, table of contents and headings call for.
+    """source_id, ord, title, text, why: the chunks of each document (doc_id, text).
 
     ``toc``: doc_id, ord, level, title, page; ``pages``: doc_id, page_no, text. A document that is read in a single
     pass is one chunk of ord -1, whole, with ``why``: it is short, its sectionizer failed, or no section of it was found.
     """
-    way = sections.routed(docs, toc).select("doc_id", "strategy")
-    told = store.written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(way, "doc_id"), "told")
-    by_model = store.written(sections.analysed(told.where("strategy = 'llm'"), sectionizer), "analysed")
-    marked = heading_sections(told.where("strategy = 'regex'")).union(by_model.where("error is null").select("doc_id", "ord", "title", "start_marker", "end_marker"))
-    cut = sections.sliced(told, marked).select("doc_id", "ord", "title", "chunk")
-    if toc is not None and pages is not None:
-        cut = cut.union(page_chunks(told.where("strategy = 'toc'"), toc, pages))
-    cut = store.written(cut, "cut")
-    failed = by_model.where("error is not null").groupBy("doc_id").agg(F.concat(F.lit("sectionizer failed: "), F.min("error")).alias("failed"))
-    whole = told.join(cut.select("doc_id").distinct(), "doc_id", "left_anti").join(failed, "doc_id", "left")
-    why = F.when(F.col("strategy") == "single", "short").otherwise(F.coalesce("failed", F.lit("no section found")))
-    title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
-    single = whole.select(F.col("doc_id").alias("source_id"), F.lit(-1).alias("ord"), title.alias("title"), "text", why.alias("why"))
-    return single.union(cut.select(F.col("doc_id").alias("source_id"), "ord", "title", F.col("chunk").alias("text"), F.lit(None).cast("string")))
-
-
-def batches(parts: DataFrame, batch_chars: int = sections.BATCH) -> DataFrame:
-    """source_id, batch, rendered: what an extractor reads. A document in a single pass is its own batch, as it stands."""
-    single = parts.where("ord = -1").select("source_id", F.lit(0).alias("batch"), F.col("text").alias("rendered"))
-    return single.union(sections.batch_texts(parts.where("ord >= 0"), batch_chars, -1).select("source_id", "batch", "rendered"))
+    rows, paged = cut(docs, sectionizer, toc, pages)
+    rows = rows.select("doc_id", "text", "why", F.explode_outer("parts").alias("p"))
+    whole = F.col("p").isNull()
+    title = F.when(whole, F.concat(F.lit("Document "), F.col("doc_id").cast("string"))).otherwise(F.col("p.title"))
+    text = F.when(whole, F.col("text")).otherwise(F.col("p.chunk"))
+    out = rows.select(F.col("doc_id").alias("source_id"), F.coalesce("p.ord", F.lit(-1)).alias("ord"), title.alias("title"), text.alias("text"), F.when(whole, F.col("why")).alias("why"))
+    return out if paged is None else out.union(paged.select("doc_id", "ord", "title", "chunk", F.lit(None).cast("string")))
+
+
+def batches(docs: DataFrame, batch_chars: int, sectionizer: sections.Sectionizer, toc: DataFrame | None, pages: DataFrame | None) -> DataFrame:
+    """source_id, batch, of, rendered: what an extractor reads, and how many batches the document has, if that is known. A document in a single pass is its own batch, as it stands."""
+    rows, paged = cut(docs, sectionizer, toc, pages)
+    rows = rows.select("doc_id", "text", sections.batched(F.col("parts"), batch_chars).alias("texts"))
+    rows = rows.select("doc_id", F.coalesce("texts", F.array("text")).alias("texts"))
+    out = rows.select(F.col("doc_id").alias("source_id"), F.size("texts").alias("of"), F.posexplode("texts").alias("batch", "rendered")).select("source_id", "batch", "of", "rendered")
+    if paged is None:
+        return out
+    texts = sections.batch_texts(paged.select(F.col("doc_id").alias("source_id"), "ord", "title", F.col("chunk").alias("text")), batch_chars, -1)
+    return out.union(texts.select("source_id", "batch", F.lit(None).cast("int"), "rendered"))
 
 
 def extracted(batches: DataFrame, extractor: ingest.Extractor = ingest.extractive) -> DataFrame:
-    """source, ord, title, type, summary, keywords, content, error: the note of each batch (source_id, batch, rendered), or why there is none."""
-    rows = batches.select(F.struct("source_id", "batch").alias("doc_id"), F.col("rendered").alias("text"))
+    """source, ord, of, title, type, summary, keywords, content, error: the note of each batch (source_id, batch, of, rendered), or why there is none."""
+    store.small_batches()
+    rows = batches.select(F.struct("source_id", "batch", "of").alias("doc_id"), F.col("rendered").alias("text"))
     notes = ingest.extract(rows, extractor)
     error = F.when(F.col("error").isNull() & (F.col("title").isNull() | F.col("type").isNull()), F.lit("a note without title or type")).otherwise(F.col("error"))
-    return notes.select(F.col("doc_id.source_id").cast("string").alias("source"), F.col("doc_id.batch").alias("ord"), "title", "type", "summary", "keywords", "content", error.alias("error"))
+    return notes.select(F.col("doc_id.source_id").cast("string").alias("source"), F.col("doc_id.batch").alias("ord"), "doc_id.of", "title", "type", "summary", "keywords", "content", error.alias("error"))
 
 
 def consolidated(notes: DataFrame, merger: consolidate.Merger = consolidate.first_and_all, least: int = 5) -> DataFrame:
-    """source, title, type, summary, keywords, content, members: notes of a document with similar titles are merged."""
-    seeds = consolidate.clusters(notes, least=least).drop("n")
-    found = notes.join(seeds, ["source", "type", "title"])
+    """source, title, type, summary, keywords, content, members: notes of a document with similar titles are merged.
+
+    The note of a document of one batch (``of``) is alone and stays where it is.
+    """
+    cols = ["title", "type", "summary", "keywords", "content"]
+    alone, others = notes.where("of = 1"), notes.where("of is null or of > 1")  # one is not known of a ledger's rows
+    seeds = consolidate.clusters(others, least=least).drop("n")
+    found = others.join(seeds, ["source", "type", "title"])
     key = F.to_json(F.struct("source", "type", "seed"))
-    out = consolidate.merged(found.select(key.alias("cluster"), "ord", "title", "type", "summary", "keywords", "content"), merger)
-    return out.select(F.get_json_object("cluster", "$.source").alias("source"), "title", "type", "summary", "keywords", "content", "members")
+    out = consolidate.merged(found.select(key.alias("cluster"), "ord", *cols), merger)
+    merged = out.select(F.get_json_object("cluster", "$.source").alias("source"), *cols, "members")
+    return merged.union(alone.select("source", *cols, F.lit(1).alias("members")))
 
 
 def as_notes(found: DataFrame, today: str) -> DataFrame:
@@ -105,8 +151,7 @@ def ingested(
     extractor: ingest.Extractor = ingest.extractive, merger: consolidate.Merger = consolidate.first_and_all, toc: DataFrame | None = None, pages: DataFrame | None = None,
 ) -> Ingested:
     """The notes of documents (doc_id, text). A null text is an empty one."""
-    parts = store.written(chunks(docs, sectionizer, toc, pages), "chunks")
-    found = store.written(extracted(batches(parts, batch_chars), extractor), "notes")
+    found = store.written(extracted(batches(docs, batch_chars, sectionizer, toc, pages), extractor), "notes")
     notes = as_notes(consolidated(found.where("error is null").drop("error"), merger, least), today)
     return Ingested(notes, found.where("error is not null").select("source", "ord", "error"))
 
@@ -129,7 +174,7 @@ def resumed(
     a note whose path another document's has is left out. ``stamp`` grows from run to run.
     """
     spark, at = docs.sparkSession, f"{root}/.ledger"
-    text = batches(store.written(chunks(docs, sectionizer, toc, pages), "chunks"), batch_chars)
+    text = batches(docs, batch_chars, sectionizer, toc, pages)
     key = [F.col("source_id").cast("string").alias("source_id"), F.col("batch").cast("int").alias("batch")]
     wanted = store.written(text.select(*key, "rendered", F.sha2("rendered", 256).alias("digest")), "wanted")
     before = store.written(ledger(spark, at), "ledger")
@@ -139,7 +184,7 @@ def resumed(
     if others:
         todo = todo.union(again)
     todo = store.written(todo, "todo")
-    tried = extracted(todo.select("source_id", "batch", "rendered"), extractor)
+    tried = extracted(todo.select("source_id", "batch", F.lit(None).cast("int").alias("of"), "rendered"), extractor)
     tried = tried.join(todo.select(F.col("source_id").alias("source"), F.col("batch").alias("ord"), "digest", "rendered"), ["source", "ord"])
     columns = [c.split()[0] for c in LEDGER.split(", ")]
     tried = tried.withColumn("rendered", F.when(F.col("error").isNotNull(), F.col("rendered"))).withColumn("stamp", F.lit(stamp).cast("long"))
@@ -148,7 +193,7 @@ def resumed(
     have = now.join(wanted.select(F.col("source_id").alias("source"), F.col("batch").alias("ord"), "digest"), ["source", "ord", "digest"], "left_semi")
     if others:  # all batches of the documents that were tried again
         have = have.unionByName(now.join(again.select("source").distinct(), "source", "left_semi"))
-    found = store.written(have, "notes")
+    found = store.written(have.withColumn("of", F.lit(None).cast("int")), "notes")
     notes = as_notes(consolidated(found.where("error is null").drop("error", "digest", "rendered", "stamp"), merger, least), today)
     if others:
         theirs = catalog.load(spark, f"{root}/.catalog").select("path", F.col("sources").alias("theirs"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from foliospark.functions import offsets
 from foliospark.functions import text as T
 from foliospark.operators import catalog, consolidate, pages, postings, search, sections, tools, trigrams
-from foliospark.plans import registry
+from foliospark.plans import flow, registry
 from foliospark.sources import adapters
 from pyspark.sql import functions as F
 
@@ -197,3 +198,38 @@ def test_parts_of_texts_travel_in_small_batches(spark):
         assert int(spark.conf.get(name)) <= 256
     finally:
         spark.conf.set(name, before)
+
+
+def test_the_flow_exchanges_no_text_until_notes_meet(spark):
+    """Texts of random letters: a note of a document with others goes to them, and each goes to its path; nothing else moves."""
+    rng = random.Random(3)
+
+    def text(n):
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(n // 10))
+
+    docs = [(i, text(6_000)) for i in range(40)] + [(i, "\n".join(f"{k} Head {text(20)}\n{text(8_000)}" for k in range(1, 5))) for i in range(40, 46)] + [(i, text(30_000)) for i in range(46, 52)]
+    size = sum(len(t) for _, t in docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).localCheckpoint()
+    rows, _, moved = shuffled(spark, SimpleNamespace(collect=lambda: flow.ingested(frame, "2024-01-31", 5_000, 2).notes.collect()))
+    assert {r.source for r in rows} == {str(i) for i, _ in docs} and sum(r.members for r in rows) > 40 + 12 * 3
+    assert moved < 3 * size
+
+
+def test_a_rows_chunks_are_packed_as_a_sources(spark):
+    rng = random.Random(5)
+    rows = [(i, k, f"T{k}", rng.choice("xy\u6c49") * rng.choice([1, 90, 400, 1000, 1001, 1500])) for i in range(30) for k in range(rng.randrange(9))]
+    chunks = spark.createDataFrame(rows, "source_id int, ord int, title string, text string")
+    plain = sorted((r.source_id, r.batch, r.rendered) for r in sections.batch_texts(chunks, 1000, -1).collect())
+    listed = chunks.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("ord", "title", F.col("text").alias("chunk")))).alias("parts"))
+    texts = listed.select("source_id", F.posexplode(sections.batched(F.col("parts"), 1000)).alias("batch", "rendered"))
+    assert sorted((r.source_id, r.batch, r.rendered) for r in texts.collect()) == plain and len(plain) > 50
+
+
+def test_notes_travel_once_to_their_cluster(spark):
+    rng = random.Random(6)
+    rows = [(i // 2 if i < 40 else i, i, "t", "concept", "s", ["k"], "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5_000))) for i in range(100)]
+    notes = spark.createDataFrame(rows, "cluster int, ord int, title string, type string, summary string, keywords array<string>, content string").repartition(4).localCheckpoint()
+    got, _, moved = shuffled(spark, consolidate.merged(notes))
+    assert sorted((r.cluster, r.members) for r in got) == [(i, 2) for i in range(20)] + [(i, 1) for i in range(40, 100)]
+    assert {r.cluster: r.content for r in got}[3] == rows[6][6] + "\n\n" + rows[7][6]
+    assert moved < 1.2 * 100 * 5_000
