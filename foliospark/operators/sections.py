@@ -102,7 +102,7 @@ def batch_ends(before: np.ndarray, size: np.ndarray, limit: int) -> np.ndarray:
 def packed(chunks: DataFrame, limit: int = BATCH, least: int = 80) -> DataFrame:
     """Greedy batches of a source's chunks in order, up to ``limit`` characters; a longer chunk is alone: source_id, ord, batch, size.
 
-    Where a batch starts hangs on the one before it, so a source is packed in three steps.
+    Where a batch starts hangs on the one before it, so a source of more than a block is packed in three steps.
     Running sums deal its chunks to blocks of PACK_BLOCK batches' characters. In each block
     the chain of batches is followed from every chunk that a batch of an earlier block may
     end before: the place where it leaves the block, and how many batches it has. Only
@@ -116,6 +116,7 @@ def packed(chunks: DataFrame, limit: int = BATCH, least: int = 80) -> DataFrame:
     # a call takes the blocks of a pool, which is about one block's characters
     pools = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // span)
     rows = running_before(kept, "source_id", "ord", "size", "before").withColumn("block", F.floor(F.col("before") / span)).withColumn("key", F.xxhash64("source_id"))
+    rows = store.written(rows, "blocks")
     # a block sees the chunks behind it that its last batches may take
     ahead = rows.where((F.col("before") % span < limit) & (F.col("block") > 0)).withColumn("block", F.col("block") - 1)
     both = rows.withColumn("own", F.lit(True)).union(ahead.withColumn("own", F.lit(False)))
@@ -145,7 +146,9 @@ def packed(chunks: DataFrame, limit: int = BATCH, least: int = 80) -> DataFrame:
             out.append(np.c_[key, np.full(len(entry), block), before[:n][entry], leave[entry], count[entry]])
         return pd.DataFrame(np.concatenate(out), columns=["key", "block", "entry", "leave", "batches"])
 
-    steps = both.select("pool", "key", "block", "before", "size", "own").groupBy("pool").applyInPandas(chains, "key long, block long, entry long, leave long, batches long")
+    # a source of one block starts with batch 0 at 0; others are strung
+    several = both.join(rows.where("block > 0").select("key").distinct(), "key", "left_semi")
+    steps = several.select("pool", "key", "block", "before", "size", "own").groupBy("pool").applyInPandas(chains, "key long, block long, entry long, leave long, batches long")
 
     def strung(group: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -178,7 +181,8 @@ def packed(chunks: DataFrame, limit: int = BATCH, least: int = 80) -> DataFrame:
         return pd.DataFrame({"source_id": group["source_id"].to_numpy()[own], "ord": group["ord"].to_numpy()[own], "batch": batch[own], "size": group["size"].to_numpy()[own]})
 
     source, kind = (chunks.schema[c].dataType.simpleString() for c in ("source_id", "ord"))
-    return both.join(entries, ["key", "block"]).groupBy("pool").applyInPandas(numbered, f"source_id {source}, ord {kind}, batch int, size int")
+    started = both.join(entries, ["key", "block"], "left").fillna(0, ["entry", "base"])
+    return started.groupBy("pool").applyInPandas(numbered, f"source_id {source}, ord {kind}, batch int, size int")
 
 
 def with_strategy(docs: DataFrame, toc: DataFrame | None = None) -> DataFrame:

@@ -233,3 +233,15 @@ def test_notes_travel_once_to_their_cluster(spark):
     assert sorted((r.cluster, r.members) for r in got) == [(i, 2) for i in range(20)] + [(i, 1) for i in range(40, 100)]
     assert {r.cluster: r.content for r in got}[3] == rows[6][6] + "\n\n" + rows[7][6]
     assert moved < 1.2 * 100 * 5_000
+
+
+def test_short_sources_beside_a_long_one_are_packed_as_the_loop_does(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(sections, "PACK_BLOCK", 3)
+    rows = [(f"s{i}", k, "x" * rng.randrange(1, 900)) for i in range(25) for k in range(rng.randrange(1, 4))] + [("long", k, "x" * rng.randrange(1, 4000)) for k in range(60)]
+    plain, batch, total, before = {}, 0, 0, None
+    for source, k, t in rows:
+        batch, total = (0, 0) if source != before else (batch + 1, 0) if total + len(t) > 1000 else (batch, total)
+        plain[source, k], total, before = batch, total + len(t), source
+    got = sections.packed(spark.createDataFrame(rows, "source_id string, ord int, text string"), 1000, 0).collect()
+    assert {(r.source_id, r.ord): r.batch for r in got} == plain and len(got) == len(rows)
