@@ -245,3 +245,21 @@ def test_short_sources_beside_a_long_one_are_packed_as_the_loop_does(spark, monk
         plain[source, k], total, before = batch, total + len(t), source
     got = sections.packed(spark.createDataFrame(rows, "source_id string, ord int, text string"), 1000, 0).collect()
     assert {(r.source_id, r.ord): r.batch for r in got} == plain and len(got) == len(rows)
+
+
+def test_batches_of_paged_and_other_documents_are_those_of_their_chunks(spark):
+    pages_ = [(d, p, f"Doc {d} Page {p}. " + f"Text{d}x{p} " * 150) for d in (1, 2) for p in range(1, 8)]
+    docs = [(d, "\n\n".join(t for e, _, t in pages_ if e == d) + " " * 8000) for d in (1, 2)] + [(3, "short text"), (4, "".join(f"Part {i} of\nthe LONG one.  " for i in range(800)))]
+    toc = [(1, 0, 1, "One", 1), (1, 1, 1, "Two", 4), (2, 0, 1, "Uno", 90), (2, 1, 1, "Due", 95)]  # the pages of the second one are not there
+    given = (
+        spark.createDataFrame(docs, "doc_id long, text string"), sections.by_stride,
+        spark.createDataFrame(toc, "doc_id long, ord int, level int, title string, page int"), spark.createDataFrame(pages_, "doc_id long, page_no int, text string"),
+    )
+    parts = flow.chunks(*given).localCheckpoint()
+    assert {r.source_id: r.why for r in parts.where("ord = -1").collect()} == {2: "no section found", 3: "short"}
+    texts = sections.batch_texts(parts.where("ord >= 0"), 6000, -1).select("source_id", "batch", "rendered")
+    plain = texts.union(parts.where("ord = -1").select("source_id", F.lit(0), "text"))
+    rows = flow.batches(given[0], 6000, *given[1:])
+    assert sorted(map(tuple, rows.select("source_id", "batch", "rendered").collect())) == sorted(map(tuple, plain.collect()))
+    notes = flow.ingested(given[0], "2024-01-31", 6000, 2, toc=given[2], pages=given[3]).notes
+    assert {r.source for r in notes.collect()} == {"1", "2", "3", "4"}
