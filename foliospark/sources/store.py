@@ -33,6 +33,19 @@ def small_batches() -> None:
         conf.set(name, str(BATCH_ROWS))
 
 
+#: Rows after which writers of Parquet look at their buffers: one, or a few where rows have been short. Else it is 100 to 10,000, of which
+#: each may be a megabyte.
+CHECKED_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "16"}
+
+
+def long_rows() -> None:
+    """Tables that this session writes may have long rows among short ones: a page or group of rows ends soon after it is full."""
+    conf = SparkSession.active().conf
+    for name, rows in CHECKED_ROWS.items():
+        if not 0 < int(conf.get(name, "0")) <= int(rows):
+            conf.set(name, rows)
+
+
 def status(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at

@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 from types import SimpleNamespace
 
+import pyarrow.parquet as pq
 import pytest
 from foliospark.functions import offsets
 from foliospark.functions import text as T
 from foliospark.operators import catalog, consolidate, pages, postings, search, sections, tools, trigrams
 from foliospark.plans import flow, registry
-from foliospark.sources import adapters
+from foliospark.sources import adapters, store
 from pyspark.sql import functions as F
 
 
@@ -263,3 +264,41 @@ def test_batches_of_paged_and_other_documents_are_those_of_their_chunks(spark):
     assert sorted(map(tuple, rows.select("source_id", "batch", "rendered").collect())) == sorted(map(tuple, plain.collect()))
     notes = flow.ingested(given[0], "2024-01-31", 6000, 2, toc=given[2], pages=given[3]).notes
     assert {r.source for r in notes.collect()} == {"1", "2", "3", "4"}
+
+
+def row_groups(folder) -> list:
+    """Row groups of the Parquet files below a folder."""
+    files = [pq.ParquetFile(f).metadata for f in folder.rglob("*.parquet")]
+    return [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+
+
+def common_name(spark) -> list:
+    """Notes of which the first have no backlinks, and a thousand the same thousand."""
+    return spark.createDataFrame([entry(f"a/{i:04d}.md", f"0{i}", []) for i in range(400)] + [entry(f"c/{i:04d}.md", "a", ["a"]) for i in range(1000)], NOTE)
+
+
+def test_a_stored_catalog_is_read_in_few_long_rows(spark, tmp_path, monkeypatch):
+    """A million backlinks: a reader's batch is part of a row group, so none of these holds many of them."""
+    monkeypatch.setattr(catalog, "GROUP_BYTES", 1 << 16, raising=False)
+    catalog.save(catalog.entries(common_name(spark)), f"file://{tmp_path}/c")
+    found = {r.path: r.backlinks for r in catalog.load(spark, f"file://{tmp_path}/c").collect()}
+    every = [f"c/{i:04d}.md" for i in range(1000)]
+    assert len(found) == 1400 and all(found[p] == [q for q in every if q != p] for p in every)
+    assert max(c.num_values for g in row_groups(tmp_path) for c in map(g.column, range(g.num_columns))) < 150_000
+
+
+def test_writers_look_at_long_rows_in_time(spark, tmp_path):
+    """Rows of 8,000 characters behind short ones, in groups of 100,000 bytes."""
+    names = [*store.CHECKED_ROWS, "parquet.block.size"]
+    try:
+        for name in names:
+            spark.conf.unset(name)
+        linked = common_name(spark).select(F.concat(F.lit("some folder/"), "path").alias("page_id"), F.col("title").alias("name"), "links")
+        rows = catalog.backlinks(linked, lambda b: F.array_join(b, ","))
+        spark.conf.set("parquet.block.size", "100000")
+        rows.write.option("compression", "none").parquet(f"file://{tmp_path}/out")
+        groups = row_groups(tmp_path)
+        assert sum(g.num_rows for g in groups) == 1000 and max(g.num_rows for g in groups) <= 24
+    finally:
+        for name in names:
+            spark.conf.unset(name)
