@@ -302,3 +302,12 @@ def test_writers_look_at_long_rows_in_time(spark, tmp_path):
     finally:
         for name in names:
             spark.conf.unset(name)
+
+
+def test_an_updated_catalog_is_read_in_few_long_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "GROUP_BYTES", 1 << 16, raising=False)
+    path, notes = f"file://{tmp_path}/c", common_name(spark)
+    catalog.save(catalog.entries(notes.where("title <> 'a'")), path)
+    catalog.save(catalog.updated(catalog.load(spark, path), notes.where("title = 'a'")), path)
+    assert {len(r.backlinks) for r in catalog.load(spark, path).collect()} == {0, 999}
+    assert max(c.num_values for g in row_groups(tmp_path) for c in map(g.column, range(g.num_columns))) < 150_000
