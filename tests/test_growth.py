@@ -79,6 +79,13 @@ def test_related_pages_of_a_common_name(spark):
     assert len(rows) == 200 and size < 15_000
 
 
+def test_an_empty_text_has_no_section(spark, tmp_path):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "one line")], "doc_id long, text string")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in registry.QUERIES["q_sectionize_offline"](spark, f"file://{tmp_path}").collect()] == [(3, 1, "one line", "one-line", "one line", "END_OF_DOC")]
+    assert [r.doc_id for r in sections.analysed(docs).collect()] == [3]
+
+
 def test_a_page_of_two_sections_as_the_sql_reads_it(spark):
     n = spark.createDataFrame([("a.md", " ".join(f"w{i}" for i in range(4100)))], "path string, content string")
     head = lambda **k: pages.read_page(n, n.select("path"), **k).first().page.split("]")[0] + "]"
