@@ -294,14 +294,15 @@ def test_a_stored_catalog_is_read_in_few_long_rows(spark, tmp_path, monkeypatch)
     assert max(c.num_values for g in row_groups(tmp_path) for c in map(g.column, range(g.num_columns))) < 150_000
 
 
-def test_writers_look_at_long_rows_in_time(spark, tmp_path):
+@pytest.mark.parametrize("linked_by", [catalog.backlinks, catalog.backlinks_within])
+def test_writers_look_at_long_rows_in_time(spark, tmp_path, linked_by):
     """Rows of 8,000 characters behind short ones, in groups of 100,000 bytes."""
     names = [*store.CHECKED_ROWS, "parquet.block.size"]
     try:
         for name in names:
             spark.conf.unset(name)
         linked = common_name(spark).select(F.concat(F.lit("some folder/"), "path").alias("page_id"), F.col("title").alias("name"), "links")
-        rows = catalog.backlinks(linked, lambda b: F.array_join(b, ","))
+        rows = linked_by(linked, lambda b: F.array_join(b, ","))
         spark.conf.set("parquet.block.size", "100000")
         rows.write.option("compression", "none").parquet(f"file://{tmp_path}/out")
         groups = row_groups(tmp_path)
