@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import weakref
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from foliospark.functions import offsets
@@ -319,3 +321,51 @@ def test_an_updated_catalog_is_read_in_few_long_rows(spark, tmp_path, monkeypatc
     catalog.save(catalog.updated(catalog.load(spark, path), notes.where("title = 'a'")), path)
     assert {len(r.backlinks) for r in catalog.load(spark, path).collect()} == {0, 999}
     assert max(c.num_values for g in row_groups(tmp_path) for c in map(g.column, range(g.num_columns))) < 150_000
+
+
+CLUSTERED = "cluster int, ord int, title string, type string, summary string, keywords array<string>, content string"
+
+
+def test_notes_of_a_large_cluster_are_not_held(spark):
+    """The offline merger takes notes as they come: of four thousand two are there at once at most, beside the contents."""
+
+    class Note(dict):
+        pass
+
+    there, most = weakref.WeakSet(), 0
+
+    def notes():
+        nonlocal most
+        for i in range(4000):
+            note = Note(ord=i, title=f"t{i}", type="k", summary=None, keywords=[f"k{i % 9}"], content=f"text {i % 50}")
+            there.add(note)
+            most = max(most, len(there))
+            yield note
+
+    Note.__hash__ = object.__hash__
+    out = consolidate.MergedNotes(["cluster", "title", "type", "summary", "keywords", "content", "members"], pa.int32())
+    consolidate.first_and_all_of(7, notes(), out)
+    row = out.batch().to_pylist()[0]
+    assert row["content"] == "\n\n".join(f"text {i}" for i in range(50)) and row["keywords"] == [f"k{i}" for i in range(6)]
+    assert (row["title"], row["members"]) == ("t0", 4000) and most <= 3
+
+
+def test_notes_merged_as_they_come_are_those_merged_at_once(spark):
+    """Clusters of one note and of many, of equal, empty and wide contents, over several batches; the plain merger is called through the protocol."""
+    rng = random.Random(11)
+    words = ["", "a", "caf\u00e9", "\U0001f600", "a\n\na", "x" * 3000]
+    rows = [(rng.choice([0, 0, *range(1, 400)]), i, rng.choice("tuv"), "concept", rng.choice(["s", None]), rng.sample("abcdefgh", rng.randrange(9)), rng.choice(words) + rng.choice(["", str(i % 7)])) for i in range(3000)]
+    notes = spark.createDataFrame(rows, CLUSTERED).repartition(3).localCheckpoint()
+    plain = {tuple(r[:4]) + (tuple(r.keywords), r.content, r.members) for r in consolidate.merged(notes, lambda text, own: consolidate.first_and_all(text, own)).collect()}
+    got = consolidate.merged(notes).collect()
+    assert {tuple(r[:4]) + (tuple(r.keywords), r.content, r.members) for r in got} == plain and len(got) == len({r[0] for r in rows}) == len(plain)
+    none = spark.createDataFrame([(1, 1, "t", "k", "s", ["a"], None), (2, 1, "t", "k", "s", None, None), (2, 2, "t", "k", "s", ["b"], "x"), (None, 1, "t", "k", "s", ["a"] * 9, "y")], CLUSTERED)
+    assert {(r.cluster, tuple(r.keywords), r.content, r.members) for r in consolidate.merged(none).collect()} == {(1, ("a",), None, 1), (2, ("b",), "x", 2), (None, ("a",) * 9, "y", 1)}
+
+
+def test_a_merger_reads_a_cluster_as_it_is_rendered(spark):
+    rng = random.Random(12)
+    rows = [(i % 5, rng.randrange(4), rng.choice(["t", "u", None]), "k", "s", rng.choice([["a", "b"], [], ["a", None], None]), rng.choice(["x", "y", None])) for i in range(60)]
+    notes = spark.createDataFrame(rows, CLUSTERED)
+    got = consolidate.merged(notes, lambda text, own: (text, "", "", [], "")).collect()
+    assert {r.cluster: r.title for r in got} == {r.cluster: r.text for r in consolidate.cluster_texts(notes).collect()}
